@@ -71,7 +71,7 @@ pool AS (SELECT DISTINCT ON (materia, usada, content_hash) materia, usada, conte
 ranked AS (SELECT *, row_number() OVER (PARTITION BY materia ORDER BY usada, content_hash) AS rank FROM pool)"""
 
 ACCEPTED = """
-walk AS (SELECT row_number() OVER (ORDER BY seq) AS n, seq, id_qc AS c, hash_enunciado AS d FROM batch),
+walk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS n, seq, id_qc AS c, hash_enunciado AS d FROM batch),
 steps(n, seq, ok, cs, ds) AS (
   SELECT CAST(0 AS BIGINT), CAST(-1 AS BIGINT), false, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
   UNION ALL

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
+from quaestor.session import spread
 
 LETTERS = "ABCDE"
 
@@ -29,7 +30,7 @@ OPTIONS = (
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
     rows = docs.join(labels, docs.doc_id == labels.l_id, "left").selectExpr(
         "doc_id AS id",
@@ -300,7 +301,7 @@ def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lowered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole text in lower case, digits and markup signs masked, blanks collapsed."""
-    docs = table(spark, sf_dir, "documents").selectExpr(
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
         "doc_id", "lang",
         r"regexp_replace(lower(trim(regexp_replace(text, '(?U)\\s+', ' '))), '[0-9<>&()\\[\\]:]', '#') AS low",
     )
@@ -361,7 +362,7 @@ def flag_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answer feedback around whole document texts."""
-    rows = table(spark, sf_dir, "documents").withColumn("esc", _escaped("text"))
+    rows = spread(table(spark, sf_dir, "documents"), "doc_id").withColumn("esc", _escaped("text"))
     return rows.selectExpr(
         "doc_id AS id", "lower(substr('ABCDE', CAST(1 + doc_id % 5 AS INT), 1)) AS marcada",
         """concat('<div><p>', esc, '</p>', CASE doc_id % 4

@@ -11,7 +11,7 @@ from checks import projections as P
 from quaestor.functions import parsing, text
 from quaestor.operators import allocation, classify, draw, extract, ingest, quality
 from quaestor.plans import exams, stats
-from quaestor.session import work_path
+from quaestor.session import durable, work_path
 from quaestor.sources import questions as store
 from quaestor.sources import specs as spec_files
 from quaestor.schemas import QUESTIONS
@@ -782,17 +782,17 @@ def h3_reused_counts(spark, d):
 @query
 def h4_backfill(spark, d):
     rows = P.questions(spark, d)
-    chosen = draw.draw(rows, _requests(spark, d)).select("exam", "id")
+    chosen = durable(draw.draw(rows, _requests(spark, d)).select("exam", "id"))
     counts = chosen.groupBy("exam").agg(F.count("*").alias("c"))
     missing = P.specs(spark, d).select("exam", "q").distinct().join(counts, "exam", "left").selectExpr(
         "exam", "q - coalesce(c, 0) AS n"
     )
-    return draw.backfill(rows, chosen, missing)
+    return draw.backfill(draw.content_pool(rows), chosen, missing, draw.largest(P.specs(spark, d), "q"))
 
 
 @query
 def h5_redistribute(spark, d):
-    rows = allocation.redistribute(_quotas(spark, d), draw.available(P.questions(spark, d), "materia"))
+    rows = allocation.redistribute(_quotas(spark, d), draw.available(draw.content_pool(P.questions(spark, d), "materia"), "materia"))
     return rows.select("exam", "materia", "quota", "taken", "extra")
 
 
@@ -871,10 +871,9 @@ def h11_exam_by_topic(spark, d):
 
 @query
 def u1_unused_then_used(spark, d):
-    """The whole ranking: the bound is the size of the largest subject."""
-    rows = P.questions(spark, d)
-    bound = draw.largest(draw.available(rows, "materia"), "disponiveis")
-    return draw.rank_candidates(rows, bound).select(
+    """The whole order of every subject."""
+    pool = draw.content_pool(P.questions(spark, d), "materia")
+    return draw.rank_in_digest_order(pool, lead="usada").select(
         "materia", F.when(F.col("usada") == 0, "inedita").otherwise("repetida").alias("pool"), "rank", "id"
     )
 

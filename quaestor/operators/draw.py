@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
+from quaestor.session import durable
 
 # Preferred source of equal content, and the default exam sizes.
 SOURCE_PRIORITY = {"qconcursos": 1, "pci": 2}
@@ -56,8 +57,13 @@ def _order_digest(seed: str | None) -> Column:
     return F.col("content_hash") if seed is None else F.md5(F.concat("content_hash", F.lit(str(seed))))
 
 
-def rank_candidates(
-    questions: DataFrame, max_rank: int, keys: tuple[str, ...] = ("materia",), seed: str | None = None
+def content_pool(questions: DataFrame, *keys: str) -> DataFrame:
+    """Drawable content per key and use state: ``keys, usada, content_hash, id``."""
+    return one_per_content(questions, *keys, "usada")
+
+
+def rank_pool(
+    pool: DataFrame, max_rank: int, keys: tuple[str, ...] = ("materia",), seed: str | None = None
 ) -> DataFrame:
     """``keys, usada, id, rank``: unused content first, then used, each in digest order.
 
@@ -65,28 +71,28 @@ def rank_candidates(
     before the shuffle, so a subject with a third of all questions sends no more than
     tasks x ``max_rank`` rows to its window.
     """
-    pool = one_per_content(questions, *keys, "usada").withColumn("_digest", _order_digest(seed))
     order = Window.partitionBy(*keys).orderBy("usada", "_digest", "id")
     return (
-        pool.withColumn("rank", F.row_number().over(order))
+        pool.withColumn("_digest", _order_digest(seed))
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= max_rank)
         .select(*keys, "usada", "id", "rank")
     )
 
 
+def rank_candidates(
+    questions: DataFrame, max_rank: int, keys: tuple[str, ...] = ("materia",), seed: str | None = None
+) -> DataFrame:
+    return rank_pool(content_pool(questions, *keys), max_rank, keys, seed)
+
+
 def largest(requests: DataFrame, n: str = "n") -> int:
     """Largest request, needed as a literal; one number comes to the driver."""
     return int(requests.agg(F.coalesce(F.max(n), F.lit(0)).alias("m")).first()["m"])
 
 
-def draw(
-    questions: DataFrame, requests: DataFrame, keys: tuple[str, ...] = ("materia",),
-    seed: str | None = None, carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """``exam, keys, carry, rank, usada, id`` for every request ``exam, keys, n`` (and
-    further request columns named in ``carry``); all subjects and requests in one pass
-    over the bank."""
-    ranked = rank_candidates(questions, largest(requests), keys, seed)
+def serve(ranked: DataFrame, requests: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
+    """The first ``n`` ranks for every request."""
     wanted = requests.select("exam", *keys, *carry, F.col("n").alias("_n"))
     return (
         ranked.join(wanted, list(keys)).filter("rank <= _n")
@@ -94,6 +100,18 @@ def draw(
     )
 
 
+def draw(
+    questions: DataFrame, requests: DataFrame, keys: tuple[str, ...] = ("materia",),
+    seed: str | None = None, carry: tuple[str, ...] = (), max_rank: int | None = None,
+) -> DataFrame:
+    """``exam, keys, carry, rank, usada, id`` for every request ``exam, keys, n`` (and
+    further request columns named in ``carry``); all subjects and requests in one pass
+    over the bank. ``max_rank`` is an upper bound of ``n``; without it the largest
+    request is looked up."""
+    bound = largest(requests) if max_rank is None else max_rank
+    return serve(rank_candidates(questions, bound, keys, seed), requests, keys, carry)
+
+
 def reused_counts(drawn: DataFrame, *keys: str) -> DataFrame:
     """Per request: questions drawn, and how many of them had been used before."""
     return drawn.groupBy("exam", *keys).agg(
@@ -101,13 +119,10 @@ def reused_counts(drawn: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def available(questions: DataFrame, *keys: str) -> DataFrame:
-    """Drawable questions per key (used and unused copies of one content count apart)."""
-    return (
-        questions.filter("content_hash is not null")
-        .select(*keys, "usada", "content_hash").distinct()
-        .groupBy(*keys).agg(F.count("*").alias("disponiveis"))
-    )
+def available(pool: DataFrame, *keys: str) -> DataFrame:
+    """Drawable questions per key of a content pool (used and unused copies of one
+    content count apart)."""
+    return pool.groupBy(*keys).agg(F.count("*").alias("disponiveis"))
 
 
 def keep_first(rows: DataFrame, by: tuple[str, ...], *order: str) -> DataFrame:
@@ -116,23 +131,23 @@ def keep_first(rows: DataFrame, by: tuple[str, ...], *order: str) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def backfill(questions: DataFrame, chosen: DataFrame, missing: DataFrame, seed: str | None = None) -> DataFrame:
+def backfill(
+    pool: DataFrame, chosen: DataFrame, missing: DataFrame, max_span: int, seed: str | None = None
+) -> DataFrame:
     """``exam, rank, usada, id``: fill ``missing(exam, n)`` from any subject, leaving out
-    the ids in ``chosen(exam, id)``.
+    the ids in ``chosen(exam, id)``. ``pool`` is a content pool without keys.
 
-    An exam needs at most n + chosen candidates of the overall order, so that many ranks
-    are listed per exam and met by an equi-join; no exam sees the whole bank.
+    An exam needs at most n + chosen candidates of the overall order (``max_span`` bounds
+    that sum over all exams), so that many ranks are listed per exam and met by an
+    equi-join; no exam sees the whole bank.
     """
     sizes = chosen.groupBy("exam").agg(F.count("*").alias("_c"))
     span = (
         missing.filter("n > 0").join(sizes, "exam", "left")
-        .withColumn("_span", F.col("n") + F.coalesce("_c", F.lit(0)))
+        .withColumn("_span", (F.col("n") + F.coalesce("_c", F.lit(0))).cast("int"))
     )
-    bound = largest(span, "_span")
-    everything = questions.withColumn("_all", F.lit(0))
-    ranked = rank_candidates(everything, bound, ("_all",), seed).drop("_all")
-    # the used pool is tried only after the unused one, each up to the same bound
-    slots = span.select("exam", F.col("n").alias("_n"), F.explode(F.sequence(F.lit(1), F.col("_span").cast("int"))).alias("rank"))
+    ranked = rank_pool(pool.withColumn("_all", F.lit(0)), max_span, ("_all",), seed).drop("_all")
+    slots = span.select("exam", F.col("n").alias("_n"), F.explode(F.sequence(F.lit(1), "_span")).alias("rank"))
     free = slots.join(ranked, "rank").join(chosen.select("exam", "id"), ["exam", "id"], "left_anti")
     position = F.row_number().over(Window.partitionBy("exam").orderBy("rank"))
     return (
@@ -142,29 +157,28 @@ def backfill(questions: DataFrame, chosen: DataFrame, missing: DataFrame, seed:
 
 
 def rank_in_digest_order(
-    rows: DataFrame, keys: tuple[str, ...], max_rank: int | None = None,
+    rows: DataFrame, keys: tuple[str, ...] = ("materia",), lead: str | None = None,
     seed: str | None = None, prefix_chars: int = 3,
 ) -> DataFrame:
-    """Add ``rank`` within ``keys`` by digest without putting a group into one task.
+    """Add ``rank`` within ``keys`` by (``lead``,) digest for all rows, without putting a
+    group into one task.
 
     Digests are uniform, so their first hex characters cut every group, also a dominant
     one, into even ordered buckets: rank = rows in earlier buckets + position inside the
-    bucket. Buckets that start beyond ``max_rank`` are dropped before the sort.
+    bucket.
     """
-    cut = rows.withColumn("_digest", _order_digest(seed)).withColumn("_b", F.left("_digest", F.lit(prefix_chars)))
+    cut = rows.withColumn("_digest", _order_digest(seed))
+    prefix = F.left("_digest", F.lit(prefix_chars))
+    cut = cut.withColumn("_b", F.concat(F.col(lead).cast("string"), F.lit("/"), prefix) if lead else prefix)
     sizes = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    if max_rank is not None:
-        offsets = offsets.filter(F.col("_off") < max_rank)
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_digest", "id"))
     ranked = cut.join(offsets, [*keys, "_b"]).withColumn("rank", (F.col("_off") + inside).cast("bigint"))
-    if max_rank is not None:
-        ranked = ranked.filter(F.col("rank") <= max_rank)
     return ranked.drop("_digest", "_b", "_off")
 
 
-def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None) -> DataFrame:
+def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None, prefix_chars: int = 3) -> DataFrame:
     """Many exams in a row without overlap: ``exam, materia, pos, reused, id``.
 
     ``quotas`` is ``exam, exam_pos, materia, n``; exams are served by ``exam_pos`` and mark
@@ -172,57 +186,85 @@ def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None)
     placed at once: the quota sums of earlier exams give each slot its rank in the unused
     order. Slots beyond the unused pool take the smallest digests among the questions used
     before that exam: the initially used ones and, for the exam in which the pool runs
-    out, the part handed to earlier exams; for later exams, all questions.
+    out (``cut``), the part handed to earlier exams; for later exams, all questions.
+
+    The bank is read twice: to count rows per subject and digest bucket, and to give the
+    rows of the buckets that can be reached their two running numbers, unused so far and
+    all so far. Buckets keep a dominant subject out of a single task, and every rank above
+    follows from the two numbers. Slots and questions then meet in one equi-join.
 
     Needs a bank without duplicate content (see insert-if-new).
     """
-    bank = questions.filter("content_hash is not null").select("materia", "usada", "content_hash", "id")
-    earlier = Window.partitionBy("materia").orderBy("exam_pos").rowsBetween(Window.unboundedPreceding, -1)
-    demand = quotas.filter("n > 0").withColumn(
-        "_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("bigint")
+    bank = questions.filter("content_hash is not null").select(
+        "materia", "usada", "id", _order_digest(seed).alias("_digest")
+    ).withColumn("_b", F.left("_digest", F.lit(prefix_chars)))
+    most = largest(quotas)
+    before = Window.unboundedPreceding
+    earlier = Window.partitionBy("materia").orderBy("exam_pos").rowsBetween(before, -1)
+    demand = quotas.filter("n > 0").select(
+        "exam", "materia", F.col("n").cast("int").alias("n"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("bigint").alias("_start"),
     )
-    unused = rank_in_digest_order(bank.filter("usada = 0"), ("materia",), seed=seed)
-    pool_size = bank.filter("usada = 0").groupBy("materia").agg(F.count("*").alias("_m"))
-    plan = demand.join(pool_size, "materia", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
-    slots = plan.withColumn("pos", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).withColumn(
-        "rank", F.col("_start") + F.col("pos")
+
+    # small: one row per subject and bucket
+    sizes = durable(
+        bank.groupBy("materia", "_b").agg(F.count_if(F.col("usada") == 0).alias("_nu"), F.count("*").alias("_na"))
     )
-    columns = ["exam", "materia", "pos", "reused", "id"]
-    fresh = (
-        slots.filter("rank <= _m")
-        .join(unused.select("materia", "rank", "id"), ["materia", "rank"])
-        .withColumn("reused", F.lit(False))
-        .select(*columns)
+    unused = sizes.groupBy("materia").agg(F.sum("_nu").alias("_m"))
+    plan = demand.join(unused, "materia", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    at_cut = (F.col("_start") < F.col("_m")) & (F.col("_start") + F.col("n") > F.col("_m"))
+    need = plan.groupBy("materia").agg(
+        F.max(F.col("_start") + F.col("n")).alias("_asked"),
+        F.max(F.when(at_cut, F.col("_start"))).alias("_cut"),
+        F.max(F.col("_start") >= F.col("_m")).alias("_late"),
     )
 
-    most = largest(quotas)
-    boundary = plan.filter("_start < _m and _start + n > _m").select("materia", F.col("_start").alias("_cut"))
-    used_at_boundary = (
-        bank.filter("usada = 1").join(boundary, "materia", "left_semi").select("materia", "content_hash", "id")
-        .unionByName(
-            unused.join(boundary, "materia").filter("rank <= _cut").select("materia", "content_hash", "id")
-        )
-        .withColumn("_late", F.lit(False))
+    by_bucket = Window.partitionBy("materia").orderBy("_b").rowsBetween(before, -1)
+    offsets = sizes.select(
+        "materia", "_b",
+        F.coalesce(F.sum("_nu").over(by_bucket), F.lit(0)).alias("_u"),
+        F.coalesce(F.sum("_na").over(by_bucket), F.lit(0)).alias("_a"),
+    ).join(need, "materia")
+
+    def cut_rank(u, a):
+        return (a - u) + F.least(u, F.col("_cut"))
+
+    reachable = offsets.filter(
+        (F.col("_u") < F.col("_asked"))
+        | (F.col("_late") & (F.col("_a") < most))
+        | (cut_rank(F.col("_u"), F.col("_a")) < most)
+    )
+    inside = Window.partitionBy("materia", "_b").orderBy("_digest", "id").rowsBetween(before, 0)
+    is_unused = F.col("usada") == 0
+    counted = bank.join(reachable, ["materia", "_b"]).withColumns(
+        {
+            "_u": F.col("_u") + F.count_if(is_unused).over(inside),
+            "_a": F.col("_a") + F.count("*").over(inside),
+        }
+    )
+    b = cut_rank(F.col("_u"), F.col("_a"))
+    in_cut = F.col("_cut").isNotNull() & (~is_unused | (F.col("_u") <= F.col("_cut"))) & (b <= most)
+    places = F.array(
+        F.when(is_unused & (F.col("_u") <= F.col("_asked")), F.struct(F.lit("fresh").alias("k"), F.col("_u").alias("r"))),
+        F.when(in_cut, F.struct(F.lit("cut").alias("k"), b.alias("r"))),
+        F.when(F.col("_late") & (F.col("_a") <= most), F.struct(F.lit("late").alias("k"), F.col("_a").alias("r"))),
+    )
+    placed = counted.select("materia", "id", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("x")).select(
+        "materia", "id", F.col("x.k").alias("_kind"), F.col("x.r").alias("_rank")
+    )
+
+    slots = plan.withColumn("pos", F.explode(F.sequence(F.lit(1), "n"))).withColumn(
+        "_rank", F.col("_start") + F.col("pos")
     )
-    exhausted = plan.filter("_start >= _m").select("materia").distinct()
-    used_later = (
-        bank.join(exhausted, "materia", "left_semi").select("materia", "content_hash", "id")
-        .withColumn("_late", F.lit(True))
+    fresh = F.col("_rank") <= F.col("_m")
+    slots = slots.select(
+        "exam", "materia", "pos",
+        F.when(fresh, "fresh").when(F.col("_start") >= F.col("_m"), "late").otherwise("cut").alias("_kind"),
+        F.when(fresh, F.col("_rank")).otherwise(F.col("_rank") - F.greatest("_start", "_m")).alias("_rank"),
     )
-    # digest order is kept, so only the first `most` ranks of either pool can be asked for
-    reusable = rank_in_digest_order(
-        used_at_boundary.unionByName(used_later), ("materia", "_late"), max_rank=most, seed=seed
-    ).select("materia", "_late", "rank", "id")
-    reused = (
-        slots.filter("rank > _m")
-        .withColumns(
-            {"_late": F.col("_start") >= F.col("_m"), "rank": F.col("rank") - F.greatest("_start", "_m")}
-        )
-        .join(reusable, ["materia", "_late", "rank"])
-        .withColumn("reused", F.lit(True))
-        .select(*columns)
+    return slots.join(placed, ["materia", "_kind", "_rank"]).select(
+        "exam", "materia", "pos", (F.col("_kind") != "fresh").alias("reused"), "id"
     )
-    return fresh.unionByName(reused)
 
 
 # --- search and paging ------------------------------------------------------

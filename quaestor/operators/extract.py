@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quaestor.functions import parsing, text
 from quaestor.operators.html_blocks import site_a_blocks, site_b_blocks
 from quaestor.schemas import BLOCKS
+from quaestor.session import once
 
 # Fixed value: prefix of relative image addresses on site A.
 SITE_A_IMAGES = "https://www.pciconcursos.com.br"
@@ -128,17 +129,19 @@ LAYOUTS = {
 }
 
 
-def _options(block: Column, layout: Layout) -> Column:
-    """Letter to text; of repeated letters the last one that is long enough wins."""
+def _option_pairs(block: Column, layout: Layout) -> Column:
+    """``array<struct<l,t>>``: letters and texts as found, tags stripped, short ones out."""
     pairs = F.arrays_zip(
         F.regexp_extract_all(block, F.lit(layout.option), F.lit(1)).alias("l"),
         F.regexp_extract_all(block, F.lit(layout.option), F.lit(2)).alias("t"),
     )
     cleaned = F.transform(pairs, lambda p: F.struct(F.upper(p["l"]).alias("l"), text.strip_tags(p["t"]).alias("t")))
-    long_enough = F.filter(cleaned, lambda p: F.length(p["t"]) > layout.min_option)
+    return F.filter(cleaned, lambda p: F.length(p["t"]) > layout.min_option)
 
+
+def _last_per_letter(pairs: Column) -> Column:
     def last_of(letter):
-        mine = F.filter(long_enough, lambda p: p["l"] == letter)
+        mine = F.filter(pairs, lambda p: p["l"] == letter)
         return F.struct(F.lit(letter).alias("key"), F.get(F.reverse(mine), F.lit(0))["t"].alias("value"))
 
     listed = F.array(*[last_of(letter) for letter in "ABCDE"])
@@ -154,11 +157,15 @@ def questions_by_pattern(
     if layout.skip_head:
         blocks = blocks.filter("pos > 0")
     statement = text.strip_tags(F.nullif(F.regexp_extract("bloco", layout.statement, 1), F.lit("")))
-    rows = blocks.withColumn("enunciado", statement).filter(F.length("enunciado") >= layout.min_statement)
+    rows = once(blocks, enunciado=statement).filter(F.length("enunciado") >= layout.min_statement)
     if layout.not_starting:
         rows = rows.filter(~F.startswith("enunciado", F.lit(layout.not_starting)))
     empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    rows = rows.withColumn("alternativas", _options(F.col("bloco"), layout) if layout.option else empty)
+    if layout.option:
+        rows = once(rows, pares=_option_pairs(F.col("bloco"), layout))
+        rows = once(rows, alternativas=_last_per_letter(F.col("pares")))
+    else:
+        rows = rows.withColumn("alternativas", empty)
     rows = rows.filter(F.size("alternativas") >= layout.min_options)
 
     def piece(pattern):

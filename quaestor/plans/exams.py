@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text
 from quaestor.operators import allocation, draw
+from quaestor.session import durable
 
 # Fixed value: text shown where the answer is not known.
 MISSING_ANSWER = "(gabarito ainda não coletado)"
@@ -16,16 +17,25 @@ def subject_exams(questions: DataFrame, requests: DataFrame, seed: str | None =
     """One-subject exams: ``requests(exam, materia[, n])``."""
     if "n" not in requests.columns:
         requests = requests.withColumn("n", F.lit(draw.SUBJECT_EXAM_SIZE))
-    return draw.draw(questions, requests, ("materia",), seed).withColumn("secao", F.lit(1))
+        return draw.draw(
+            questions, requests, seed=seed, max_rank=draw.SUBJECT_EXAM_SIZE
+        ).withColumn("secao", F.lit(1))
+    return draw.draw(questions, requests, seed=seed).withColumn("secao", F.lit(1))
 
 
 def general_exams(questions: DataFrame, specs: DataFrame, seed: str | None = None) -> DataFrame:
     """General exams: quotas by weight, shortage redistributed, sections by subject name.
-    ``specs`` is ``exam, q, materia, ordinal, peso``."""
+    ``specs`` is ``exam, q, materia, ordinal, peso``.
+
+    The content pool serves both the counts and the draw, so it is stored once. No
+    subject of an exam gets more than q questions, which bounds the ranks to keep.
+    """
+    pool = durable(draw.content_pool(questions, "materia"))
     quotas = allocation.largest_remainder(specs)
-    raised = allocation.redistribute(quotas, draw.available(questions, "materia"))
+    raised = allocation.redistribute(quotas, draw.available(pool, "materia"))
     requests = raised.select("exam", "materia", (F.col("taken") + F.col("extra")).alias("n")).filter("n > 0")
-    return draw.draw(questions, requests, ("materia",), seed).withColumn("secao", F.col("materia"))
+    ranked = draw.rank_pool(pool, draw.largest(specs, "q"), seed=seed)
+    return draw.serve(ranked, requests, ("materia",)).withColumn("secao", F.col("materia"))
 
 
 def job_exams(questions: DataFrame, specs: DataFrame, seed: str | None = None) -> DataFrame:
@@ -34,12 +44,13 @@ def job_exams(questions: DataFrame, specs: DataFrame, seed: str | None = None) -
     cargo, banca, materia, ordinal, peso``; a NULL board does not filter."""
     quotas = allocation.largest_remainder(specs).withColumnRenamed("quota", "n").filter("n > 0")
     quotas = quotas.withColumn("secao", F.col("ordinal"))
+    bound = draw.largest(specs, "q")
     named = F.coalesce("banca", F.lit("")) != ""
     with_board = draw.draw(
-        questions, quotas.filter(named), ("materia", "orgao", "cargo", "banca"), seed, ("secao",)
+        questions, quotas.filter(named), ("materia", "orgao", "cargo", "banca"), seed, ("secao",), bound
     ).drop("banca")
     any_board = draw.draw(
-        questions, quotas.filter(~named), ("materia", "orgao", "cargo"), seed, ("secao",)
+        questions, quotas.filter(~named), ("materia", "orgao", "cargo"), seed, ("secao",), bound
     )
     return with_board.unionByName(any_board)
 
@@ -47,23 +58,30 @@ def job_exams(questions: DataFrame, specs: DataFrame, seed: str | None = None) -
 def board_exams(questions: DataFrame, structure: DataFrame, seed: str | None = None) -> DataFrame:
     """Board exams: rounded quota per discipline, first occurrence of an id, back-fill
     from any subject, at most q. ``structure`` is ``exam, q, ordem, disciplina, qtd``.
-    Gives ``exam, pos, id``."""
+    Gives ``exam, pos, id``.
+
+    What the disciplines yield (at most exams x q rows) is stored, as the back-fill asks
+    for it several times.
+    """
+    bound = draw.largest(structure, "q")
     quotas = allocation.rounded_quota(structure)
     requests = quotas.select("exam", "ordem", F.col("disciplina").alias("materia"), F.col("quota").alias("n"))
-    drawn = draw.draw(questions, requests, ("materia",), seed, ("ordem",))
-    chosen = draw.keep_first(drawn, ("exam", "id"), "ordem", "rank")
+    drawn = draw.draw(questions, requests, ("materia",), seed, ("ordem",), bound)
+    chosen = durable(draw.keep_first(drawn, ("exam", "id"), "ordem", "rank"))
     counts = chosen.groupBy("exam").agg(F.count("*").alias("_c"))
-    missing = (
-        structure.select("exam", "q").distinct().join(counts, "exam", "left")
-        .select("exam", (F.col("q") - F.coalesce("_c", F.lit(0))).alias("n"))
+    exam_sizes = structure.groupBy("exam").agg(F.max("q").alias("q"))
+    missing = exam_sizes.join(counts, "exam", "left").select(
+        "exam", (F.col("q") - F.coalesce("_c", F.lit(0))).alias("n")
     )
-    filled = draw.backfill(questions, chosen.select("exam", "id"), missing, seed)
+    # quotas may sum to more than q, but then nothing is missing: n + chosen <= q
+    filled = draw.backfill(draw.content_pool(questions), chosen, missing, bound, seed)
     listed = chosen.select("exam", F.lit(0).alias("_part"), F.col("ordem").alias("_list"), "rank", "id").unionByName(
         filled.select("exam", F.lit(1).alias("_part"), F.lit(0).alias("_list"), "rank", "id")
     )
     pos = F.row_number().over(Window.partitionBy("exam").orderBy("_part", "_list", "rank"))
-    sizes = structure.groupBy("exam").agg(F.max("q").alias("q"))
-    return listed.withColumn("pos", pos).join(sizes, "exam").filter("pos <= q").select("exam", "pos", "id")
+    return (
+        listed.withColumn("pos", pos).join(exam_sizes, "exam").filter("pos <= q").select("exam", "pos", "id")
+    )
 
 
 def number_items(items: DataFrame, *order: str) -> DataFrame:

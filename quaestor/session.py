@@ -66,3 +66,20 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give per-row heavy work one task per core when the scan itself has fewer splits
+    (a small file, a single row group). Larger scans are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * cores:
+        return df
+    return df.repartition(cores, *keys)
+
+
+def once(df: DataFrame, **columns) -> DataFrame:
+    """Add costly columns so that they are computed once per row. Later filters and
+    projections on them are not pushed through the one-row generator, whereas a plain
+    projection would be merged into each of them and repeat the work."""
+    packed = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return df.select("*", F.inline(F.array(packed)))
