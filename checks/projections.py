@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
-from quaestor.session import spread
+from quaestor.schemas import QUESTIONS
+from quaestor.session import spread, work_path
+from quaestor.sources.questions import add_missing_columns, append_questions, read_questions
 
 LETTERS = "ABCDE"
 
@@ -29,7 +31,8 @@ OPTIONS = (
 )
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions as they arrive, hashes computed on the fly."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
     rows = docs.join(labels, docs.doc_id == labels.l_id, "left").selectExpr(
@@ -68,6 +71,25 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_path(spark: SparkSession, sf_dir: str) -> str:
+    """The question table as the library stores it, written once per session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = work_path(spark, "questions")
+        rows = add_missing_columns(raw_questions(spark, sf_dir), QUESTIONS)
+        append_questions(rows.select(QUESTIONS.fieldNames()), path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored question table, in ingest order by ``seq``."""
+    return read_questions(spark, stored_path(spark, sf_dir)).withColumn("seq", F.col("id"))
+
+
 def unique_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bank without repeated content: the smallest id of each statement."""
     rows = questions(spark, sf_dir)
@@ -220,7 +242,7 @@ def text_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def legacy_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return questions(spark, sf_dir).selectExpr(
+    return raw_questions(spark, sf_dir).selectExpr(
         "id", "seq", "id_qc", "enunciado",
         "CASE WHEN id % 17 = 0 THEN '{bad' ELSE to_json(alternativas) END AS alternativas",
         "gabarito", "materia", "assunto", "banca", "orgao", "ano", "prova",

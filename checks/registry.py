@@ -193,17 +193,17 @@ def t5_top_per_group(spark, d):
 
 @query
 def p1_normalize(spark, d):
-    return P.questions(spark, d).select("id", text.normalize_text("enunciado").alias("norm"))
+    return P.raw_questions(spark, d).select("id", text.normalize_text("enunciado").alias("norm"))
 
 
 @query
 def p2_statement_hash(spark, d):
-    return P.questions(spark, d).select("id", text.statement_hash("enunciado").alias("hash_enunciado"))
+    return P.raw_questions(spark, d).select("id", text.statement_hash("enunciado").alias("hash_enunciado"))
 
 
 @query
 def p3_content_hash(spark, d):
-    return P.questions(spark, d).select(
+    return P.raw_questions(spark, d).select(
         "id", text.canonical_options("alternativas").alias("canon"),
         text.content_hash("enunciado", "alternativas").alias("content_hash"),
     )
@@ -211,7 +211,7 @@ def p3_content_hash(spark, d):
 
 @query
 def p4_encode_json(spark, d):
-    return store.encode_stored(P.questions(spark, d)).select("id", "imagens", "imagens_urls")
+    return store.encode_stored(P.raw_questions(spark, d)).select("id", "imagens", "imagens_urls")
 
 
 @query
@@ -592,7 +592,7 @@ def j13_enrich_from_spec(spark, d):
 
 @query
 def f1_insert_if_new(spark, d):
-    return ingest.insert_if_new(P.questions(spark, d)).select("id")
+    return ingest.insert_if_new(P.raw_questions(spark, d)).select("id")
 
 
 @query
@@ -618,7 +618,7 @@ def f5_keep_first(spark, d):
 
 @query
 def f6_ingest_report(spark, d):
-    return ingest.ingest_report(ingest.insert_status(P.questions(spark, d)), "materia")
+    return ingest.ingest_report(ingest.insert_status(P.raw_questions(spark, d)), "materia")
 
 
 @query
@@ -656,16 +656,9 @@ def number_rows(spark, d):
 
 # --- sources and sinks --------------------------------------------------------------------------------
 
-def _stored(spark, d) -> str:
-    path = work_path(spark, "questions")
-    rows = store.add_missing_columns(P.questions(spark, d), QUESTIONS)
-    store.append_questions(rows.select(QUESTIONS.fieldNames()), path)
-    return path
-
-
 @query
 def s1_scan(spark, d):
-    return store.read_questions(spark, _stored(spark, d)).select(
+    return store.read_questions(spark, P.stored_path(spark, d)).select(
         "id", "id_qc", "materia", "fonte", F.size("alternativas").alias("n_opcoes")
     )
 
@@ -704,7 +697,7 @@ def s7_page_scan(spark, d):
 def s8_append(spark, d):
     """Two appends into one table, partitioned by source."""
     path = work_path(spark, "append")
-    rows = P.questions(spark, d).select("id", "fonte", "hash_enunciado")
+    rows = P.raw_questions(spark, d).select("id", "fonte", "hash_enunciado")
     store.append_questions(rows.filter("id % 2 = 0"), path)
     store.append_questions(rows.filter("id % 2 = 1"), path)
     return spark.read.parquet(path)
@@ -942,8 +935,8 @@ def q7_duplicates(spark, d):
 @query
 def q8_round_trip(spark, d):
     columns = ["id", "id_qc", "enunciado", "gabarito", "materia", "ano", "fonte", "banca", "orgao", "cargo"]
-    rows = P.questions(spark, d)
-    back = store.read_questions(spark, _stored(spark, d))
+    rows = P.raw_questions(spark, d)
+    back = store.read_questions(spark, P.stored_path(spark, d))
     difference = quality.round_trip_difference(rows.select(columns), back.select(columns))
     return rows.agg(F.count("*").alias("linhas")).withColumn(
         "diferentes", difference.agg(F.count("*")).scalar()
