@@ -166,14 +166,9 @@ def t2_top3_progress(spark, d):
 
 @query
 def t3_top_reports(spark, d):
-    rows = P.questions(spark, d)
-    parts = [
-        stats.top(stats.count_by(rows, column), k, tie=column).select(
-            F.lit(name).alias("lista"), F.col(column).alias("nome"), "total"
-        )
-        for name, column, k in (("top15", "categoria", 15), ("top10", "orgao", 10), ("top6", "materia", 6))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = stats.top_lists(P.questions(spark, d), {"categoria": 15, "orgao": 10, "materia": 6})
+    name = F.when(F.col("coluna") == "categoria", "top15").when(F.col("coluna") == "orgao", "top10").otherwise("top6")
+    return rows.select(name.alias("lista"), "nome", "total")
 
 
 @query

@@ -120,11 +120,7 @@ def answer_from_feedback(html: Column | str, marked: Column | str) -> Column:
 
 
 def page_not_found(html: Column | str) -> Column:
-    lowered = F.lower(col(html))
-    found = F.lit(False)
-    for phrase in NOT_FOUND_PHRASES:
-        found = found | F.contains(lowered, F.lit(phrase))
-    return found
+    return col(html).rlike("(?iu)" + "|".join(NOT_FOUND_PHRASES))
 
 
 def account_blocked(html: Column | str) -> Column:

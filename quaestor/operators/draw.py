@@ -69,8 +69,12 @@ def rank_pool(
 
     The literal bound lets every task keep only its own first ``max_rank`` rows per group
     before the shuffle, so a subject with a third of all questions sends no more than
-    tasks x ``max_rank`` rows to its window.
+    tasks x ``max_rank`` rows to its window. The optimizer does this up to a limit; larger
+    bounds rank by digest buckets instead.
     """
+    limit = pool.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
+    if max_rank > int(limit):
+        return rank_in_digest_order(pool, keys, "usada", seed, max_rank=max_rank).select(*keys, "usada", "id", "rank")
     order = Window.partitionBy(*keys).orderBy("usada", "_digest", "id")
     return (
         pool.withColumn("_digest", _order_digest(seed))
@@ -158,14 +162,14 @@ def backfill(
 
 def rank_in_digest_order(
     rows: DataFrame, keys: tuple[str, ...] = ("materia",), lead: str | None = None,
-    seed: str | None = None, prefix_chars: int = 3,
+    seed: str | None = None, prefix_chars: int = 3, max_rank: int | None = None,
 ) -> DataFrame:
-    """Add ``rank`` within ``keys`` by (``lead``,) digest for all rows, without putting a
-    group into one task.
+    """Add ``rank`` within ``keys`` by (``lead``,) digest, without putting a group into
+    one task.
 
     Digests are uniform, so their first hex characters cut every group, also a dominant
     one, into even ordered buckets: rank = rows in earlier buckets + position inside the
-    bucket.
+    bucket. Buckets that start at or after ``max_rank`` are dropped before the sort.
     """
     cut = rows.withColumn("_digest", _order_digest(seed))
     prefix = F.left("_digest", F.lit(prefix_chars))
@@ -173,8 +177,12 @@ def rank_in_digest_order(
     sizes = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    if max_rank is not None:
+        offsets = offsets.filter(F.col("_off") < max_rank)
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_digest", "id"))
     ranked = cut.join(offsets, [*keys, "_b"]).withColumn("rank", (F.col("_off") + inside).cast("bigint"))
+    if max_rank is not None:
+        ranked = ranked.filter(F.col("rank") <= max_rank)
     return ranked.drop("_digest", "_b", "_off")
 
 
@@ -211,7 +219,7 @@ def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None,
         bank.groupBy("materia", "_b").agg(F.count_if(F.col("usada") == 0).alias("_nu"), F.count("*").alias("_na"))
     )
     unused = sizes.groupBy("materia").agg(F.sum("_nu").alias("_m"))
-    plan = demand.join(unused, "materia", "left").withColumn("_m", F.coalesce("_m", F.lit(0)))
+    plan = durable(demand.join(unused, "materia", "left").withColumn("_m", F.coalesce("_m", F.lit(0))))
     at_cut = (F.col("_start") < F.col("_m")) & (F.col("_start") + F.col("n") > F.col("_m"))
     need = plan.groupBy("materia").agg(
         F.max(F.col("_start") + F.col("n")).alias("_asked"),

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quaestor.functions import parsing, text
 from quaestor.operators.html_blocks import site_a_blocks, site_b_blocks
@@ -22,34 +23,41 @@ _READERS = {"a": site_a_blocks, "b": site_b_blocks}
 _BLOCK_COLUMNS = [f.name for f in BLOCKS]
 
 
-def _parse_pages(layout: str, site: str):
+def _parse_pages(layout: str, site: str, carry: tuple[str, ...]):
     reader = _READERS[layout]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pages in batches:
+            kept = pages[["page_id", *carry]].to_dict("records")
             rows = [
-                {"page_id": page_id, "pos": pos, **block}
-                for page_id, html in zip(pages["page_id"], pages["html"])
+                {**page, "pos": pos, **block}
+                for page, html in zip(kept, pages["html"])
                 if html
                 for pos, block in enumerate(reader(html, site))
             ]
-            yield pd.DataFrame(rows, columns=_BLOCK_COLUMNS)
+            yield pd.DataFrame(rows, columns=_BLOCK_COLUMNS + list(carry))
 
     return run
 
 
-def page_blocks(pages: DataFrame, layout: str, site: str = SITE_A_IMAGES) -> DataFrame:
-    """``BLOCKS`` rows of every page; ``pos`` is the place on the page."""
-    return pages.select("page_id", "html").mapInPandas(_parse_pages(layout, site), BLOCKS)
+def page_blocks(
+    pages: DataFrame, layout: str, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``BLOCKS`` rows of every page; ``pos`` is the place on the page. Page columns named
+    in ``carry`` (text) come along, which saves a join back to the pages."""
+    schema = T.StructType(BLOCKS.fields + [pages.schema[c] for c in carry])
+    return pages.select("page_id", "html", *carry).mapInPandas(_parse_pages(layout, site, carry), schema)
 
 
-def questions_site_a(pages: DataFrame, site: str = SITE_A_IMAGES) -> DataFrame:
+def questions_site_a(
+    pages: DataFrame, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Blocks of site A with the origin line split into agency, board and year."""
-    rows = page_blocks(pages, "a", site).withColumn("_o", parsing.parse_origin("origem"))
+    rows = page_blocks(pages, "a", site, carry).withColumn("_o", parsing.parse_origin("origem"))
     return rows.select(
         "page_id", "pos", "id_qc", "enunciado", "alternativas", "texto_associado", "imagens", "imagens_urls",
         F.col("_o.banca").alias("banca"), F.col("_o.orgao").alias("orgao"), F.col("_o.ano").alias("ano"),
-        F.col("origem").alias("prova"),
+        F.col("origem").alias("prova"), *carry,
     )
 
 
@@ -206,24 +214,21 @@ def links(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)).alias("h"),
         F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(2)).alias("t"),
     )
-    return (
-        pages.filter(~parsing.page_not_found("html"))
-        .select("page_id", "categoria", F.posexplode(found).alias("pos", "a"))
-        .select(
-            "page_id", "categoria", "pos",
-            _unescape(F.col("a.h")).alias("href"),
-            _unescape(text.strip_tags(F.col("a.t"))).alias("texto"),
-        )
+    rows = pages.filter(~parsing.page_not_found("html")).select(
+        "page_id", "categoria", F.posexplode(found).alias("pos", "a")
     )
+    return once(
+        rows, href=_unescape(F.col("a.h")), texto=_unescape(text.strip_tags(F.col("a.t")))
+    ).drop("a")
 
 
 def hierarchy(pages: DataFrame) -> DataFrame:
     """One row per (page, subcategory, distinct topic link): ``sub_nome, sub_url`` come
     from whichever link named the subcategory first. A subcategory without topics has
     one row with a NULL topic. ``pages`` is ``page_id, categoria, html``."""
-    all_links = links(pages)
-    topic_cat = F.regexp_extract("href", _TOPIC, 1)
-    is_topic = topic_cat == F.col("categoria")
+    under = F.contains("href", F.concat(F.lit("/simulados/"), F.col("categoria"), F.lit("/")))
+    all_links = links(pages).filter(under)
+    is_topic = F.regexp_extract("href", _TOPIC, 1) == F.col("categoria")
     is_sub = (F.regexp_extract("href", _SUB, 1) == F.col("categoria")) & ~is_topic
     named = all_links.filter(is_topic | is_sub).select(
         "page_id", "categoria", "pos", "href", "texto",

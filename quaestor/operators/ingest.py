@@ -15,8 +15,12 @@ from quaestor.sources.legacy import decode_legacy
 # The sources a question may come from.
 SOURCES = ["qconcursos", "quadrix_pdf", "pci"]
 
-# rows per bucket when numbering a table in order
+# values of the order column per bucket when numbering a table, and buckets per group
 NUMBERING_WIDTH = 1_000_000
+NUMBERING_GROUP = 4_096
+
+# a batch with at most this many distinct keys is broadcast against the bank
+BROADCAST_KEYS = 1_000_000
 
 
 def with_hashes(rows: DataFrame) -> DataFrame:
@@ -61,6 +65,24 @@ def not_stored(batch: DataFrame, bank: DataFrame, key: str = "content_hash") ->
     return batch.join(bank.select(key), key, "left_anti")
 
 
+def _unknown_keys(pending: DataFrame, bank: DataFrame) -> DataFrame:
+    """Pending keys the bank has neither by code nor by digest.
+
+    A batch within the bound is broadcast against the bank's two key columns, which are
+    then read once and not shuffled; only the keys found come back. A larger batch meets
+    the bank in shuffled joins.
+    """
+    if pending.count() <= BROADCAST_KEYS:
+        codes = F.broadcast(pending.filter("c is not null").select("c").distinct().withColumn("_c", F.lit(True)))
+        digests = F.broadcast(pending.select("d").distinct().withColumn("_d", F.lit(True)))
+        bank = durable(
+            bank.join(codes, "c", "left").join(digests, "d", "left").filter("_c or _d").select("c", "d")
+        )
+    return pending.join(bank.select("d"), "d", "left_anti").join(
+        bank.filter("c is not null").select("c"), "c", "left_anti"
+    )
+
+
 def accepted_keys(
     batch: DataFrame, bank: DataFrame | None = None, *,
     seq: str = "seq", code: str = "id_qc", digest: str = "hash_enunciado",
@@ -81,12 +103,9 @@ def accepted_keys(
     execution.
     """
     keys = batch.select(F.col(seq).alias("s"), F.col(code).alias("c"), F.col(digest).alias("d"))
-    if bank is not None:
-        keys = keys.join(bank.select(F.col(digest).alias("d")), "d", "left_anti")
-        keys = keys.join(
-            bank.filter(F.col(code).isNotNull()).select(F.col(code).alias("c")), "c", "left_anti"
-        )
     pending = durable(keys.groupBy("c", "d").agg(F.min("s").alias("s")))
+    if bank is not None:
+        pending = durable(_unknown_keys(pending, bank.select(F.col(code).alias("c"), F.col(digest).alias("d"))))
     stored: list[DataFrame] = []
     while not pending.isEmpty():
         by_digest = pending.groupBy("d").agg(F.min(F.struct("s", "c")).alias("m")).select("d", "m.s", "m.c")
@@ -147,12 +166,25 @@ def number_rows(rows: DataFrame, seq: str = "seq", start: int = 1, name: str = "
 
     ``seq`` is unique and integral, so a bucket of ``NUMBERING_WIDTH`` consecutive values
     never has more rows than that: rows are numbered inside their bucket and shifted by
-    the number of rows in earlier buckets.
+    the number of rows in earlier buckets. Bucket sizes are summed in two levels, so that
+    a sparse order column with very many buckets does not meet in one task either.
     """
     bucketed = rows.withColumn("_b", F.floor(F.col(seq) / NUMBERING_WIDTH))
-    sizes = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    sizes = (
+        bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
+        .withColumn("_g", F.floor(F.col("_b") / NUMBERING_GROUP))
+    )
+    groups = sizes.groupBy("_g").agg(F.sum("_n").alias("_gn"))
+    before = Window.unboundedPreceding
+    group_offsets = groups.select(
+        "_g", F.coalesce(F.sum("_gn").over(Window.orderBy("_g").rowsBetween(before, -1)), F.lit(0)).alias("_goff")
+    )
+    in_group = Window.partitionBy("_g").orderBy("_b").rowsBetween(before, -1)
+    offsets = (
+        sizes.withColumn("_off", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
+        .join(group_offsets, "_g")
+        .select("_b", (F.col("_off") + F.col("_goff")).alias("_off"))
+    )
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(seq))
     return (
         bucketed.join(offsets, "_b")
@@ -246,6 +278,6 @@ def import_legacy(rows: DataFrame, bank: DataFrame | None = None, seq: str = "se
     never stops the others."""
     decoded = decode_legacy(rows)
     decoded = decoded.withColumn("erro", F.coalesce("erro", F.when(~valid_source(), "invalid_source")))
-    good = with_hashes(decoded.filter("erro is null"))
+    good = durable(with_hashes(decoded.filter("erro is null")))
     bad = decoded.filter("erro is not null").withColumn("status", F.lit("error"))
     return insert_status(good, bank, seq=seq).unionByName(bad, allowMissingColumns=True)

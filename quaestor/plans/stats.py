@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
+from quaestor.session import durable
 
 
 def by_subject(questions: DataFrame) -> DataFrame:
@@ -43,6 +44,30 @@ def top_categories(questions: DataFrame, fonte: str = "pci", k: int = 10) -> Dat
     return top(count_by(of_source(questions, fonte), "categoria"), k)
 
 
+def top_lists(questions: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """The k most frequent values of several columns as ``coluna, nome, total``, from one
+    scan: grouping sets over the distinct combinations, then the first k per column."""
+    columns = list(sizes)
+    cells = questions.groupBy(*columns).agg(F.count("*").alias("n"))
+    sets = cells.groupingSets([[c] for c in columns], *columns).agg(
+        F.sum("n").alias("total"), *[F.grouping(c).alias(f"_g_{c}") for c in columns]
+    )
+    which, value, k = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("int")
+    for c in columns:
+        mine = F.col(f"_g_{c}") == 0
+        which = F.when(mine, F.lit(c)).otherwise(which)
+        value = F.when(mine, F.col(c).cast("string")).otherwise(value)
+        k = F.when(mine, F.lit(sizes[c])).otherwise(k)
+    named = sets.select(which.alias("coluna"), value.alias("nome"), "total", k.alias("_k"))
+    order = Window.partitionBy("coluna").orderBy(F.desc("total"), F.asc_nulls_first("nome"))
+    return (
+        named.withColumn("_rn", F.row_number().over(order))
+        .filter(F.col("_rn") <= max(sizes.values()))
+        .filter("_rn <= _k")
+        .drop("_rn", "_k")
+    )
+
+
 def overall(questions: DataFrame) -> DataFrame:
     """``nivel`` (total, orgao, materia), ``chave``, ``total`` from one scan."""
     cells = questions.groupBy("orgao", "materia").agg(F.count("*").alias("n"))
@@ -72,10 +97,11 @@ def subject_profile(questions: DataFrame, first_categories: int = 3) -> DataFram
     """Per subject: count, its sources and its first categories by name.
 
     Only the first few categories of a subject are ever brought together, so a subject
-    with very many categories does not build a large list.
+    with very many categories does not build a large list. The grouped cells are stored,
+    as both halves of the report read them.
     """
-    cells = questions.filter("materia is not null").groupBy("materia", "fonte", "categoria").agg(
-        F.count("*").alias("n")
+    cells = durable(
+        questions.filter("materia is not null").groupBy("materia", "fonte", "categoria").agg(F.count("*").alias("n"))
     )
     base = cells.groupBy("materia", "fonte").agg(F.sum("n").alias("n")).groupBy("materia").agg(
         F.sum("n").alias("total"),
@@ -169,10 +195,10 @@ def distribution(questions: DataFrame) -> DataFrame:
 
 def shares(counts: DataFrame, n: str = "total") -> DataFrame:
     """Share of the grand total (one decimal), whole percent, share of the largest, and
-    what remains. Halves round up, as the dashboards show them. The two overall numbers
-    are scalar subqueries, so the counts never meet in one window task."""
-    overall_sum = counts.agg(F.sum(n)).scalar()
-    overall_max = counts.agg(F.max(n)).scalar()
+    what remains. Halves round up, as the dashboards show them. The overall numbers are
+    one scalar subquery, so the counts never meet in one window task."""
+    whole = counts.agg(F.struct(F.sum(n).alias("s"), F.max(n).alias("m"))).scalar()
+    overall_sum, overall_max = whole["s"], whole["m"]
     divisor = F.when(overall_sum == 0, 1).otherwise(overall_sum)
     return counts.withColumns(
         {

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quaestor.operators import ingest
 from quaestor.operators.extract import questions_site_a
+from quaestor.session import durable
 
 # positions reserved per page inside the ingest order
 _POSITION_BITS = 20
@@ -16,12 +17,10 @@ _POSITION_BITS = 20
 def page_questions(pages: DataFrame) -> DataFrame:
     """Storable rows of a batch of pages with their ingest order ``seq``. Expects
     ``page_id, html, categoria, tema, materia, fonte``."""
-    found = questions_site_a(pages)
-    origin = pages.select("page_id", "categoria", "tema", "materia", "fonte")
-    rows = found.join(origin, "page_id").withColumn(
-        "seq", F.shiftleft("page_id", _POSITION_BITS) + F.col("pos")
+    found = questions_site_a(pages, carry=("categoria", "tema", "materia", "fonte"))
+    return ingest.with_hashes(
+        found.withColumn("seq", F.shiftleft("page_id", _POSITION_BITS) + F.col("pos"))
     )
-    return ingest.with_hashes(rows)
 
 
 def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -39,18 +38,15 @@ def _write(rows: DataFrame, path: str, batch_id: int) -> None:
 def store_batch(pages: DataFrame, batch_id: int, out: str) -> None:
     """One micro-batch: parse, quarantine, insert what is new, log progress."""
     spark = pages.sparkSession
-    pages.persist()
-    try:
-        good, bad = ingest.split_quarantine(page_questions(pages))
-        bank = _earlier(spark, f"{out}/bank", batch_id)
-        _write(ingest.insert_if_new(good, bank), f"{out}/bank", batch_id)
-        _write(bad, f"{out}/quarantine", batch_id)
-        progress = pages.groupBy("fonte", F.concat_ws("/", "categoria", "tema").alias("chave")).agg(
-            F.count("*").alias("pagina")
-        )
-        _write(progress.withColumn("seq", F.lit(batch_id)), f"{out}/progress", batch_id)
-    finally:
-        pages.unpersist()
+    parsed = durable(page_questions(pages), "parsed")  # pages are parsed once
+    good, bad = ingest.split_quarantine(parsed)
+    bank = _earlier(spark, f"{out}/bank", batch_id)
+    _write(ingest.insert_if_new(good, bank), f"{out}/bank", batch_id)
+    _write(bad, f"{out}/quarantine", batch_id)
+    progress = pages.groupBy("fonte", F.concat_ws("/", "categoria", "tema").alias("chave")).agg(
+        F.count("*").alias("pagina")
+    )
+    _write(progress.withColumn("seq", F.lit(batch_id)), f"{out}/progress", batch_id)
 
 
 def ingest_pages(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
