@@ -71,12 +71,21 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = work_path(spark, name)
+        make(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
 
 
 def stored_path(spark: SparkSession, sf_dir: str) -> str:
     """The question table as the library stores it, written once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, "questions")
     if key not in _STORED:
         path = work_path(spark, "questions")
         rows = add_missing_columns(raw_questions(spark, sf_dir), QUESTIONS)
@@ -98,6 +107,11 @@ def unique_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored specification table, written once per session."""
+    return _stored(spark, sf_dir, "specs", raw_specs)
+
+
+def raw_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs per nation, subjects from customer keys, weights = customers."""
     rows = table(spark, sf_dir, "customer").join(
         table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")
@@ -348,7 +362,7 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose navigation links become subcategory links, each followed by a topic
     link of the same word."""
-    return table(spark, sf_dir, "pages").selectExpr(
+    return spread(table(spark, sf_dir, "pages"), "page_id").selectExpr(
         "page_id",
         "regexp_extract(url, '/(en|fr|de|es)/', 1) AS categoria",
         """regexp_replace(html, '<a href="/([^"]*)">([^<]*)</a>',
@@ -359,7 +373,7 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose links become images: relative, absolute and repeated ones."""
-    return table(spark, sf_dir, "pages").selectExpr(
+    return spread(table(spark, sf_dir, "pages"), "page_id").selectExpr(
         "page_id",
         """concat('<div style="background-image: url(''/bg', page_id, '.png'')"></div>',
              replace(replace(html, '<a href="/t', '<img alt="" src="http://cdn/t'), '<a href="/', '<img src="/')) AS html""",
@@ -368,7 +382,7 @@ def image_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flag_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with the state markers of answer pages added."""
-    return table(spark, sf_dir, "pages").selectExpr(
+    return spread(table(spark, sf_dir, "pages"), "page_id").selectExpr(
         "page_id",
         """concat(html,
              CASE WHEN page_id % 5 = 0 THEN '<p>Página não encontrada</p>' ELSE '' END,

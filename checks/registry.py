@@ -753,7 +753,7 @@ def h2_rounded_quota(spark, d):
 
 @query
 def h3_quota_draw(spark, d):
-    return draw.draw(P.questions(spark, d), _requests(spark, d))
+    return draw.draw(P.questions(spark, d), _requests(spark, d), max_rank=draw.largest(P.specs(spark, d), "q"))
 
 
 @query

@@ -206,7 +206,6 @@ def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None,
     bank = questions.filter("content_hash is not null").select(
         "materia", "usada", "id", _order_digest(seed).alias("_digest")
     ).withColumn("_b", F.left("_digest", F.lit(prefix_chars)))
-    most = largest(quotas)
     before = Window.unboundedPreceding
     earlier = Window.partitionBy("materia").orderBy("exam_pos").rowsBetween(before, -1)
     demand = quotas.filter("n > 0").select(
@@ -220,6 +219,7 @@ def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None,
     )
     unused = sizes.groupBy("materia").agg(F.sum("_nu").alias("_m"))
     plan = durable(demand.join(unused, "materia", "left").withColumn("_m", F.coalesce("_m", F.lit(0))))
+    most = largest(plan)
     at_cut = (F.col("_start") < F.col("_m")) & (F.col("_start") + F.col("n") > F.col("_m"))
     need = plan.groupBy("materia").agg(
         F.max(F.col("_start") + F.col("n")).alias("_asked"),

@@ -16,8 +16,8 @@ from quaestor.sources.legacy import decode_legacy
 SOURCES = ["qconcursos", "quadrix_pdf", "pci"]
 
 # values of the order column per bucket when numbering a table, and buckets per group
-NUMBERING_WIDTH = 1_000_000
-NUMBERING_GROUP = 4_096
+NUMBERING_WIDTH = 65_536
+NUMBERING_GROUP = 65_536
 
 # a batch with at most this many distinct keys is broadcast against the bank
 BROADCAST_KEYS = 1_000_000
@@ -110,17 +110,18 @@ def accepted_keys(
     while not pending.isEmpty():
         by_digest = pending.groupBy("d").agg(F.min(F.struct("s", "c")).alias("m")).select("d", "m.s", "m.c")
         by_code = pending.filter("c is not null").groupBy("c").agg(F.min("s").alias("s"))
-        winners = durable(
-            by_digest.filter("c is null").unionByName(
-                by_digest.filter("c is not null").join(by_code, ["c", "s"], "left_semi").select("d", "s", "c")
-            )
+        winners = by_digest.filter("c is null").unionByName(
+            by_digest.filter("c is not null").join(by_code, ["c", "s"], "left_semi").select("d", "s", "c")
         )
-        stored.append(winners.select("s"))
-        pending = durable(
-            pending.join(winners.select("d"), "d", "left_anti").join(
-                winners.filter("c is not null").select("c"), "c", "left_anti"
-            )
+        left = pending.join(winners.select("d"), "d", "left_anti").join(
+            winners.filter("c is not null").select("c"), "c", "left_anti"
         )
+        # one table per round: its winners and what stays pending
+        state = durable(
+            winners.withColumn("won", F.lit(True)).unionByName(left.withColumn("won", F.lit(False))), "round"
+        )
+        stored.append(state.filter("won").select("s"))
+        pending = state.filter("not won").drop("won")
     if not stored:
         return pending.select(F.col("s").alias(seq))
     return reduce(DataFrame.unionByName, stored).select(F.col("s").alias(seq))
@@ -278,6 +279,6 @@ def import_legacy(rows: DataFrame, bank: DataFrame | None = None, seq: str = "se
     never stops the others."""
     decoded = decode_legacy(rows)
     decoded = decoded.withColumn("erro", F.coalesce("erro", F.when(~valid_source(), "invalid_source")))
-    good = durable(with_hashes(decoded.filter("erro is null")))
+    decoded = durable(with_hashes(decoded), "legacy")  # decoded and hashed once
     bad = decoded.filter("erro is not null").withColumn("status", F.lit("error"))
-    return insert_status(good, bank, seq=seq).unionByName(bad, allowMissingColumns=True)
+    return insert_status(decoded.filter("erro is null"), bank, seq=seq).unionByName(bad)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
+from quaestor.session import once
 
 # Columns the older layout may lack.
 OPTIONAL = {"comentario": "string", "texto_associado": "string", "imagens": "string"}
@@ -17,13 +18,11 @@ def decode_legacy(rows: DataFrame) -> DataFrame:
         {name: F.lit(None).cast(kind) for name, kind in OPTIONAL.items() if name not in rows.columns}
     )
     images_given = F.coalesce(F.col("imagens"), F.lit("")) != ""
-    decoded = full.withColumns(
-        {
-            "opcoes": text.decode_options("alternativas"),
-            "lista": F.from_json("imagens", "array<string>"),
-            "fonte": text.corrected_source("fonte", "id_qc"),
-        }
-    )
+    decoded = once(
+        full,
+        opcoes=text.decode_options("alternativas"),
+        lista=F.from_json("imagens", "array<string>"),
+    ).withColumn("fonte", text.corrected_source("fonte", "id_qc"))
     bad_options = F.col("opcoes").isNull() | (
         # a malformed object decodes to a map without entries
         (F.size("opcoes") == 0) & ~F.col("alternativas").rlike(r"^\s*\{\s*\}\s*$")
