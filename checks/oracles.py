@@ -174,8 +174,6 @@ UNION ALL SELECT 2, CAST(l_suppkey AS VARCHAR), l_returnflag, count(*), count(*)
 # --- windows, top-k -------------------------------------------------------------
 SQL["w1_first_per_content"] = _with(Q) + f"""
 SELECT DISTINCT ON (content_hash) content_hash, id FROM q ORDER BY content_hash, {PRIORITY}, id"""
-SQL["w2_running_number"] = _with(Q) + """
-SELECT materia, id, row_number() OVER (PARTITION BY materia ORDER BY categoria NULLS FIRST, id) AS numero FROM q"""
 SQL["w3_shares"] = _with(Q) + """,
 c AS (SELECT materia, count(*) AS total FROM q GROUP BY materia),
 t AS (SELECT sum(total) AS s, max(total) AS m FROM c)""".replace("WITH RECURSIVE", "") + """
@@ -478,6 +476,7 @@ SQL["h7_exam_sheet"] = _with(Q, QUOTAS, RANKED, _SHEET) + """
 SELECT exam, numero, upper(materia) AS secao_titulo, id, enunciado, array_to_string(list_transform(list_zip(letras, textos), lambda p: p[1] || ') ' || p[2]), '|') AS opcoes,
   concat_ws(' · ', banca, orgao, CAST(ano AS VARCHAR), nullif(assunto, '')) AS origem,
   CASE WHEN coalesce(texto_associado, '') <> '' OR imagem IS NOT NULL THEN 'Texto para a questão ' || numero || '.' END AS chamada_texto FROM sheet"""
+SQL["w2_running_number"] = _with(Q, QUOTAS, RANKED, _SHEET) + "SELECT exam, id, numero FROM sheet"
 SQL["h8_answer_key"] = _with(Q, QUOTAS, RANKED, _SHEET) + """
 SELECT exam, numero, coalesce(gabarito, '(gabarito ainda não coletado)') AS resposta, CASE WHEN gabarito IS NULL THEN '' ELSE coalesce(comentario, '') END AS comentario FROM sheet"""
 # sequential exams over integers: ranks in digest order, one recursion step per exam

@@ -140,8 +140,9 @@ def w1_first_per_content(spark, d):
 
 @query
 def w2_running_number(spark, d):
-    rows = P.questions(spark, d).select(F.col("materia").alias("exam"), "categoria", "id")
-    return exams.number_items(rows, "categoria", "id").select(F.col("exam").alias("materia"), "id", "numero")
+    """Question numbers running over all sections of an exam."""
+    items = draw.draw(P.questions(spark, d), _requests(spark, d))
+    return exams.number_items(items, "materia", "rank").select("exam", "id", "numero")
 
 
 @query

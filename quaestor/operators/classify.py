@@ -169,7 +169,7 @@ def coverage(specs: DataFrame, questions: DataFrame, by_orgao: bool = False) ->
     total row per job (``materia`` NULL, ``nivel_total`` 1)."""
     keys = ["materia", "cargo"] + (["orgao"] if by_orgao else [])
     counts = questions.groupBy(*keys).agg(F.count("*").alias("coletadas"))
-    per_subject = specs.join(broadcast_if_small(counts), keys, "left").select(
+    per_subject = specs.join(counts, keys, "left").select(
         "concurso", "cargo", "materia", F.col("peso").alias("esperadas"),
         F.coalesce("coletadas", F.lit(0)).alias("coletadas"),
     )

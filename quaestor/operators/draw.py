@@ -186,6 +186,21 @@ def rank_in_digest_order(
     return ranked.drop("_digest", "_b", "_off")
 
 
+def _sum_of_earlier(rows: DataFrame, key: str, order: str, value: str, name: str, width: int = 65_536) -> DataFrame:
+    """Running sum of the rows before, in two levels: over runs of ``width`` order values,
+    then inside each run, so no key has to fit one task."""
+    cut = rows.withColumn("_g", F.floor(F.col(order) / width))
+    sums = cut.groupBy(key, "_g").agg(F.sum(value).alias("_s"))
+    by_run = Window.partitionBy(key).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(key, "_g", F.coalesce(F.sum("_s").over(by_run), F.lit(0)).alias("_o"))
+    inside = Window.partitionBy(key, "_g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        cut.join(offsets, [key, "_g"])
+        .withColumn(name, (F.col("_o") + F.coalesce(F.sum(value).over(inside), F.lit(0))).cast("bigint"))
+        .drop("_g", "_o")
+    )
+
+
 def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None, prefix_chars: int = 3) -> DataFrame:
     """Many exams in a row without overlap: ``exam, materia, pos, reused, id``.
 
@@ -207,10 +222,8 @@ def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None,
         "materia", "usada", "id", _order_digest(seed).alias("_digest")
     ).withColumn("_b", F.left("_digest", F.lit(prefix_chars)))
     before = Window.unboundedPreceding
-    earlier = Window.partitionBy("materia").orderBy("exam_pos").rowsBetween(before, -1)
-    demand = quotas.filter("n > 0").select(
-        "exam", "materia", F.col("n").cast("int").alias("n"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("bigint").alias("_start"),
+    demand = _sum_of_earlier(quotas.filter("n > 0"), "materia", "exam_pos", "n", "_start").select(
+        "exam", "materia", F.col("n").cast("int").alias("n"), "_start"
     )
 
     # small: one row per subject and bucket
@@ -284,16 +297,17 @@ def search_names(rows: DataFrame, term: str, column: str = "categoria") -> DataF
 
 def browse(
     questions: DataFrame, materia: str | None = None, categoria: str | None = None,
-    tema: str | None = None, after_id: int | None = None, page_size: int | None = None,
+    tema: str | None = None, after_id: int | None = None, page_size: int | None = None, skip: int = 0,
 ) -> DataFrame:
-    """Hierarchical filter with keyset paging: rows after ``after_id`` in id order."""
+    """Hierarchical filter with keyset paging: rows after ``after_id`` in id order. The
+    offset form (``skip``) reads everything it skips; keyset paging does not."""
     rows = questions
     for name, value in (("materia", materia), ("categoria", categoria), ("tema", tema)):
         if value:
             rows = rows.filter(F.col(name) == value)
     if after_id is not None:
         rows = rows.filter(F.col("id") > after_id)
-    return rows.orderBy("id").limit(page_size) if page_size else rows
+    return rows.orderBy("id").offset(skip).limit(page_size) if page_size else rows
 
 
 def question_by_id(questions: DataFrame, wanted: int) -> DataFrame:

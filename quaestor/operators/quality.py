@@ -21,10 +21,13 @@ def _count_checks(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataF
     return counted.select("key", F.inline(pairs)).filter("n_bad > 0").select("check", "key", "n_bad")
 
 
-def option_checks(questions: DataFrame, key: str = "fonte") -> DataFrame:
+def option_checks(
+    questions: DataFrame, key: str = "fonte", allowed: list[str] = CHOICE_LETTERS
+) -> DataFrame:
+    """``allowed`` is ``TRUE_FALSE_LETTERS`` for true/false exams."""
     letters = F.map_keys("alternativas")
     count = F.coalesce(F.size("alternativas"), F.lit(0))
-    choice = F.size(F.array_except(letters, F.array(*map(F.lit, CHOICE_LETTERS)))) == 0
+    choice = F.size(F.array_except(letters, F.array(*map(F.lit, allowed)))) == 0
     return _count_checks(
         questions, key,
         {"not_five_options": count != 5, "under_two_options": count < 2, "bad_letter": ~choice},

@@ -75,7 +75,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give per-row heavy work one task per core when the scan itself has fewer splits
     (a small file, a single row group). Larger scans are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *keys)
 
