@@ -274,7 +274,11 @@ SELECT id // 10 AS page_id, CAST(row_number() OVER (PARTITION BY id // 10 ORDER
 FROM q WHERE id_qc IS NOT NULL AND id % 13 <> 0"""
 SQL["x3_numbered"] = _with(LOW) + """
 SELECT doc_id AS page_id, low AS enunciado, 'op ' || trim(substr(low, 1, w)) AS a, trim('op ' || substr(low, 1 + w, w)) AS b,
-  trim('op ' || substr(low, 1 + 2 * w, w)) AS c, CASE WHEN doc_id % 3 = 0 THEN 'B' END AS gabarito FROM lw WHERE length(low) >= 15"""
+  trim('op ' || substr(low, 1 + 2 * w, w)) AS c,
+  -- a word ending in "gab" at a line end also counts as the answer label of the next line
+  nullif(regexp_extract(low || chr(10) || 'A) op ' || substr(low, 1, w) || chr(10) || 'B) op ' || substr(low, 1 + w, w) || chr(10) || 'C) op ' || substr(low, 1 + 2 * w, w)
+    || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Gabarito: B' ELSE '' END, '[Gg](?:abarito|ab[.]?)[:\s]+([A-E])', 1), '') AS gabarito
+FROM lw WHERE length(low) >= 15"""
 SQL["x3_containers"] = _with(LOW) + """
 SELECT doc_id AS page_id, low AS enunciado, 'op ' || trim(translate(substr(low, 1, w), 'abcde', '#####')) AS a, 'visto em 2019' AS comentario, 2019 AS ano
 FROM lw WHERE length(low) >= 10"""

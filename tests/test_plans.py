@@ -73,3 +73,40 @@ def test_broadcast_only_within_the_bound(spark):
     assert "broadcast" in broadcast_if_small(side, 1000)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in broadcast_if_small(side, 999)._jdf.queryExecution().analyzed().toString().lower()
     assert big.join(broadcast_if_small(side, 5), "id").count() == 10
+
+
+def test_hot_pending_key_is_split_at_run_time(spark, monkeypatch):
+    """The hot statement's first row is blocked by its code, so in the first round all
+    its rows are still pending when they meet the winners."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    split = []
+    durable = ingest.durable
+
+    def observed(df, label="step"):
+        if label == "round":
+            df.collect()
+            split.append(plan_of(df).split("== Initial Plan ==")[0].count("skew=true"))
+        return durable(df, label)
+
+    monkeypatch.setattr(ingest, "durable", observed)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hot = (F.col("id") % 3 == 0) & (F.col("id") > 0)
+        rows = spark.range(0, 300_000, 1, 6).select(
+            F.col("id").alias("seq"),
+            F.concat(F.lit("Q"), F.when(F.col("id") == 3, 2).otherwise(F.col("id"))).alias("id_qc"),
+            F.when(hot, "hot").otherwise(F.md5(F.col("id").cast("string"))).alias("hash_enunciado"),
+        )
+        assert ingest.insert_if_new(rows).count() == 200_002
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert split[0] > 0
