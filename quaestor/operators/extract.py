@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from quaestor.functions import parsing, text
 from quaestor.operators.html_blocks import site_a_blocks, site_b_blocks
 from quaestor.schemas import BLOCKS
-from quaestor.session import once
+from quaestor.session import once, ship_package
 
 # Fixed value: prefix of relative image addresses on site A.
 SITE_A_IMAGES = "https://www.pciconcursos.com.br"
@@ -45,6 +45,7 @@ def page_blocks(
 ) -> DataFrame:
     """``BLOCKS`` rows of every page; ``pos`` is the place on the page. Page columns named
     in ``carry`` (text) come along, which saves a join back to the pages."""
+    ship_package(pages.sparkSession)
     schema = T.StructType(BLOCKS.fields + [pages.schema[c] for c in carry])
     return pages.select("page_id", "html", *carry).mapInPandas(_parse_pages(layout, site, carry), schema)
 
@@ -76,6 +77,8 @@ def register_sql(spark: SparkSession) -> None:
     """``SELECT t.* FROM pages, LATERAL extract_questions(html) t`` for SQL users."""
     from pyspark.sql.functions import udtf
 
+    ship_package(spark)
+
     @udtf(returnType="pos int, id_qc string, enunciado string, alternativas map<string,string>, origem string")
     class ExtractQuestions:
         def eval(self, html: str):
