@@ -1,5 +1,63 @@
 """DuckDB SQL of those queries that SQL can express, written on its own from the definitions."""
 
+OP1 = r"""
+WITH judged AS (
+  SELECT *, lower(regexp_replace(u, '(?s)^.*?://', '')) AS text,
+         translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM (SELECT DISTINCT coalesce(url, '') AS u FROM pages)),
+ruled AS (
+  SELECT *, CASE
+      WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+      WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+      WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+      WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    ('0x' || substr(md5('held|' || u), 1, 8))::BIGINT % 5 = 0 AS held
+  FROM judged),
+labelled AS (SELECT *, CASE WHEN rule IS NOT NULL THEN rule IN ('example.net/en/', 'org/fr/') END AS accepted FROM ruled),
+symbols AS (
+  SELECT u, k, CASE WHEN place = 0 THEN 45 ELSE place END AS sym
+  FROM (SELECT u, k, instr('abcdefghijklmnopqrstuvwxyz0123456789/.-_?=&%', substr(text, k, 1)) AS place
+        FROM (SELECT u, text, unnest(range(1, length(text) + 1)) AS k FROM labelled))),
+coded AS (
+  SELECT u, coalesce(lag(sym, 2) OVER w, 0) AS x, coalesce(lag(sym, 1) OVER w, 0) AS y, sym AS z
+  FROM symbols WINDOW w AS (PARTITION BY u ORDER BY k)),
+counts AS (
+  SELECT x, y, z, count(*) FILTER (WHERE accepted) AS a, count(*) FILTER (WHERE NOT accepted) AS r
+  FROM coded c JOIN labelled l ON c.u = l.u WHERE rule IS NOT NULL AND NOT held GROUP BY x, y, z),
+cells AS (
+  SELECT g.x, g.y, g.z, coalesce(a, 0) AS a, coalesce(r, 0) AS r
+  FROM (SELECT DISTINCT x, y, z FROM coded UNION SELECT x, y, z FROM counts) g
+  LEFT JOIN counts c ON g.x = c.x AND g.y = c.y AND g.z = c.z),
+sums AS (
+  SELECT *, sum(a) OVER () AS na, sum(r) OVER () AS nr,
+    sum(a) OVER (PARTITION BY z) AS az, sum(r) OVER (PARTITION BY z) AS rz,
+    sum(a) OVER (PARTITION BY y) AS ay, sum(r) OVER (PARTITION BY y) AS ry,
+    sum(a) OVER (PARTITION BY y, z) AS ayz, sum(r) OVER (PARTITION BY y, z) AS ryz,
+    sum(a) OVER (PARTITION BY x, y) AS axy, sum(r) OVER (PARTITION BY x, y) AS rxy
+  FROM cells),
+model AS (
+  SELECT x, y, z, CASE WHEN na > 0 AND nr > 0 THEN ln(
+      ((a + 2.0::DOUBLE * (ayz + 2.0::DOUBLE * (az + 2.0::DOUBLE / 46) / (na + 2)) / (ay + 2)) / (axy + 2))
+    / ((r + 2.0::DOUBLE * (ryz + 2.0::DOUBLE * (rz + 2.0::DOUBLE / 46) / (nr + 2)) / (ry + 2)) / (rxy + 2))) ELSE 0 END AS ratio
+  FROM sums),
+scores AS (
+  SELECT u, round(avg(ratio), 6) AS score
+  FROM coded c JOIN model m ON c.x = m.x AND c.y = m.y AND c.z = m.z GROUP BY u),
+scored AS (SELECT l.*, coalesce(s.score, 0)::DOUBLE AS score FROM labelled l LEFT JOIN scores s ON l.u = s.u),
+bins AS (
+  SELECT bin, sum(a) AS a, sum(r) AS r FROM (
+    SELECT floor(score * 100)::BIGINT AS bin, accepted::INT AS a, 1 - accepted::INT AS r FROM scored WHERE rule IS NOT NULL AND held
+    UNION ALL SELECT 0, 0, 0) GROUP BY bin),
+costs AS (
+  SELECT bin, coalesce(sum(a) OVER (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * sum(r) OVER ()
+    + sum(r) OVER (ORDER BY bin ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * sum(a) OVER () AS cost FROM bins),
+threshold AS (SELECT bin AS t FROM costs ORDER BY cost, abs(bin), bin LIMIT 1)
+SELECT p.page_id, s.host, s.path, s.rule, s.score,
+  CASE WHEN coalesce(s.accepted, floor(s.score * 100) >= (SELECT t FROM threshold)) THEN 'allow' ELSE 'block' END AS verdict
+FROM pages p JOIN scored s ON coalesce(p.url, '') = s.u
+"""
+
 OP10 = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS key,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quaestor.llm import oracles
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
+from quaestor.llm.url_filter import url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -24,6 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter(pages, URL_RULES).select("page_id", "host", "path", "rule", "score", "verdict")
+
+
+SQL["op1_url_filter"] = oracles.OP1
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
