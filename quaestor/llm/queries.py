@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import oracles
+from quaestor.llm import fingerprints as fp
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
+from quaestor.llm.order import cyclic_predecessors
 from quaestor.llm.url_filter import url_filter
+from quaestor.session import once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +40,31 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op1_url_filter"] = oracles.OP1
 
 
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document is sent to the one before it: as much of its text as that one replaces, and
+    its sketch. Rows without an id have no next document; of rows that share an id the smallest
+    text is the one sent."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
+    half = F.floor(F.col("n_chars") / 2).cast("long")
+    before = cyclic_predecessors(docs)
+    needs = docs.groupBy("doc_id").agg(F.max(half).alias("need"))
+    sent = docs.join(before, "doc_id").join(needs.withColumnRenamed("doc_id", "before"), "before")
+    sent = sent.groupBy("doc_id", "before").agg(F.min("text").alias("text"), F.first("need").alias("need"))
+    sent = fp.sketch_columns(sent, {"next_sketch": F.col("text")}).select(
+        F.col("before").alias("doc_id"), F.expr("left(text, need)").alias("donor"), "next_sketch")
+    joined = docs.join(sent, "doc_id", "left")
+    kept = F.expr("left(text, n_chars - floor(n_chars / 2))")
+    joined = once(joined, edited=F.concat(kept, F.coalesce(F.expr("left(donor, floor(n_chars / 2))"), F.lit(""))))
+    joined = fp.sketch_columns(joined, {"sketch": F.col("text"), "edited_sketch": F.col("edited")})
+    return joined.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fp.as_text(F.col("sketch")).alias("fingerprint"), fp.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fp.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fp.resemblance(F.col("sketch"), F.coalesce("next_sketch", F.array().cast("array<bigint>"))).alias("near_next"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
