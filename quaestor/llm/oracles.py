@@ -58,6 +58,46 @@ SELECT p.page_id, s.host, s.path, s.rule, s.score,
 FROM pages p JOIN scored s ON coalesce(p.url, '') = s.u
 """
 
+#: for conversations of fewer than 128 turns, the length of a segment; tests hold longer ones
+OP8 = r"""
+WITH RECURSIVE all_turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+counted AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+    len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\x20\x09-\x0D\p{L}\p{N}_]')) AS tokens,
+    length(role) + 23 + length(regexp_replace(replace(text, chr(92), chr(92) || chr(92)), '([<\[])(/?(?:s>|INST\]))', '\1' || chr(92) || chr(92) || '\2', 'g')) AS chars
+  FROM all_turns),
+systems AS (SELECT conv_id, tokens AS sys_tokens, chars AS sys_chars FROM counted WHERE place = 1 AND role = 'system'),
+numbered AS (
+  SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY place) - 1 AS i,
+    sum(tokens) OVER (PARTITION BY c.conv_id ORDER BY place) - tokens AS before,
+    greatest(512 - coalesce(sys_tokens, 0) - 96, 1) AS room, coalesce(sys_chars, 0) AS sys_chars
+  FROM counted c LEFT JOIN systems s ON c.conv_id = s.conv_id
+  WHERE s.conv_id IS NULL OR c.place > 1),
+walk AS (
+  SELECT conv_id, i, before AS base, true AS opens FROM numbered WHERE i = 0
+  UNION ALL
+  SELECT n.conv_id, n.i, CASE WHEN n.before + n.tokens - w.base > n.room THEN n.before ELSE w.base END,
+    n.before + n.tokens - w.base > n.room
+  FROM walk w JOIN numbered n ON n.conv_id = w.conv_id AND n.i = w.i + 1),
+repeats AS (
+  SELECT o.conv_id, sum(h.chars) AS chars
+  FROM walk o JOIN numbered s ON s.conv_id = o.conv_id AND s.i = o.i
+  JOIN numbered h ON h.conv_id = o.conv_id AND h.i < o.i AND s.before - h.before <= 96
+  WHERE o.opens GROUP BY o.conv_id),
+windows AS (SELECT conv_id, count(*) AS windows FROM walk WHERE opens GROUP BY conv_id),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM counted GROUP BY conv_id)
+SELECT s.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
+  (s.chars + coalesce(r.chars, 0) + coalesce((w.windows - 1) * y.sys_chars, 0))::BIGINT AS formatted_chars
+FROM said s LEFT JOIN repeats r ON s.conv_id = r.conv_id LEFT JOIN windows w ON s.conv_id = w.conv_id
+LEFT JOIN systems y ON s.conv_id = y.conv_id
+"""
+
 OP10 = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS key,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import oracles
-from quaestor.llm import fingerprints as fp
+from quaestor.llm import chat, fingerprints as fp
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
 from quaestor.llm.order import cyclic_predecessors
@@ -70,6 +70,32 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@query
+def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from the windows, by conversation."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    windows = chat.chat_windows(turns.unionByName(extra))
+    read = once(windows, turns=chat.read_turns(F.col("formatted")))
+    new = F.slice("turns", F.col("repeated") + 1, F.greatest(F.size("turns") - F.col("repeated"), F.lit(0)))
+    digest = F.array_join(F.transform(new, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    per_window = read.select(
+        "conv_id", "segment", "window", (F.size("turns") - F.col("repeated")).alias("n"), digest.alias("said"),
+        F.array_join(chat.read_targets(F.col("formatted"), F.col("mask")), "").alias("loss"), F.char_length("formatted").cast("long").alias("chars"))
+    joined = per_window.groupBy("conv_id").agg(
+        F.sum("n").cast("long").alias("n_turns"), F.sum("chars").alias("formatted_chars"),
+        F.sort_array(F.collect_list(F.struct("segment", "window", "said", "loss"))).alias("parts"))
+    joined = once(joined, said=F.array_join("parts.said", ""), loss=F.array_join("parts.loss", ""))
+    return joined.select(
+        "conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
+
+
+SQL["op8_chat_windows"] = oracles.OP8
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
