@@ -12,8 +12,9 @@ from quaestor.llm import chat, fingerprints as fp
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
 from quaestor.llm.order import cyclic_predecessors
+from quaestor.llm.packing import pack_pieces, tokenized_pieces
 from quaestor.llm.url_filter import url_filter
-from quaestor.session import once
+from quaestor.session import durable, once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,6 +66,19 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fp.resemblance(F.col("sketch"), F.coalesce("next_sketch", F.array().cast("array<bigint>"))).alias("near_next"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = tokenized_pieces(table(spark, sf_dir, "documents"), tokenizer_path())
+    digests = durable(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
+    return pack_pieces(digests)
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
