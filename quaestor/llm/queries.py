@@ -47,15 +47,15 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     its sketch. Rows without an id have no next document; of rows that share an id the smallest
     text is the one sent."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("n_chars", F.char_length("text").cast("long"))
-    half = F.floor(F.col("n_chars") / 2).cast("long")
-    before = cyclic_predecessors(docs)
-    needs = docs.groupBy("doc_id").agg(F.max(half).alias("need"))
-    sent = docs.join(before, "doc_id").join(needs.withColumnRenamed("doc_id", "before"), "before")
-    sent = sent.groupBy("doc_id", "before").agg(F.min("text").alias("text"), F.first("need").alias("need"))
+    needs = docs.groupBy(F.col("doc_id").alias("before")).agg(F.max(F.floor(F.char_length("text") / 2)).cast("int").alias("need"))
+    needs = cyclic_predecessors(docs).join(needs, "before")  # ids and numbers only
+    # both uses of the named rows read the texts from this one exchange
+    dealt = docs.filter("doc_id IS NOT NULL").repartition("doc_id")
+    sent = dealt.join(needs, "doc_id").groupBy("doc_id", "before").agg(F.min("text").alias("text"), F.first("need").alias("need"))
     sent = fp.sketch_columns(sent, {"next_sketch": F.col("text")}).select(
         F.col("before").alias("doc_id"), F.expr("left(text, need)").alias("donor"), "next_sketch")
-    joined = docs.join(sent, "doc_id", "left")
+    joined = dealt.join(sent, "doc_id", "left").unionByName(docs.filter("doc_id IS NULL"), allowMissingColumns=True)
+    joined = joined.withColumn("n_chars", F.char_length("text").cast("long"))
     kept = F.expr("left(text, n_chars - floor(n_chars / 2))")
     joined = once(joined, edited=F.concat(kept, F.coalesce(F.expr("left(donor, floor(n_chars / 2))"), F.lit(""))))
     joined = fp.sketch_columns(joined, {"sketch": F.col("text"), "edited_sketch": F.col("edited")})
