@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestor.llm import oracles
@@ -13,6 +13,7 @@ from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
 from quaestor.llm.order import cyclic_predecessors
 from quaestor.llm.packing import pack_pieces, tokenized_pieces
+from quaestor.llm.quality import quality_model, quality_scores
 from quaestor.llm.url_filter import url_filter
 from quaestor.session import durable, once
 
@@ -41,6 +42,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op1_url_filter"] = oracles.OP1
 
 
+def id_remainder(modulus: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = quality_model(docs, labels, id_remainder(4) != 2)
+    return quality_scores(docs, model).select(
+        "doc_id", F.coalesce(id_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is sent to the one before it: as much of its text as that one replaces, and
