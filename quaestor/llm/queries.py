@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaestor.llm import oracles
 from quaestor.llm import chat, fingerprints as fp
+from quaestor.llm.language import identify_languages, language_model
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
 from quaestor.llm.order import cyclic_predecessors
@@ -123,6 +124,14 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op8_chat_windows"] = oracles.OP8
 
 
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_model(docs, id_remainder(5) != 0)
+    return identify_languages(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 @query
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
