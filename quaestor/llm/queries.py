@@ -12,6 +12,7 @@ from quaestor.llm import chat, fingerprints as fp
 from quaestor.llm.language import identify_languages, language_model
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
+from quaestor.llm.nearest import nearest_neighbours
 from quaestor.llm.order import cyclic_predecessors
 from quaestor.llm.packing import pack_pieces, tokenized_pieces
 from quaestor.llm.quality import quality_model, quality_scores
@@ -93,6 +94,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_pieces(digests)
 
 
+@query
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
