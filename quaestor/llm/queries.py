@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quaestor.llm import oracles
 from quaestor.llm import chat, fingerprints as fp
+from quaestor.llm.html_text import extract_text
 from quaestor.llm.language import identify_languages, language_model
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
@@ -99,6 +100,11 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 @query
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
