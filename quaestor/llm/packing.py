@@ -20,7 +20,9 @@ An empty table gives no pieces.
 
 from __future__ import annotations
 
+import json
 import os
+import struct
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -35,7 +37,7 @@ from quaestor.session import ship_package
 GROUP_SEQUENCES = 2048
 NODES = 20_000
 FILLINGS = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 SLICE_CHARS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -43,29 +45,67 @@ _loaded: dict[int, "WordTokenizer"] = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, for a tokenizer that drops
-    white space and never joins what it separates: each distinct word is encoded once and kept
-    (the table is emptied when it holds ``CACHE_WORDS``)."""
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, for a tokenizer that composes
+    and lower-cases, drops white space, parts letters from other characters and never joins what
+    it has parted. So each distinct word is encoded once and kept, and a word of Latin letters
+    is the same in either case and with or without a full stop or comma behind it. The tables
+    are emptied when they hold ``CACHE_WORDS``."""
 
     #: taken for white space by str.split but not by the tokenizer's own pattern
     UNSURE = frozenset("\x1c\x1d\x1e\x1f")
+    #: a capital with a two-character small form; from BEYOND_LATIN on nothing is assumed
+    UNLIKE, BEYOND_LATIN = "\u0130", "\u0250"
 
     def __init__(self, description: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(description)
+        parts = json.loads(description)
+        parts["normalizer"] = None
+        parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, parts["pre_tokenizer"]["pretokenizers"][-1]]}
+        self.of_letters = Tokenizer.from_str(json.dumps(parts))
+        suffix = parts["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.stems: dict[str, bytes] = {}
+        self.ends = dict(zip(".,", self.encode(self.tokenizer, [".", ","])))
+
+    @staticmethod
+    def encode(tokenizer, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_stems(self, stems: list[str]) -> Iterator[bytes]:
+        """Many at a time; the ids tell where each ends."""
+        joined = [" ".join(stems[k:k + 256]) for k in range(0, len(stems), 256)]
+        for encoding in self.of_letters.encode_batch_fast(joined, add_special_tokens=False):
+            ids = np.array(encoding.ids, "<u4")
+            packed, start = ids.tobytes(), 0
+            for end in (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist():
+                yield packed[start:end]
+                start = end
+
+    def learn(self, words: set[str]) -> None:
+        by_stem, others = [], []
+        for word in words:
+            end = self.ends.get(word[-1])
+            stem = word[:-1] if end else word
+            if stem.isalpha() and max(stem) < self.BEYOND_LATIN and self.UNLIKE not in stem:
+                by_stem.append((word, stem.lower(), end or b""))
+            else:
+                others.append(word)
+        new = list({stem for _, stem, _ in by_stem} - self.stems.keys())
+        self.stems.update(zip(new, self.encode_stems(new), strict=True))
+        self.known.update((word, self.stems[stem] + end) for word, stem, end in by_stem)
+        self.known.update(zip(others, self.encode(self.tokenizer, others)))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.split() if self.UNSURE.isdisjoint(t) else [t] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        self.known.update(zip(new, self.encode(new)))
+        for table in (self.known, self.stems):
+            if len(table) > CACHE_WORDS:
+                table.clear()
+        self.learn(set().union(*split) - self.known.keys())
         known = self.known
         for words in split:
             yield b"".join([known[w] for w in words])
