@@ -58,6 +58,32 @@ SELECT p.page_id, s.host, s.path, s.rule, s.score,
 FROM pages p JOIN scored s ON coalesce(p.url, '') = s.u
 """
 
+OP7 = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM both_ways
+  UNION
+  SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+lowest AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(l.low, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(l.low, w.doc_id) AS kept
+FROM worded w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN lowest l ON w.doc_id = l.doc_id
+"""
+
 #: for conversations of fewer than 128 turns, the length of a segment; tests hold longer ones
 OP8 = r"""
 WITH RECURSIVE all_turns AS (

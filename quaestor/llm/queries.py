@@ -110,6 +110,9 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+SQL["op7_near_duplicates"] = oracles.OP7
+
+
 @query
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from the windows, by conversation."""
