@@ -73,11 +73,12 @@ def distinct_shingles(a: Column, k: int = K) -> Column:
 
 
 def containment(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated |A and B| / |A|: the share of A's hashes in B, as far as both sketches reach."""
+    """Estimated |A and B| / |A|: the share of A's hashes in B, as far as both sketches reach;
+    null where A has none as far down as B's sketch reaches."""
     far = F.lit(2**63 - 1)
     reach = F.least(F.when(F.size(a) < k, far).otherwise(F.element_at(a, -1)), F.when(F.size(b) < k, far).otherwise(F.element_at(b, -1)))
     within = F.filter(a, lambda h: h <= reach)
-    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(within) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(within, b)) / F.size(within))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(within) > 0, F.size(F.array_intersect(within, b)) / F.size(within))
 
 
 def as_text(sketch: Column) -> Column:

@@ -33,6 +33,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("head title script style noscript template iframe object svg math canvas audio video select textarea button map applet datalist".split())
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
 FURNITURE = frozenset("nav header footer aside form dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
@@ -133,7 +134,9 @@ class BlockReader(HTMLParser):
             else:
                 self.parts.append(" ")
             return
-        if tag not in INLINE:
+        if self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.stack.pop()
+        if tag not in INLINE and tag not in SILENT:
             self.end_block()
             self.close_open(frozenset(("p", *HEADINGS)), None)
             if tag == "li":
@@ -153,13 +156,13 @@ class BlockReader(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in INLINE:
+        if tag not in VOID and tag in SILENT:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
         if tag in VOID:
             return
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in SILENT:
             self.end_block()
         for at in range(len(self.stack) - 1, 0, -1):
             if self.stack[at][0] == tag:

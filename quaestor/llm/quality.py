@@ -161,7 +161,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rate: flo
     mean = float(y.mean()) if len(y) else 0.5
     start = float(np.log(mean / (1 - mean))) if 0 < mean < 1 else (20.0 if mean >= 1 else -20.0)
     empty = BoostedTrees(start, np.zeros((0, inner), np.int64), np.zeros((0, inner)), np.zeros((0, inner + 1)))
-    if not 0 < mean < 1:
+    if not len(y) or not 0 < mean < 1:
         return empty
     n, width = x.shape
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS)[1:-1])) for f in range(width)]
