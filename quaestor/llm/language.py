@@ -286,5 +286,5 @@ def identify_languages(docs: DataFrame, field: Field, spans: bool = False) -> Da
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     if spans:
-        schema = schema.add("lang_spans", T.ArrayType(T.StructType().add("lang", "string").add("words", "int")))
+        schema = schema.add("lang_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType())])))
     return docs.select(*names).mapInArrow(labeller(spark.sparkContext.broadcast(field), names, spans), schema)
