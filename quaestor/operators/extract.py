@@ -3,51 +3,142 @@ everything that a regular expression can say stays in column expressions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quaestor.functions import parsing, text
-from quaestor.operators.html_blocks import site_a_blocks, site_b_blocks
+from quaestor.operators.html_blocks import LAYOUTS as LAYOUTS_OF_SITES
+from quaestor.operators.html_blocks import PAGE_BLOCKS, mark_pages, read_marks
 from quaestor.schemas import BLOCKS
 from quaestor.session import once, ship_package
 
 # Fixed value: prefix of relative image addresses on site A.
 SITE_A_IMAGES = "https://www.pciconcursos.com.br"
 
-_READERS = {"a": site_a_blocks, "b": site_b_blocks}
-_BLOCK_COLUMNS = [f.name for f in BLOCKS]
+SPACE = r"(?U)^\s+|\s+$"
+# Fixed value: letters of options that carry none, by place.
+OPTION_LETTERS = "ABCDE"
 
 
-def _parse_pages(layout: str, site: str, carry: tuple[str, ...]):
-    reader = _READERS[layout]
+def _nodes(block: Column, role: str) -> Column:
+    return F.filter(block["nodes"], lambda n: n["role"] == role)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pages in batches:
-            kept = pages[["page_id", *carry]].to_dict("records")
-            rows = [
-                {**page, "pos": pos, **block}
-                for page, html in zip(kept, pages["html"])
-                if html
-                for pos, block in enumerate(reader(html, site))
-            ]
-            yield pd.DataFrame(rows, columns=_BLOCK_COLUMNS + list(carry))
 
-    return run
+def _first(nodes: Column) -> Column:
+    return F.get(nodes, F.lit(0))
+
+
+def _joined(node: Column) -> Column:
+    """Stripped text pieces without separator; NULL without a node."""
+    return F.array_join(F.transform(node["pieces"], lambda p: F.regexp_replace(p, SPACE, "")), "")
+
+
+def _spaced(node: Column) -> Column:
+    """Text with runs of white space as one blank; NULL without a node."""
+    return F.trim(F.regexp_replace(F.array_join(node["pieces"], " "), r"(?U)\s+", " "))
+
+
+def _inside(block: Column, role: str, outer: str) -> Column:
+    """Nodes of ``role`` inside the block's first node of role ``outer``."""
+    at = F.array_position(F.transform(block["nodes"], lambda n: n["role"]), F.lit(outer)).cast("int") - 1
+    return F.filter(_nodes(block, role), lambda n: F.array_contains(n["within"], at))
+
+
+def _sources(nodes: Column) -> Column:
+    return F.transform(F.filter(nodes, lambda n: n["value"] != ""), lambda n: n["value"])
+
+
+def _last_wins(entries: Column) -> Column:
+    """Map of array<struct<key,value>>, the last of equal keys kept at the place of the first."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
+
+
+def _site_a_fields(block: Column, site: str) -> dict[str, Column]:
+    def option(n: Column) -> Column:
+        shown = _joined(n)
+        rest = F.when(F.startswith(shown, n["value"]), F.substring(shown, F.length(n["value"]) + 1, F.length(shown))).otherwise(shown)
+        return F.struct(n["value"].alias("key"), F.regexp_replace(rest, SPACE, "").alias("value"))
+
+    area = _first(_nodes(block, "base_text"))
+    pieces = F.filter(F.transform(area["pieces"], lambda p: F.regexp_replace(p, SPACE, "")), lambda p: p != "")
+    backgrounds = F.filter(F.transform(_nodes(block, "background"), lambda n: F.regexp_extract(n["value"], r"""url\(\s*['"]?([^'")]+)['"]?\s*\)""", 1)), lambda u: u != "")
+    urls = F.transform(F.concat(_sources(_nodes(block, "image")), backgrounds), lambda u: F.when(F.startswith(u, F.lit("http")), u).otherwise(F.concat(F.lit(site), u)))
+    return {
+        "id_qc": block["value"],
+        "enunciado": _joined(_first(_nodes(block, "statement"))),
+        "alternativas": _last_wins(F.transform(F.filter(_nodes(block, "option"), lambda n: n["value"] != ""), option)),
+        "materia_qc": F.lit(None).cast("string"),
+        "assunto": F.lit(None).cast("string"),
+        "origem": F.nullif(_joined(_first(_nodes(block, "origin"))), F.lit("")),
+        "texto_associado": F.coalesce(F.array_join(pieces, " "), F.lit("")),
+        "imagens": _sources(_inside(block, "image", "base_text")),
+        "imagens_urls": F.array_distinct(urls),
+    }
+
+
+def _site_b_fields(block: Column, site: str) -> dict[str, Column]:
+    places = F.filter(F.transform(block["nodes"], lambda n, i: F.when(n["role"] == "option", i)), lambda i: i.isNotNull())
+
+    def option(place: Column, number: Column) -> Column:
+        label = F.get(block["nodes"], place)
+        letter = _spaced(_first(F.filter(_nodes(block, "letter"), lambda n: F.array_contains(n["within"], place))))
+        text_of = _spaced(label)
+        found = F.when(F.length(letter) > 0, F.position(letter, text_of)).otherwise(F.lit(0))
+        rest = F.when(found > 0, F.concat(F.substring(text_of, F.lit(1), found - 1), F.substring(text_of, found + F.length(letter), F.length(text_of)))).otherwise(text_of)
+        by_place = F.when(number < len(OPTION_LETTERS), F.substring(F.lit(OPTION_LETTERS), number + 1, F.lit(1)))
+        return F.struct(F.coalesce(F.upper(F.substring(letter, 1, 1)), by_place).alias("key"), F.regexp_replace(rest, SPACE, "").alias("value"))
+
+    options = F.filter(F.transform(places, option), lambda e: e["key"].isNotNull())  # beyond the fifth there is no letter
+    links = F.transform(_inside(block, "link", "trail"), _spaced)
+    return {
+        "id_qc": F.nullif(F.regexp_extract(F.coalesce(_spaced(_first(_nodes(block, "code"))), F.lit("")), r"(Q\d+)", 1), F.lit("")),
+        "enunciado": _spaced(_first(_nodes(block, "statement"))),
+        "alternativas": _last_wins(options),
+        "materia_qc": F.get(links, F.lit(0)),
+        "assunto": F.nullif(F.regexp_replace(F.get(links, F.lit(1)), r"[ ,]+$", ""), F.lit("")),
+        "origem": F.nullif(_spaced(_first(_nodes(block, "info"))), F.lit("")),
+        "texto_associado": F.coalesce(_spaced(_first(_nodes(block, "base_text"))), F.lit("")),
+        "imagens": _sources(_inside(block, "image", "base_text")),
+        "imagens_urls": F.array().cast("array<string>"),
+    }
+
+
+_FIELDS = {"a": _site_a_fields, "b": _site_b_fields}
+
+
+def marked_pages(pages: DataFrame, layout: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``page_id, carry, blocks, fault``: marked pieces of every page, or why it has none."""
+    ship_package(pages.sparkSession)
+    schema = T.StructType([pages.schema[c] for c in ("page_id", *carry)])
+    schema = T.StructType([*schema.fields, *T._parse_datatype_string(f"blocks {PAGE_BLOCKS}, fault string").fields])
+    return pages.select("page_id", *carry, "html").mapInArrow(mark_pages(layout, ["page_id", *carry]), schema)
+
+
+def blocks_of(marked: DataFrame, layout: str, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``BLOCKS`` rows of marked pages: blocks with an id, a statement and an option. ``pos`` is
+    the place among those of the page."""
+    fields = lambda b: F.struct(*[c.alias(n) for n, c in _FIELDS[layout](b, site).items()])
+    complete = lambda q: (q["id_qc"] != "") & (q["enunciado"] != "") & (F.size(q["alternativas"]) > 0)
+    read = once(marked, read=F.transform("blocks", fields))
+    rows = read.select("page_id", *carry, F.posexplode(F.filter("read", complete)).alias("pos", "q"))
+    return rows.select(*[F.col(f.name) if f.name in ("page_id", "pos") else F.col(f"q.{f.name}") for f in BLOCKS.fields], *carry)
 
 
 def page_blocks(
     pages: DataFrame, layout: str, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """``BLOCKS`` rows of every page; ``pos`` is the place on the page. Page columns named
-    in ``carry`` (text) come along, which saves a join back to the pages."""
-    ship_package(pages.sparkSession)
-    schema = T.StructType(BLOCKS.fields + [pages.schema[c] for c in carry])
-    return pages.select("page_id", "html", *carry).mapInPandas(_parse_pages(layout, site, carry), schema)
+    """``BLOCKS`` rows of every page. Page columns named in ``carry`` come along, which saves a
+    join back to the pages. Pages that cannot be read have none; ``page_faults`` lists those."""
+    return blocks_of(marked_pages(pages, layout, carry), layout, site, carry)
+
+
+def page_faults(pages: DataFrame, layout: str) -> DataFrame:
+    """``page_id, motivo`` of pages that the reader failed on."""
+    return marked_pages(pages, layout).filter("fault IS NOT NULL").select("page_id", F.col("fault").alias("motivo"))
 
 
 def questions_site_a(
@@ -74,17 +165,30 @@ def questions_site_b(pages: DataFrame) -> DataFrame:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """``SELECT t.* FROM pages, LATERAL extract_questions(html) t`` for SQL users."""
+    """``SELECT t.* FROM pages, LATERAL extract_questions(html) t`` for SQL users. The same rules
+    as ``questions_site_a`` for one page at a time, in Arrow batches."""
     from pyspark.sql.functions import udtf
 
     ship_package(spark)
 
-    @udtf(returnType="pos int, id_qc string, enunciado string, alternativas map<string,string>, origem string")
+    @udtf(returnType="pos int, id_qc string, enunciado string, alternativas map<string,string>, origem string, "
+          "texto_associado string, imagens array<string>", useArrow=True)
     class ExtractQuestions:
         def eval(self, html: str):
-            if html:
-                for pos, b in enumerate(site_a_blocks(html, SITE_A_IMAGES)):
-                    yield pos, b["id_qc"], b["enunciado"], b["alternativas"], b["origem"]
+            pos = 0
+            for block in read_marks(html or "", LAYOUTS_OF_SITES["a"]):
+                by_role = {}
+                for place, node in enumerate(block["nodes"]):
+                    stripped = [p.strip() for p in node["pieces"]]
+                    by_role.setdefault(node["role"], []).append((place, node, stripped))
+                texts = {role: "".join(found[0][2]) for role, found in by_role.items()}
+                options = {n["value"]: "".join(t).removeprefix(n["value"]).strip() for _, n, t in by_role.get("option", []) if n["value"]}
+                if not (block["value"] and texts.get("statement") and options):
+                    continue
+                area, _, words = by_role.get("base_text", [(-1, None, [])])[0]
+                images = [n["value"] for _, n, _ in by_role.get("image", []) if n["value"] and area in n["within"]]
+                yield pos, block["value"], texts["statement"], options, texts.get("origin") or None, " ".join(filter(None, words)), images
+                pos += 1
 
     spark.udtf.register("extract_questions", ExtractQuestions)
 

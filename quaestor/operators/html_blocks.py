@@ -1,179 +1,177 @@
-"""Question blocks of one HTML page. Runs inside Spark workers, one page at a time;
-whatever can be said as a column expression is left to the caller."""
+"""Marked pieces of HTML pages. A layout names the element that is a block and those inside it
+that matter; the reader lists them flat, in page order, with their raw text pieces. It decides
+nothing: letters, trims, completeness and order are column expressions of the caller."""
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_NOT_TEXT = {"script", "style", "template"}
-
-
-class _Node:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag, attrs):
-        self.tag, self.attrs, self.children = tag, attrs, []
-
-    def walk(self):
-        """All element descendants in document order, without recursion."""
-        stack = [c for c in reversed(self.children) if isinstance(c, _Node)]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack.extend(c for c in reversed(node.children) if isinstance(c, _Node))
-
-    def texts(self):
-        stack = list(reversed(self.children))
-        while stack:
-            item = stack.pop()
-            if isinstance(item, str):
-                yield item
-            elif item.tag not in _NOT_TEXT:
-                stack.extend(reversed(item.children))
-
-    def has_class(self, name):
-        return name in (self.attrs.get("class") or "").split()
-
-    def first(self, test):
-        return next((n for n in self.walk() if test(n)), None)
-
-    def joined(self):
-        """Stripped text pieces without separator."""
-        return "".join(t.strip() for t in self.texts())
-
-    def spaced(self):
-        """Text with runs of white space as one blank."""
-        return " ".join(" ".join(self.texts()).split())
-
-    def images(self):
-        return [n.attrs["src"] for n in self.walk() if n.tag == "img" and n.attrs.get("src")]
-
-
-class _Tree(HTMLParser):
-    def __init__(self):
+import pyarrow as pa
+
+# HTML elements without an end, and those whose content is no text.
+NO_END = frozenset("area base br col embed hr img input link meta source track wbr".split())
+NO_TEXT = frozenset(("script", "style", "template"))
+
+NODE = "struct<role:string,value:string,within:array<int>,pieces:array<string>>"
+PAGE_BLOCKS = f"array<struct<value:string,nodes:array<{NODE}>>>"
+_ARROW_NODE = pa.struct([("role", pa.string()), ("value", pa.string()), ("within", pa.list_(pa.int32())), ("pieces", pa.list_(pa.string()))])
+_ARROW_BLOCKS = pa.list_(pa.struct([("value", pa.string()), ("nodes", pa.list_(_ARROW_NODE))]))
+
+
+@dataclass(frozen=True)
+class Mark:
+    """An element that matters. All given conditions hold; ``classes``: any one of them;
+    ``class_parts``: any one occurs anywhere in the class attribute, as an alternative."""
+
+    role: str
+    tag: str | None = None
+    classes: tuple[str, ...] = ()
+    class_parts: tuple[str, ...] = ()
+    id_end: str = ""
+    has: tuple[str, str] | None = None  # attribute that contains a text
+    take: str = ""  # attribute whose value comes along
+
+    def fits(self, tag: str, attrs: dict[str, str]) -> bool:
+        if self.tag and tag != self.tag:
+            return False
+        names = attrs.get("class", "")
+        if (self.classes or self.class_parts) and not (
+                set(self.classes) & set(names.split()) or any(p in names for p in self.class_parts)):
+            return False
+        if self.has and self.has[1] not in attrs.get(self.has[0], ""):
+            return False
+        return attrs.get("id", "").endswith(self.id_end)
+
+
+@dataclass(frozen=True)
+class BlockLayout:
+    block: Mark
+    marks: tuple[Mark, ...]
+
+
+# Elements, classes and attributes of the two sites' question pages.
+SITE_A = BlockLayout(
+    Mark("block", "div", ("sim-questao",), take="data-sid"),
+    (
+        Mark("statement", "p", ("sim-enunciado",)),
+        Mark("option", "button", ("btn-sim-alt",), take="data-letra"),
+        Mark("origin", "a", ("sim-prova-link",)),
+        Mark("base_text", "div", ("sim-texto", "sim-texto-base"), ("texto-associado", "texto-base")),
+        Mark("image", "img", take="src"),
+        Mark("background", has=("style", "background-image"), take="style"),
+    ),
+)
+SITE_B = BlockLayout(
+    Mark("block", "div", ("q-question-item",)),
+    (
+        Mark("code", classes=("q-id",)),
+        Mark("statement", classes=("q-question-enunciation",)),
+        Mark("option", "label", ("q-radio-button",)),
+        Mark("letter", classes=("q-option-item",)),
+        Mark("trail", classes=("q-question-breadcrumb",)),
+        Mark("link", "a"),
+        Mark("info", classes=("q-question-info",)),
+        Mark("base_text", "div", ("collapse",), id_end="-text"),
+        Mark("image", "img", take="src"),
+        # state of the block for answering
+        Mark("answer_button", "button", ("js-answer-btn",), take="data-question-id"),
+        Mark("answer_off", "button", ("js-answer-btn",), has=("aria-disabled", "true")),
+    ),
+)
+LAYOUTS = {"a": SITE_A, "b": SITE_B}
+
+
+@dataclass
+class _Block:
+    value: str
+    nodes: list[dict] = field(default_factory=list)
+    open: list[int] = field(default_factory=list)
+
+
+class MarkReader(HTMLParser):
+    """One pass over a page: a stack of open elements, each with the blocks and nodes it began."""
+
+    def __init__(self, layout: BlockLayout):
         super().__init__(convert_charrefs=True)
-        self.root = _Node("", {})
-        self.open = [self.root]
-
-    def handle_starttag(self, tag, attrs):
-        node = _Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in _VOID:
-            self.open.append(node)
-
-    def handle_startendtag(self, tag, attrs):
-        self.open[-1].children.append(_Node(tag, {k: v or "" for k, v in attrs}))
-
-    def handle_endtag(self, tag):
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth].tag == tag:
-                del self.open[depth:]
-                return
-
-    def handle_data(self, data):
-        self.open[-1].children.append(data)
-
-
-def _tree(html):
-    parser = _Tree()
-    parser.feed(html)
-    parser.close()
-    return parser.root
-
-
-def _site_images(block, site):
-    found = dict.fromkeys(block.images())
-    for node in block.walk():
-        style = node.attrs.get("style", "")
-        if "background-image" in style:
-            hit = re.search(r"""url\(\s*['"]?([^'")]+)['"]?\s*\)""", style)
-            if hit:
-                found[hit.group(1)] = None
-    return list(dict.fromkeys(u if u.startswith("http") else site + u for u in found))
-
-
-def site_a_blocks(html, site):
-    """Blocks with an id, a statement and at least one lettered option."""
-    rows = []
-    for block in _tree(html).walk():
-        if block.tag != "div" or not block.has_class("sim-questao") or not block.attrs.get("data-sid"):
-            continue
-        statement = block.first(lambda n: n.tag == "p" and n.has_class("sim-enunciado"))
-        options = {}
-        for n in block.walk():
-            letter = n.attrs.get("data-letra")
-            if n.tag == "button" and n.has_class("btn-sim-alt") and letter:
-                options[letter] = re.sub("^" + re.escape(letter) + r"\s*", "", n.joined()).strip()
-        if statement is None or not statement.joined() or not options:
-            continue
-        origin = block.first(lambda n: n.tag == "a" and n.has_class("sim-prova-link"))
-        area = block.first(
-            lambda n: n.tag == "div"
-            and (
-                n.has_class("sim-texto")
-                or n.has_class("sim-texto-base")
-                or any(part in n.attrs.get("class", "") for part in ("texto-associado", "texto-base"))
-            )
-        )
-        rows.append(
-            {
-                "id_qc": block.attrs["data-sid"],
-                "enunciado": statement.joined(),
-                "alternativas": options,
-                "materia_qc": None,
-                "assunto": None,
-                "origem": (origin.joined() if origin else "") or None,
-                "texto_associado": " ".join(t for t in (t.strip() for t in area.texts()) if t) if area else "",
-                "imagens": area.images() if area else [],
-                "imagens_urls": _site_images(block, site),
-            }
-        )
-    return rows
-
-
-def site_b_blocks(html, site):
-    """Blocks with a question code, a statement and options; a missing option letter is
-    taken from its position."""
-    rows = []
-    for block in _tree(html).walk():
-        if block.tag != "div" or not block.has_class("q-question-item"):
-            continue
-
-        def text_of(name, where=block):
-            node = where.first(lambda n: n.has_class(name))
-            return node.spaced() if node else ""
-
-        code = re.search(r"Q\d+", text_of("q-id"))
-        options = {}
-        labels = [n for n in block.walk() if n.tag == "label" and n.has_class("q-radio-button")]
-        for i, label in enumerate(labels):
-            mark = label.first(lambda n: n.has_class("q-option-item"))
-            if mark is None:
-                options["ABCDE"[i]] = label.spaced()
-            else:
-                shown = mark.spaced()
-                options[shown[:1].upper()] = label.spaced().replace(shown, "", 1).strip()
-        statement = text_of("q-question-enunciation")
-        if not (code and statement and options):
-            continue
-        trail = block.first(lambda n: n.has_class("q-question-breadcrumb"))
-        links = [n.spaced() for n in trail.walk() if n.tag == "a"] if trail else []
-        area = block.first(
-            lambda n: n.tag == "div" and n.has_class("collapse") and n.attrs.get("id", "").endswith("-text")
-        )
-        rows.append(
-            {
-                "id_qc": code.group(0),
-                "enunciado": statement,
-                "alternativas": options,
-                "materia_qc": links[0] if links else None,
-                "assunto": (links[1].rstrip(" ,") or None) if len(links) > 1 else None,
-                "origem": text_of("q-question-info") or None,
-                "texto_associado": area.spaced() if area else "",
-                "imagens": area.images() if area else [],
-                "imagens_urls": [],
-            }
-        )
-    return rows
+        self.layout = layout
+        self.blocks: list[_Block] = []
+        self.current: list[_Block] = []
+        self.stack: list[tuple[str, list[_Block], list[_Block]]] = []
+        self.mute = 0
+
+    def begin(self, tag: str, attributes: list) -> tuple[list[_Block], list[_Block]]:
+        attrs = {name: value or "" for name, value in attributes}
+        marked = [m for m in self.layout.marks if m.fits(tag, attrs)] if self.current else []
+        touched = []
+        for block in self.current:
+            around = list(block.open)
+            for mark in marked:
+                block.nodes.append({"role": mark.role, "value": attrs.get(mark.take), "within": around, "pieces": []})
+                block.open.append(len(block.nodes) - 1)
+                touched.append(block)
+        opened = []
+        if self.layout.block.fits(tag, attrs):
+            opened = [_Block(attrs.get(self.layout.block.take, ""))]
+            self.blocks += opened
+            self.current += opened
+        return opened, touched
+
+    def end(self, opened: list[_Block], touched: list[_Block]) -> None:
+        for block in touched:
+            block.open.pop()
+        for block in opened:
+            self.current.remove(block)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        began = self.begin(tag, attrs)
+        if tag in NO_END:
+            self.end(*began)
+        else:
+            self.stack.append((tag, *began))
+            self.mute += tag in NO_TEXT
+
+    def handle_startendtag(self, tag: str, attrs: list) -> None:
+        self.end(*self.begin(tag, attrs))
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(open_tag == tag for open_tag, _, _ in self.stack):
+            closed = ""
+            while closed != tag:
+                closed, opened, touched = self.stack.pop()
+                self.mute -= closed in NO_TEXT
+                self.end(opened, touched)
+
+    def handle_data(self, data: str) -> None:
+        if not self.mute:
+            for block in self.current:
+                for node in block.open:
+                    block.nodes[node]["pieces"].append(data)
+
+
+def read_marks(html: str, layout: BlockLayout) -> list[dict]:
+    reader = MarkReader(layout)
+    reader.feed(html)
+    reader.close()
+    return [{"value": b.value, "nodes": b.nodes} for b in reader.blocks]
+
+
+def mark_pages(layout: str, carry: list[str], part: int = 128):
+    """Arrow batches of pages to batches of ``carry``, blocks, fault; a page that cannot be read
+    has the reason as ``fault`` and no blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, part):
+                piece = batch.slice(start, part)
+                blocks, faults = [], []
+                for html in piece.column("html").to_pylist():
+                    try:
+                        blocks.append(read_marks(html, LAYOUTS[layout]) if html else [])
+                        faults.append(None)
+                    except Exception as error:  # one page must not end the job
+                        blocks.append([])
+                        faults.append(f"{type(error).__name__}: {error}")
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column(c) for c in carry] + [pa.array(blocks, _ARROW_BLOCKS), pa.array(faults, pa.string())], [*carry, "blocks", "fault"])
+    return run

@@ -92,3 +92,29 @@ def test_sql_function(spark):
     pages(spark, SITE_A).createOrReplaceTempView("site_a")
     rows = spark.sql("SELECT t.id_qc FROM site_a, LATERAL extract_questions(html) t").collect()
     assert sorted(r["id_qc"] for r in rows) == ["10", "13"]
+
+
+def test_surplus_options_and_broken_pages(spark):
+    label = '<label class="q-radio-button"><div>o{}</div></label>'
+    six = SITE_B.split("<label")[0] + "".join(label.format(i) for i in range(6)) + "</div>"
+    (q,) = extract.questions_site_b(pages(spark, six)).collect()
+    assert q["alternativas"] == {"A": "o0", "B": "o1", "C": "o2", "D": "o3", "E": "o4"}
+    broken = ["<div class='q-question-item'>", "<", "<div class=q-question-item><label class='q-radio-button'", "</div></div>", "<![x", None]
+    assert extract.questions_site_b(pages(spark, *broken)).count() == 0
+
+
+def test_a_page_that_cannot_be_read_is_reported(spark, monkeypatch):
+    from quaestor.operators import html_blocks
+
+    pb = __import__("pyarrow").RecordBatch.from_pydict({"page_id": [1, 2], "html": ["<div class='sim-questao' data-sid='1'></div>", "x"]})
+    plain = html_blocks.read_marks
+
+    def failing(html, layout):
+        if html == "x":
+            raise ValueError("no page")
+        return plain(html, layout)
+
+    monkeypatch.setattr(html_blocks, "read_marks", failing)
+    (out,) = html_blocks.mark_pages("a", ["page_id"])(iter([pb]))
+    assert out.column("fault").to_pylist() == [None, "ValueError: no page"] and len(out.column("blocks")[0]) == 1
+    assert extract.page_faults(pages(spark, SITE_A), "a").count() == 0
