@@ -37,7 +37,7 @@ TRAIN_DOCS = 200
 TRAIN_BYTES = 20_000
 CELLS = 1 << 17
 STEPS = 40
-SLICE = 2 << 20
+SLICE = 1 << 20
 UNKNOWN = "und"
 AFFIXES = (1, 2, 3, 4)
 GRAMS = (2, 3, 4)

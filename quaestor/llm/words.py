@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x2545F4914F6CDD1D)
 UNBASE = np.uint64(pow(0x2545F4914F6CDD1D, -1, 1 << 64))
 SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
