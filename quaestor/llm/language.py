@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.words import BASE, UNBASE, mix, powers, text_slices, word_bounds
+from quaestor.llm.words import BASE, UNBASE, mix, powers, row_slices, text_slices, word_bounds
 from quaestor.session import ship_package
 
 TRAIN_DOCS = 200
@@ -233,25 +233,26 @@ def language_model(docs: DataFrame, learn: Column, most: int = TRAIN_DOCS) -> Fi
     return fit(*training_texts(docs, learn, most))
 
 
-def identify(field: Field, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
-    """Language number (-1: unknown) and score of each text, and its runs of words of one
-    language as (language number, words)."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    lettered = pc.match_substring_regex(texts.fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
+def identify(field: Field, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
+    """Language number (-1: unknown) and score of each text, and with ``spans`` its runs of
+    words of one language as (language number, words)."""
     best, score, runs = np.full(len(texts), -1), np.zeros(len(texts)), []
     if not field.languages:
         return best, score, [[] for _ in range(len(texts))]
-    for row, data, offsets in text_slices(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), SLICE):
+    for row, part in row_slices(texts, SLICE):
+        part = pc.utf8_lower(part.fill_null(""))
+        known = pc.match_substring_regex(part, r"\p{L}").to_numpy(zero_copy_only=False)
+        _, data, offsets = next(text_slices(part, 1 << 62))
         starts, ends, words_at = word_bounds(data, offsets)
         n = np.diff(words_at)
         chances = field.marginals(field.evidence(data, starts, ends), words_at)
         sums = np.zeros((len(chances) + 1, chances.shape[1]))
         np.cumsum(chances, axis=0, out=sums[1:])
         means = (sums[words_at[1:]] - sums[words_at[:-1]]) / np.maximum(n, 1)[:, None]
-        known = lettered[row:row + len(n)]
         best[row:row + len(n)] = np.where(known, means.argmax(1), -1)
         score[row:row + len(n)] = np.where(known, np.minimum(means.max(1), 1), 0)
+        if not spans:
+            continue
         word_language = chances.argmax(1) if len(chances) else np.zeros(0, int)
         change = np.ones(len(word_language), bool)
         change[1:] = word_language[1:] != word_language[:-1]
@@ -268,7 +269,7 @@ def labeller(field, schema: list[str], spans: bool) -> Callable:
         model = field.value
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
-            best, score, runs = identify(model, batch.column("text"))
+            best, score, runs = identify(model, batch.column("text"), spans)
             columns = [batch.column(c) for c in schema] + [pa.array(names[best], pa.string()), pa.array(score)]
             if spans:
                 columns.append(pa.array([[{"lang": names[k], "words": int(n)} for k, n in r] for r in runs],

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quaestor.llm.words import row_slices
 from quaestor.session import ship_package
 
 GROUP_SEQUENCES = 2048
 NODES = 20_000
 FILLINGS = 64
 CACHE_WORDS = 600_000
-SLICE_CHARS = 1 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
 _loaded: dict[int, "WordTokenizer"] = {}
@@ -92,7 +92,8 @@ class WordTokenizer:
             end = self.ends.get(word[-1])
             stem = word[:-1] if end else word
             if stem.isalpha() and max(stem) < self.BEYOND_LATIN and self.UNLIKE not in stem:
-                by_stem.append((word, stem.lower(), end or b""))
+                stem = stem.lower()
+                by_stem.append((word, word if stem == word else stem, end or b""))
             else:
                 others.append(word)
         new = list({stem for _, stem, _ in by_stem} - self.stems.keys())
@@ -111,17 +112,6 @@ class WordTokenizer:
             yield b"".join([known[w] for w in words])
 
 
-def slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if size and size + len(text) > SLICE_CHARS:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
-
-
 def piece_maker(description, room: int, end_id: int) -> Callable:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(description.value)
@@ -131,7 +121,8 @@ def piece_maker(description, room: int, end_id: int) -> Callable:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, texts in slices([t or "" for t in batch.column("text").to_pylist()]):
+            for first, part in row_slices(batch.column("text")):
+                texts = [t or "" for t in part.to_pylist()]
                 rows, piece, start, parts = [], [], [], []
                 for row, packed in enumerate(tokenizer.ids(texts), first):
                     packed += end

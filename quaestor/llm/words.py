@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 BASE = np.uint64(0x2545F4914F6CDD1D)
@@ -42,24 +43,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of consecutive rows; a null text is an empty one."""
+def row_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, rows) of consecutive parts of a text column, without copying it."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    if len(column) == 0:
-        return
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    before = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)))
     row = 0
     while row < len(column):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1)
-        end = min(end, len(column))
-        yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
+        end = int(np.searchsorted(before, before[row] + size, side="right")) - 1
+        end = min(max(end, row + 1), len(column))
+        yield row, column.slice(row, end - row)
         row = end
 
 
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of consecutive rows; a null text is an empty one."""
+    for row, part in row_slices(column, size):
+        part = part.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
+        data = part.buffers()[2]
+        data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        yield row, data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and offsets of each document's words among them."""
     inside = ~SPACE[data]
