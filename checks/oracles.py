@@ -326,14 +326,15 @@ t AS (SELECT p_partkey, trim(upper(regexp_replace('  ' || lower(p_type) || '   '
 SELECT p_partkey, arg_min(a.materia, a.pos) AS materia FROM t LEFT JOIN a ON contains(t.t, a.alias) GROUP BY p_partkey""".replace("\\\\", "\\")
 _KEYWORDS = """
 kw(materia, categoria, pos, kws) AS (VALUES ('en', 'c1', 1, ['the', 'and', 'zzz']), ('en', 'c2', 2, ['of', 'in', 'that', 'thing']),
-  ('fr', 'c1', 1, ['le ', 'la ']), ('fr', 'c2', 2, ['que', 'elle']), ('de', 'c0', 1, CAST([] AS VARCHAR[]))),
+  ('fr', 'c1', 1, ['le ', 'la ']), ('fr', 'c2', 2, ['que', 'elle']), ('de', 'c0', 1, ['die', 'und'])),
+tax(materia, first) AS (VALUES ('en', 't1'), ('fr', 'x1'), ('es', 'e1')),
 sc AS (SELECT id, kw.categoria, kw.pos, CASE WHEN len(kws) = 0 THEN 0.0 ELSE len(list_filter(kws, lambda k: contains(lower(enunciado), k))) / CAST(len(kws) AS DOUBLE) END AS s
   FROM q JOIN kw ON kw.materia = q.materia),
 best AS (SELECT DISTINCT ON (id) id, categoria, s FROM sc WHERE s > 0 ORDER BY id, s DESC, pos)"""
 SQL["j3_suggest_category"] = _with(Q, _KEYWORDS) + """
-SELECT q.id, coalesce(b.categoria, f.categoria) AS categoria_sugerida,
-  round(CASE WHEN b.id IS NOT NULL THEN b.s WHEN f.categoria IS NOT NULL THEN 0.3 ELSE 0.0 END, 6) AS confianca
-FROM q LEFT JOIN best b ON b.id = q.id LEFT JOIN kw f ON f.materia = q.materia AND f.pos = 1"""
+SELECT q.id, CASE WHEN t.first IS NOT NULL THEN coalesce(b.categoria, t.first) END AS categoria_sugerida,
+  round(CASE WHEN t.first IS NULL THEN 0.0 WHEN b.id IS NOT NULL THEN b.s ELSE 0.3 END, 6) AS confianca
+FROM q LEFT JOIN best b ON b.id = q.id LEFT JOIN tax t ON t.materia = q.materia"""
 SQL["j4_not_stored"] = _with(Q) + """
 SELECT id FROM q WHERE id % 3 <> 0 AND content_hash NOT IN (SELECT content_hash FROM q WHERE id % 3 = 0)"""
 SQL["j5_coverage"] = _COVERAGE
@@ -552,11 +553,18 @@ SQL["q7_duplicates"] = _with(Q) + "SELECT hash_enunciado, count(*) AS n FROM q G
 SQL["q8_round_trip"] = _with(Q) + "SELECT count(*) AS linhas, CAST(0 AS BIGINT) AS diferentes FROM q"
 
 # --- streams (their batch answer) ----------------------------------------------------------
-SQL["st1_page_ingest"] = _with(Q) + """,
+_PARSED = """,
 parsed AS (SELECT id, id_qc, sha256(lower(trim(regexp_replace(enunciado, '\\s+', ' ', 'g')))) AS hash_enunciado, (id // 10) * 1048576 + row_number() OVER (PARTITION BY id // 10 ORDER BY id) - 1 AS seq
-  FROM q WHERE id_qc IS NOT NULL AND id % 13 <> 0),
-batch AS (SELECT seq, id_qc, hash_enunciado FROM parsed),""".replace("\\\\", "\\") + ACCEPTED + """
-SELECT id_qc, hash_enunciado FROM parsed JOIN accepted USING (seq)"""
+  FROM q WHERE id_qc IS NOT NULL AND id % 13 <> 0),"""
+SQL["st1_page_ingest"] = _with(Q) + _PARSED + """
+batch AS (SELECT seq, id_qc, hash_enunciado FROM parsed UNION ALL
+  SELECT id - 1000000000000 AS seq, id_qc, sha256(lower(trim(regexp_replace(enunciado, '\\s+', ' ', 'g')))) FROM q WHERE id % 17 = 0),""" + ACCEPTED + """
+SELECT id_qc, hash_enunciado, CAST(0 AS INT) AS usada, 'm' AS materia FROM parsed JOIN accepted USING (seq)"""
+SQL["st1_second_checkpoint"] = _with(Q) + _PARSED + """
+batch AS (SELECT seq, id_qc, hash_enunciado FROM parsed),""" + ACCEPTED + """
+SELECT count(*) AS linhas, count(*) AS ids, count(*) AS enunciados FROM accepted"""
+SQL["st1_progress"] = _with(Q) + """
+SELECT 'pci' AS fonte, 'cat/t' || (id // 10) % 3 AS chave, CAST(max(id // 10) AS INT) AS ultima_pagina FROM q GROUP BY ALL"""
 SQL["st2_quarantine"] = _with(Q) + """
 SELECT 'invalid_source' AS motivo, count(*) AS n FROM q WHERE id_qc IS NOT NULL AND id % 13 <> 0 AND (id // 10) % 7 = 3 HAVING count(*) > 0"""
 SQL["st3_live_statistics"] = SQL["a1_stats_by_subject"]

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text
 from quaestor.schemas import QUESTIONS
-from quaestor.session import spread, work_path
+from quaestor.session import work_path
 from quaestor.sources.questions import add_missing_columns, append_questions, read_questions
 
 LETTERS = "ABCDE"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The test tables have one row group each: one task per core for what follows."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -501,10 +501,12 @@ def j2_subject_of_title(spark, d):
 def j3_suggest_category(spark, d):
     keywords = spark.createDataFrame(
         [("en", "c1", 1, ["the", "and", "zzz"]), ("en", "c2", 2, ["of", "in", "that", "thing"]),
-         ("fr", "c1", 1, ["le ", "la "]), ("fr", "c2", 2, ["que", "elle"]), ("de", "c0", 1, [])],
+         ("fr", "c1", 1, ["le ", "la "]), ("fr", "c2", 2, ["que", "elle"]), ("de", "c0", 1, ["die", "und"])],
         "materia string, categoria string, cat_pos int, kws array<string>",
     )
-    return classify.suggest_category(P.questions(spark, d), keywords).select(
+    # "es" has no keywords, "de" is not in the taxonomy
+    taxonomy = spark.createDataFrame([("en", "t2", 2), ("en", "t1", 1), ("fr", "x1", 1), ("es", "e1", 1)], "materia string, categoria string, cat_pos int")
+    return classify.suggest_category(P.questions(spark, d), keywords, taxonomy=taxonomy).select(
         "id", "categoria_sugerida", F.round("confianca", 6).alias("confianca")
     )
 
@@ -550,7 +552,7 @@ def j9_set_answers(spark, d):
 
 @query
 def j10_pages_to_fetch(spark, d):
-    return classify.pages_to_fetch(P.topics(spark, d), P.progress_log(spark, d))
+    return classify.pages_to_fetch(P.topics(spark, d), P.progress_log(spark, d), cap=classify.PAGE_CAP)
 
 
 @query
@@ -754,7 +756,7 @@ def h2_rounded_quota(spark, d):
 
 @query
 def h3_quota_draw(spark, d):
-    return draw.draw(P.questions(spark, d), _requests(spark, d), max_rank=draw.largest(P.specs(spark, d), "q"))
+    return draw.draw(P.questions(spark, d), _requests(spark, d))
 
 
 @query
@@ -776,7 +778,7 @@ def h4_backfill(spark, d):
     missing = P.specs(spark, d).select("exam", "q").distinct().join(counts, "exam", "left").selectExpr(
         "exam", "q - coalesce(c, 0) AS n"
     )
-    return draw.backfill(draw.content_pool(rows), chosen, missing, draw.largest(P.specs(spark, d), "q"))
+    return draw.backfill(draw.content_pool(rows), chosen, missing)
 
 
 @query
@@ -944,30 +946,63 @@ def q8_round_trip(spark, d):
 _PAGE_COLUMNS = "page_id long, html string, categoria string, tema string, materia string, fonte string"
 
 
+def _site_pages(spark, d, source_expr: str) -> DataFrame:
+    return P.site_a_pages(spark, d).selectExpr(
+        "page_id", "html", "'cat' AS categoria", "concat('t', page_id % 3) AS tema", "'m' AS materia", f"{source_expr} AS fonte"
+    )
+
+
 def _page_stream(spark, d, source_expr: str, files: int = 4) -> DataFrame:
+    """Pages in ``files`` files that arrive in page order; one is a micro-batch."""
     path = work_path(spark, "pages-in")
-    P.site_a_pages(spark, d).selectExpr(
-        "page_id", "html", "'cat' AS categoria", "concat('t', page_id % 3) AS tema", "'m' AS materia", f"{source_expr} AS fonte"
-    ).repartitionByRange(files, "page_id").sortWithinPartitions("page_id").write.parquet(path)
-    return spark.readStream.schema(_PAGE_COLUMNS).option("maxFilesPerTrigger", 100).parquet(path)
+    pages = durable(_site_pages(spark, d, source_expr), "site-pages")
+    top = pages.agg(F.max("page_id")).first()[0] + 1
+    for k in range(files):
+        part = pages.filter((F.col("page_id") >= k * top // files) & (F.col("page_id") < (k + 1) * top // files))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(_PAGE_COLUMNS).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _earlier_bank(spark, d) -> DataFrame:
+    rows = P.questions(spark, d).filter("id % 17 = 0")
+    return ingest.insert_if_new(rows, seq="id")
 
 
-def _ingested(spark, d, source_expr: str) -> str:
+def _ingested(spark, d, source_expr: str, bank: DataFrame | None = None) -> str:
     out = work_path(spark, "bank")
-    running = stream_ingest.ingest_pages(_page_stream(spark, d, source_expr), out, work_path(spark, "offsets"))
+    running = stream_ingest.ingest_pages(_page_stream(spark, d, source_expr), out, work_path(spark, "offsets"), bank)
     running.awaitTermination()
     return out
 
 
 @query
 def st1_page_ingest(spark, d):
-    return spark.read.parquet(_ingested(spark, d, "'pci'") + "/bank").select("id_qc", "hash_enunciado")
+    """Four micro-batches into a bank that holds questions already."""
+    out = _ingested(spark, d, "'pci'", _earlier_bank(spark, d))
+    return stream_ingest.stored(spark, out, "bank").select("id_qc", "hash_enunciado", "usada", "materia")
+
+
+@query
+def st1_second_checkpoint(spark, d):
+    """The same pages again under a new checkpoint: nothing is lost or stored twice."""
+    out = _ingested(spark, d, "'pci'")
+    again = stream_ingest.ingest_pages(_page_stream(spark, d, "'pci'", 2), out, work_path(spark, "offsets"))
+    again.awaitTermination()
+    rows = stream_ingest.stored(spark, out, "bank")
+    return rows.agg(F.count("*").alias("linhas"), F.countDistinct("id").alias("ids"), F.countDistinct("hash_enunciado").alias("enunciados"))
+
+
+@query
+def st1_progress(spark, d):
+    """The last page stored of each list."""
+    out = _ingested(spark, d, "'pci'")
+    return ingest.latest_progress(stream_ingest.stored(spark, out, "progress"))
 
 
 @query
 def st2_quarantine(spark, d):
     out = _ingested(spark, d, "CASE WHEN page_id % 7 = 3 THEN 'outra' ELSE 'pci' END")
-    return spark.read.parquet(out + "/quarantine").groupBy("motivo").agg(F.count("*").alias("n"))
+    return stream_ingest.stored(spark, out, "quarantine").groupBy("motivo").agg(F.count("*").alias("n"))
 
 
 @query

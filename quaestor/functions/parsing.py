@@ -55,7 +55,7 @@ def parse_info(c: Column | str) -> Column:
     )
     # everything between two labels, the part before the first label dropped
     values = F.transform(
-        F.slice(F.split(text, INFO_LABELS), 2, 1_000_000),
+        F.slice(F.split(text, INFO_LABELS), 2, F.size(F.split(text, INFO_LABELS))),
         lambda v: F.regexp_replace(F.regexp_replace(v, r"(?U)^\s+|\s+$", ""), r"[ |]+$", ""),
     )
     pairs = F.filter(

@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from quaestor.functions import text
 from quaestor.operators.ingest import latest_progress
-from quaestor.session import broadcast_if_small
 
 # Score of the first category when no keyword is found; page caps.
 FALLBACK_SCORE = 0.3
 PAGE_CAP = 200
-SEARCH_PAGE_CAP = 500
 SESSION_PAGES = 40
 
 
@@ -24,8 +22,8 @@ def subject_of_topic(rows: DataFrame, rules: DataFrame) -> DataFrame:
     )
     wide = rules.filter("tema is null").select("categoria", F.col("materia").alias("_geral"))
     return (
-        rows.join(broadcast_if_small(exact), ["categoria", "tema"], "left")
-        .join(broadcast_if_small(wide), "categoria", "left")
+        rows.join(exact, ["categoria", "tema"], "left")
+        .join(wide, "categoria", "left")
         .withColumn("materia_edital", F.coalesce("_exata", "_geral"))
         .drop("_exata", "_geral")
     )
@@ -78,21 +76,24 @@ def subject_of_title(titles: DataFrame, aliases: DataFrame, title: str = "titulo
 
 
 def suggest_category(
-    rows: DataFrame, keywords: DataFrame, statement: str = "enunciado", snippet_chars: int | None = None
+    rows: DataFrame, keywords: DataFrame, statement: str = "enunciado", snippet_chars: int | None = None,
+    taxonomy: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``categoria_sugerida`` and ``confianca``.
 
     The score of a category is the share of its keywords contained in the lower-cased
     text; the best one wins, ties go to the category listed first. Without a hit the
-    first listed category is taken at ``FALLBACK_SCORE``; a subject without categories
-    gives NULL and 0. ``keywords`` is ``materia, categoria, cat_pos, kws``; it is packed
+    subject's first category in ``taxonomy`` (``materia, categoria, cat_pos``) is taken at
+    ``FALLBACK_SCORE``; a subject that the taxonomy does not know gives NULL and 0, whatever
+    its keywords. Without a taxonomy the keyword table is taken for it. ``keywords`` is ``materia, categoria, cat_pos, kws``; it is packed
     into one array per subject, so the join does not multiply rows.
     """
     packed = keywords.groupBy("materia").agg(
         F.array_sort(F.collect_list(F.struct("cat_pos", "categoria", "kws"))).alias("_cats")
     )
     source = F.left(F.col(statement), F.lit(snippet_chars)) if snippet_chars else F.col(statement)
-    joined = rows.join(broadcast_if_small(packed), "materia", "left").withColumn("_low", F.lower(source))
+    listed = (keywords if taxonomy is None else taxonomy).groupBy("materia").agg(F.min_by("categoria", "cat_pos").alias("_first"))
+    joined = rows.join(packed, "materia", "left").join(listed, "materia", "left").withColumn("_low", F.lower(source))
     scores = F.transform(
         F.col("_cats"),
         lambda c: F.struct(
@@ -105,15 +106,13 @@ def suggest_category(
         ),
     )
     best = joined.withColumn("_best", F.array_max(scores))
-    first = F.get(F.col("_cats"), F.lit(0))["categoria"]
+    hit = (F.col("_best.score") > 0) & F.col("_first").isNotNull()
     return best.withColumns(
         {
-            "categoria_sugerida": F.when(F.col("_best.score") > 0, F.col("_best.cat")).otherwise(first),
-            "confianca": F.when(F.col("_best.score") > 0, F.col("_best.score"))
-            .when(first.isNotNull(), FALLBACK_SCORE)
-            .otherwise(0.0),
+            "categoria_sugerida": F.when(hit, F.col("_best.cat")).otherwise(F.col("_first")),
+            "confianca": F.when(hit, F.col("_best.score")).when(F.col("_first").isNotNull(), FALLBACK_SCORE).otherwise(0.0),
         }
-    ).drop("_cats", "_low", "_best")
+    ).drop("_cats", "_low", "_best", "_first")
 
 
 def categories_of(taxonomy: DataFrame, materia: str | None = None) -> DataFrame:
@@ -186,7 +185,7 @@ def coverage(specs: DataFrame, questions: DataFrame, by_orgao: bool = False) ->
 def category_info(counts: DataFrame, totals: DataFrame) -> DataFrame:
     """Collected against expected per category; unknown ones show no name and 0."""
     return (
-        counts.join(broadcast_if_small(totals), "categoria", "left")
+        counts.join(totals, "categoria", "left")
         .withColumn("esperado", F.coalesce("esperado", F.lit(0)))
     )
 
@@ -194,14 +193,13 @@ def category_info(counts: DataFrame, totals: DataFrame) -> DataFrame:
 def enrich_from_spec(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Board, agency and first job of the exam, and topic = subject, onto rows that know
     their exam and subject."""
-    first_job = F.min_by("cargo", F.struct("ordem_cargo", "ordinal"))
+    order = F.struct("ordem_cargo", "ordinal")
     per_exam = specs.groupBy("concurso").agg(
-        F.first("banca", ignorenulls=True).alias("banca"),
-        F.first("orgao", ignorenulls=True).alias("orgao"),
-        first_job.alias("cargo"),
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in ("banca", "orgao")],
+        F.min_by("cargo", order).alias("cargo"),
     )
     return (
-        rows.join(broadcast_if_small(per_exam), "concurso", "left")
+        rows.join(per_exam, "concurso", "left")
         .withColumns(
             {
                 "banca": F.coalesce("banca", F.lit("QConcursos")),
@@ -214,11 +212,11 @@ def enrich_from_spec(rows: DataFrame, specs: DataFrame) -> DataFrame:
 
 # --- worklists --------------------------------------------------------------
 
-def pages_to_fetch(topics: DataFrame, progress_log: DataFrame, cap: int = PAGE_CAP, per_session: int | None = None) -> DataFrame:
+def pages_to_fetch(topics: DataFrame, progress_log: DataFrame, cap: int | None = None, per_session: int | None = None) -> DataFrame:
     """``fonte, chave, pagina, url`` for every page after the stored one, up to ``cap``
-    (or ``per_session`` pages further). ``topics`` is ``fonte, chave, base``."""
+    or ``per_session`` pages further; with neither, the next page. ``topics`` is ``fonte, chave, base``."""
     nxt = F.coalesce("ultima_pagina", F.lit(0)) + 1
-    last = nxt + (per_session - 1) if per_session else F.lit(cap)
+    last = F.lit(cap) if cap is not None and not per_session else nxt + ((per_session or 1) - 1)
     return (
         topics.join(latest_progress(progress_log), ["fonte", "chave"], "left")
         .withColumns({"_de": nxt, "_ate": last})
@@ -248,7 +246,7 @@ def pending_answers(questions: DataFrame) -> DataFrame:
 def pending_numbers(questions: DataFrame) -> DataFrame:
     """Distinct pending question numbers per subject, one per row: a subject may have
     any number of them."""
-    return pending_answers(questions).select("materia", F.substring("id_qc", 2, 1_000_000).alias("numero")).distinct()
+    return pending_answers(questions).select("materia", F.expr("substr(id_qc, 2)").alias("numero")).distinct()
 
 
 def pending_counts(questions: DataFrame) -> DataFrame:

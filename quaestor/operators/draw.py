@@ -15,9 +15,6 @@ OTHER_PRIORITY = 3
 SUBJECT_EXAM_SIZE = 20
 GENERAL_EXAM_SIZE = 60
 
-_ID_BITS = 60
-
-
 def source_priority(fonte: Column | str = "fonte") -> Column:
     c = F.col(fonte) if isinstance(fonte, str) else fonte
     ranked = F.lit(OTHER_PRIORITY)
@@ -41,15 +38,15 @@ def matching(
 def one_per_content(questions: DataFrame, *keys: str) -> DataFrame:
     """``keys, content_hash, id`` of the preferred row of each content.
 
-    Priority and id are packed into one number, so the minimum is a hash aggregate with
-    partial combine: however many copies one content has, each task sends one row of it.
+    The smallest id of each priority is a hash aggregate with partial combine: however many
+    copies one content has, each task sends one row of it.
     """
-    packed = F.shiftleft(source_priority().cast("bigint"), _ID_BITS) + F.col("id")
+    ranks = sorted({*SOURCE_PRIORITY.values(), OTHER_PRIORITY})
+    lowest = [F.min(F.when(source_priority() == rank, F.col("id"))) for rank in ranks]
     return (
         questions.filter("content_hash is not null")
         .groupBy(*keys, "content_hash")
-        .agg(F.min(packed).alias("_p"))
-        .select(*keys, "content_hash", (F.col("_p") % F.lit(1 << _ID_BITS)).alias("id"))
+        .agg(F.coalesce(*lowest).alias("id"))
     )
 
 
@@ -63,31 +60,19 @@ def content_pool(questions: DataFrame, *keys: str) -> DataFrame:
 
 
 def rank_pool(
-    pool: DataFrame, max_rank: int, keys: tuple[str, ...] = ("materia",), seed: str | None = None
+    pool: DataFrame, keys: tuple[str, ...] = ("materia",), seed: str | None = None,
+    max_rank: int | None = None, asked: DataFrame | None = None,
 ) -> DataFrame:
     """``keys, usada, id, rank``: unused content first, then used, each in digest order.
-
-    The literal bound lets every task keep only its own first ``max_rank`` rows per group
-    before the shuffle, so a subject with a third of all questions sends no more than
-    tasks x ``max_rank`` rows to its window. The optimizer does this up to a limit; larger
-    bounds rank by digest buckets instead.
-    """
-    limit = pool.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-    if max_rank > int(limit):
-        return rank_in_digest_order(pool, keys, "usada", seed, max_rank=max_rank).select(*keys, "usada", "id", "rank")
-    order = Window.partitionBy(*keys).orderBy("usada", "_digest", "id")
-    return (
-        pool.withColumn("_digest", _order_digest(seed))
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= max_rank)
-        .select(*keys, "usada", "id", "rank")
-    )
+    ``asked`` (keys and ``_most``) names the groups wanted and how far to rank each."""
+    ranked = rank_in_digest_order(pool, keys, "usada", seed, max_rank=max_rank, asked=asked)
+    return ranked.select(*keys, "usada", "id", "rank")
 
 
 def rank_candidates(
     questions: DataFrame, max_rank: int, keys: tuple[str, ...] = ("materia",), seed: str | None = None
 ) -> DataFrame:
-    return rank_pool(content_pool(questions, *keys), max_rank, keys, seed)
+    return rank_pool(content_pool(questions, *keys), keys, seed, max_rank)
 
 
 def largest(requests: DataFrame, n: str = "n") -> int:
@@ -95,25 +80,29 @@ def largest(requests: DataFrame, n: str = "n") -> int:
     return int(requests.agg(F.coalesce(F.max(n), F.lit(0)).alias("m")).first()["m"])
 
 
+def most_asked(requests: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Groups that are asked for, with their largest request as ``_most``."""
+    return requests.filter("n > 0").groupBy(*keys).agg(F.max("n").alias("_most"))
+
+
 def serve(ranked: DataFrame, requests: DataFrame, keys: tuple[str, ...], carry: tuple[str, ...] = ()) -> DataFrame:
-    """The first ``n`` ranks for every request."""
-    wanted = requests.select("exam", *keys, *carry, F.col("n").alias("_n"))
-    return (
-        ranked.join(wanted, list(keys)).filter("rank <= _n")
-        .select("exam", *keys, *carry, "rank", "usada", "id")
-    )
+    """The first ``n`` ranks for every request: a slot per rank, met by an equi-join, so a
+    request makes as many rows as it gets."""
+    slots = requests.filter("n > 0").select(
+        "exam", *keys, *carry, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n").cast("bigint"))).alias("rank"))
+    return slots.join(ranked, [*keys, "rank"]).select("exam", *keys, *carry, "rank", "usada", "id")
 
 
 def draw(
     questions: DataFrame, requests: DataFrame, keys: tuple[str, ...] = ("materia",),
-    seed: str | None = None, carry: tuple[str, ...] = (), max_rank: int | None = None,
+    seed: str | None = None, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``exam, keys, carry, rank, usada, id`` for every request ``exam, keys, n`` (and
     further request columns named in ``carry``); all subjects and requests in one pass
-    over the bank. ``max_rank`` is an upper bound of ``n``; without it the largest
-    request is looked up."""
-    bound = largest(requests) if max_rank is None else max_rank
-    return serve(rank_candidates(questions, bound, keys, seed), requests, keys, carry)
+    over the rows of the bank that belong to a requested group."""
+    asked = most_asked(requests, keys)
+    wanted = questions.join(asked.select(*keys), list(keys), "left_semi")
+    return serve(rank_pool(content_pool(wanted, *keys), keys, seed, asked=asked), requests, keys, carry)
 
 
 def reused_counts(drawn: DataFrame, *keys: str) -> DataFrame:
@@ -135,25 +124,22 @@ def keep_first(rows: DataFrame, by: tuple[str, ...], *order: str) -> DataFrame:
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def backfill(
-    pool: DataFrame, chosen: DataFrame, missing: DataFrame, max_span: int, seed: str | None = None
-) -> DataFrame:
+def backfill(pool: DataFrame, chosen: DataFrame, missing: DataFrame, seed: str | None = None) -> DataFrame:
     """``exam, rank, usada, id``: fill ``missing(exam, n)`` from any subject, leaving out
     the ids in ``chosen(exam, id)``. ``pool`` is a content pool without keys.
 
-    An exam needs at most n + chosen candidates of the overall order (``max_span`` bounds
-    that sum over all exams), so that many ranks are listed per exam and met by an
-    equi-join; no exam sees the whole bank.
+    An exam needs at most n + chosen candidates of the overall order, so that many ranks are
+    listed per exam and met by an equi-join; no exam sees the whole bank, and the bank is
+    ranked as far as the largest of these sums.
     """
     sizes = chosen.groupBy("exam").agg(F.count("*").alias("_c"))
-    span = (
+    span = durable(
         missing.filter("n > 0").join(sizes, "exam", "left")
-        .withColumn("_span", (F.col("n") + F.coalesce("_c", F.lit(0))).cast("int"))
-    )
-    ranked = rank_pool(pool.withColumn("_all", F.lit(0)), max_span, ("_all",), seed).drop("_all")
-    slots = span.select("exam", F.col("n").alias("_n"), F.explode(F.sequence(F.lit(1), "_span")).alias("rank"))
+        .select("exam", F.col("n").alias("_n"), (F.col("n") + F.coalesce("_c", F.lit(0))).cast("bigint").alias("_span")), "span")
+    ranked = rank_pool(pool, (), seed, max_rank=largest(span, "_span"))
+    slots = span.select("exam", "_n", F.explode(F.sequence(F.lit(1).cast("bigint"), "_span")).alias("rank"))
     free = slots.join(ranked, "rank").join(chosen.select("exam", "id"), ["exam", "id"], "left_anti")
-    position = F.row_number().over(Window.partitionBy("exam").orderBy("rank"))
+    position = F.row_number().over(Window.partitionBy("exam").orderBy("rank")).cast("bigint")
     return (
         free.withColumn("_pos", position).filter("_pos <= _n")
         .select("exam", F.col("_pos").alias("rank"), "usada", "id")
@@ -161,15 +147,18 @@ def backfill(
 
 
 def rank_in_digest_order(
-    rows: DataFrame, keys: tuple[str, ...] = ("materia",), lead: str | None = None,
-    seed: str | None = None, prefix_chars: int = 3, max_rank: int | None = None,
+    rows: DataFrame, keys: tuple[str, ...] = ("materia",), lead: str | None = None, seed: str | None = None,
+    prefix_chars: int = 4, max_rank: int | None = None, asked: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``rank`` within ``keys`` by (``lead``,) digest, without putting a group into
+    """Add ``rank`` (bigint) within ``keys`` by (``lead``,) digest, without putting a group into
     one task.
 
     Digests are uniform, so their first hex characters cut every group, also a dominant
     one, into even ordered buckets: rank = rows in earlier buckets + position inside the
-    bucket. Buckets that start at or after ``max_rank`` are dropped before the sort.
+    bucket. Four characters make 65,536 buckets: ten thousand million questions of one
+    subject are 150,000 rows each. Buckets that start at or after the bound - ``max_rank``,
+    or ``_most`` of the group in ``asked``, which also names the groups - are dropped before
+    the sort.
     """
     cut = rows.withColumn("_digest", _order_digest(seed))
     prefix = F.left("_digest", F.lit(prefix_chars))
@@ -177,13 +166,14 @@ def rank_in_digest_order(
     sizes = cut.groupBy(*keys, "_b").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
-    if max_rank is not None:
-        offsets = offsets.filter(F.col("_off") < max_rank)
+    if asked is not None:
+        offsets = offsets.join(asked, list(keys)).filter("_off < _most")
+    else:
+        offsets = offsets.withColumn("_most", F.lit(max_rank).cast("bigint"))
+        offsets = offsets.filter("_off < _most") if max_rank is not None else offsets
     inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_digest", "id"))
     ranked = cut.join(offsets, [*keys, "_b"]).withColumn("rank", (F.col("_off") + inside).cast("bigint"))
-    if max_rank is not None:
-        ranked = ranked.filter(F.col("rank") <= max_rank)
-    return ranked.drop("_digest", "_b", "_off")
+    return ranked.filter("_most is null or rank <= _most").drop("_digest", "_b", "_off", "_most")
 
 
 def _sum_of_earlier(rows: DataFrame, key: str, order: str, value: str, name: str, width: int = 65_536) -> DataFrame:
@@ -201,7 +191,7 @@ def _sum_of_earlier(rows: DataFrame, key: str, order: str, value: str, name: str
     )
 
 
-def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None, prefix_chars: int = 3) -> DataFrame:
+def pack_exams(questions: DataFrame, quotas: DataFrame, seed: str | None = None, prefix_chars: int = 4) -> DataFrame:
     """Many exams in a row without overlap: ``exam, materia, pos, reused, id``.
 
     ``quotas`` is ``exam, exam_pos, materia, n``; exams are served by ``exam_pos`` and mark

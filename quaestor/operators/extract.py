@@ -145,7 +145,11 @@ def questions_site_a(
     pages: DataFrame, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Blocks of site A with the origin line split into agency, board and year."""
-    rows = page_blocks(pages, "a", site, carry).withColumn("_o", parsing.parse_origin("origem"))
+    return site_a_rows(page_blocks(pages, "a", site, carry), carry)
+
+
+def site_a_rows(blocks: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    rows = blocks.withColumn("_o", parsing.parse_origin("origem"))
     return rows.select(
         "page_id", "pos", "id_qc", "enunciado", "alternativas", "texto_associado", "imagens", "imagens_urls",
         F.col("_o.banca").alias("banca"), F.col("_o.orgao").alias("orgao"), F.col("_o.ano").alias("ano"),

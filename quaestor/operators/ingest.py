@@ -19,9 +19,6 @@ SOURCES = ["qconcursos", "quadrix_pdf", "pci"]
 NUMBERING_WIDTH = 65_536
 NUMBERING_GROUP = 65_536
 
-# a batch with at most this many distinct keys is broadcast against the bank
-BROADCAST_KEYS = 1_000_000
-
 
 def with_hashes(rows: DataFrame) -> DataFrame:
     return rows.withColumns(
@@ -65,22 +62,17 @@ def not_stored(batch: DataFrame, bank: DataFrame, key: str = "content_hash") ->
     return batch.join(bank.select(key), key, "left_anti")
 
 
-def _unknown_keys(pending: DataFrame, bank: DataFrame) -> DataFrame:
-    """Pending keys the bank has neither by code nor by digest.
+def _without_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose code ``c`` is not among ``codes``. Rows without a code are set apart, so that
+    they don't meet under one key."""
+    coded = rows.filter("c is not null").join(codes.filter("c is not null").select("c"), "c", "left_anti")
+    return coded.unionByName(rows.filter("c is null"))
 
-    A batch within the bound is broadcast against the bank's two key columns, which are
-    then read once and not shuffled; only the keys found come back. A larger batch meets
-    the bank in shuffled joins.
-    """
-    if pending.count() <= BROADCAST_KEYS:
-        codes = F.broadcast(pending.filter("c is not null").select("c").distinct().withColumn("_c", F.lit(True)))
-        digests = F.broadcast(pending.select("d").distinct().withColumn("_d", F.lit(True)))
-        bank = durable(
-            bank.join(codes, "c", "left").join(digests, "d", "left").filter("_c or _d").select("c", "d")
-        )
-    return pending.join(bank.select("d"), "d", "left_anti").join(
-        bank.filter("c is not null").select("c"), "c", "left_anti"
-    )
+
+def _unknown_keys(pending: DataFrame, bank: DataFrame) -> DataFrame:
+    """Pending keys the bank has neither by code nor by digest. ``pending`` is stored, so Spark
+    knows its size and sends the smaller side."""
+    return _without_codes(pending.join(bank.select("d"), "d", "left_anti"), bank)
 
 
 def accepted_keys(
@@ -113,9 +105,7 @@ def accepted_keys(
         winners = by_digest.filter("c is null").unionByName(
             by_digest.filter("c is not null").join(by_code, ["c", "s"], "left_semi").select("d", "s", "c")
         )
-        left = pending.join(winners.select("d"), "d", "left_anti").join(
-            winners.filter("c is not null").select("c"), "c", "left_anti"
-        )
+        left = _without_codes(pending.join(winners.select("d"), "d", "left_anti"), winners)
         # one table per round: its winners and what stays pending
         state = durable(
             winners.withColumn("won", F.lit(True)).unionByName(left.withColumn("won", F.lit(False))), "round"
@@ -128,7 +118,8 @@ def accepted_keys(
 
 
 def insert_status(batch: DataFrame, bank: DataFrame | None = None, *, seq: str = "seq", **keys) -> DataFrame:
-    """The batch with ``status``: ``inserted`` or ``duplicate``."""
+    """The batch with ``status``: ``inserted`` or ``duplicate``. ``batch`` is read twice: pass a
+    stored table where making it is dear."""
     won = accepted_keys(batch, bank, seq=seq, **keys).withColumn("_won", F.lit(True))
     return (
         batch.join(won, seq, "left")
@@ -138,7 +129,8 @@ def insert_status(batch: DataFrame, bank: DataFrame | None = None, *, seq: str =
 
 
 def insert_if_new(batch: DataFrame, bank: DataFrame | None = None, *, seq: str = "seq", **keys) -> DataFrame:
-    """The rows of the batch that get stored."""
+    """The rows of the batch that get stored. The batch is stored first, so that it is made once."""
+    batch = durable(batch, "batch")
     return batch.join(accepted_keys(batch, bank, seq=seq, **keys), seq, "left_semi")
 
 
@@ -175,11 +167,14 @@ def number_rows(rows: DataFrame, seq: str = "seq", start: int = 1, name: str = "
         bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
         .withColumn("_g", F.floor(F.col("_b") / NUMBERING_GROUP))
     )
-    groups = sizes.groupBy("_g").agg(F.sum("_n").alias("_gn"))
+    # groups of groups: of those there are 65,536 at most, whatever the order column holds
+    groups = sizes.groupBy("_g").agg(F.sum("_n").alias("_gn")).withColumn("_h", F.floor(F.col("_g") / NUMBERING_GROUP))
     before = Window.unboundedPreceding
-    group_offsets = groups.select(
-        "_g", F.coalesce(F.sum("_gn").over(Window.orderBy("_g").rowsBetween(before, -1)), F.lit(0)).alias("_goff")
-    )
+    tops = groups.groupBy("_h").agg(F.sum("_gn").alias("_hn")).withColumn("_one", F.lit(1))
+    tops = tops.select("_h", F.coalesce(F.sum("_hn").over(Window.partitionBy("_one").orderBy("_h").rowsBetween(before, -1)), F.lit(0)).alias("_hoff"))
+    in_top = Window.partitionBy("_h").orderBy("_g").rowsBetween(before, -1)
+    group_offsets = groups.withColumn("_goff", F.coalesce(F.sum("_gn").over(in_top), F.lit(0))).join(tops, "_h").select(
+        "_g", (F.col("_goff") + F.col("_hoff")).alias("_goff"))
     in_group = Window.partitionBy("_g").orderBy("_b").rowsBetween(before, -1)
     offsets = (
         sizes.withColumn("_off", F.coalesce(F.sum("_n").over(in_group), F.lit(0)))
@@ -226,6 +221,13 @@ def mark_used(exam_items: DataFrame, seq: Column) -> DataFrame:
     )
 
 
+def _join_by_code(bank: DataFrame, updates: DataFrame) -> DataFrame:
+    """The bank with what ``updates`` has for its code. Rows without a code are set apart, so that
+    they don't meet under one key."""
+    coded = bank.filter("id_qc is not null").join(updates, "id_qc", "left").select(*bank.columns, *[c for c in updates.columns if c != "id_qc"])
+    return coded.unionByName(bank.filter("id_qc is null"), allowMissingColumns=True)
+
+
 def set_answers(bank: DataFrame, updates: DataFrame) -> DataFrame:
     """Answer and comment by code. The last update wins and its NULL comment also
     overwrites."""
@@ -235,7 +237,7 @@ def set_answers(bank: DataFrame, updates: DataFrame) -> DataFrame:
     )
     hit = F.col("u").isNotNull()
     return (
-        bank.join(last, "id_qc", "left")
+        _join_by_code(bank, last)
         .withColumns(
             {
                 name: F.when(hit, F.col("u")[name]).otherwise(F.col(name))
@@ -265,7 +267,7 @@ def fill_associated_text(bank: DataFrame, updates: DataFrame, seq: str = "seq")
         )
     )
     fill = F.col("o").isNotNull() & ~has_text & ~has_images
-    joined = bank.join(offers, "id_qc", "left").withColumn("preenchida", fill)
+    joined = _join_by_code(bank, offers).withColumn("preenchida", fill)
     return joined.withColumns(
         {
             "texto_associado": F.when(F.col("preenchida"), F.col("o.t")).otherwise(F.col("texto_associado")),

@@ -17,9 +17,6 @@ def subject_exams(questions: DataFrame, requests: DataFrame, seed: str | None =
     """One-subject exams: ``requests(exam, materia[, n])``."""
     if "n" not in requests.columns:
         requests = requests.withColumn("n", F.lit(draw.SUBJECT_EXAM_SIZE))
-        return draw.draw(
-            questions, requests, seed=seed, max_rank=draw.SUBJECT_EXAM_SIZE
-        ).withColumn("secao", F.lit(1))
     return draw.draw(questions, requests, seed=seed).withColumn("secao", F.lit(1))
 
 
@@ -27,14 +24,14 @@ def general_exams(questions: DataFrame, specs: DataFrame, seed: str | None = Non
     """General exams: quotas by weight, shortage redistributed, sections by subject name.
     ``specs`` is ``exam, q, materia, ordinal, peso``.
 
-    The content pool serves both the counts and the draw, so it is stored once. No
-    subject of an exam gets more than q questions, which bounds the ranks to keep.
+    The content pool serves both the counts and the draw, so it is stored once; so are the
+    requests, a row per exam and subject.
     """
     pool = durable(draw.content_pool(questions, "materia"))
     quotas = allocation.largest_remainder(specs)
     raised = allocation.redistribute(quotas, draw.available(pool, "materia"))
-    requests = raised.select("exam", "materia", (F.col("taken") + F.col("extra")).alias("n")).filter("n > 0")
-    ranked = draw.rank_pool(pool, draw.largest(specs, "q"), seed=seed)
+    requests = durable(raised.select("exam", "materia", (F.col("taken") + F.col("extra")).alias("n")).filter("n > 0"))
+    ranked = draw.rank_pool(pool, seed=seed, asked=draw.most_asked(requests, ("materia",)))
     return draw.serve(ranked, requests, ("materia",)).withColumn("secao", F.col("materia"))
 
 
@@ -44,15 +41,11 @@ def job_exams(questions: DataFrame, specs: DataFrame, seed: str | None = None) -
     cargo, banca, materia, ordinal, peso``; a NULL board does not filter."""
     quotas = allocation.largest_remainder(specs).withColumnRenamed("quota", "n").filter("n > 0")
     quotas = quotas.withColumn("secao", F.col("ordinal"))
-    bound = draw.largest(specs, "q")
-    named = F.coalesce("banca", F.lit("")) != ""
-    with_board = draw.draw(
-        questions, quotas.filter(named), ("materia", "orgao", "cargo", "banca"), seed, ("secao",), bound
-    ).drop("banca")
-    any_board = draw.draw(
-        questions, quotas.filter(~named), ("materia", "orgao", "cargo"), seed, ("secao",), bound
-    )
-    return with_board.unionByName(any_board)
+    # every question stands under its board and under any board, so one draw serves both kinds
+    any_board, board = F.lit("*"), F.concat(F.lit("="), "banca")
+    quotas = quotas.withColumn("_board", F.when(F.coalesce("banca", F.lit("")) != "", board).otherwise(any_board))
+    listed = questions.withColumn("_board", F.explode(F.filter(F.array(any_board, board), lambda b: b.isNotNull())))
+    return draw.draw(listed, quotas, ("materia", "orgao", "cargo", "_board"), seed, ("secao",)).drop("_board")
 
 
 def board_exams(questions: DataFrame, structure: DataFrame, seed: str | None = None) -> DataFrame:
@@ -63,10 +56,9 @@ def board_exams(questions: DataFrame, structure: DataFrame, seed: str | None = N
     What the disciplines yield (at most exams x q rows) is stored, as the back-fill asks
     for it several times.
     """
-    bound = draw.largest(structure, "q")
     quotas = allocation.rounded_quota(structure)
     requests = quotas.select("exam", "ordem", F.col("disciplina").alias("materia"), F.col("quota").alias("n"))
-    drawn = draw.draw(questions, requests, ("materia",), seed, ("ordem",), bound)
+    drawn = draw.draw(questions, requests, ("materia",), seed, ("ordem",))
     chosen = durable(draw.keep_first(drawn, ("exam", "id"), "ordem", "rank"))
     counts = chosen.groupBy("exam").agg(F.count("*").alias("_c"))
     exam_sizes = structure.groupBy("exam").agg(F.max("q").alias("q"))
@@ -74,7 +66,7 @@ def board_exams(questions: DataFrame, structure: DataFrame, seed: str | None = N
         "exam", (F.col("q") - F.coalesce("_c", F.lit(0))).alias("n")
     )
     # quotas may sum to more than q, but then nothing is missing: n + chosen <= q
-    filled = draw.backfill(draw.content_pool(questions), chosen, missing, bound, seed)
+    filled = draw.backfill(draw.content_pool(questions), chosen, missing, seed)
     listed = chosen.select("exam", F.lit(0).alias("_part"), F.col("ordem").alias("_list"), "rank", "id").unionByName(
         filled.select("exam", F.lit(1).alias("_part"), F.lit(0).alias("_list"), "rank", "id")
     )

@@ -1,5 +1,5 @@
-"""Session settings and the two helpers every multi-step job needs: cutting
-lineage durably, and broadcasting only what has been measured as small."""
+"""Session settings and the helpers every multi-step job needs: cutting lineage durably,
+computing costly columns once, shipping this package to the workers."""
 
 from __future__ import annotations
 
@@ -62,26 +62,6 @@ def durable(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Mark ``df`` for broadcast only after counting that it has few rows.
-
-    The count stops at the bound. A larger side is returned unmarked, so the
-    join is a shuffled one that adaptive execution can split on hot keys.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give per-row heavy work one task per core when the scan itself has fewer splits
-    (a small file, a single row group). Larger scans are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
-
-
 def once(df: DataFrame, **columns) -> DataFrame:
     """Add costly columns so that they are computed once per row. Later filters and
     projections on them are not pushed through the one-row generator, whereas a plain

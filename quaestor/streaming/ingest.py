@@ -1,61 +1,125 @@
-"""Incremental ingestion of page files with exactly-once results."""
+"""Incremental ingestion of page files with exactly-once results.
+
+A store has a bank, a quarantine, a progress log and a log of commits, each a table with a folder
+per run and batch. A run is the life of one checkpoint; its name lies beside the checkpoint, so a
+new checkpoint on the same store never meets the batch numbers of another. A batch is written to
+its own folders, then committed; a repeated batch overwrites them with the same rows. Readers
+and later batches see committed batches only."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quaestor.operators import ingest
-from quaestor.operators.extract import questions_site_a
+from quaestor.operators import draw, extract, ingest
+from quaestor.schemas import QUESTIONS
 from quaestor.session import durable
 
-# positions reserved per page inside the ingest order
-_POSITION_BITS = 20
+CARRIED = ("categoria", "tema", "materia", "fonte")
+_COMMITS = "run string, batch_id long"
+_KEYS = "hash_enunciado string, id_qc string, id long, run string, batch_id long"
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """Rows with hashes and their ingest order: page, then place on the page, whatever numbers
+    pages have."""
+    return ingest.with_hashes(rows.withColumn("seq", F.struct("page_id", "pos")))
 
 
 def page_questions(pages: DataFrame) -> DataFrame:
     """Storable rows of a batch of pages with their ingest order ``seq``. Expects
     ``page_id, html, categoria, tema, materia, fonte``."""
-    found = questions_site_a(pages, carry=("categoria", "tema", "materia", "fonte"))
-    return ingest.with_hashes(
-        found.withColumn("seq", F.shiftleft("page_id", _POSITION_BITS) + F.col("pos"))
-    )
+    return ordered(extract.questions_site_a(pages, carry=CARRIED))
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What batches before this one stored. A repeated batch does not see itself."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).filter(F.col("batch_id") < batch_id)
+def run_of(spark: SparkSession, checkpoint: str, out: str) -> str:
+    """Name of the run that ``checkpoint`` stands for; made when it is new. A checkpoint that
+    belongs to another store is refused."""
+    path = f"{checkpoint.rstrip('/')}/store_run"
+    fresh = spark.createDataFrame([(uuid.uuid4().hex, out.rstrip("/"))], "run string, store string").coalesce(1)
+    fresh.write.mode("ignore").parquet(path)
+    mine = spark.read.parquet(path).first()
+    if mine["store"] != out.rstrip("/"):
+        raise ValueError(f"checkpoint {checkpoint} belongs to the store {mine['store']}")
+    return mine["run"]
 
 
-def _write(rows: DataFrame, path: str, batch_id: int) -> None:
-    # overwriting the batch's own directory makes a repeated batch harmless
-    rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def store_batch(pages: DataFrame, batch_id: int, out: str) -> None:
-    """One micro-batch: parse, quarantine, insert what is new, log progress."""
-    spark = pages.sparkSession
-    parsed = durable(page_questions(pages), "parsed")  # pages are parsed once
-    good, bad = ingest.split_quarantine(parsed)
-    bank = _earlier(spark, f"{out}/bank", batch_id)
-    _write(ingest.insert_if_new(good, bank), f"{out}/bank", batch_id)
-    _write(bad, f"{out}/quarantine", batch_id)
-    progress = pages.groupBy("fonte", F.concat_ws("/", "categoria", "tema").alias("chave")).agg(
-        F.count("*").alias("pagina")
-    )
-    _write(progress.withColumn("seq", F.lit(batch_id)), f"{out}/progress", batch_id)
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
 
+def commits(spark: SparkSession, out: str) -> DataFrame:
+    return _table(spark, f"{out}/commits", f"{_COMMITS}, number long")
 
-def ingest_pages(pages: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+
+def stored(spark: SparkSession, out: str, part: str) -> DataFrame:
+    """Committed rows of a part of the store: ``bank``, ``quarantine`` or ``progress``."""
+    return spark.read.parquet(f"{out}/{part}").join(commits(spark, out).select("run", "batch_id"), ["run", "batch_id"], "left_semi")
+
+
+def _write(rows: DataFrame, out: str, part: str, run: str, batch_id: int) -> None:
+    # overwriting the batch's own folder makes a repeated batch harmless
+    rows.write.mode("overwrite").parquet(f"{out}/{part}/run={run}/batch_id={batch_id}")
+
+
+def as_questions(rows: DataFrame, first_id: int) -> DataFrame:
+    """Rows in the shape of the question table, numbered on from ``first_id`` in the order of
+    their digests, so that a repeated batch gets the same numbers and no task the whole batch."""
+    numbered = draw.rank_in_digest_order(rows.withColumn("id", F.lit(0)), ())
+    have = {"id": F.col("rank") + (first_id - 1), "usada": F.lit(0)}
+    columns = [
+        (have[f.name] if f.name in have else F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in QUESTIONS.fields
+    ]
+    return numbered.select(*columns, "seq")
+
+
+def store_batch(pages: DataFrame, batch_id: int, out: str, run: str = "0", bank: DataFrame | None = None) -> None:
+    """One micro-batch: parse, quarantine, insert what is new, log progress, commit. ``bank`` is
+    what was stored elsewhere before (question table); pages have ``CARRIED`` and ``pagina``, the
+    number of the page in its list (without it: ``page_id``)."""
+    spark = pages.sparkSession
+    done = commits(spark, out).filter(~((F.col("run") == run) & (F.col("batch_id") == batch_id)))
+    # of earlier batches only the keys are read; they are tables of their own
+    keys = _table(spark, f"{out}/keys", _KEYS).join(done.select("run", "batch_id"), ["run", "batch_id"], "left_semi").select("hash_enunciado", "id_qc", "id")
+    if bank is not None:
+        keys = keys.unionByName(bank.select("hash_enunciado", "id_qc", "id"))
+
+    marked = durable(extract.marked_pages(pages, "a", CARRIED), "marked")  # pages are parsed once
+    parsed = ordered(extract.site_a_rows(extract.blocks_of(marked, "a", carry=CARRIED), CARRIED))
+    good, bad = ingest.split_quarantine(parsed)
+    unread = marked.filter("fault is not null").select("page_id", *CARRIED, F.concat(F.lit("unreadable_page: "), "fault").alias("motivo"))
+    accepted = durable(ingest.insert_if_new(good, keys), "accepted")
+    highest = keys.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    rows = as_questions(accepted, highest + 1)
+    _write(rows, out, "bank", run, batch_id)
+    written = spark.read.parquet(f"{out}/bank/run={run}/batch_id={batch_id}")
+    _write(written.select("hash_enunciado", "id_qc", "id"), out, "keys", run, batch_id)
+    _write(bad.unionByName(unread, allowMissingColumns=True), out, "quarantine", run, batch_id)
+    number = done.count()
+    page = F.col("pagina") if "pagina" in pages.columns else F.col("page_id")
+    progress = pages.groupBy("fonte", F.concat_ws("/", "categoria", "tema").alias("chave")).agg(F.max(page.cast("int")).alias("pagina"))
+    _write(progress.withColumn("seq", F.lit(number).cast("long")), out, "progress", run, batch_id)
+    _write(spark.range(1).select(F.lit(number).cast("long").alias("number")).coalesce(1), out, "commits", run, batch_id)
+
+
+def ingest_pages(pages: DataFrame, out: str, checkpoint: str, bank: DataFrame | None = None) -> StreamingQuery:
     """Start the ingestion and stop when all present files are stored. Restarting with
-    the same checkpoint continues where it ended."""
+    the same checkpoint continues where it ended; with another one the store goes on as well.
+    One query at a time writes to a store."""
+    run = run_of(pages.sparkSession, checkpoint, out)
     return (
         pages.writeStream.option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
-        .foreachBatch(lambda df, batch_id: store_batch(df, batch_id, out))
+        .foreachBatch(lambda df, batch_id: store_batch(df, batch_id, out, run, bank))
         .start()
     )
 

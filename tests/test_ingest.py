@@ -60,8 +60,7 @@ def test_random_histories(spark):
     assert stored(spark, rows, bank) == sorted(want)
 
 
-def test_large_batch_path(spark, monkeypatch):
-    monkeypatch.setattr(ingest, "BROADCAST_KEYS", 0)
+def test_bank_without_codes_or_digests_in_common(spark):
     assert stored(spark, [(1, "A", "1"), (2, "B", "2"), (3, None, "3")], [("A", "9"), (None, "3")]) == [2]
 
 

@@ -9,7 +9,6 @@ from checks import projections as P
 from checks.registry import QUERIES
 from quaestor.operators import draw, ingest
 from quaestor.plans import stats
-from quaestor.session import broadcast_if_small
 
 STREAMS = {n for n in QUERIES if re.match(r"st[1235]_|st4_coll", n)}
 
@@ -32,18 +31,26 @@ def test_scan_reads_only_needed_columns_and_partitions(spark, sf_dir):
     assert re.search(r"PartitionFilters: \[.*fonte.*pci", plan)
 
 
-def test_draw_keeps_only_top_ranks_before_the_shuffle(spark, sf_dir):
-    plan = plan_of(draw.rank_candidates(P.questions(spark, sf_dir), 60))
-    assert plan.count("WindowGroupLimit") == 2
-    assert plan.index("WindowGroupLimit") < plan.rindex("WindowGroupLimit")
+def test_requests_of_any_size_have_one_plan_and_schema(spark, sf_dir):
+    rows = P.questions(spark, sf_dir)
+    small, large = draw.rank_candidates(rows, 900), draw.rank_candidates(rows, 5000)
+    assert small.schema == large.schema and dict(large.dtypes)["rank"] == "bigint"
+    assert {tuple(r) for r in large.collect()} == {tuple(r) for r in small.collect()}
 
 
-def test_large_ranks_use_digest_buckets(spark, sf_dir):
-    rows = P.questions(spark, sf_dir)
-    small = {tuple(r) for r in draw.rank_candidates(rows, 900).collect()}
-    large = draw.rank_candidates(rows, 5000)
-    assert "WindowGroupLimit" not in plan_of(large)
-    assert {tuple(r) for r in large.collect()} == small
+def test_a_large_request_makes_no_more_rows_than_it_gets(spark):
+    bank = spark.range(3000).select(
+        "id", F.lit("pci").alias("fonte"), F.when(F.col("id") >= 0, "m").alias("materia"), F.lit(0).alias("usada"), F.md5(F.col("id").cast("string")).alias("content_hash"))
+    requests = spark.range(200).select(F.col("id").alias("exam"), F.when(F.col("id") >= 0, "m").alias("materia"), F.when(F.col("id") == 0, 1500).otherwise(1).alias("n"))
+    drawn = draw.draw(bank, requests)
+    assert drawn.count() == 1500 + 199 and drawn.filter("exam = 0").agg(F.countDistinct("id")).first()[0] == 1500
+    plan = plan_of(drawn)
+    assert "_n" not in re.findall(r"Filter \(.*", plan) and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_any_id_comes_back_unchanged(spark):
+    rows = spark.createDataFrame([(-5, "pci", "a"), (2**60 + 7, "qconcursos", "a"), (9, "qconcursos", "b"), (-9, "other", "b"), (-(2**62), None, "c")], "id long, fonte string, content_hash string")
+    assert {r["content_hash"]: r["id"] for r in draw.one_per_content(rows).collect()} == {"a": 2**60 + 7, "b": 9, "c": -(2**62)}
 
 
 def test_copies_fold_before_the_shuffle(spark):
@@ -67,14 +74,6 @@ def test_hot_digest_with_distinct_codes(spark):
     assert ingest.insert_if_new(rows).count() == 20_001
 
 
-def test_broadcast_only_within_the_bound(spark):
-    side = spark.range(1000)
-    big = spark.range(10)
-    assert "broadcast" in broadcast_if_small(side, 1000)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in broadcast_if_small(side, 999)._jdf.queryExecution().analyzed().toString().lower()
-    assert big.join(broadcast_if_small(side, 5), "id").count() == 10
-
-
 def test_hot_pending_key_is_split_at_run_time(spark, monkeypatch):
     """The hot statement's first row is blocked by its code, so in the first round all
     its rows are still pending when they meet the winners."""
