@@ -87,8 +87,9 @@ latest AS (SELECT event_type AS fonte, CAST(user_id AS VARCHAR) AS chave, arg_ma
            FROM events GROUP BY ALL)"""
 
 TOPICS = """
-topics AS (SELECT 'view' AS fonte, CAST(s_suppkey AS VARCHAR) AS chave,
-             'http://example.org/' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN '?q=1' ELSE '' END AS base FROM supplier)"""
+topics AS (SELECT e.fonte, CAST(s_suppkey AS VARCHAR) AS chave,
+             'http://example.org/' || s_name || CASE WHEN s_suppkey % 2 = 0 THEN '?q=1' ELSE '' END AS base
+           FROM supplier CROSS JOIN (SELECT unnest(['view', 'click', 'error', 'purchase', 'signup']) AS fonte) e)"""
 
 LOW = r"""
 low AS (SELECT doc_id, regexp_replace(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '[0-9<>&()\[\]:]', '#', 'g') AS low FROM documents),
@@ -180,7 +181,7 @@ t AS (SELECT sum(total) AS s, max(total) AS m FROM c)""".replace("WITH RECURSIVE
 SELECT materia, total, round(100.0 * total / s, 1) AS pct_total, CAST(floor(100.0 * total / s + 0.5) AS BIGINT) AS pct_inteiro,
   round(100.0 * total / m, 1) AS pct_maior, CAST(greatest(0, s - total) AS BIGINT) AS restante FROM c, t"""
 SQL["w4_study_streaks"] = """
-WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS dia FROM events WHERE event_type = 'purchase'),
+WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS dia FROM events),
 g AS (SELECT *, dia - CAST(row_number() OVER (PARTITION BY user_id ORDER BY dia) AS INT) AS grupo FROM d),
 r AS (SELECT user_id, count(*) AS dias, max(dia) AS ate FROM g GROUP BY user_id, grupo)
 SELECT user_id, max(dias) AS maior, coalesce(max(CASE WHEN ate = (SELECT max(dia) FROM d) THEN dias END), 0) AS atual FROM r GROUP BY user_id"""
@@ -272,7 +273,7 @@ FROM q WHERE id_qc IS NOT NULL"""
 SQL["x1_sql_function"] = _with(Q) + """
 SELECT id // 10 AS page_id, CAST(row_number() OVER (PARTITION BY id // 10 ORDER BY id) - 1 AS INT) AS pos, id_qc, CAST(len(letras) AS INT) AS n_opcoes
 FROM q WHERE id_qc IS NOT NULL AND id % 13 <> 0"""
-SQL["x3_numbered"] = _with(LOW) + """
+SQL["x3_numbered"] = _with(LOW) + r"""
 SELECT doc_id AS page_id, low AS enunciado, 'op ' || trim(substr(low, 1, w)) AS a, trim('op ' || substr(low, 1 + w, w)) AS b,
   trim('op ' || substr(low, 1 + 2 * w, w)) AS c,
   -- a word ending in "gab" at a line end also counts as the answer label of the next line
@@ -280,7 +281,8 @@ SELECT doc_id AS page_id, low AS enunciado, 'op ' || trim(substr(low, 1, w)) AS
     || CASE WHEN doc_id % 3 = 0 THEN chr(10) || 'Gabarito: B' ELSE '' END, '[Gg](?:abarito|ab[.]?)[:\s]+([A-E])', 1), '') AS gabarito
 FROM lw WHERE length(low) >= 15"""
 SQL["x3_containers"] = _with(LOW) + """
-SELECT doc_id AS page_id, low AS enunciado, 'op ' || trim(translate(substr(low, 1, w), 'abcde', '#####')) AS a, 'visto em 2019' AS comentario, 2019 AS ano
+SELECT doc_id AS page_id, low AS enunciado, 'op ' || trim(translate(substr(low, 1, w), 'abcde', '#####')) AS a,
+  'op ' || translate(substr(low, 1 + w, w), 'abcde', '#####') || chr(10) || 'Comentário: visto em 2019' AS b, 'visto em 2019' AS comentario, 2019 AS ano
 FROM lw WHERE length(low) >= 10"""
 SQL["x3_lines"] = _with(LOW) + "SELECT doc_id AS page_id, '7) ' || low AS enunciado FROM lw WHERE length(low) >= 13"
 SQL["x4_hierarchy"] = _with(LISTED) + """
@@ -430,6 +432,10 @@ SQL["s7_page_scan"] = "SELECT page_id, url, html FROM pages"
 SQL["s8_append"] = _with(Q) + "SELECT fonte, id, hash_enunciado FROM q"
 SQL["s9_add_columns"] = _with(Q) + """
 SELECT id, materia, CAST(NULL AS VARCHAR) AS cargo, CAST(NULL AS VARCHAR) AS tema, '[]' AS imagens_urls, 'pendente' AS prova FROM q"""
+SQL["u2_column_difference"] = """
+SELECT unnest(['alternativas', 'ano', 'assunto', 'banca', 'cargo', 'categoria', 'comentario', 'content_hash', 'enunciado', 'fonte', 'gabarito',
+  'hash_enunciado', 'id', 'id_qc', 'imagens', 'imagens_urls', 'materia', 'orgao', 'prova', 'tema', 'texto_associado', 'usada']) AS coluna
+EXCEPT SELECT unnest(['fonte', 'materia', 'tema', 'id'])"""
 SQL["s10_export_csv"] = _with(Q) + "SELECT id, enunciado, materia FROM q"
 SQL["s10_export_json"] = _with(Q) + "SELECT id, enunciado, CAST(len(letras) AS INT) AS n_opcoes FROM q WHERE fonte = 'pci'"
 SQL["u5_exams_available"] = _with(SPECS) + """

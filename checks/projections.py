@@ -224,14 +224,14 @@ def usage_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def study_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").filter("event_type = 'purchase'").selectExpr(
-        "user_id", "CAST(ts AS DATE) AS dia"
-    )
+    return table(spark, sf_dir, "events").selectExpr("user_id", "CAST(ts AS DATE) AS dia")
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").selectExpr(
-        "'view' AS fonte",
+        "explode(array('view', 'click', 'error', 'purchase', 'signup')) AS fonte", "*",
+    ).selectExpr(
+        "fonte",
         "CAST(s_suppkey AS STRING) AS chave",
         "concat('http://example.org/', s_name, CASE WHEN s_suppkey % 2 = 0 THEN '?q=1' ELSE '' END) AS base",
     )

@@ -382,7 +382,7 @@ def x3_numbered(spark, d):
 @query
 def x3_containers(spark, d):
     rows = extract.questions_by_pattern(P.container_pages(spark, d), extract.LAYOUTS["containers"])
-    return rows.select("page_id", "enunciado", F.col("alternativas")["A"].alias("a"), "comentario", "ano")
+    return rows.select("page_id", "enunciado", F.col("alternativas")["A"].alias("a"), F.col("alternativas")["B"].alias("b"), "comentario", "ano")
 
 
 @query
@@ -709,6 +709,12 @@ def s9_add_columns(spark, d):
     ).select("id", "materia", "cargo", "tema", F.to_json("imagens_urls").alias("imagens_urls"), "prova")
 
 
+@query
+def u2_column_difference(spark, d):
+    old = P.questions(spark, d).select("id", "fonte", "materia", "tema", F.lit(1).alias("outra"))
+    return spark.createDataFrame([(c,) for c in store.missing_columns(old, QUESTIONS)], "coluna string")
+
+
 @query
 def s10_export_csv(spark, d):
     path = work_path(spark, "csv")

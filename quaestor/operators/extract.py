@@ -3,8 +3,10 @@ everything that a regular expression can say stays in column expressions."""
 
 from __future__ import annotations
 
+import html
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -178,9 +180,9 @@ def register_sql(spark: SparkSession) -> None:
     @udtf(returnType="pos int, id_qc string, enunciado string, alternativas map<string,string>, origem string, "
           "texto_associado string, imagens array<string>", useArrow=True)
     class ExtractQuestions:
-        def eval(self, html: str):
+        def eval(self, page: str):
             pos = 0
-            for block in read_marks(html or "", LAYOUTS_OF_SITES["a"]):
+            for block in read_marks(page or "", LAYOUTS_OF_SITES["a"]):
                 by_role = {}
                 for place, node in enumerate(block["nodes"]):
                     stripped = [p.strip() for p in node["pieces"]]
@@ -314,9 +316,13 @@ _SUB = r'/simulados/([^/"?#]+)/([^/"?#]+)/?$'
 
 
 def _unescape(c: Column) -> Column:
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Character references, named and numeric, decoded. Most texts have none and stay in the
+    JVM; the others go to a worker in Arrow batches."""
+    @F.pandas_udf("string")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return F.coalesce(decoded(F.when(F.contains(c, F.lit("&")), c)), c)
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -379,6 +385,17 @@ def topic_urls(pages: DataFrame) -> DataFrame:
     )
 
 
+def answer_states(pages: DataFrame) -> DataFrame:
+    """``page_id, numero, id_questao, respondivel`` per question block of site B: the number of
+    the question on the block's own answer button, and whether that button is there and on."""
+    button = lambda b: _first(_nodes(b, "answer_button"))
+    states = F.transform("blocks", lambda b: F.struct(
+        F.nullif(F.regexp_extract(F.coalesce(_spaced(_first(_nodes(b, "code"))), F.lit("")), r"Q(\d+)", 1), F.lit("")).alias("numero"),
+        F.nullif(button(b)["value"], F.lit("")).alias("id_questao"),
+        (button(b).isNotNull() & (F.size(_nodes(b, "answer_off")) == 0)).alias("respondivel")))
+    return marked_pages(pages, "b").select("page_id", F.explode(states).alias("s")).select("page_id", "s.*")
+
+
 def page_flags(pages: DataFrame) -> DataFrame:
     """State of every page."""
     return pages.select(

@@ -30,7 +30,7 @@ class Mark:
     classes: tuple[str, ...] = ()
     class_parts: tuple[str, ...] = ()
     id_end: str = ""
-    has: tuple[str, str] | None = None  # attribute that contains a text
+    has: tuple[str, str] | None = None  # attribute that is there and contains a text
     take: str = ""  # attribute whose value comes along
 
     def fits(self, tag: str, attrs: dict[str, str]) -> bool:
@@ -40,7 +40,7 @@ class Mark:
         if (self.classes or self.class_parts) and not (
                 set(self.classes) & set(names.split()) or any(p in names for p in self.class_parts)):
             return False
-        if self.has and self.has[1] not in attrs.get(self.has[0], ""):
+        if self.has and (self.has[0] not in attrs or self.has[1] not in attrs[self.has[0]]):
             return False
         return attrs.get("id", "").endswith(self.id_end)
 
@@ -78,6 +78,8 @@ SITE_B = BlockLayout(
         # state of the block for answering
         Mark("answer_button", "button", ("js-answer-btn",), take="data-question-id"),
         Mark("answer_off", "button", ("js-answer-btn",), has=("aria-disabled", "true")),
+        Mark("answer_off", "button", ("js-answer-btn",), has=("disabled", "")),
+        Mark("answer_off", "button", ("js-answer-btn",), has=("data-limit-reached", "true")),
     ),
 )
 LAYOUTS = {"a": SITE_A, "b": SITE_B}

@@ -118,3 +118,19 @@ def test_a_page_that_cannot_be_read_is_reported(spark, monkeypatch):
     (out,) = html_blocks.mark_pages("a", ["page_id"])(iter([pb]))
     assert out.column("fault").to_pylist() == [None, "ValueError: no page"] and len(out.column("blocks")[0]) == 1
     assert extract.page_faults(pages(spark, SITE_A), "a").count() == 0
+
+
+def test_entities_in_links(spark):
+    html = """<a href="/simulados/penal/crimes/no&ccedil;&otilde;es">No&ccedil;&#245;es &#x26; mais</a>"""
+    (r,) = [r for r in extract.hierarchy(listing(spark, html)).collect()]
+    assert (r["tema_nome"], r["tema_url"]) == ("Noções & mais", "/simulados/penal/crimes/noções")
+
+
+def test_answer_state_belongs_to_the_block(spark):
+    block = "<div class='q-question-item'><div class='q-id'>Q{0}</div>{1}</div>"
+    button = "<button class='btn js-answer-btn' data-question-id='{0}'{1}>Responder</button>"
+    html = button.format(9, "") + "".join(block.format(n, b) for n, b in (
+        (1, button.format(11, "")), (2, button.format(12, " aria-disabled='true'")), (3, button.format(13, " disabled")),
+        (4, button.format(14, " data-limit-reached=\"true\"")), (5, "")))
+    got = [tuple(r)[1:] for r in extract.answer_states(pages(spark, html)).orderBy("numero").collect()]
+    assert got == [("1", "11", True), ("2", "12", False), ("3", "13", False), ("4", "14", False), ("5", None, False)]
