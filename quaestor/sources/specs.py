@@ -1,13 +1,18 @@
 """Exam specifications, taxonomy and board structure from indented text files.
 
-The files are small block documents (``key: value`` lines, nesting by indentation,
-``- item`` lists). One file is one row; its lines are numbered and every line learns
-its parent keys by a running ``last`` per indentation level inside that file, so many
-files are read in parallel and each file is one bounded window partition.
+The files are YAML documents. Each is first brought into one form (``key: value`` lines, two
+blanks per level, ``- item`` lists) by the YAML library where the workers have it; a file that is
+no YAML, or all files without the library, are read as they stand, and ``file_faults`` tells
+which. One file is one row; its lines are numbered and every line learns its parent keys by a
+running ``last`` per indentation level inside that file, so many files are read in parallel
+and each file is one bounded window partition.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,10 +40,55 @@ def _unquoted(c):
     )
 
 
+def _in_one_form(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    try:
+        import yaml
+    except ImportError:
+        for files in batches:
+            yield files.assign(motivo=None)
+        return
+
+    class Blocks(yaml.SafeDumper):
+        def increase_indent(self, flow=False, indentless=False):
+            return super().increase_indent(flow, False)
+
+    Blocks.add_representer(type(None), lambda dumper, _: dumper.represent_scalar("tag:yaml.org,2002:null", ""))
+
+    def form(text):
+        try:
+            content = yaml.safe_load(text or "")
+            if not isinstance(content, dict):
+                return "", "no_keys"
+            return yaml.dump(content, Dumper=Blocks, sort_keys=False, allow_unicode=True, default_flow_style=False, width=1 << 30), None
+        except yaml.YAMLError as error:
+            return text, "no_yaml: " + str(error).split("\n")[0]
+
+    for files in batches:
+        formed = [form(t) for t in files["texto"]]
+        yield files.assign(texto=[t for t, _ in formed], motivo=[m for _, m in formed])
+
+
+def in_one_form(files: DataFrame) -> DataFrame:
+    """``arquivo, texto, motivo``: block form of every file, or why it is left as it stands."""
+    return files.select("arquivo", "texto").mapInPandas(_in_one_form, "arquivo string, texto string, motivo string")
+
+
+def file_faults(files: DataFrame, own_key: bool = True) -> DataFrame:
+    """``arquivo, motivo`` of files that give nothing or not all: no YAML, no keys at all, or
+    with ``own_key`` (exam files) no top key named like the file."""
+    formed = in_one_form(files)
+    named = flatten(files).filter((F.col("recuo") == 0) & (F.col("chave") == F.col("arquivo"))).select("arquivo").distinct()
+    bad = formed.filter("motivo is not null").select("arquivo", "motivo")
+    if not own_key:
+        return bad
+    other = formed.filter("motivo is null").join(named, "arquivo", "left_anti")
+    return bad.unionByName(other.select("arquivo", F.lit("other_top_key").alias("motivo")))
+
+
 def flatten(files: DataFrame, levels: int = 4) -> DataFrame:
     """One row per line: ``arquivo, linha, recuo, chave, valor, item, k0..k3`` where
     ``k<i>`` is the key in force at indentation ``2*i``."""
-    lines = files.select(
+    lines = in_one_form(files).select(
         "arquivo", F.posexplode(F.split("texto", r"\r?\n")).alias("linha", "bruto")
     ).filter(~F.col("bruto").rlike(r"^\s*(#.*)?$"))
     key = F.coalesce(

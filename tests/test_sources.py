@@ -147,3 +147,27 @@ def test_page_dumps(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>á\n</p>", encoding="utf-8")
     row = pages.read_page_dumps(spark, str(tmp_path)).first()
     assert row["html"] == "<p>á\n</p>" and row["url"].endswith("a.html")
+
+
+def test_any_yaml_form_gives_the_same_rows(spark):
+    from quaestor.sources import specs
+
+    two = "e1:\n  nome: 'Nome: um'\n  ano: 2024\n  cargos:\n    c1:\n      nivel: medio\n      materias:\n        Direito: 3\n        L\u00edngua: 7\n"
+    four = two.replace("  ", "    ")
+    flow = "e1: {nome: \"Nome: um\", ano: 2024, cargos: {c1: {nivel: medio, materias: {Direito: 3, 'L\u00edngua': 7}}}}"
+    rows = []
+    for text in (two, four, flow):
+        files = spark.createDataFrame([("e1", text)], "arquivo string, texto string")
+        rows.append(sorted(tuple(r) for r in specs.exam_specs(files).select("concurso", "nome", "ano", "cargo", "nivel", "materia", "peso").collect()))
+        assert specs.file_faults(files).count() == 0
+    assert rows[0] == rows[1] == rows[2] == [("e1", "Nome: um", 2024, "c1", "medio", "Direito", 3.0), ("e1", "Nome: um", 2024, "c1", "medio", "L\u00edngua", 7.0)]
+    taxonomies = [spark.createDataFrame([("t", x)], "arquivo string, texto string") for x in ("M:\n    C:\n        - a\n        - b\n", "M: {C: [a, b]}")]
+    assert [[tuple(r) for r in specs.taxonomy(t).orderBy("tema").collect()] for t in taxonomies] == [[("M", "C", "a", 1, 1), ("M", "C", "b", 1, 2)]] * 2
+
+
+def test_bad_files_are_reported(spark):
+    from quaestor.sources import specs
+
+    files = spark.createDataFrame([("a", "a: {x: 1"), ("b", "other: {x: 1}"), ("c", "- 1"), ("d", "d: {x: 1}"), ("e", None)], "arquivo string, texto string")
+    got = {r["arquivo"]: r["motivo"].split(":")[0] for r in specs.file_faults(files).collect()}
+    assert got == {"a": "no_yaml", "b": "other_top_key", "c": "no_keys", "e": "no_keys"}
