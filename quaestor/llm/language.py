@@ -164,7 +164,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.3,
         running = running_hash(data)
         hashes.append(span_hash(running, starts, ends, 0))
         for kind, word, at, to in feature_spans(starts, ends):
-            kinds.append(word + words_before)
+            kinds.append((word + words_before).astype(np.int32))
             cells_of.append((span_hash(running, at, to, kind) & np.uint64(CELLS - 1)).astype(np.int32))
         doc_of.append(np.repeat(np.arange(len(words_at) - 1) + row, np.diff(words_at)))
         words_before += len(starts)
