@@ -53,11 +53,25 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_STEPS: list[str] = []
+
+
+def drop_steps(spark: SparkSession) -> int:
+    """Delete the step tables that ``durable`` has made in this session so far; returns how many.
+    To be called once the results made from them are written."""
+    dropped = 0
+    while _STEPS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STEPS.pop())
+        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped
+
+
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from there: later steps
     neither recompute it nor depend on the executors that made it, read only the columns
     they need, and know its size."""
     path = work_path(df.sparkSession, label)
+    _STEPS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

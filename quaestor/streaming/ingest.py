@@ -105,7 +105,7 @@ def store_batch(pages: DataFrame, batch_id: int, out: str, run: str = "0", bank:
     _write(written.select("hash_enunciado", "id_qc", "id"), out, "keys", run, batch_id)
     _write(bad.unionByName(unread, allowMissingColumns=True), out, "quarantine", run, batch_id)
     number = done.count()
-    page = F.col("pagina") if "pagina" in pages.columns else F.col("page_id")
+    page = F.col("pagina") if "pagina" in pages.columns else F.col("page_id").try_cast("int")
     progress = pages.groupBy("fonte", F.concat_ws("/", "categoria", "tema").alias("chave")).agg(F.max(page.cast("int")).alias("pagina"))
     _write(progress.withColumn("seq", F.lit(number).cast("long")), out, "progress", run, batch_id)
     _write(spark.range(1).select(F.lit(number).cast("long").alias("number")).coalesce(1), out, "commits", run, batch_id)

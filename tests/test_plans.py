@@ -109,3 +109,12 @@ def test_hot_pending_key_is_split_at_run_time(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert split[0] > 0
+
+
+def test_step_tables_are_dropped_on_request(spark):
+    from quaestor import session
+
+    earlier, session._STEPS[:] = list(session._STEPS), []
+    step = session.durable(spark.range(3))
+    assert step.count() == 3 and session.drop_steps(spark) == 1 and session.drop_steps(spark) == 0
+    session._STEPS[:] = earlier

@@ -82,3 +82,44 @@ def test_live_statistics_follow_the_stream(spark, tmp_path):
 def test_source_counts_stream_plan(spark, tmp_path):
     rows = spark.readStream.schema("fonte string, categoria string").parquet(str(tmp_path))
     assert monitor.source_counts(rows).isStreaming
+
+
+def test_new_checkpoint_given_bank_and_hashed_page_ids(spark, sf_dir, tmp_path):
+    """A store that goes on under another checkpoint keeps all its rows; ids stay unique."""
+    import pytest
+
+    source, out, first, second = (str(tmp_path / n) for n in ("in", "out", "c1", "c2"))
+    pages = site_pages(spark, sf_dir).withColumn("page_id", F.xxhash64("page_id")).persist()
+    pages.coalesce(1).write.parquet(source)
+    held = ingest.insert_if_new(P.questions(spark, sf_dir).filter("id % 5 = 0"), seq="id").persist()
+    read = lambda: spark.readStream.schema(COLUMNS).parquet(source)
+    stream.ingest_pages(read(), out, first, held).awaitTermination()
+    rows = stream.stored(spark, out, "bank").collect()
+    stream.ingest_pages(read(), out, second, held).awaitTermination()
+    again = stream.stored(spark, out, "bank").collect()
+    assert sorted(r["hash_enunciado"] for r in again) == sorted(r["hash_enunciado"] for r in rows) and rows
+    assert len({r["id"] for r in rows}) == len(rows) and min(r["id"] for r in rows) > held.agg(F.max("id")).first()[0]
+    assert not {r["hash_enunciado"] for r in rows} & {r["hash_enunciado"] for r in held.collect()}
+    good, _ = ingest.split_quarantine(stream.page_questions(pages))
+    want = ingest.insert_if_new(good, held.select("hash_enunciado", "id_qc"))
+    assert {r["hash_enunciado"] for r in want.collect()} == {r["hash_enunciado"] for r in rows}
+    with pytest.raises(ValueError):
+        stream.ingest_pages(read(), out + "-other", first)
+
+
+def test_progress_is_the_last_page_of_a_list(spark, sf_dir, tmp_path):
+    out = str(tmp_path / "out")
+    pages = site_pages(spark, sf_dir).withColumn("pagina", (F.col("page_id") + 1).cast("int"))
+    stream.store_batch(pages.filter("page_id < 10"), 0, out)
+    stream.store_batch(pages.filter("page_id between 10 and 11"), 1, out)
+    last = {r["fonte"]: r["ultima_pagina"] for r in ingest.latest_progress(stream.stored(spark, out, "progress")).collect()}
+    assert max(last.values()) == 12
+
+
+def test_uncommitted_batches_are_not_seen(spark, sf_dir, tmp_path):
+    out = str(tmp_path / "out")
+    pages = site_pages(spark, sf_dir).persist()
+    stream.store_batch(pages.filter("page_id < 6"), 0, out)
+    before = stream.stored(spark, out, "bank").count()
+    spark.read.parquet(f"{out}/bank/run=0/batch_id=0").write.parquet(f"{out}/bank/run=0/batch_id=1")
+    assert stream.stored(spark, out, "bank").count() == before
