@@ -15,6 +15,11 @@ Null texts have size 0 and nothing is taken of them. Null sources form one sourc
 others. Null and repeated ids are rows like any other; rows equal in id and size may change
 places among themselves. Columns beside doc_id, text and source, whatever their names, are not
 read. An empty table gives no rows.
+
+``mix_documents`` carries the same quotas out in whole documents: each as often as the quota of
+its shard holds all blocks, and the first in the shard's seeded order once more, until the rest
+of the quota is met as nearly as a whole document allows. The choice does not depend on a document's
+length, and rows of equal or null ids are placed by their text and chosen one by one.
 """
 
 from __future__ import annotations
@@ -81,19 +86,18 @@ def source_targets(sizes: DataFrame, weights: list[int], share: float, most: int
             .select("key", "source", "source_size", "weight", "target"))
 
 
-def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.0, most: int = 3,
-                block_words: int = 64, shard_words: int = 1 << 22, seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source)."""
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = durable(docs.select("doc_id", "source", F.col("text").cast("string").alias("text")).select(
-        "doc_id", "source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("key"),
-        size.alias("size"), digest(F.lit(seed), F.col("doc_id")).alias("place")), "sizes")
+def on_shards(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    return sized.join(targets.select("key", "source_size", "target", "shards"), "key").withColumn("shard", F.pmod("place", "shards"))
+
+
+def shard_quotas(sized: DataFrame, weights: list[int] | None, share: float, most: int, block_words: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables of targets by source, and of words, blocks and quotas by shard, from a stored
+    table of key, source, size, place."""
     sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights or [1, 2, 3], share, most)
     targets = durable(targets.withColumn("shards", F.greatest(F.ceil(F.col("source_size") / shard_words), F.lit(1)).cast("long")), "targets")
 
-    placed = sized.join(targets.select("key", "source_size", "target", "shards"), "key").withColumn("shard", F.pmod("place", "shards"))
-    words = placed.groupBy("key", "shard").agg(F.sum("size").alias("words"))
+    words = on_shards(sized, targets).groupBy("key", "shard").agg(F.sum("size").alias("words"))
     words = words.withColumn("blocks", F.when(F.col("words") > 0, F.greatest(F.round(F.col("words") / block_words), F.lit(1))).otherwise(0).cast("long"))
     words = durable(words, "shards")
     blocks = words.groupBy("key").agg(F.sum("blocks").alias("blocks"))
@@ -103,7 +107,25 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     ballots = ballots.withColumn("seats", F.round(F.sum("votes").over(Window.partitionBy("one"))).cast("long"))
     quotas = apportion(ballots, ["one"], ["key"], "votes", "seats").select("key", F.least("quota", F.col("blocks") * most).alias("seats"))
     shards = apportion(words.join(quotas, "key"), ["key"], ["shard"], "blocks", "seats")
-    shards = durable(shards.select("key", "shard", "words", "blocks", "quota"), "quotas")
+    return targets, durable(shards.select("key", "shard", "words", "blocks", "quota"), "quotas")
+
+
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))
+
+
+def word_count() -> Column:
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.0, most: int = 3,
+                block_words: int = 64, shard_words: int = 1 << 22, seed: int = 1) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source)."""
+    sized = durable(docs.select(
+        "doc_id", "source", source_key().alias("key"), word_count().alias("size"),
+        digest(F.lit(seed), F.col("doc_id")).alias("place")), "sizes")
+    targets, shards = shard_quotas(sized, weights, share, most, block_words, shard_words)
+    placed = on_shards(sized, targets)
 
     stream = Window.partitionBy("key", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     spans = (placed.withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
@@ -120,3 +142,21 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
     more = F.aggregate(F.sequence(block_at(F.col("start")), block_at(F.col("end") - 1)), F.lit(0).cast("long"), lambda n, j: n + overlap(j))
     taken = F.when(F.col("size") > 0, F.floor(F.col("quota") / F.col("blocks")).cast("long") * F.col("size") + more).otherwise(0).cast("long")
     return spans.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix_documents(docs: DataFrame, weights: list[int] | None = None, share: float = 1.0, most: int = 3,
+                  block_words: int = 64, shard_words: int = 1 << 20, seed: int = 1) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it: none, once or up to
+    ``most`` times. A shard's words miss its quota by half a document at most."""
+    place = digest(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+    measured = docs.select(F.struct(*docs.columns).alias("row"), "source", source_key().alias("key"), word_count().alias("size"), place.alias("place"))
+    sized = durable(measured.drop("row"), "sizes")
+    targets, shards = shard_quotas(sized, weights, share, most, block_words, shard_words)
+    # the texts meet their shard's quota and its order in one exchange
+    stream = Window.partitionBy("key", "shard").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0)
+    placed = on_shards(measured.filter("size > 0"), targets).join(shards, ["key", "shard"]).withColumn("end", F.sum("size").over(stream))
+    rest = F.col("words") * F.pmod("quota", "blocks") / F.col("blocks")
+    once_more = (F.col("end") - F.col("size") / 2 < rest).cast("int")
+    times = F.floor(F.col("quota") / F.col("blocks")).cast("int") + once_more
+    chosen = placed.withColumn("times", times).filter("times > 0")
+    return chosen.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")

@@ -1,6 +1,9 @@
+from collections import Counter
+
 import data
 
 import corpus_pipeline as cp
+from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
 
 
@@ -29,3 +32,30 @@ def test_awkward_documents(spark, tmp_path, sf_dir):
         assert stage(spark, data.empty(docs), sf_dir).count() == 0
     kept = cp.keep_one_of_each_group(spark, docs, sf_dir).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [-3, 1, 3, 4, 5, 6, 7, 9, 10]
+
+
+def test_mix_emits_its_targets(spark, sf_dir):
+    """Weights 1, 2, 3 by name; ratios of target to size: 0.2, 0.6, 1.4, 2.6 about."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for source, words in [("a", 300_000), ("b", 200_000), ("c", 128_000), ("d", 23_000)]:
+        while words > 0:
+            size = min(words, rng.choice([20, 250, 250, 400, 3000]))
+            rows.append((len(rows) if rng.random() < 0.7 else rng.choice([None, 7]), " ".join(["w"] * size) + f" {len(rows)}", "en", source))
+            words -= size + 1
+    docs = data.documents(spark, rows)
+    targets = {r["source"]: (r["target"], r["source_size"]) for r in mix_sources(docs).join(docs.select("doc_id", "source").filter("doc_id <> 7"), "doc_id").collect()}
+    mixed = cp.mix_to_weights(spark, docs, sf_dir)
+    assert mixed.columns == docs.columns
+    emitted, times = Counter(), Counter()
+    for r in mixed.collect():
+        emitted[r["source"]] += len(r["text"].split())
+        times[r["text"]] += 1
+    for source, (target, size) in targets.items():
+        assert abs(emitted[source] - target) <= 1500 + 64
+        assert {times[t] for _, t, _, s in rows if s == source} <= {int(target / size), int(target / size) + 1}
+        # long documents are taken like short ones
+        long = sum(len(t.split()) * times[t] for _, t, _, s in rows if s == source and len(t) > 5000)
+        whole = sum(len(t.split()) for _, t, _, s in rows if s == source and len(t) > 5000)
+        assert source == "d" or abs(long / whole - target / size) < 0.2
