@@ -59,3 +59,17 @@ def test_mix_emits_its_targets(spark, sf_dir):
         long = sum(len(t.split()) * times[t] for _, t, _, s in rows if s == source and len(t) > 5000)
         whole = sum(len(t.split()) for _, t, _, s in rows if s == source and len(t) > 5000)
         assert source == "d" or abs(long / whole - target / size) < 0.2
+
+
+def test_rows_without_or_with_equal_ids(spark, sf_dir):
+    """Whatever their ids, different texts stay and near copies go."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(64)) for i in range(40)]
+    ids = [None] * 15 + [7] * 15 + list(range(100, 110))
+    rows = [(i, t, "en", "a") for i, t in zip(ids, texts)]
+    copies = [(None, texts[35] + " end", "en", "a"), (3, texts[0], "en", "a"), (None, texts[1], "en", "a"), (7, texts[20], "en", "a"), (9, texts[20] + " end", "en", "a")]
+    docs = data.documents(spark, rows + copies)
+    kept = cp.keep_one_of_each_group(spark, docs, sf_dir)
+    want = Counter(rows) - Counter([rows[0]]) + Counter([copies[1]])
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in kept.collect()) == want
+    mixed = cp.mix_to_weights(spark, kept, sf_dir).collect()
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in mixed) == want
