@@ -7,12 +7,11 @@ pieces are sequences of their own. The others are dealt evenly into groups of ab
 * Best-fit decreasing gives the first incumbent. If it needs no more sequences than the lower
   bound (total length, or pieces above half a sequence), it is optimal.
 * Else a depth-first search fills one sequence at a time around the largest document left. It
-  enumerates the undominated fillings of the rest - a filling is dominated if one document that
-  also fits is at least as long as some of its documents together - by least waste first, and
-  gives up a branch once its waste exceeds what a better solution may waste. ``NODES`` bounds
-  the search; the incumbent then stands, so a packing is always whole.
-
-A group wastes at most one sequence beyond its bound in practice: under 0.05 % of all.
+  enumerates the undominated fillings of the rest, of any number of documents - a filling is dominated
+  if one document that also fits is at least as long as some of its documents together - by least waste
+  first, from the sums that the lengths left can make, and gives up a branch once its waste exceeds
+  what a better solution may waste. ``NODES`` and ``TESTS`` bound the search; the best so far
+  then stands, so a packing is always whole.
 
 Null texts are empty: one piece of the end id alone. Null and repeated ids are rows like any other.
 An empty table gives no pieces.
@@ -20,9 +19,11 @@ An empty table gives no pieces.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import struct
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -37,7 +38,10 @@ from quaestor.session import ship_package
 
 GROUP_SEQUENCES = 2048
 NODES = 20_000
-FILLINGS = 64
+#: fillings of one group that are tested for dominance
+TESTS = 200_000
+#: sequences whose fillings are kept at hand; those of earlier ones are found anew
+OPEN_LEVELS = 16
 CACHE_WORDS = 600_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
 
@@ -183,7 +187,7 @@ class Completion:
         self.present = sum(1 << n for n in set(lengths))
         self.total = sum(lengths)
         self.bound = max(-(-self.total // room), sum(2 * n > room for n in lengths))
-        self.nodes = 0
+        self.nodes = self.tests = 0
 
     def take(self, filling: list[int]) -> None:
         for n in filling:
@@ -201,64 +205,127 @@ class Completion:
         found = (self.present & ((2 << most) - 1)).bit_length() - 1
         return max(found, 0)
 
-    def fillings(self, left: int, longest: int, depth: int = 3) -> list[list[int]]:
-        """Undominated ways to fill ``left`` with documents of at most ``longest``."""
-        best = self.longest(min(left, longest))
-        if not best:
-            return [[]]
-        out = [[best]]
-        if depth > 1 and best < left:
-            first = best
-            while first and len(out) < FILLINGS:
-                self.take([first])
-                for rest in self.fillings(left - first, first, depth - 1):
-                    # one document as long as these together, and fitting, dominates them
-                    if rest and first + sum(rest) > best:
-                        out.append([first, *rest])
-                self.give_back([first])
-                if out and sum(out[-1]) == left:
-                    break
-                first = self.longest(first - 1) if first > 1 else 0
-        return sorted(out, key=sum, reverse=True)[:FILLINGS]
+    def reachable(self, left: int) -> tuple[list[int], list[int], list[int]]:
+        """The lengths left of at most ``left``, ascending, how many of each may go in, and for
+        each the sums (as bits) that those before it can make; all sums come last."""
+        lengths, most, sums = [], [], [1]
+        mask = (2 << left) - 1
+        rest = self.present & mask & ~1
+        while rest:
+            n = (rest & -rest).bit_length() - 1
+            rest &= rest - 1
+            lengths.append(n)
+            most.append(min(self.counts[n], left // n))
+            made, copies, step = sums[-1], most[-1], 1
+            if made != mask:
+                while copies:
+                    step = min(step, copies)
+                    made |= made << (n * step)
+                    copies -= step
+                    step *= 2
+                made &= mask
+            sums.append(made)
+        return lengths, most, sums
+
+    def dominated(self, filling: list[int], waste: int) -> bool:
+        """Whether one document that is left beside ``filling`` is at least as long as some of
+        its documents together (longer than one, as long as several) and fits instead of them."""
+        single, several = 0, 0
+        for n in filling:
+            several |= several << n | single << n
+            single |= 1 << n
+        longer, width = (single | 1) << 1, 1  # sums + 1 .. sums + waste
+        if not waste:
+            longer = 0
+        while width < waste:
+            step = min(width, waste - width)
+            longer |= longer << step
+            width += step
+        more, width = several, 1  # sums + 0 .. sums + waste
+        while width < waste + 1:
+            step = min(width, waste + 1 - width)
+            more |= more << step
+            width += step
+        self.take(filling)
+        found = (longer | more) & self.present
+        self.give_back(filling)
+        return bool(found)
+
+    def fillings(self, left: int) -> Iterator[list[int]]:
+        """Undominated ways to fill ``left``, of any number of documents, by least waste first,
+        and of the same waste those of the longest documents first. The counts must be
+        the same whenever the next one is asked for."""
+        lengths, most, sums = self.reachable(left)
+
+        def ways(below: int, rest: int) -> Iterator[list[int]]:
+            """All that make exactly ``rest`` of the first ``below`` lengths; none is a dead end."""
+            if not rest:
+                yield []
+                return
+            for k in range(bisect_right(lengths, rest, 0, below) - 1, -1, -1):
+                n = lengths[k]
+                for copies in range(min(most[k], rest // n), 0, -1):
+                    if sums[k] >> (rest - n * copies) & 1:
+                        for others in ways(k, rest - n * copies):
+                            yield [n] * copies + others
+                if not sums[k] >> rest & 1:
+                    return
+
+        totals = sums[-1]
+        while totals:
+            total = totals.bit_length() - 1
+            totals ^= 1 << total
+            for filling in ways(len(lengths), total):
+                self.tests += 1
+                if not self.dominated(filling, left - total):
+                    yield filling
+                elif self.tests >= TESTS:
+                    return
+
+    def options(self, tried: int) -> Iterator[list[int]]:
+        """Fillings of a sequence around the longest document left, without the first ``tried``."""
+        top = self.longest(self.room)
+        self.take([top])
+        found = itertools.islice(self.fillings(self.room - top), tried, None)
+        while True:
+            filling = next(found, None)
+            self.give_back([top])
+            if filling is None:
+                return
+            yield [top, *filling]
+            self.take([top])
 
     def better_than(self, incumbent: list[list[int]]) -> list[list[int]]:
-        best, current = incumbent, []
-        stack: list[list] = []
-        wasted = 0
+        best, wasted = incumbent, 0
+        levels: list[list] = []  # a sequence each: options (None: made anew), how many tried, the chosen
         while len(best) > self.bound:
-            allowed = (len(best) - 1) * self.room - self.total
-            if not self.present and len(current) < len(best):
-                best = [list(f) for f in current]
-                continue
-            if self.present and self.nodes < NODES and (not stack or stack[-1][1] is not None):
+            if not self.present:
+                best = [chosen for _, _, chosen in levels]
+            elif self.nodes >= NODES or self.tests >= TESTS:
+                break
+            else:
                 self.nodes += 1
-                top = self.longest(self.room)
-                self.take([top])
-                options = [[top, *f] for f in self.fillings(self.room - top, self.room - top)]
-                self.give_back([top])
-                stack.append([options, None])
+                levels.append([self.options(0), 0, None])
+                if len(levels) > OPEN_LEVELS:
+                    levels[-1 - OPEN_LEVELS][0] = None
+            allowed = (len(best) - 1) * self.room - self.total
             # the next option of the deepest sequence whose waste is allowed; else one back
-            while stack:
-                options, chosen = stack[-1]
+            while levels:
+                options, tried, chosen = levels[-1]
                 if chosen is not None:
                     self.give_back(chosen)
                     wasted -= self.room - sum(chosen)
-                    current.pop()
-                    stack[-1][1] = None
-                if options:
-                    filling = options.pop(0)
-                    waste = self.room - sum(filling)
-                    if wasted + waste > allowed:
-                        options.clear()  # the others waste no less
-                        stack.pop()
-                        continue
-                    self.take(filling)
-                    wasted += waste
-                    current.append(filling)
-                    stack[-1][1] = filling
-                    break
-                stack.pop()
-            if not stack or (self.nodes >= NODES and self.present):
+                if options is None and wasted <= allowed:
+                    options = self.options(tried)
+                filling = next(options, None) if wasted <= allowed else None
+                if filling is None or wasted + self.room - sum(filling) > allowed:
+                    levels.pop()  # the others waste no less
+                    continue
+                self.take(filling)
+                wasted += self.room - sum(filling)
+                levels[-1] = [options, tried + 1, filling]
+                break
+            if not levels:
                 break
         return best
 

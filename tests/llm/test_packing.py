@@ -84,3 +84,21 @@ def test_sequences_hold_their_pieces(spark):
     rows = p.sequences(packed).collect()
     assert sum(len(r["ids"]) for r in rows) == 4 * total and all(sum(r["lengths"]) * 4 == len(r["ids"]) for r in rows)
     assert p.pack_pieces(p.tokenized_pieces(data.empty(docs), tokenizer_path()).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("low,high,room", [(80, 130, 641), (100, 190, 1409), (300, 820, 4096)])
+def test_sequences_of_many_pieces(low, high, room):
+    """Five to twelve pieces a sequence, where best fit is not optimal: most of its excess goes."""
+    rng, fit, packed, bound = random.Random(2), 0, 0, 0
+    for _ in range(4):
+        lengths = sorted((rng.randint(low, high) for _ in range(400)), reverse=True)
+        got = p.pack_lengths(lengths, room)
+        assert sorted(itertools.chain(*got)) == sorted(lengths) and all(sum(f) <= room for f in got)
+        fit, packed, bound = fit + len(p.best_fit_decreasing(lengths, room)), packed + len(got), bound + p.Completion(lengths, room).bound
+    assert fit > bound and 2 * (packed - bound) <= fit - bound
+
+
+def test_fillings_of_any_number():
+    search = p.Completion([500, 401, 402, 403, 404, 405, 406, 407], 4096)
+    assert next(search.fillings(3328)) == [500, 407, 406, 405, 404, 403, 402, 401]
+    assert next(p.Completion([3, 3, 3, 3, 3, 10], 15).fillings(15)) == [3] * 5
