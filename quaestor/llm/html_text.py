@@ -4,8 +4,11 @@ A page is read into blocks: runs of text between block-level tags, with their le
 of it inside links, the share of stop words, and where they stand. The first pass looks at each
 block alone. Page furniture - navigation, headers, footers, asides, forms, notices, adverts,
 comments, by element, role or name - is bad; so are blocks that are mostly links. Long blocks
-with enough stop words are good, long ones with hardly any are bad. Inside an article or main
-element any block of some length is good. What is short or in between stays open. The second pass
+with enough stop words are good. Inside an article or main element any block of some length is good,
+and beside one, blocks with hardly any stop words are bad; on a page without, they stay open (code,
+tables, names). What is short or in between stays open too. If no article has text and the blocks that are
+good by their stop words hold less than half of the text of some length, the page's language is
+taken to be none of the list's, and its blocks of some length and few links are good. The second pass
 gives open blocks the label of the nearest decided neighbours: that of both if they agree, else
 of the nearer one; headings look to what follows. Within an article only neighbours of the same
 article count, and where none is decided the article itself does.
@@ -58,7 +61,9 @@ STOP_WORDS = frozenset(
 
 SHORT, LONG = 70, 200
 FEW_STOPS, MANY_STOPS = 0.10, 0.25
-MOSTLY_LINKS = 0.5
+MOSTLY_LINKS, FEW_LINKS = 0.5, 0.2
+#: from here on a character (of Han, kana, Hangul) says as much as two or more letters
+WIDE = "\u2e80"
 EDGES = ".,;:!?\"'()[]«»„“”‘’…"
 BLANK = re.compile(r"[\s_-]+")
 CUT_OFF = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
@@ -195,11 +200,15 @@ def stop_share(text: str) -> float:
     return sum(w.strip(EDGES) in STOP_WORDS for w in words) / len(words)
 
 
+def extent(text: str) -> int:
+    return len(text) if text.isascii() else len(text) + sum(WIDE <= c for c in text)
+
+
 def first_label(block: Block) -> int:
     if block.furniture:
         return BAD
-    size = len(block.text)
-    links = block.linked / size
+    size = extent(block.text)
+    links = block.linked / len(block.text)
     if links > MOSTLY_LINKS and not (block.zone and size >= LONG):
         return OPEN if block.zone and block.heading else BAD
     if size < SHORT:
@@ -212,6 +221,20 @@ def first_label(block: Block) -> int:
     return OPEN if stops >= FEW_STOPS else BAD
 
 
+def first_labels(blocks: list[Block]) -> list[int]:
+    labels = [first_label(b) for b in blocks]
+    if any(b.zone and label == GOOD for b, label in zip(blocks, labels)):
+        return labels
+    # no article tells the text apart: stop words do if most of it is in their languages
+    texts = [i for i, b in enumerate(blocks) if not b.furniture and b.linked <= MOSTLY_LINKS * len(b.text) and extent(b.text) >= SHORT]
+    sure = sum(extent(blocks[i].text) for i in texts if labels[i] == GOOD)
+    unlisted = 2 * sure < sum(extent(blocks[i].text) for i in texts)
+    for i in texts:
+        if labels[i] != GOOD:
+            labels[i] = GOOD if unlisted and blocks[i].linked <= FEW_LINKS * len(blocks[i].text) else OPEN
+    return labels
+
+
 def second_labels(blocks: list[Block], labels: list[int]) -> list[int]:
     """Labels with every open one decided from the nearest decided neighbours."""
     n = len(blocks)
@@ -231,7 +254,7 @@ def second_labels(blocks: list[Block], labels: list[int]) -> list[int]:
             continue
         (far_before, left), (far_after, right) = before[i], after[i]
         if left == OPEN and right == OPEN:
-            decided[i] = GOOD if block.zone or len(block.text) >= SHORT else BAD
+            decided[i] = GOOD if block.zone or extent(block.text) >= SHORT else BAD
         elif block.zone and GOOD in (left, right):
             decided[i] = GOOD
         elif left == right or right == OPEN:
@@ -239,7 +262,7 @@ def second_labels(blocks: list[Block], labels: list[int]) -> list[int]:
         elif left == OPEN or block.heading:
             decided[i] = right
         elif far_before == far_after:
-            decided[i] = GOOD if len(block.text) >= SHORT else BAD
+            decided[i] = GOOD if extent(block.text) >= SHORT else BAD
         else:
             decided[i] = left if far_before < far_after else right
     return decided
@@ -247,7 +270,7 @@ def second_labels(blocks: list[Block], labels: list[int]) -> list[int]:
 
 def main_text(html: str | None) -> str:
     blocks = read_blocks(html) if html else []
-    labels = second_labels(blocks, [first_label(b) for b in blocks])
+    labels = second_labels(blocks, first_labels(blocks))
     return "\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
 
 

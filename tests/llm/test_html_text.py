@@ -54,3 +54,25 @@ def test_table_pages_keep_their_articles(spark, sf_dir):
         inner = re.sub(r"<[a-zA-Z/][^<>]*\Z", "", inner)
         blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == "\n".join(b for b in blocks if b)
+
+
+POLISH = "Rodzina mieszkała w starym domu nad rzeką, którego okna wychodziły na las, gdzie wieczorami słychać było śpiew ptaków. "
+RUSSIAN = "Семья жила в старом доме у реки, окна которого выходили на лес, откуда вечерами доносилось пение птиц. "
+JAPANESE = "その家族は川のほとりの古い家に住んでいて、窓からは森が見え、夕方になると鳥の声が聞こえてきた。"
+MENU = "<ul><li><a href=/a>Start</a><li><a href=/b>Kontakt</a></ul>"
+
+
+@pytest.mark.parametrize("text", [POLISH, RUSSIAN, JAPANESE])
+def test_unlisted_language_without_article(text):
+    """Paragraphs of any length by length and links alone; lists of links and furniture go."""
+    links = "<p>" + "".join(f"<a href={k}>{text[:30]}</a> " for k in range(5)) + "</p>"
+    page = f"<body><nav>{text * 3}</nav>{MENU}<div><h1>A1</h1><p>{text}</p><p>{text * 3}</p></div>{links}<div class='cookie'>{text * 2}</div><footer>{text}</footer>"
+    assert main_text(page) == "\n".join(["A1", text.strip(), (text * 3).strip()])
+
+
+def test_blocks_without_stop_words_among_others():
+    """Code and names on a page of a listed language stay with the text around them."""
+    code = "def f(x): return [y * 2 for y in range(x) if y % 3]; print(f(10), f(20), f(30), sep=';')"
+    names = ", ".join(["Anna Kowalska", "Jan Nowak", "Piotr Zielinski", "Maria Lewandowska", "Adam Wojcik"])
+    page = f"<body>{MENU}<p>{LONG * 2}</p><pre>{code}</pre><p>{LONG * 2}</p><p>{names}</p><p>{LONG * 2}</p>{MENU}"
+    assert main_text(page) == "\n".join([(LONG * 2).strip(), code, (LONG * 2).strip(), names, (LONG * 2).strip()])
