@@ -180,3 +180,33 @@ SELECT doc_id, size, source_size, target,
        CASE WHEN size > 0 THEN (quota // blocks) * size + coalesce(more, 0) ELSE 0 END::BIGINT AS taken
 FROM spans s LEFT JOIN pieces p ON s.row_no = p.row_no
 """
+
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+phrases AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)
+  GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f) AS n FROM phrases WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f FROM phrases WHERE k >= 2 AND f >= 100),
+cuts AS (
+  SELECT lang, k, phrase, f, unnest(range(1, k)) AS c, string_split(phrase, ' ') AS w FROM candidates),
+valued AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, c.c, x.f AS l, y.f AS r, t.n::BIGINT AS n,
+    (1000::HUGEINT * c.f * t.n::HUGEINT) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c
+  JOIN phrases x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.c], ' ')
+  JOIN phrases y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.c + 1:], ' ')
+  JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+kept AS (
+  SELECT * FROM lowest s WHERE NOT EXISTS (
+    SELECT 1 FROM candidates g
+    WHERE g.lang = s.lang AND g.k > s.k AND g.f >= s.a AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""

@@ -16,6 +16,7 @@ from quaestor.llm.near_duplicates import near_duplicates
 from quaestor.llm.nearest import nearest_neighbours
 from quaestor.llm.order import cyclic_predecessors
 from quaestor.llm.packing import pack_pieces, tokenized_pieces
+from quaestor.llm.phrases import collocations
 from quaestor.llm.quality import quality_model, quality_scores
 from quaestor.llm.url_filter import url_filter
 from quaestor.session import durable, once
@@ -153,3 +154,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op10_mix_sources"] = oracles.OP10
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = oracles.OP13
