@@ -210,3 +210,43 @@ kept AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
 """
+
+#: the digest is the CRC of gzip, here bit by bit over the bytes of each distinct id and word
+OP12 = r"""
+WITH RECURSIVE runs AS (
+  SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents)
+  GROUP BY ALL),
+tables AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(list_prepend(b::BIGINT, range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END) AS v
+    FROM (SELECT unnest(range(256)) AS b))),
+digests AS (
+  SELECT run, c, 4294967295 - list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(id || ':' || run))), lambda i: ('0x' || substr(hex(encode(id || ':' || run)), 2 * i + 1, 2))::BIGINT)),
+      lambda x, b: xor(x // 256, t[xor(x % 256, b) + 1])) AS h
+  FROM runs, tables),
+words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM digests)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+cuts AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS rest FROM places),
+holes AS (SELECT word, n, left(word, i - 1) || chr(0) || substr(word, i + 1) AS hole FROM places),
+pairs AS (
+  SELECT c.word AS a, c.n AS an, w.word AS b, w.n AS bn FROM cuts c JOIN words w ON c.rest = w.word
+  UNION ALL SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION ALL SELECT x.word, x.n, y.word, y.n FROM holes x JOIN holes y ON x.hole = y.hole AND x.word <> y.word),
+near AS (
+  SELECT a, count(*) AS n_near, first(b ORDER BY bn DESC, b) AS form, max(bn) AS form_n FROM pairs GROUP BY a),
+forms AS (
+  SELECT w.word, w.n, coalesce(p.n_near, 0) AS n_near,
+    CASE WHEN p.form_n >= 2 * w.n THEN p.form END AS form, CASE WHEN p.form_n >= 2 * w.n THEN p.form_n END AS form_n
+  FROM words w LEFT JOIN near p ON w.word = p.a),
+walk AS (
+  SELECT word, word AS root, 0 AS steps FROM forms
+  UNION ALL
+  SELECT k.word, f.form, k.steps + 1 FROM walk k JOIN forms f ON f.word = k.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, steps) AS root FROM walk GROUP BY word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON f.word = r.word
+"""

@@ -18,6 +18,7 @@ from quaestor.llm.order import cyclic_predecessors
 from quaestor.llm.packing import pack_pieces, tokenized_pieces
 from quaestor.llm.phrases import collocations
 from quaestor.llm.quality import quality_model, quality_scores
+from quaestor.llm.spelling import variant_forms, word_counts
 from quaestor.llm.url_filter import url_filter
 from quaestor.session import durable, once
 
@@ -156,6 +157,20 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op10_mix_sources"] = oracles.OP10
 
 
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose digest 97 divides loses one code point, so that the texts hold misspellings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string").alias("text"))
+    digest = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = F.pmod(digest, F.char_length("run")).cast("int")
+    cut = F.when(digest % 97 == 0, F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))).otherwise(F.col("run"))
+    words = word_counts(docs, r"[A-Za-z\u00C0-\u00FF]+", cut).filter((F.char_length("word") >= 5) & (F.col("n") >= 3))
+    return variant_forms(words)
+
+
+SQL["op12_spelling_variants"] = oracles.OP12
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
