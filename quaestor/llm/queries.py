@@ -19,6 +19,7 @@ from quaestor.llm.packing import pack_pieces, tokenized_pieces
 from quaestor.llm.phrases import collocations
 from quaestor.llm.quality import quality_model, quality_scores
 from quaestor.llm.spelling import variant_forms, word_counts
+from quaestor.llm.toxicity import toxicity_model, toxicity_scores
 from quaestor.llm.url_filter import url_filter
 from quaestor.session import durable, once
 
@@ -157,6 +158,14 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op10_mix_sources"] = oracles.OP10
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity_model(docs, labels, id_remainder(4) != 2)
+    return toxicity_scores(docs, model).select(
+        "doc_id", F.coalesce(id_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run whose digest 97 divides loses one code point, so that the texts hold misspellings."""
