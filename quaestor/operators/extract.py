@@ -25,6 +25,14 @@ SPACE = r"(?U)^\s+|\s+$"
 OPTION_LETTERS = "ABCDE"
 
 
+# A lambda's argument is put in wherever it is used, so whatever costs something is a step of its
+# own: pieces cleaned, texts joined, fields and option entries read, options made a map. ``once``
+# keeps the steps apart.
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, SPACE, "")
+
+
 def _nodes(block: Column, role: str) -> Column:
     return F.filter(block["nodes"], lambda n: n["role"] == role)
 
@@ -33,13 +41,8 @@ def _first(nodes: Column) -> Column:
     return F.get(nodes, F.lit(0))
 
 
-def _joined(node: Column) -> Column:
-    """Stripped text pieces without separator; NULL without a node."""
-    return F.array_join(F.transform(node["pieces"], lambda p: F.regexp_replace(p, SPACE, "")), "")
-
-
 def _spaced(node: Column) -> Column:
-    """Text with runs of white space as one blank; NULL without a node."""
+    """Text of a marked node with runs of white space as one blank; NULL without a node."""
     return F.trim(F.regexp_replace(F.array_join(node["pieces"], " "), r"(?U)\s+", " "))
 
 
@@ -59,23 +62,40 @@ def _last_wins(entries: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
 
 
+def _each_node(blocks: str, **fields) -> Column:
+    """Blocks with the nodes' role, value, within and further ``fields``, functions of the node."""
+    def node(n: Column) -> Column:
+        return F.struct(*[n[c].alias(c) for c in ("role", "value", "within")], *[f(n).alias(name) for name, f in fields.items()])
+
+    return F.transform(blocks, lambda b: F.struct(b["value"].alias("value"), F.transform(b["nodes"], node).alias("nodes")))
+
+
+def _site_a_nodes(marked: DataFrame) -> DataFrame:
+    """``text``: stripped pieces without separator."""
+    marked = once(marked, _stripped=_each_node("blocks", pieces=lambda n: F.transform(n["pieces"], _strip)))
+    return once(marked, _nodes=_each_node("_stripped", pieces=lambda n: n["pieces"], text=lambda n: F.array_join(n["pieces"], "")))
+
+
+def _site_b_nodes(marked: DataFrame) -> DataFrame:
+    """``text``: runs of white space as one blank."""
+    return once(marked, _nodes=_each_node("blocks", text=_spaced))
+
+
 def _site_a_fields(block: Column, site: str) -> dict[str, Column]:
     def option(n: Column) -> Column:
-        shown = _joined(n)
-        rest = F.when(F.startswith(shown, n["value"]), F.substring(shown, F.length(n["value"]) + 1, F.length(shown))).otherwise(shown)
-        return F.struct(n["value"].alias("key"), F.regexp_replace(rest, SPACE, "").alias("value"))
+        rest = F.when(F.startswith(n["text"], n["value"]), F.substring(n["text"], F.length(n["value"]) + 1, F.length(n["text"]))).otherwise(n["text"])
+        return F.struct(n["value"].alias("key"), _strip(rest).alias("value"))
 
-    area = _first(_nodes(block, "base_text"))
-    pieces = F.filter(F.transform(area["pieces"], lambda p: F.regexp_replace(p, SPACE, "")), lambda p: p != "")
+    pieces = F.filter(_first(_nodes(block, "base_text"))["pieces"], lambda p: p != "")
     backgrounds = F.filter(F.transform(_nodes(block, "background"), lambda n: F.regexp_extract(n["value"], r"""url\(\s*['"]?([^'")]+)['"]?\s*\)""", 1)), lambda u: u != "")
     urls = F.transform(F.concat(_sources(_nodes(block, "image")), backgrounds), lambda u: F.when(F.startswith(u, F.lit("http")), u).otherwise(F.concat(F.lit(site), u)))
     return {
         "id_qc": block["value"],
-        "enunciado": _joined(_first(_nodes(block, "statement"))),
-        "alternativas": _last_wins(F.transform(F.filter(_nodes(block, "option"), lambda n: n["value"] != ""), option)),
+        "enunciado": _first(_nodes(block, "statement"))["text"],
+        "alternativas": F.transform(F.filter(_nodes(block, "option"), lambda n: n["value"] != ""), option),
         "materia_qc": F.lit(None).cast("string"),
         "assunto": F.lit(None).cast("string"),
-        "origem": F.nullif(_joined(_first(_nodes(block, "origin"))), F.lit("")),
+        "origem": F.nullif(_first(_nodes(block, "origin"))["text"], F.lit("")),
         "texto_associado": F.coalesce(F.array_join(pieces, " "), F.lit("")),
         "imagens": _sources(_inside(block, "image", "base_text")),
         "imagens_urls": F.array_distinct(urls),
@@ -85,31 +105,32 @@ def _site_a_fields(block: Column, site: str) -> dict[str, Column]:
 def _site_b_fields(block: Column, site: str) -> dict[str, Column]:
     places = F.filter(F.transform(block["nodes"], lambda n, i: F.when(n["role"] == "option", i)), lambda i: i.isNotNull())
 
-    def option(place: Column, number: Column) -> Column:
-        label = F.get(block["nodes"], place)
-        letter = _spaced(_first(F.filter(_nodes(block, "letter"), lambda n: F.array_contains(n["within"], place))))
-        text_of = _spaced(label)
-        found = F.when(F.length(letter) > 0, F.position(letter, text_of)).otherwise(F.lit(0))
-        rest = F.when(found > 0, F.concat(F.substring(text_of, F.lit(1), found - 1), F.substring(text_of, found + F.length(letter), F.length(text_of)))).otherwise(text_of)
+    def labelled(place: Column, number: Column) -> Column:
+        letter = _first(F.filter(_nodes(block, "letter"), lambda n: F.array_contains(n["within"], place)))["text"]
         by_place = F.when(number < len(OPTION_LETTERS), F.substring(F.lit(OPTION_LETTERS), number + 1, F.lit(1)))
-        return F.struct(F.coalesce(F.upper(F.substring(letter, 1, 1)), by_place).alias("key"), F.regexp_replace(rest, SPACE, "").alias("value"))
+        return F.struct(letter.alias("letter"), by_place.alias("by_place"), F.get(block["nodes"], place)["text"].alias("text"))
+
+    def option(o: Column) -> Column:
+        found = F.when(F.length(o["letter"]) > 0, F.position(o["letter"], o["text"])).otherwise(F.lit(0))
+        rest = F.when(found > 0, F.concat(F.substring(o["text"], F.lit(1), found - 1), F.substring(o["text"], found + F.length(o["letter"]), F.length(o["text"])))).otherwise(o["text"])
+        return F.struct(F.coalesce(F.upper(F.substring(o["letter"], 1, 1)), o["by_place"]).alias("key"), _strip(rest).alias("value"))
 
-    options = F.filter(F.transform(places, option), lambda e: e["key"].isNotNull())  # beyond the fifth there is no letter
-    links = F.transform(_inside(block, "link", "trail"), _spaced)
+    options = F.filter(F.transform(F.transform(places, labelled), option), lambda e: e["key"].isNotNull())  # beyond the fifth there is no letter
+    links = F.transform(_inside(block, "link", "trail"), lambda n: n["text"])
     return {
-        "id_qc": F.nullif(F.regexp_extract(F.coalesce(_spaced(_first(_nodes(block, "code"))), F.lit("")), r"(Q\d+)", 1), F.lit("")),
-        "enunciado": _spaced(_first(_nodes(block, "statement"))),
-        "alternativas": _last_wins(options),
+        "id_qc": F.nullif(F.regexp_extract(F.coalesce(_first(_nodes(block, "code"))["text"], F.lit("")), r"(Q\d+)", 1), F.lit("")),
+        "enunciado": _first(_nodes(block, "statement"))["text"],
+        "alternativas": options,
         "materia_qc": F.get(links, F.lit(0)),
         "assunto": F.nullif(F.regexp_replace(F.get(links, F.lit(1)), r"[ ,]+$", ""), F.lit("")),
-        "origem": F.nullif(_spaced(_first(_nodes(block, "info"))), F.lit("")),
-        "texto_associado": F.coalesce(_spaced(_first(_nodes(block, "base_text"))), F.lit("")),
+        "origem": F.nullif(_first(_nodes(block, "info"))["text"], F.lit("")),
+        "texto_associado": F.coalesce(_first(_nodes(block, "base_text"))["text"], F.lit("")),
         "imagens": _sources(_inside(block, "image", "base_text")),
         "imagens_urls": F.array().cast("array<string>"),
     }
 
 
-_FIELDS = {"a": _site_a_fields, "b": _site_b_fields}
+_SITES = {"a": (_site_a_nodes, _site_a_fields), "b": (_site_b_nodes, _site_b_fields)}
 
 
 def marked_pages(pages: DataFrame, layout: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -123,9 +144,12 @@ def marked_pages(pages: DataFrame, layout: str, carry: tuple[str, ...] = ()) ->
 def blocks_of(marked: DataFrame, layout: str, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``BLOCKS`` rows of marked pages: blocks with an id, a statement and an option. ``pos`` is
     the place among those of the page."""
-    fields = lambda b: F.struct(*[c.alias(n) for n, c in _FIELDS[layout](b, site).items()])
+    nodes_of, fields_of = _SITES[layout]
+    names = [f.name for f in BLOCKS.fields if f.name not in ("page_id", "pos")]
+    read = once(nodes_of(marked), _fields=F.transform("_nodes", lambda b: F.struct(*[c.alias(n) for n, c in fields_of(b, site).items()])))
+    read = once(read, read=F.transform("_fields", lambda q: F.struct(
+        *[(_last_wins(q[n]) if n == "alternativas" else q[n]).alias(n) for n in names])))
     complete = lambda q: (q["id_qc"] != "") & (q["enunciado"] != "") & (F.size(q["alternativas"]) > 0)
-    read = once(marked, read=F.transform("blocks", fields))
     rows = read.select("page_id", *carry, F.posexplode(F.filter("read", complete)).alias("pos", "q"))
     return rows.select(*[F.col(f.name) if f.name in ("page_id", "pos") else F.col(f"q.{f.name}") for f in BLOCKS.fields], *carry)
 

@@ -134,3 +134,13 @@ def test_answer_state_belongs_to_the_block(spark):
         (4, button.format(14, " data-limit-reached=\"true\"")), (5, "")))
     got = [tuple(r)[1:] for r in extract.answer_states(pages(spark, html)).orderBy("numero").collect()]
     assert got == [("1", "11", True), ("2", "12", False), ("3", "13", False), ("4", "14", False), ("5", None, False)]
+
+
+def test_each_pattern_is_evaluated_once_per_piece_of_text(spark):
+    """Lambdas put their argument in wherever it is used; the steps keep costly ones apart."""
+    def uses(layout, pattern):
+        rows = extract.page_blocks(pages(spark, SITE_A), layout)
+        return rows._jdf.queryExecution().optimizedPlan().toString().count(pattern)
+
+    assert uses("a", extract.SPACE) == 2 and uses("a", "url\\(") == 1  # pieces, and what is left of options
+    assert uses("b", "(?U)\\s+,") == 1 and uses("b", extract.SPACE) == 1
