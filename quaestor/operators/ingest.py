@@ -3,12 +3,11 @@ logs, answer and text updates. State is kept in append-only logs and snapshots."
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestor.functions import text
+from quaestor.operators import conflicts
 from quaestor.session import durable
 from quaestor.sources.legacy import decode_legacy
 
@@ -62,17 +61,10 @@ def not_stored(batch: DataFrame, bank: DataFrame, key: str = "content_hash") ->
     return batch.join(bank.select(key), key, "left_anti")
 
 
-def _without_codes(rows: DataFrame, codes: DataFrame) -> DataFrame:
-    """Rows whose code ``c`` is not among ``codes``. Rows without a code are set apart, so that
-    they don't meet under one key."""
-    coded = rows.filter("c is not null").join(codes.filter("c is not null").select("c"), "c", "left_anti")
-    return coded.unionByName(rows.filter("c is null"))
-
-
 def _unknown_keys(pending: DataFrame, bank: DataFrame) -> DataFrame:
     """Pending keys the bank has neither by code nor by digest. ``pending`` is stored, so Spark
     knows its size and sends the smaller side."""
-    return _without_codes(pending.join(bank.select("d"), "d", "left_anti"), bank)
+    return conflicts.without_codes(pending.join(bank.select("d"), "d", "left_anti"), bank)
 
 
 def accepted_keys(
@@ -82,10 +74,8 @@ def accepted_keys(
     """``seq`` of every row that one-by-one insertion in ``seq`` order would store.
 
     A row is stored unless an earlier stored row has its code (when not NULL) or its
-    digest. Rounds: a row that is the earliest pending one under both its keys is
-    stored; pending rows sharing a key with it are dropped; repeat until none is left.
-    Every round stores at least the earliest pending row, so this always ends with the
-    whole answer.
+    digest. ``conflicts.accept`` settles who blocks whom in few rounds, however long the chains of
+    rows that block each other.
 
     Only the narrow key columns take part. Copies (same code and digest, or same digest
     and no code) fold into one row by a partial aggregate before any shuffle, and the
@@ -98,23 +88,7 @@ def accepted_keys(
     pending = durable(keys.groupBy("c", "d").agg(F.min("s").alias("s")))
     if bank is not None:
         pending = durable(_unknown_keys(pending, bank.select(F.col(code).alias("c"), F.col(digest).alias("d"))))
-    stored: list[DataFrame] = []
-    while not pending.isEmpty():
-        by_digest = pending.groupBy("d").agg(F.min(F.struct("s", "c")).alias("m")).select("d", "m.s", "m.c")
-        by_code = pending.filter("c is not null").groupBy("c").agg(F.min("s").alias("s"))
-        winners = by_digest.filter("c is null").unionByName(
-            by_digest.filter("c is not null").join(by_code, ["c", "s"], "left_semi").select("d", "s", "c")
-        )
-        left = _without_codes(pending.join(winners.select("d"), "d", "left_anti"), winners)
-        # one table per round: its winners and what stays pending
-        state = durable(
-            winners.withColumn("won", F.lit(True)).unionByName(left.withColumn("won", F.lit(False))), "round"
-        )
-        stored.append(state.filter("won").select("s"))
-        pending = state.filter("not won").drop("won")
-    if not stored:
-        return pending.select(F.col("s").alias(seq))
-    return reduce(DataFrame.unionByName, stored).select(F.col("s").alias(seq))
+    return conflicts.accept(pending).select(F.col("s").alias(seq))
 
 
 def insert_status(batch: DataFrame, bank: DataFrame | None = None, *, seq: str = "seq", **keys) -> DataFrame:

@@ -1,8 +1,9 @@
+import os
 import random
 
 from pyspark.sql import functions as F
 
-from quaestor.operators import ingest
+from quaestor.operators import conflicts, ingest
 
 ROW = "seq long, id_qc string, hash_enunciado string"
 
@@ -40,6 +41,51 @@ def test_long_chain(spark):
     assert stored(spark, rows) == first_wins(rows)
 
 
+def pending_rows(spark, rows):
+    return spark.createDataFrame(rows, ROW).select(F.col("seq").alias("s"), F.col("id_qc").alias("c"), F.col("hash_enunciado").alias("d"))
+
+
+def test_long_chain_by_doubling(spark, monkeypatch):
+    """Without the task that decides a component at once: a logarithmic number of stored steps."""
+    steps = []
+    store = conflicts.durable
+    monkeypatch.setattr(conflicts, "durable", lambda df, label="step": steps.append(label) or store(df, label))
+    n = int(os.environ.get("CHAIN", 100_000))
+    chain = spark.range(1, n + 1).selectExpr("id AS s", "concat('c', (id + 1) div 2) AS c", "concat('d', id div 2) AS d")
+    got = conflicts.accept(conflicts.durable(chain), task_rows=10).agg(F.count("*"), F.sum("s"), F.sum(F.col("s") % 2)).first()
+    assert tuple(got) == (n // 2, (n // 2) ** 2, n // 2)  # every other row
+    assert len(steps) < 30
+
+
+def test_chains_and_components_equal_one_by_one(spark):
+    """Histories of many shapes with every mix of limits, so that each step has rows to decide."""
+    rnd, rows = random.Random(9), []
+    order = list(range(1, 1201))
+    rnd.shuffle(order)
+    for k, s in enumerate(order):
+        group = k // 60
+        if group % 3 == 0:  # paths in any order
+            rows.append((s, f"c{k // 2}", f"d{(k + 1) // 2}-{group}"))
+        elif group % 3 == 1:  # many rows to a code
+            rows.append((s, f"c{group}-{rnd.randint(0, 3)}", f"d{group}-{rnd.randint(0, 40)}"))
+        else:
+            rows.append((s, None if rnd.random() < 0.3 else f"c{group}-{rnd.randint(0, 25)}", f"d{group}-{rnd.randint(0, 25)}"))
+    first = {}
+    for s, c, d in sorted(rows):
+        first.setdefault((c, d), s)
+    folded = [(s, c, d) for (c, d), s in first.items()]
+    want = first_wins(folded)
+    for task_rows, plain in ((1, 0), (1, 1), (15, 0), (40, 1), (10_000, 2)):
+        got = conflicts.accept(conflicts.durable(pending_rows(spark, folded)), task_rows=task_rows, plain_rounds=plain)
+        assert sorted(r["s"] for r in got.collect()) == want, (task_rows, plain)
+
+
+def test_components(spark):
+    rows = [(1, "a", "1"), (2, "a", "2"), (3, "b", "2"), (4, None, "9"), (5, None, "8"), (6, "z", "8")]
+    got = {r["s"]: r["component"] for r in conflicts.components(conflicts.durable(pending_rows(spark, rows))).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5}
+
+
 def test_random_histories(spark):
     """300 independent small histories in one table."""
     rnd, rows, bank, want = random.Random(5), [], [], []
