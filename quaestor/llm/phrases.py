@@ -8,7 +8,7 @@ pairs are all frequent. No phrase can be frequent without that, so nothing is lo
 A task counts in a HAT-trie. Words are 64-bit ids; a window of words is a path. The top of the
 trie branches by word id; below, a container is a hash table from the rest of the path to its
 count. A container that grows beyond ``BURST`` paths bursts: it becomes a trie node with a
-smaller container for each next word. When the trie holds ``PATHS`` paths, the subtrees under
+smaller container for each next word. Windows go in sorted and counted by the half million. When the trie holds ``PATHS`` paths, the subtrees under
 half of the first words, the largest first, are written out as sorted runs and dropped from it.
 Runs are rows of phrase ids and counts; Spark merges those of one phrase, dealt by the phrase,
 so that a word or passage that occurs everywhere has a few rows per task and no partition of its
@@ -39,7 +39,9 @@ from quaestor.session import durable, ship_package
 
 MOST_WORDS = 5
 BURST = 4_096
-PATHS = 300_000
+PATHS = 400_000
+#: windows that are sorted and counted together before they go into the trie
+WAITING = 1 << 19
 SLICE = 1 << 20
 FILTER_BITS = 1 << 26
 PROBES = 3
@@ -98,7 +100,8 @@ def slice_words(data: np.ndarray, offsets: np.ndarray, seeds: np.ndarray) -> tup
     ends = np.flatnonzero(~gap[1:-1] & (gap[2:] | first[1:])) + 1
     row = np.searchsorted(offsets, starts, side="right") - 1
     piece = np.cumsum(BREAK[data])[starts] + row
-    return starts, ends, row, piece, mix(word_hashes(data, starts, ends) ^ seeds[row])
+    # 0 stands for no word
+    return starts, ends, row, piece, np.maximum(mix(word_hashes(data, starts, ends) ^ seeds[row]), np.uint64(1))
 
 
 def windows(ids: np.ndarray, piece: np.ndarray, joined: np.ndarray, words: int) -> np.ndarray:
@@ -118,102 +121,111 @@ def windows(ids: np.ndarray, piece: np.ndarray, joined: np.ndarray, words: int)
 
 # --- the trie -----------------------------------------------------------------------------
 
+class Node:
+    """A trie node: by the next word (8 bytes, big-endian) a further node or a container, a dict from
+    the rest of the path (its words, padded with zeros to the trie's width) to its count."""
+    __slots__ = ("children",)
+
+    def __init__(self) -> None:
+        self.children: dict[bytes, Node | dict] = {}
+
+
 class HatTrie:
-    """Counts of paths of word ids. A node is a dict from word id to a child, a container a dict
-    from the rest of the path (a tuple of ids) to its count; both under the first word. The count
-    of a path that ends at a node is held under the empty tuple."""
-
-    def __init__(self, burst: int = BURST):
-        self.burst = burst
-        self.roots: dict[int, Node | dict] = {}
-        self.paths: dict[int, int] = {}  # under each first word
-        self.size = 0
+    """Counts of paths of up to ``width`` word ids. Under each first word there is a container; one with
+    more than ``burst`` paths becomes a node, as long as more than one word is left to branch by."""
 
-    def add(self, first: int, rests: list[tuple], counts: list[int]) -> None:
-        child = self.roots.get(first)
-        if child is None:
-            child = self.roots[first] = {}
-        child, more = insert(child, rests, counts, self.burst)
-        self.roots[first] = child
-        self.paths[first] = self.paths.get(first, 0) + more
-        self.size += more
+    def __init__(self, width: int, burst: int = BURST):
+        self.width, self.burst = width, burst
+        self.roots: dict[bytes, Node | dict] = {}
+        self.paths: dict[bytes, int] = {}  # under each first word
+        self.size = 0
 
-    def largest(self, share: float) -> list[int]:
+    def add(self, ids: np.ndarray) -> None:
+        """One for each row of ``ids`` (rows x width, 0 after the end of a path)."""
+        if not len(ids):
+            return
+        ids = ids[np.lexsort(ids.T[::-1])]
+        new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1)))
+        counts = np.diff(np.append(new, len(ids))).tolist()
+        ids = ids[new]
+        packed = np.ascontiguousarray(ids.astype(">u8"))
+        rests = packed[:, 1:].copy().view(f"V{8 * (self.width - 1)}").ravel().tolist()
+        begins = np.flatnonzero(np.append(True, ids[1:, 0] != ids[:-1, 0]))
+        firsts = packed[begins, :1].copy().view("V8").ravel().tolist()
+        begins = begins.tolist()
+        for first, low, high in zip(firsts, begins, [*begins[1:], len(rests)]):
+            child, more = self.insert(self.roots.get(first, {}), rests[low:high], counts[low:high])
+            self.roots[first] = child
+            self.paths[first] = self.paths.get(first, 0) + more
+            self.size += more
+
+    def insert(self, child, rests: list[bytes], counts: list[int]):
+        """(the child, or what it burst into; number of new paths)"""
+        if isinstance(child, dict):
+            before, held = len(child), child.get
+            for rest, count in zip(rests, counts):
+                child[rest] = held(rest, 0) + count
+            more = len(child) - before
+            return (self.burst_open(child) if len(child) > self.burst else child), more
+        more, at = 0, 0
+        while at < len(rests):  # rests come sorted, so those of one word together
+            word, end = rests[at][:8], at + 1
+            while end < len(rests) and rests[end][:8] == word:
+                end += 1
+            child.children[word], new = self.insert(child.children.get(word, {}), [r[8:] for r in rests[at:end]], counts[at:end])
+            more, at = more + new, end
+        return child, more
+
+    def burst_open(self, container: dict):
+        if len(next(iter(container))) <= 8:
+            return container
+        node = Node()
+        for rest, count in container.items():
+            node.children.setdefault(rest[:8], {})[rest[8:]] = count
+        for word, inner in node.children.items():
+            if len(inner) > self.burst:
+                node.children[word] = self.burst_open(inner)
+        return node
+
+    def largest(self, share: float) -> list[bytes]:
         """First words, those with the largest subtrees, that hold ``share`` of all paths."""
         order = sorted(self.paths, key=lambda w: (-self.paths[w], w))
         held = np.cumsum([self.paths[w] for w in order])
         return order[:int(np.searchsorted(held, share * self.size)) + 1]
 
-    def cut(self, firsts: list[int]) -> Iterator[tuple[tuple, int]]:
-        """Take subtrees out: their nodes as (path, count of all paths that begin so), sorted."""
+    def cut(self, firsts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Take subtrees out: their paths in order, and counts."""
+        keys: list[bytes] = []
+        counts: list[int] = []
         for first in sorted(firsts):
             child = self.roots.pop(first)
             self.size -= self.paths.pop(first)
-            yield from node_sums((first,), child)
-
-
-class Node:
-    __slots__ = ("children", "here")
-
-    def __init__(self) -> None:
-        self.children: dict[int, Node | dict] = {}
-        self.here = 0
+            for path, container in containers(first, child):
+                keys += [path + rest for rest in container]
+                counts += container.values()
+        ids = np.frombuffer(b"".join(keys), ">u8").astype(np.uint64).reshape(-1, self.width)
+        order = np.lexsort(ids.T[::-1])
+        return ids[order], np.array(counts, np.int64)[order]
 
 
-def insert(child, rests: list[tuple], counts: list[int], burst: int):
-    """(the child, or what it burst into; number of new paths)"""
+def containers(path: bytes, child) -> Iterator[tuple[bytes, dict]]:
     if isinstance(child, dict):
-        before = len(child)
-        for rest, count in zip(rests, counts):
-            child[rest] = child.get(rest, 0) + count
-        more = len(child) - before
-        return (burst_open(child, burst) if len(child) > burst else child), more
-    more = 0
-    by_word: dict[int, tuple[list, list]] = {}
-    for rest, count in zip(rests, counts):
-        if rest:
-            pair = by_word.setdefault(rest[0], ([], []))
-            pair[0].append(rest[1:])
-            pair[1].append(count)
-        else:
-            more += child.here == 0
-            child.here += count
-    for word, (inner, many) in by_word.items():
-        child.children[word], new = insert(child.children.get(word, {}), inner, many, burst)
-        more += new
-    return child, more
-
-
-def burst_open(container: dict, burst: int):
-    """A node in place of a full container, unless all its paths end here or in one word more."""
-    if all(len(rest) <= 1 for rest in container):
-        return container
-    node = Node()
-    for rest, count in container.items():
-        if rest:
-            node.children.setdefault(rest[0], {})[rest[1:]] = count
-        else:
-            node.here += count
-    for word, inner in node.children.items():
-        if len(inner) > burst:
-            node.children[word] = burst_open(inner, burst)
-    return node
+        yield path, child
+        return
+    for word in child.children:
+        yield from containers(path + word, child.children[word])
 
 
-def node_sums(path: tuple, child) -> Iterator[tuple[tuple, int]]:
-    """Every path beginning under ``path`` with the sum of the counts below it."""
-    if isinstance(child, dict):
-        sums: dict[tuple, int] = {}
-        for rest, count in child.items():
-            for k in range(len(rest) + 1):
-                sums[rest[:k]] = sums.get(rest[:k], 0) + count
-        for rest in sorted(sums):
-            yield path + rest, sums[rest]
-        return
-    below = [found for word in sorted(child.children) for found in node_sums((*path, word), child.children[word])]
-    depth = len(path) + 1
-    yield path, child.here + sum(count for found, count in below if len(found) == depth)
-    yield from below
+def node_sums(ids: np.ndarray, counts: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each depth from ``least`` words on: the trie's nodes there, and the sum of all paths that
+    begin so. ``ids``: sorted paths."""
+    for depth in range(least, ids.shape[1] + 1):
+        deep = np.flatnonzero(ids[:, depth - 1])
+        if not len(deep):
+            return
+        heads = ids[deep, :depth]
+        new = np.flatnonzero(np.append(True, (heads[1:] != heads[:-1]).any(1)))
+        yield heads[new], np.add.reduceat(counts[deep], new)
 
 
 # --- counting tasks --------------------------------------------------------------------------
@@ -302,7 +314,9 @@ def phrase_counter(passed, seed: int, least: int, most: int) -> Callable:
     """Rows of path (array of word ids) and f: the trie nodes at depths from ``least`` to ``most``.
     ``passed``: broadcast (filter of words or None, filter of pairs or None)."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, (words, pairs) = HatTrie(), passed.value
+        trie, (words, pairs) = HatTrie(most), passed.value
+        held: list[np.ndarray] = []
+        waiting = 0
         for batch in batches:
             _, seeds = row_languages(batch, seed)
             for row, data, offsets, limit in slices(batch.column("text")):
@@ -317,38 +331,32 @@ def phrase_counter(passed, seed: int, least: int, most: int) -> Callable:
                 size = windows(ids, piece, joined, most)
                 if limit is not None:
                     size[starts >= limit] = 0
-                add_windows(trie, ids, size, least)
-                while trie.size > PATHS:
-                    yield run_of(trie.cut(trie.largest(0.5)), least)
-        yield run_of(trie.cut(list(trie.roots)), least)
+                held.append(window_rows(ids, size, least, most))
+                waiting += len(held[-1])
+                if waiting >= WAITING:
+                    trie.add(np.concatenate(held))
+                    held, waiting = [], 0
+                    while trie.size > PATHS:
+                        yield from run_of(*trie.cut(trie.largest(0.5)), least)
+        if held:
+            trie.add(np.concatenate(held))
+        yield from run_of(*trie.cut(list(trie.roots)), least)
     return count
 
 
-def add_windows(trie: HatTrie, ids: np.ndarray, size: np.ndarray, least: int) -> None:
+def window_rows(ids: np.ndarray, size: np.ndarray, least: int, width: int) -> np.ndarray:
+    """The windows of at least ``least`` words as rows of ids, 0 after the end."""
     at = np.flatnonzero(size >= least)
-    if not len(at):
-        return
-    width = int(size[at].max())
-    padded = np.append(ids, np.zeros(width, np.uint64))
-    columns = [np.where(size[at] > k, padded[at + k], np.uint64(0)) for k in range(width)]
-    order = np.lexsort([size[at], *columns[::-1]])
-    rows = np.column_stack([*columns, size[at].astype(np.uint64)])[order]
-    new = np.append(True, (rows[1:] != rows[:-1]).any(1))
-    begins = np.flatnonzero(new)
-    counts = np.diff(np.append(begins, len(rows))).tolist()
-    rows = rows[begins]
-    paths = [tuple(path[1:n]) for path, n in zip(rows[:, :-1].tolist(), rows[:, -1].tolist())]
-    firsts = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0]))
-    for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(rows)]):
-        trie.add(int(rows[a, 0]), paths[a:b], counts[a:b])
-
-
-def run_of(nodes: Iterator[tuple[tuple, int]], least: int) -> pa.RecordBatch:
-    kept = [(path, count) for path, count in nodes if len(path) >= least]
-    lengths = np.array([len(path) for path, _ in kept], np.int32)
-    flat = np.array([word for path, _ in kept for word in path], np.uint64).view(np.int64)
-    paths = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(flat))
-    return pa.RecordBatch.from_arrays([paths, pa.array([count for _, count in kept], pa.int64())], ["path", "f"])
+    padded, size = np.append(ids, np.zeros(width, np.uint64)), size[at]
+    return np.column_stack([np.where(size > k, padded[at + k], np.uint64(0)) for k in range(width)])
+
+
+def run_of(ids: np.ndarray, counts: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """A sorted run for each depth."""
+    for nodes, sums in node_sums(ids, counts, least):
+        ends = pa.array(np.arange(0, nodes.size + 1, nodes.shape[1]), pa.int32())
+        paths = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(nodes).view(np.int64).ravel()))
+        yield pa.RecordBatch.from_arrays([paths, pa.array(sums)], ["path", "f"])
 
 
 # --- whole tables ----------------------------------------------------------------------------
