@@ -5,7 +5,8 @@ Vectors are turned by one random rotation, after which any block of coordinates
 of the whole. In a probed list the partial inner product over the first blocks estimates the
 full one; a candidate is abandoned as soon as the hypothesis that it reaches the query's
 threshold is rejected, or Cauchy-Schwarz rules it out. What remains is scored exactly in double
-precision on the original vectors. The threshold is the 2 k-th best among a sample, which the
+precision on the original vectors, summed in the order of their columns, so that equal vectors have
+equal scores and reruns agree. The threshold is the 2 k-th best among a sample, which the
 k-th best overall exceeds, and rises within a list. A query that finds fewer than k that way
 takes the rest from the sample.
 
@@ -38,6 +39,8 @@ LIST_BLOCK = 4_096
 QUERY_BLOCK = 1_024
 RUN = 1_024
 COLUMNS = 16
+#: of a score, as a share of the lengths: more than sums of doubles in any order can be apart
+ROUNDING = 1e-11
 #: deviations below the threshold at which an estimate is given up
 DOUBT = 2.6
 FOUND = "query_id long, vec_id long, score double"
@@ -57,6 +60,26 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
+def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products, each summed from the first column to the last, so that a vector's score is the
+    same wherever it stands. (Matrix products sum some rows in another order.)"""
+    return np.cumsum(x * q, axis=1)[:, -1]
+
+
+def top_exact(x: np.ndarray, ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of the k best rows: a matrix product leaves those that may be among
+    them, with room for its rounding."""
+    rough = x @ q
+    kept = np.arange(len(x))
+    if len(x) > k:
+        slack = ROUNDING * np.sqrt((q @ q) * np.einsum("ij,ij->i", x, x))
+        low = np.partition(rough - slack, len(x) - k)[len(x) - k]
+        kept = np.flatnonzero(rough + slack >= low)
+    scores = exact_scores(x[kept], q)
+    chosen = best(scores, ids[kept], k)
+    return kept[chosen], scores[chosen]
+
+
 @dataclass
 class Index:
     rotation: np.ndarray
@@ -123,6 +146,7 @@ def scan(q: np.ndarray, q_ids: np.ndarray, limits: np.ndarray, x: np.ndarray, x_
     first = turned_q[:, :edges[1]] @ stored[0].T
     for row in range(len(q)):
         limit, kept, scores = limits[row], np.zeros(0, int), np.zeros(0)
+        slack = ROUNDING * q_rest[row, 0] * x_rest[:, 0]
         for run in range(0, len(x), RUN):
             alive = np.arange(run, min(run + RUN, len(x)))
             partial = first[row, alive]
@@ -131,11 +155,11 @@ def scan(q: np.ndarray, q_ids: np.ndarray, limits: np.ndarray, x: np.ndarray, x_
                 if np.isfinite(limit):
                     length = q_rest[row, 0] * x_rest[alive, 0]
                     deviation = np.sqrt((1 - seen / width) / seen * (length**2 + limit**2))
-                    fits = (partial * (width / seen) + DOUBT * deviation >= limit) & (partial + q_rest[row, seen] * x_rest[alive, seen] >= limit - 1e-9)
+                    fits = (partial * (width / seen) + DOUBT * deviation >= limit) & (partial + q_rest[row, seen] * x_rest[alive, seen] >= limit - slack[alive])
                     alive, partial = alive[fits], partial[fits]
                 partial = partial + stored[b][alive] @ turned_q[row, seen:edges[b + 1]]
-            alive = alive[(partial >= limit - 1e-9) & (x_ids[alive] != q_ids[row])]
-            kept, scores = np.append(kept, alive), np.append(scores, x[alive] @ q[row])
+            alive = alive[(partial >= limit - slack[alive]) & (x_ids[alive] != q_ids[row])]
+            kept, scores = np.append(kept, alive), np.append(scores, exact_scores(x[alive], q[row]))
             top = best(scores, x_ids[kept], k)
             kept, scores = kept[top], scores[top]
             if len(kept) == k:
@@ -173,9 +197,8 @@ def exact_neighbours(vectors: DataFrame, ids: np.ndarray, q: np.ndarray, k: int)
             x, x_ids = matrix(batch.column("embedding"), q.shape[1]), batch.column("vec_id").to_numpy()
             for row in range(len(q)):
                 others = np.flatnonzero(x_ids != q_ids[row])
-                scores = x[others] @ q[row]
-                kept = best(scores, x_ids[others], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), q_ids[row])), pa.array(x_ids[others][kept]), pa.array(scores[kept])], ["query_id", "vec_id", "score"])
+                kept, scores = top_exact(x[others], x_ids[others], q[row], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), q_ids[row])), pa.array(x_ids[others][kept]), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     return top(vectors.mapInArrow(compare, FOUND), k)
 
@@ -256,9 +279,8 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 20, recall: f
             q, q_ids = matrix(batch.column("embedding"), width), batch.column("vec_id").to_numpy()
             for row in range(len(q)):
                 others = np.flatnonzero(model.sample_ids != q_ids[row])
-                scores = model.sample[others] @ q[row]
-                kept = best(scores, model.sample_ids[others], k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), q_ids[row])), pa.array(model.sample_ids[others][kept]), pa.array(scores[kept])], ["query_id", "vec_id", "score"])
+                kept, scores = top_exact(model.sample[others], model.sample_ids[others], q[row], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), q_ids[row])), pa.array(model.sample_ids[others][kept]), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     more = asked.join(enough, "vec_id", "left_anti").select("vec_id", "embedding").mapInArrow(from_sample, FOUND)

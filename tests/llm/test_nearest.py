@@ -60,3 +60,32 @@ def test_scan_without_doubt_is_exact():
         exact = x @ q[row]
         exact[row] = -np.inf
         assert len(set(places) & set(np.argsort(-exact)[:7])) >= 6 and np.allclose(scores, exact[places])
+
+
+def test_equal_vectors_score_the_same_wherever_they_stand():
+    """20 to 60 equal vectors among others, in several orders: the smaller ids come first."""
+    rng = np.random.default_rng(3)
+    rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    for equal in range(20, 61, 5):
+        one = rng.normal(size=64)
+        for others in (0, 3, 50):
+            x = np.concatenate([np.tile(one, (equal, 1)), 0.1 * rng.normal(size=(others, 64))])
+            for _ in range(3):
+                order = rng.permutation(len(x))
+                ids = order.astype(np.int64)
+                query = np.array([10_000])
+                for _, places, scores in n.scan(one[None, :] + 0.01, query, np.array([-np.inf]), x[order], ids, rotation, 20):
+                    assert ids[places].tolist() == list(range(20)) and len(set(scores.tolist())) == 1
+                places, scores = n.top_exact(x[order], ids, one + 0.01, 20)
+                assert ids[places].tolist() == list(range(20)) and len(set(scores.tolist())) == 1
+
+
+@pytest.mark.parametrize("equal", [27, 47])
+def test_ties_end_to_end_and_reruns(spark, equal):
+    one = np.random.default_rng(4).normal(size=64)
+    rows = [(i, one.tolist()) for i in range(1, equal + 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    runs = [n.nearest_neighbours(df.repartition(parts), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect() for parts in (1, 5)]
+    assert runs[0] == runs[1]
+    for q in {r["query_id"] for r in runs[0]}:
+        assert [r["vec_id"] for r in runs[0] if r["query_id"] == q] == [i for i in range(1, equal + 1) if i != q][:20]
