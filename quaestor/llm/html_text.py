@@ -2,8 +2,12 @@
 
 A page is read into blocks: runs of text between block-level tags, with their length, the share
 of it inside links, the share of stop words, and where they stand. The first pass looks at each
-block alone. Page furniture - navigation, headers, footers, asides, forms, notices, adverts,
-comments, by element, role or name - is bad; so are blocks that are mostly links. Long blocks
+block alone. Page furniture - navigation, headers, footers, asides, notices, adverts, comments,
+by element, role or name - is bad; so are blocks that are mostly links. Forms and names that pages
+also give to their frame (widget, header, promo, ...) are weaker: they count only for a part that holds
+no article and, unless an article elsewhere has text, no more than half of the page's text outside
+links. What follows "has", "no" or "with" in a name (has-sidebar) names something else, and so does
+"header" within an article. If a page has nothing else, it is decided once more without the weak ones. Long blocks
 with enough stop words are good. Inside an article or main element any block of some length is good,
 and beside one, blocks with hardly any stop words are bad; on a page without, they stay open (code,
 tables, names). What is short or in between stays open too. If no article has text and the blocks that are
@@ -37,7 +41,8 @@ INLINE = frozenset(
     "span strike strong sub sup time tt u var wbr".split())
 SILENT = frozenset("head title script style noscript template iframe object svg math canvas audio video select textarea button map applet datalist".split())
 IN_HEAD = frozenset("title meta link script style base noscript template".split())
-FURNITURE = frozenset("nav header footer aside form dialog menu fieldset".split())
+FURNITURE = frozenset("nav header footer aside dialog menu".split())
+WEAK_ELEMENTS = frozenset("form fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 MAIN = frozenset("article main".split())
 NAMES = frozenset(
@@ -45,7 +50,12 @@ NAMES = frozenset(
     "cookies copyright disqus footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices "
     "pagination pager popup popular promo promoted promotion recommended related replies reply respond search share sharing "
     "sidebar signup social sponsor sponsored subscribe subscription tagcloud toolbar widget widgets".split())
+WEAK_NAMES = frozenset(
+    "banner header legal masthead modal newsletter notice notices popup popular promo promoted promotion search share sharing "
+    "signup social subscribe subscription toolbar widget widgets".split())
+NOT_ITS_OWN = re.compile(r"(?:^|[_-])(?:has|have|no|not|with|without|hide|hidden|show)[_-]\S*")
 OF_ARTICLE = frozenset("article post entry story content main".split())
+EVEN_OF_ARTICLE = frozenset("comment comments ad ads related share sidebar footer nav menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STOP_WORDS = frozenset(
     "the of and to in is that it for was on are as with his they be at this have from or one had by but not what all were we "
@@ -72,21 +82,24 @@ GOOD, BAD, OPEN = 1, -1, 0
 
 
 class Block:
-    __slots__ = ("text", "linked", "zone", "furniture", "heading")
+    """``weak``: numbers of the weakly named elements around it."""
+    __slots__ = ("text", "linked", "zone", "furniture", "heading", "weak")
 
-    def __init__(self, text: str, linked: int, zone: int, furniture: bool, heading: bool):
-        self.text, self.linked, self.zone, self.furniture, self.heading = text, linked, zone, furniture, heading
+    def __init__(self, text: str, linked: int, zone: int, furniture: bool, heading: bool, weak: tuple = ()):
+        self.text, self.linked, self.zone, self.furniture, self.heading, self.weak = text, linked, zone, furniture, heading, weak
 
 
 class BlockReader(HTMLParser):
     """Blocks of one page. The stack has for each open element its name, and whether it is
-    silent, furniture, a heading or a link, and the number of its article (0: none), all as
-    inherited."""
+    silent, furniture, a heading or a link, the number of its article (0: none), and the numbers of
+    the weakly named elements it is in, all as inherited."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.stack: list[tuple] = [("", False, False, False, False, 0)]
+        self.stack: list[tuple] = [("", False, False, False, False, 0, ())]
+        self.weak = 0
+        self.frames: set[int] = set()  # weakly named elements with an article inside
         self.parts: list[str] = []
         self.linked: list[str] = []
         self.articles = 0
@@ -97,29 +110,32 @@ class BlockReader(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                _, _, furniture, heading, _, zone = self.stack[-1]
-                self.blocks.append(Block(text, len(" ".join("".join(self.linked).split())), zone, furniture, heading))
+                _, _, furniture, heading, _, zone, weak = self.stack[-1]
+                self.blocks.append(Block(text, len(" ".join("".join(self.linked).split())), zone, furniture, heading, weak))
             self.parts, self.linked = [], []
 
-    def is_furniture(self, tag: str, attrs: list, zone: int) -> bool:
+    def is_furniture(self, tag: str, attrs: list, zone: int) -> tuple[bool, bool]:
+        """Whether the element is furniture, and whether it is so by a weak name."""
         if tag in FURNITURE and not (tag == "header" and zone):
-            return True
+            return True, False
         if tag in MAIN or tag in ("html", "body"):
-            return False
+            return False, False
+        weak = tag in WEAK_ELEMENTS
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                if name == "role":
-                    if value.strip().lower() in ROLES:
-                        return True
-                    continue
-                words = set(BLANK.split(value.lower()))
-                if words & NAMES and not words & OF_ARTICLE:
-                    return True
-                if words & NAMES and words & {"comment", "comments", "ad", "ads", "related", "share", "sidebar", "footer", "nav", "menu"}:
-                    return True
+            if name == "role" and value:
+                if value.strip().lower() in ROLES:
+                    return value.strip().lower() != "form", True
+            elif name in ("class", "id") and value:
+                words = {w for token in value.lower().split() for w in BLANK.split(NOT_ITS_OWN.sub("", token))}
+                if zone:
+                    words.discard("header")
+                found = words & NAMES
+                if found - WEAK_NAMES and (not words & OF_ARTICLE or found & EVEN_OF_ARTICLE):
+                    return True, False
+                weak = weak or bool(found) and not words & OF_ARTICLE
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
-        return False
+                return True, False
+        return False, weak
 
     def close_open(self, names: frozenset, stops: frozenset | None) -> None:
         """End the innermost open element of ``names`` unless another kind stands between."""
@@ -152,12 +168,17 @@ class BlockReader(HTMLParser):
                 self.close_open(frozenset(("td", "th") if tag != "tr" else ("tr",)), frozenset(("table",)))
         if tag in VOID:
             return
-        _, silent, furniture, heading, link, zone = self.stack[-1]
+        _, silent, furniture, heading, link, zone, weak = self.stack[-1]
         if tag in MAIN and not zone:
             self.articles += 1
             zone = self.articles
-        self.stack.append((tag, silent or tag in SILENT, furniture or self.is_furniture(tag, attrs, zone),
-                           heading or tag in HEADINGS, link or tag == "a", zone))
+            self.frames.update(weak)
+        named, weakly = self.is_furniture(tag, attrs, zone)
+        if weakly and not named:
+            self.weak += 1
+            weak = (*weak, self.weak)
+        self.stack.append((tag, silent or tag in SILENT, furniture or named,
+                           heading or tag in HEADINGS, link or tag == "a", zone, weak))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -177,7 +198,7 @@ class BlockReader(HTMLParser):
                 return  # a stray end tag of a phrase ends no block
 
     def handle_data(self, data: str) -> None:
-        _, silent, _, _, link, _ = self.stack[-1]
+        _, silent, _, _, link, _, _ = self.stack[-1]
         if silent:
             return
         if not data.isspace():
@@ -187,12 +208,28 @@ class BlockReader(HTMLParser):
             self.linked.append(data)
 
 
-def read_blocks(html: str) -> list[Block]:
+def read_blocks(html: str) -> tuple[list[Block], set[int]]:
+    """Blocks, and the weakly named elements that frame an article."""
     reader = BlockReader()
     reader.feed(CUT_OFF.sub("", html))
     reader.close()
     reader.end_block()
-    return reader.blocks
+    return reader.blocks, reader.frames
+
+
+def weak_furniture(blocks: list[Block], frames: set[int]) -> set[int]:
+    """The weakly named elements whose names count: they hold no article, and no more than half of the
+    page's text outside links unless an article outside of them has text."""
+    plain = [0 if b.furniture else len(b.text) - b.linked for b in blocks]
+    articles = sum(n for b, n in zip(blocks, plain) if b.zone)
+    held: dict[int, int] = {}
+    of_articles: dict[int, int] = {}
+    for block, n in zip(blocks, plain):
+        for weak in block.weak:
+            held[weak] = held.get(weak, 0) + n
+            of_articles[weak] = of_articles.get(weak, 0) + (n if block.zone else 0)
+    total = sum(plain)
+    return {weak for weak, n in held.items() if weak not in frames and (articles > of_articles[weak] and 2 * of_articles[weak] <= articles or 2 * n <= total)}
 
 
 def stop_share(text: str) -> float:
@@ -268,10 +305,23 @@ def second_labels(blocks: list[Block], labels: list[int]) -> list[int]:
     return decided
 
 
-def main_text(html: str | None) -> str:
-    blocks = read_blocks(html) if html else []
+def labelled(blocks: list[Block]) -> list[str]:
     labels = second_labels(blocks, first_labels(blocks))
-    return "\n".join(b.text for b, label in zip(blocks, labels) if label == GOOD)
+    return [b.text for b, label in zip(blocks, labels) if label == GOOD]
+
+
+def main_text(html: str | None) -> str:
+    blocks, frames = read_blocks(html) if html else ([], set())
+    by_name = weak_furniture(blocks, frames)
+    named = [b for b in blocks if not b.furniture and not by_name.isdisjoint(b.weak)]
+    for block in named:
+        block.furniture = True
+    found = labelled(blocks)
+    if not found and named:
+        for block in named:
+            block.furniture = False
+        found = labelled(blocks)
+    return "\n".join(found)
 
 
 def extractor(html: str, schema: list[str]) -> Callable:
