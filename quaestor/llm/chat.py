@@ -7,9 +7,11 @@ rest of ``budget`` by the prefix sums of turn tokens, one at least. A turn longe
 has a window of its own, whole. Targets are the texts of assistant turns; the loss mask covers a
 target in the window where it is new and nowhere else, so each counts once.
 
-Turns are collected in segments of ``SEGMENT`` turn numbers, never by conversation: a window ends
-with its segment, and the next segment's first one repeats history from the segment before. So a
-conversation that holds a third of all rows is spread over many tasks.
+Turns are numbered by their place in the conversation, whatever numbers they carry: sorted by ranges
+over all conversations, numbered within each range and shifted by the conversation's rows in earlier
+ones, so a conversation or turn number that a third of all rows share is spread over many tasks.
+They are collected in segments of ``SEGMENT`` places, never by conversation. A window holds turns of
+one segment, so at most that many; it repeats history from the segment before too.
 
 The template frames each turn as ``<s>[INST] role [/INST] text</s>``. Backslashes in texts are
 doubled and a control string gets one after its bracket, roles are URL-encoded; ``read_turns``
@@ -26,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quaestor.session import once
+from quaestor.session import durable, once
 
 SEGMENT = 128
 TOKEN = r"[\p{L}\p{N}_]+|[^\x20\x09-\x0D\p{L}\p{N}_]"
@@ -35,7 +37,7 @@ CONTROL = r"(/?(?:s>|INST\]))"
 
 
 def count_tokens(text: Column) -> Column:
-    """Words and single other characters; any column of whole numbers can stand in for it."""
+    """Words and single other characters."""
     return F.regexp_count(text, F.lit(TOKEN)).cast("long")
 
 
@@ -78,44 +80,60 @@ def window_starts(turns: Column, room: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.size(turns) - 1), begin, step)["starts"]
 
 
-def chat_windows(turns: DataFrame, budget: int = 512, history: int = 96, target: str = "assistant") -> DataFrame:
+def in_places(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, turn, role, text, ...) stored with ``place``: 0, 1, ... within each key in the order of
+    turn, role, text. Rows equal in all of these are told apart by where they were read, so that
+    they spread too."""
+    order = ["key", "turn", "role", "text", "_read"]
+    dealt = rows.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # of a row in the sorted parts: number of the part in the high bits, place in the part in the low 33
+    dealt = durable(dealt.drop("_read").withColumn("_at", F.monotonically_increasing_id()), "turns")
+    dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
+    parts = dealt.groupBy("key", "_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
+    placed = dealt.join(parts.drop("_rows"), ["key", "_part"])
+    return placed.withColumn("place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_before", "_first")
+
+
+def chat_windows(turns: DataFrame, budget: int = 512, history: int = 96, target: str = "assistant", tokens: Column | None = None) -> DataFrame:
     """One row per window: conv_id, segment, window (order within the conversation), formatted,
     mask (array of start, length in code points), repeated (how many of its first turns are
-    repeats), tokens."""
+    repeats), tokens. ``tokens``: whole numbers per turn in place of ``count_tokens``."""
     rows = turns.select(
         "conv_id", F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit("-")).alias("key"),
-        F.coalesce(F.floor(F.col("turn") / SEGMENT), F.lit(-1)).cast("long").alias("segment"), F.col("turn").cast("long").alias("turn"),
-        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = once(rows, tokens=count_tokens(F.col("text")))
-    first = rows.groupBy("key").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("first"))
-    system = first.filter(F.col("first.role") == "system").select(
-        "key", F.struct(F.lit("system").alias("role"), F.col("first.text").alias("text"), F.col("first.tokens").alias("tokens")).alias("system"))
+        F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+        (tokens if tokens is not None else count_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("tokens"))
+    rows = in_places(rows).withColumn("segment", F.floor(F.col("place") / SEGMENT))
+    system = rows.filter((F.col("place") == 0) & (F.col("role") == "system")).select(
+        "key", F.struct("role", "text", "tokens").alias("system"))
 
     segments = rows.groupBy("conv_id", "key", "segment").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("turns"))
-    segments = segments.withColumn("number", F.row_number().over(Window.partitionBy("key").orderBy("segment")))
+        F.sort_array(F.collect_list(F.struct("place", "role", "text", "tokens"))).alias("turns"))
     segments = segments.join(system, "key", "left")
-    own = F.when((F.col("number") == 1) & F.col("system").isNotNull(), F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(0)))).otherwise(F.col("turns"))
+    own = F.when((F.col("segment") == 0) & F.col("system").isNotNull(), F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(0)))).otherwise(F.col("turns"))
     sums = F.aggregate(own, F.struct(F.array().cast("array<struct<role:string,text:string,tokens:bigint,before:bigint>>").alias("out"), F.lit(0).cast("long").alias("sum")), lambda s, t: F.struct(
         F.concat(s["out"], F.array(F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), s["sum"].alias("before")))).alias("out"),
         (s["sum"] + t["tokens"]).alias("sum")))
     segments = once(segments, _sums=sums)
-    segments = segments.select("conv_id", "key", "segment", "number", "system", F.col("_sums.out").alias("turns"), F.col("_sums.sum").alias("total"))
+    segments = segments.select("conv_id", "key", "segment", "system", F.col("_sums.out").alias("turns"), F.col("_sums.sum").alias("total"))
 
-    tails = segments.select("key", (F.col("number") + 1).alias("number"), F.filter(
-        "turns", lambda t: F.col("total") - t["before"] <= history).alias("tail"))
-    segments = segments.join(tails.filter(F.size("tail") > 0), ["key", "number"], "left")
+    # what later windows may repeat of a segment, ``before`` counted back from its end
+    tails = segments.select("key", (F.col("segment") + 1).alias("segment"), F.transform(
+        F.filter("turns", lambda t: F.col("total") - t["before"] <= history),
+        lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), (t["before"] - F.col("total")).alias("before"))).alias("tail"))
+    segments = segments.join(tails.filter(F.size("tail") > 0), ["key", "segment"], "left")
 
     room = F.greatest(F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0)) - history, F.lit(1))
     # a conversation of a system turn alone has no other turn; its window holds that one
     starts = F.when(F.size("turns") > 0, window_starts(F.col("turns"), room)).otherwise(F.array(F.lit(0)))
     cut = once(segments, starts=starts).select("*", F.posexplode("starts").alias("window", "start"))
-    cut = cut.filter((F.size("turns") > 0) | (F.col("number") == 1))
+    cut = cut.filter((F.size("turns") > 0) | (F.col("segment") == 0))
     stop = F.coalesce(F.get("starts", F.col("window") + 1), F.size("turns"))
     new = F.slice("turns", F.col("start") + 1, stop - F.col("start"))
-    since = F.get("turns", F.col("start"))["before"]
-    before = F.when(F.col("start") > 0, F.filter("turns", lambda t, j: (j < F.col("start")) & (since - t["before"] <= history))).otherwise(
-        F.coalesce(F.col("tail"), F.slice("turns", 1, 0)))
+    since = F.coalesce(F.get("turns", F.col("start"))["before"], F.lit(0))
+    earlier = F.concat(F.coalesce(F.col("tail"), F.slice("turns", 1, 0)), F.slice("turns", F.lit(1), F.col("start")))
+    before = F.filter(earlier, lambda t: since - t["before"] <= history)
     leading = F.when(F.col("system").isNotNull(), F.array("system")).otherwise(F.array().cast("array<struct<role:string,text:string,tokens:bigint>>"))
 
     def piece(t: Column, is_new: bool) -> Column:
@@ -131,7 +149,7 @@ def chat_windows(turns: DataFrame, budget: int = 512, history: int = 96, target:
         F.when(p["target"], F.concat(s["spans"], F.array(F.struct(
             (s["at"] + opening + F.length(F.url_encode(p["role"]))).alias("start"), F.length(p["text"]).alias("length"))))).otherwise(s["spans"]).alias("spans"),
         (s["at"] + F.length(framed(p["role"], p["text"]))).alias("at")))["spans"]
-    fresh_system = F.when((F.col("number") == 1) & (F.col("window") == 0), 0).otherwise(F.size("_lead"))
+    fresh_system = F.when((F.col("segment") == 0) & (F.col("window") == 0), 0).otherwise(F.size("_lead"))
     return parts.select(
         "conv_id", "segment", "window", F.array_join(frames, "").alias("formatted"), mask.alias("mask"),
         (fresh_system + F.size("_hist")).alias("repeated"),

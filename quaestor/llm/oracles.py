@@ -84,7 +84,7 @@ SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesc
 FROM worded w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN lowest l ON w.doc_id = l.doc_id
 """
 
-#: for conversations of fewer than 128 turns, the length of a segment; tests hold longer ones
+#: windows stay within 128 places of a conversation and repeat from the 128 before
 OP8 = r"""
 WITH RECURSIVE all_turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -96,21 +96,21 @@ counted AS (
   FROM all_turns),
 systems AS (SELECT conv_id, tokens AS sys_tokens, chars AS sys_chars FROM counted WHERE place = 1 AND role = 'system'),
 numbered AS (
-  SELECT c.*, row_number() OVER (PARTITION BY c.conv_id ORDER BY place) - 1 AS i,
+  SELECT c.*, (place - 1) // 128 AS seg, row_number() OVER (PARTITION BY c.conv_id ORDER BY place) - 1 AS i,
     sum(tokens) OVER (PARTITION BY c.conv_id ORDER BY place) - tokens AS before,
     greatest(512 - coalesce(sys_tokens, 0) - 96, 1) AS room, coalesce(sys_chars, 0) AS sys_chars
   FROM counted c LEFT JOIN systems s ON c.conv_id = s.conv_id
   WHERE s.conv_id IS NULL OR c.place > 1),
 walk AS (
-  SELECT conv_id, i, before AS base, true AS opens FROM numbered WHERE i = 0
+  SELECT conv_id, i, seg, before AS base, true AS opens FROM numbered WHERE i = 0
   UNION ALL
-  SELECT n.conv_id, n.i, CASE WHEN n.before + n.tokens - w.base > n.room THEN n.before ELSE w.base END,
-    n.before + n.tokens - w.base > n.room
+  SELECT n.conv_id, n.i, n.seg, CASE WHEN n.before + n.tokens - w.base > n.room OR n.seg > w.seg THEN n.before ELSE w.base END,
+    n.before + n.tokens - w.base > n.room OR n.seg > w.seg
   FROM walk w JOIN numbered n ON n.conv_id = w.conv_id AND n.i = w.i + 1),
 repeats AS (
   SELECT o.conv_id, sum(h.chars) AS chars
   FROM walk o JOIN numbered s ON s.conv_id = o.conv_id AND s.i = o.i
-  JOIN numbered h ON h.conv_id = o.conv_id AND h.i < o.i AND s.before - h.before <= 96
+  JOIN numbered h ON h.conv_id = o.conv_id AND h.i < o.i AND s.before - h.before <= 96 AND h.seg >= s.seg - 1
   WHERE o.opens GROUP BY o.conv_id),
 windows AS (SELECT conv_id, count(*) AS windows FROM walk WHERE opens GROUP BY conv_id),
 said AS (
