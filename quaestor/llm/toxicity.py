@@ -532,14 +532,24 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, learn: Column, rows: int
     return model
 
 
+def smallest(numbers: DataFrame, rows: int) -> int:
+    """The largest of the ``rows`` smallest values of ``h``."""
+    return numbers.orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+
+
 def training_sample(docs: DataFrame, labelled: DataFrame, model: ToxicityModel, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts and posterior labels of at most ``rows`` texts: labelled ones, filled up with others,
     those of the smallest digests. A labelled text's posterior leans on its label as on one more voter."""
     spark = docs.sparkSession
-    have = labelled.orderBy("h").select("label", "text").limit(rows)
-    others = docs.select(F.lit(None).cast("double").alias("label"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    more = rows - min(rows, labelled.count())
-    sample = have if not more else have.unionByName(others.orderBy(F.xxhash64("text", F.lit(3))).limit(more))
+    held = labelled.count()
+    sample = labelled.filter(F.col("h") <= smallest(labelled.select("h"), rows)).select("label", "text")
+    if held < rows:
+        # equal texts once here too; only numbers are sorted, and the chosen texts alone are sent
+        others = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        others = others.withColumn("h", F.xxhash64("text", F.lit(3)))
+        chosen = others.filter(F.col("h") <= smallest(others.select("h").distinct(), rows - held))
+        chosen = chosen.groupBy("h").agg(F.min("text").alias("text"))
+        sample = sample.unionByName(chosen.select(F.lit(None).cast("double").alias("label"), "text"))
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
