@@ -158,6 +158,20 @@ def small_components(labelled: DataFrame, task_rows: int) -> tuple[DataFrame, Da
     return state.filter("won").drop("won"), state.filter("not won").drop("won"), state.filter("not won").count()
 
 
+def accept_few(keys: DataFrame) -> DataFrame:
+    """``s`` of the rows that first-wins accepts, decided one by one in a single task and without stored
+    steps: for at most ``TASK_ROWS`` rows, as the caller knows."""
+    placed = keys.select("s", "c", "d", F.lit(0).alias("component")).withColumn(
+        "place", F.row_number().over(Window.partitionBy("component").orderBy("s")))
+    order = keys.schema["s"].dataType.simpleString()
+    return placed.groupBy("component").applyInArrow(decide_few, f"s {order}")
+
+
+def decide_few(rows: pa.Table) -> pa.Table:
+    won = decide_in_order(rows).column("won")
+    return rows.sort_by("place").filter(won).select(["s"])
+
+
 # --- all together -------------------------------------------------------------------------------
 
 def accept(pending: DataFrame, task_rows: int = TASK_ROWS, plain_rounds: int = 2) -> DataFrame:

@@ -141,17 +141,26 @@ def marked_pages(pages: DataFrame, layout: str, carry: tuple[str, ...] = ()) ->
     return pages.select("page_id", *carry, "html").mapInArrow(mark_pages(layout, ["page_id", *carry]), schema)
 
 
-def blocks_of(marked: DataFrame, layout: str, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = ()) -> DataFrame:
+def blocks_of(
+    marked: DataFrame, layout: str, site: str = SITE_A_IMAGES, carry: tuple[str, ...] = (), faults: bool = False
+) -> DataFrame:
     """``BLOCKS`` rows of marked pages: blocks with an id, a statement and an option. ``pos`` is
-    the place among those of the page."""
+    the place among those of the page. With ``faults`` pages that could not be read have one row too,
+    with nothing but their ``fault``."""
     nodes_of, fields_of = _SITES[layout]
     names = [f.name for f in BLOCKS.fields if f.name not in ("page_id", "pos")]
     read = once(nodes_of(marked), _fields=F.transform("_nodes", lambda b: F.struct(*[c.alias(n) for n, c in fields_of(b, site).items()])))
     read = once(read, read=F.transform("_fields", lambda q: F.struct(
         *[(_last_wins(q[n]) if n == "alternativas" else q[n]).alias(n) for n in names])))
     complete = lambda q: (q["id_qc"] != "") & (q["enunciado"] != "") & (F.size(q["alternativas"]) > 0)
-    rows = read.select("page_id", *carry, F.posexplode(F.filter("read", complete)).alias("pos", "q"))
-    return rows.select(*[F.col(f.name) if f.name in ("page_id", "pos") else F.col(f"q.{f.name}") for f in BLOCKS.fields], *carry)
+    blocks, explode, kept = F.filter("read", complete), F.posexplode, list(carry)
+    if faults:
+        explode, kept = F.posexplode_outer, [*carry, "fault"]
+        read = read.filter(F.col("fault").isNotNull() | (F.size("read") > 0))
+    rows = read.select("page_id", *kept, explode(blocks).alias("pos", "q"))
+    if faults:
+        rows = rows.filter("q is not null or fault is not null")
+    return rows.select(*[F.col(f.name) if f.name in ("page_id", "pos") else F.col(f"q.{f.name}") for f in BLOCKS.fields], *kept)
 
 
 def page_blocks(

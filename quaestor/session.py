@@ -6,6 +6,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,25 +56,40 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-_STEPS: list[str] = []
+_STEPS: ContextVar[list[str]] = ContextVar("steps", default=[])
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True))
 
 
 def drop_steps(spark: SparkSession) -> int:
     """Delete the step tables that ``durable`` has made in this session so far; returns how many.
     To be called once the results made from them are written."""
-    dropped = 0
-    while _STEPS:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STEPS.pop())
-        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    dropped, steps = 0, _STEPS.get()
+    while steps:
+        dropped += delete_folder(spark, steps.pop())
     return dropped
 
 
+@contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[list[str]]:
+    """Step tables made inside, in this thread, are deleted at the end."""
+    token = _STEPS.set([])
+    try:
+        yield _STEPS.get()
+    finally:
+        drop_steps(spark)
+        _STEPS.reset(token)
+
+
 def durable(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and continue from there: later steps
     neither recompute it nor depend on the executors that made it, read only the columns
     they need, and know its size."""
     path = work_path(df.sparkSession, label)
-    _STEPS.append(path)
+    _STEPS.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

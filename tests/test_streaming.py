@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import projections as P
 from quaestor.operators import ingest
 from quaestor.streaming import ingest as stream
+from quaestor.streaming import keys as index
 from quaestor.streaming import monitor
 
 COLUMNS = "page_id long, html string, categoria string, tema string, materia string, fonte string"
@@ -123,3 +124,68 @@ def test_uncommitted_batches_are_not_seen(spark, sf_dir, tmp_path):
     before = stream.stored(spark, out, "bank").count()
     spark.read.parquet(f"{out}/bank/run=0/batch_id=0").write.parquet(f"{out}/bank/run=0/batch_id=1")
     assert stream.stored(spark, out, "bank").count() == before
+
+
+# --- key index ---------------------------------------------------------------------
+
+def bank_rows(spark, low, high):
+    return spark.range(low, high).selectExpr("id", "sha2(cast(id AS string), 256) AS hash_enunciado", "IF(id % 5 = 0, NULL, concat('Q', id)) AS id_qc")
+
+
+def keys_read(spark, segments, asked):
+    """Rows that the index reads for ``asked``."""
+    return index.known_keys(spark, segments, index.keys_of(asked)).count()
+
+
+def test_key_index_reads_what_the_batch_touches(spark, tmp_path, monkeypatch):
+    """Sixteen times the bank: all keys of the batch are found, and hardly more is read."""
+    monkeypatch.setattr(index, "BUCKET_ROWS", 64)
+    asked = bank_rows(spark, 50, 60).persist()
+    read = {}
+    for rows in (20_000, 320_000):
+        segments, highest = index.first_segment(bank_rows(spark, 0, rows), str(tmp_path / str(rows)))
+        assert highest == rows - 1 and sum(s.rows for s in segments) == rows + rows - rows // 5
+        known = {r["k"] for r in index.known_keys(spark, segments, index.keys_of(asked)).collect()}
+        assert {r["k"] for r in index.keys_of(asked).collect()} <= known
+        read[rows] = len(known)
+    assert read[320_000] < 2 * read[20_000] < 20 * 64 * 2 * 2
+
+
+def test_segments_are_merged_and_stay_complete(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(index, "FANOUT", 3)
+    live, seen = [], 0
+    for batch in range(10):
+        folder = str(tmp_path / f"bank{batch}")
+        bank_rows(spark, 40 * batch, 40 * batch + 40).write.parquet(folder)
+        live, gone = index.merged(spark, [*live, index.Segment(folder, 0, 72)], str(tmp_path / "keys"))
+        seen += 40
+        assert all(sum(s.level == level for s in live) < 3 for level in range(5))
+        assert sum(s.rows for s in live) == 72 * (batch + 1) and all(s.level for s in gone)
+        asked = bank_rows(spark, 0, seen + 7)
+        known = {r["k"] for r in index.known_keys(spark, live, index.keys_of(asked)).collect()}
+        assert known == {r["k"] for r in index.keys_of(bank_rows(spark, 0, seen)).collect()}
+    assert {s.level for s in live} == {0, 2}
+
+
+def test_step_tables_go_with_their_batch(spark, sf_dir, tmp_path):
+    """Four tables a batch, and of those that are no result none is left."""
+    import os
+
+    from quaestor.session import shared_dir
+
+    pages, out = site_pages(spark, sf_dir).persist(), str(tmp_path / "out")
+    before = set(os.listdir(shared_dir(spark)))
+    state = stream.store_batch(pages.filter("page_id < 8"), 0, out)
+    state = stream.store_batch(pages.filter("page_id >= 8"), 1, out, state=state)
+    assert set(os.listdir(shared_dir(spark))) == before and sorted(os.listdir(out)) == ["bank", "commits", "quarantine"]
+    assert stream.read_state(spark, out, "0") == state and state.done == 1 and state.highest == stream.stored(spark, out, "bank").count()
+
+
+def test_large_batches_are_decided_in_rounds(spark, sf_dir, tmp_path, monkeypatch):
+    pages = site_pages(spark, sf_dir).persist()
+    stream.store_batch(pages, 0, str(tmp_path / "few"))
+    monkeypatch.setattr(stream.conflicts, "TASK_ROWS", 3)
+    stream.store_batch(pages, 0, str(tmp_path / "many"))
+    few, many = (sorted((r["seq"], r["id"]) for r in stream.stored(spark, str(tmp_path / n), "bank").collect()) for n in ("few", "many"))
+    assert [s for s, _ in few] == [s for s, _ in many] and {i for _, i in few} == {i for _, i in many}
