@@ -54,7 +54,7 @@ GAP = BREAK | np.isin(_BYTE, [0x20, 0x09])
 
 # --- words of a slice --------------------------------------------------------------------
 
-def parts_of(data: np.ndarray, words: int = MOST_WORDS, size: int = SLICE) -> Iterator[tuple[np.ndarray, int | None]]:
+def parts_of(data: np.ndarray, words: int, size: int) -> Iterator[tuple[np.ndarray, int | None]]:
     """A long text in parts: bytes, and the place in them before which windows begin (None: all).
     A part ends at a gap and the next one begins with its last ``words`` - 1 words again."""
     start = 0
@@ -75,13 +75,13 @@ def parts_of(data: np.ndarray, words: int = MOST_WORDS, size: int = SLICE) -> It
             return
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, int | None]]:
+def slices(texts: pa.Array, words: int = MOST_WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray, int | None]]:
     """(first row, bytes, offsets, place before which windows begin) of consecutive rows."""
     for row, data, offsets in text_slices(texts, SLICE):
         if len(offsets) > 2 or len(data) <= 2 * SLICE:
             yield row, data, offsets, None
             continue
-        for part, limit in parts_of(data):
+        for part, limit in parts_of(data, words, SLICE):
             yield row, part, np.array([0, len(part)]), limit
 
 
@@ -319,7 +319,7 @@ def phrase_counter(passed, seed: int, least: int, most: int) -> Callable:
         waiting = 0
         for batch in batches:
             _, seeds = row_languages(batch, seed)
-            for row, data, offsets, limit in slices(batch.column("text")):
+            for row, data, offsets, limit in slices(batch.column("text"), most):
                 starts, _, _, piece, ids = slice_words(data, offsets, seeds[row:])
                 if len(ids) < least:
                     continue
