@@ -8,10 +8,12 @@ transition weights tie neighbouring words. Forward-backward gives every word's p
 each language; a document's is the mean over its words, its language the largest (ties: the
 first by code point), its score that mean.
 
-Only the fit runs on the driver: on at most ``TRAIN_DOCS`` documents per language of at most
-``TRAIN_BYTES`` each, whole, those with the smallest hash of their id. Their texts are cut into
+Only the fit runs on the driver: on at most ``TRAIN_DOCS`` documents per language, those with the
+smallest hash of their id, texts of at most ``TRAIN_BYTES`` first. A longer one, where there are not
+enough, is learned from by a run of a quarter as many characters; all are predicted whole. Texts are cut into
 runs of words, shuffled and joined, so that the field sees changes of language. Features, the
-chain and the decision are numpy operations over slices of many documents.
+chain and the decision are numpy operations over slices of many documents. A long text is cut into
+runs and parts; the messages between them are carried over, so the result is that of one pass.
 
 A text that is null or has no letter is ``und`` with score 0; so is every text if there was
 nothing to learn from. Null languages are not learned from. Repeated rows get equal results.
@@ -30,13 +32,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.words import BASE, UNBASE, mix, powers, row_slices, text_slices, word_bounds
-from quaestor.session import ship_package
+from quaestor.llm.words import BASE, SPACE, UNBASE, mix, powers, row_slices, text_slices, word_bounds
+from quaestor.session import durable, ship_package
 
 TRAIN_DOCS = 200
 TRAIN_BYTES = 20_000
 CELLS = 1 << 17
 STEPS = 40
+RUN = 1024
 SLICE = 1 << 20
 UNKNOWN = "und"
 AFFIXES = (1, 2, 3, 4)
@@ -98,34 +101,102 @@ class Field:
                     out[word[first]] += np.add.reduceat(self.weights[cells], first, axis=0)
         return out
 
-    def marginals(self, evidence: np.ndarray, words_at: np.ndarray) -> np.ndarray:
-        """Forward-backward over all documents of a slice at once, longest first: at each place
-        those that are long enough."""
-        length = np.diff(words_at)
-        order = np.argsort(-length, kind="stable")
-        begin, length = words_at[:-1][order], length[order]
-        steps = int(length[0]) if len(length) else 0
-        active = np.searchsorted(-length, -np.arange(steps), side="left")  # documents longer than t
-        here = np.exp(evidence - evidence.max(1, keepdims=True))
+    def marginals(self, evidence: np.ndarray, words_at: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
+        """Forward-backward over all documents of a slice at once. A long one is cut into runs of
+        ``RUN`` words; the product of a run's steps tells what comes in from the runs before and
+        after it, so the result is that of one pass and takes as many steps as the longest run has
+        words. ``enter`` and ``leave``: messages from before and after the slice, of its only document."""
+        here, go = np.exp(evidence - evidence.max(1, keepdims=True)), np.exp(self.transition - self.transition.max())
+        width, begin = here.shape[1], np.exp(self.start - self.start.max())
+        n = np.diff(words_at)
+        pieces = np.maximum(-(-n // RUN), 1)
+        doc = np.repeat(np.arange(len(n)), pieces)
+        place = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        runs_at = np.append(words_at[:-1][doc] + place * RUN, words_at[-1])
+        enters, leaves = np.tile(begin if enter is None else enter, (len(doc), 1)), np.tile(np.ones(width) if leave is None else leave, (len(doc), 1))
+        cut = np.flatnonzero(pieces[doc] > 1)
+        if len(cut):
+            steps = run_products(here, go, runs_at, cut)
+            for first, last in zip(*run_groups(doc[cut])):
+                for k in range(first + 1, last):
+                    enters[cut[k]] = unit(enters[cut[k - 1]] @ steps[k - 1] @ go)
+                for k in range(last - 2, first - 1, -1):
+                    leaves[cut[k]] = unit(go @ steps[k + 1] @ leaves[cut[k + 1]])
+        return chain_marginals(here, go, runs_at, enters, leaves)
+
+    def whole_step(self, evidence: np.ndarray) -> np.ndarray:
+        """The product of all words of a part of a text: ``enter`` times this times the transitions is
+        what enters the next part."""
+        here, go = np.exp(evidence - evidence.max(1, keepdims=True)), np.exp(self.transition - self.transition.max())
+        runs_at = np.append(np.arange(0, len(here), RUN), len(here))
+        steps = run_products(here, go, runs_at, np.arange(len(runs_at) - 1))
+        out = steps[0]
+        for step in steps[1:]:
+            out = out @ go @ step
+            out = out / out.sum()
+        return out
+
+    def messages(self, steps: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """What enters and leaves each part of a text, from the parts' ``whole_step``."""
         go = np.exp(self.transition - self.transition.max())
-        back = np.ascontiguousarray(go.T)
-        forward, backward = np.empty_like(here), np.ones_like(here)
-        state = np.exp(self.start - self.start.max())[None, :].repeat(active[0] if steps else 0, 0)
-        for t in range(steps):
-            at = begin[:active[t]] + t
-            state = (state[:active[t]] @ go if t else state) * here[at]
-            state /= state.sum(1, keepdims=True)
-            forward[at] = state
-        state = np.zeros((0, here.shape[1]))
-        for t in range(steps - 1, 0, -1):
-            at = begin[:active[t]] + t
-            now = np.ones((active[t], here.shape[1]))
-            now[:len(state)] = state
-            state = (now * here[at]) @ back
-            state /= state.sum(1, keepdims=True)
-            backward[at - 1] = state
-        both = forward * backward
-        return both / np.maximum(both.sum(1, keepdims=True), 1e-300)
+        enters, leaves = [np.exp(self.start - self.start.max())], [np.ones(len(go))]
+        for step in steps[:-1]:
+            enters.append(unit(enters[-1] @ step @ go))
+        for step in steps[:0:-1]:
+            leaves.append(unit(go @ step @ leaves[-1]))
+        return enters, leaves[::-1]
+
+
+def unit(message: np.ndarray) -> np.ndarray:
+    return message / message.sum()
+
+
+def run_groups(owner: np.ndarray) -> tuple[list[int], list[int]]:
+    """First and past-last places of equal neighbours."""
+    first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+    return first.tolist(), [*first[1:].tolist(), len(owner)]
+
+
+def run_products(here: np.ndarray, go: np.ndarray, runs_at: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """For each of the runs ``which`` the product of its words' evidence and the transitions between them."""
+    length = np.diff(runs_at)[which]
+    out = np.tile(np.eye(len(go)), (len(which), 1, 1))
+    for t in range(int(length.max()) if len(length) else 0):
+        on = np.flatnonzero(length > t)
+        out[on] = (out[on] @ go if t else out[on]) * here[runs_at[which[on]] + t][:, None, :]
+        out[on] /= out[on].sum((1, 2), keepdims=True)
+    return out
+
+
+def chain_marginals(here: np.ndarray, go: np.ndarray, words_at: np.ndarray, enters: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+    """Probabilities of the languages of the words of many sequences, longest first: at each place those that
+    are long enough. ``enters``: of each sequence's first word before its evidence; ``leaves``: at
+    its last word."""
+    length = np.diff(words_at)
+    order = np.argsort(-length, kind="stable")
+    begin, length, enters, leaves = words_at[:-1][order], length[order], enters[order], leaves[order]
+    steps = int(length[0]) if len(length) else 0
+    active = np.searchsorted(-length, -np.arange(steps), side="left")  # sequences longer than t
+    back = np.ascontiguousarray(go.T)
+    forward, backward = np.empty_like(here), np.ones_like(here)
+    state = enters
+    for t in range(steps):
+        at = begin[:active[t]] + t
+        state = (state[:active[t]] @ go if t else state[:active[t]]) * here[at]
+        state /= state.sum(1, keepdims=True)
+        forward[at] = state
+    filled = np.flatnonzero(length > 0)
+    backward[begin[filled] + length[filled] - 1] = leaves[filled]
+    state = np.zeros((0, here.shape[1]))
+    for t in range(steps - 1, 0, -1):
+        at = begin[:active[t]] + t
+        now = leaves[:active[t]].copy()
+        now[:len(state)] = state
+        state = (now * here[at]) @ back
+        state /= state.sum(1, keepdims=True)
+        backward[at - 1] = state
+    both = forward * backward
+    return both / np.maximum(both.sum(1, keepdims=True), 1e-300)
 
 
 def empty_field() -> Field:
@@ -219,11 +290,18 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.3,
 
 
 def training_texts(docs: DataFrame, learn: Column, most: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """At most ``most`` texts per language. ``learn``: condition on doc_id."""
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES) & learn)
-    ranked = usable.select("doc_id", "lang").withColumn("_rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_rank") <= most)
-    chosen = usable.select("doc_id", "lang", "text").join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    """At most ``most`` texts per language, short ones first. ``learn``: condition on doc_id."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    long = F.octet_length("text") > TRAIN_BYTES
+    ranked = usable.select("doc_id", "lang", long.alias("long")).withColumn("_rank", F.row_number().over(
+        Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_rank") <= most)
+    # stored, so that Spark knows how little there is to send
+    ranked = durable(ranked.select("doc_id", "lang").distinct(), "training")
+    # a long text stands for itself by a run of characters from a place that its id chooses
+    most_chars = TRAIN_BYTES // 4
+    from_place = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.char_length("text") - most_chars, F.lit(1))).cast("int") + 1
+    piece = F.when(long, F.substring("text", from_place, F.lit(most_chars))).otherwise(F.col("text"))
+    chosen = usable.select("doc_id", "lang", piece.alias("text")).join(ranked, ["doc_id", "lang"])
     chosen = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).orderBy("doc_id", "lang")
     rows = chosen.select("text", "lang").collect()
     return [r["text"] for r in rows], [r["lang"] for r in rows]
@@ -233,6 +311,59 @@ def language_model(docs: DataFrame, learn: Column, most: int = TRAIN_DOCS) -> Fi
     return fit(*training_texts(docs, learn, most))
 
 
+def language_runs(chances: np.ndarray, words_at: np.ndarray) -> list[np.ndarray]:
+    """Of each text (language number, words) of its runs of one language."""
+    word_language = chances.argmax(1) if len(chances) else np.zeros(0, int)
+    change = np.ones(len(word_language), bool)
+    change[1:] = word_language[1:] != word_language[:-1]
+    change[words_at[:-1][np.diff(words_at) > 0]] = True
+    at = np.flatnonzero(change)
+    size = np.diff(np.append(at, len(word_language)))
+    runs_at = np.searchsorted(at, words_at)
+    return [np.column_stack([word_language[at[a:b]], size[a:b]]) for a, b in zip(runs_at[:-1], runs_at[1:])]
+
+
+def identify_slice(field: Field, data: np.ndarray, offsets: np.ndarray, spans: bool) -> tuple[np.ndarray, list]:
+    """Mean chances of each text, and its runs."""
+    starts, ends, words_at = word_bounds(data, offsets)
+    chances = field.marginals(field.evidence(data, starts, ends), words_at)
+    sums = np.zeros((len(chances) + 1, chances.shape[1]))
+    np.cumsum(chances, axis=0, out=sums[1:])
+    means = (sums[words_at[1:]] - sums[words_at[:-1]]) / np.maximum(np.diff(words_at), 1)[:, None]
+    return means, language_runs(chances, words_at) if spans else []
+
+
+def identify_long(field: Field, data: np.ndarray, spans: bool) -> tuple[np.ndarray, list]:
+    """The same of one long text, in parts that end between words: first what passes from part to part,
+    then each part with that. Memory goes with a part, not with the text."""
+    cuts = [0]
+    while cuts[-1] < len(data):
+        end = cuts[-1] + SLICE
+        while end < len(data) and not SPACE[data[end]]:
+            end += 1
+        cuts.append(min(end, len(data)))
+    parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def evidence(part: np.ndarray) -> np.ndarray:
+        starts, ends, _ = word_bounds(part, np.array([0, len(part)]))
+        return field.evidence(part, starts, ends)
+
+    worded = [part for part in parts if not SPACE[part].all()]
+    if not worded:
+        return np.zeros((1, len(field.languages))), [np.zeros((0, 2), int)] if spans else []
+    enters, leaves = field.messages([field.whole_step(evidence(part)) for part in worded])
+    total, words, runs = np.zeros(len(field.languages)), 0, []
+    for part, enter, leave in zip(worded, enters, leaves):
+        clues = evidence(part)
+        chances = field.marginals(clues, np.array([0, len(clues)]), enter, leave)
+        total, words = total + chances.sum(0), words + len(chances)
+        runs.append(language_runs(chances, np.array([0, len(chances)]))[0])
+    joined = np.concatenate(runs)
+    first = np.flatnonzero(np.append(True, joined[1:, 0] != joined[:-1, 0]))
+    joined = np.column_stack([joined[first, 0], np.add.reduceat(joined[:, 1], first)])
+    return (total / words)[None, :], [joined] if spans else []
+
+
 def identify(field: Field, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
     """Language number (-1: unknown) and score of each text, and with ``spans`` its runs of
     words of one language as (language number, words)."""
@@ -243,24 +374,13 @@ def identify(field: Field, texts: pa.Array, spans: bool = True) -> tuple[np.ndar
         part = pc.utf8_lower(part.fill_null(""))
         known = pc.match_substring_regex(part, r"\p{L}").to_numpy(zero_copy_only=False)
         _, data, offsets = next(text_slices(part, 1 << 62))
-        starts, ends, words_at = word_bounds(data, offsets)
-        n = np.diff(words_at)
-        chances = field.marginals(field.evidence(data, starts, ends), words_at)
-        sums = np.zeros((len(chances) + 1, chances.shape[1]))
-        np.cumsum(chances, axis=0, out=sums[1:])
-        means = (sums[words_at[1:]] - sums[words_at[:-1]]) / np.maximum(n, 1)[:, None]
-        best[row:row + len(n)] = np.where(known, means.argmax(1), -1)
-        score[row:row + len(n)] = np.where(known, np.minimum(means.max(1), 1), 0)
-        if not spans:
-            continue
-        word_language = chances.argmax(1) if len(chances) else np.zeros(0, int)
-        change = np.ones(len(word_language), bool)
-        change[1:] = word_language[1:] != word_language[:-1]
-        change[words_at[:-1][n > 0]] = True
-        at = np.flatnonzero(change)
-        size = np.diff(np.append(at, len(word_language)))
-        runs_at = np.searchsorted(at, words_at)
-        runs.extend((np.column_stack([word_language[at[a:b]], size[a:b]])) for a, b in zip(runs_at[:-1], runs_at[1:]))
+        if len(part) == 1 and len(data) > 2 * SLICE:
+            means, mine = identify_long(field, data, spans)
+        else:
+            means, mine = identify_slice(field, data, offsets, spans)
+        best[row:row + len(part)] = np.where(known, means.argmax(1), -1)
+        score[row:row + len(part)] = np.where(known, np.minimum(means.max(1), 1), 0)
+        runs.extend(mine)
     return best, score, runs
 
 

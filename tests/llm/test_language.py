@@ -82,3 +82,44 @@ def test_held_out_accuracy(spark, sf_dir):
 
     rows = QUERIES["op9_language_id"](spark, sf_dir).filter("held_out").join(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in rows]) > 0.95
+
+
+def random_field(rng, languages=3):
+    field = lg.empty_field()
+    field.languages = [f"l{k}" for k in range(languages)]
+    field.weights = rng.normal(size=(lg.CELLS, languages)).astype(np.float32)
+    field.lexicon_weights, field.start, field.transition = np.zeros((1, languages)), rng.normal(size=languages), rng.normal(size=(languages, languages))
+    return field
+
+
+def test_runs_with_messages_equal_one_pass(monkeypatch):
+    """Texts of no, one, some and very many words, cut every 7 words or not at all."""
+    rng = np.random.default_rng(1)
+    field = random_field(rng)
+    sizes = [0, 1, 6, 7, 8, 14, 0, 100, 2]
+    words_at = np.append(0, np.cumsum(sizes))
+    evidence = rng.normal(size=(words_at[-1], 3)) * 2
+    whole = field.marginals(evidence, words_at)
+    monkeypatch.setattr(lg, "RUN", 7)
+    assert np.allclose(field.marginals(evidence, words_at), whole, atol=1e-12)
+
+
+def test_long_text_in_parts_equals_one_pass(monkeypatch):
+    rng = np.random.default_rng(2)
+    field = random_field(rng)
+    text = " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 9))) for _ in range(3000)) + " " * 900 + "end"
+    best, score, runs = lg.identify(field, pa.array([text, "a b"]))
+    monkeypatch.setattr(lg, "SLICE", 400)
+    monkeypatch.setattr(lg, "RUN", 16)
+    again = lg.identify(field, pa.array([text, "a b"]))
+    assert best.tolist() == again[0].tolist() and np.allclose(score, again[1], atol=1e-12)
+    assert all(np.array_equal(a, b) for a, b in zip(runs, again[2]))
+
+
+def test_language_of_long_documents_only_is_learned(spark):
+    rows = [(i, data.PROSE["en"], "en", "a") for i in range(30)] + [(100 + i, f"{data.PROSE['de']} {i} " * 400, "de", "a") for i in range(6)]
+    docs = data.documents(spark, rows)
+    texts, labels = lg.training_texts(docs, F.col("doc_id").isNotNull())
+    assert labels.count("de") == 6 and labels.count("en") == 30 and max(map(len, texts)) <= lg.TRAIN_BYTES
+    got = lg.identify_languages(docs, lg.language_model(docs, F.col("doc_id").isNotNull())).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
