@@ -19,8 +19,8 @@ together at most, so that a crowd of equal texts cannot take over the hidden lab
 A logistic regression on counts of the patterns, lexicons and shapes learns the posterior labels
 of at most ``TRAIN_ROWS`` documents, labelled ones first; its score is the result.
 
-Statistics are numpy operations on the UTF-8 buffers of many documents. Pattern counts cover all
-labelled documents (equal texts once), votes all documents; what comes to the driver is bounded by
+Statistics are numpy operations on the UTF-8 buffers of many documents. Labels are learned from at
+most ``LABELLED_ROWS`` ids (equal texts once); votes are counted over all documents; what comes to the driver is bounded by
 numbers of patterns and voters, and the training sample.
 
 Null texts are empty ones; an empty text gets the score of one without any vote. Null labels are
@@ -46,6 +46,7 @@ from pyspark.sql import types as T
 from quaestor.llm.words import BASE, UNBASE, mix, powers, row_slices, text_slices
 from quaestor.session import durable, ship_package
 
+LABELLED_ROWS = 40_000
 TRAIN_ROWS = 20_000
 MINED = 192
 VOTING = 48
@@ -234,10 +235,12 @@ def column_counts(texts: pa.Array, patterns: np.ndarray, lists: Lists) -> np.nda
 
 # --- mining ------------------------------------------------------------------------------------
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, learn: Column) -> DataFrame:
-    """label, text of the documents to learn from; equal texts once, with their mean label."""
+def labelled_documents(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = LABELLED_ROWS) -> DataFrame:
+    """h, label, text of the documents of at most ``rows`` labelled ids, those with the smallest hash;
+    equal texts once, with their mean label."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn).groupBy("doc_id").agg(F.avg("toxic").alias("label"))
-    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     return joined.groupBy(F.xxhash64("text").alias("h"), F.md5("text").alias("m")).agg(F.avg("label").alias("label"), F.min("text").alias("text")).select("h", "label", "text")
 
 
