@@ -1,18 +1,19 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Each source is cut into shards of bounded size by a digest of the document id, each shard into
+Each source is cut into shards of bounded size by a digest of the document's id and text, each shard into
 blocks of nearly equal numbers of words along its documents in digest order. Sainte-Lague (seats
 go to the highest quotients votes / (2 * seats + 1)) gives every source a whole number of blocks
 from its target, then every shard of a source its share of those. A shard whose quota is q of n
 blocks takes each block q div n times, and q mod n more of them by a seeded permutation, so no
 document is taken more often than q / n rounded up.
 
-Everything is DataFrame operations. Per-source tables have a row per source; windows run over
-one shard, never over a source, so a source that holds a third of all rows is spread over its
-shards.
+Everything is DataFrame operations. Tables of sources have a row per source and are sorted in one
+task, so their number should stay below some millions; windows over documents run over one shard,
+never over a source, so a source that holds a third of all rows is spread over its shards. Equal rows
+are folded before the windows and laid out again after them; rows without words take no part in them.
 
 Null texts have size 0 and nothing is taken of them. Null sources form one source, after all
-others. Null and repeated ids are rows like any other; rows equal in id and size may change
+others. Null and repeated ids are rows like any other; rows equal in id, size and digest may change
 places among themselves. Columns beside doc_id, text and source, whatever their names, are not
 read. An empty table gives no rows.
 
@@ -31,6 +32,8 @@ from quaestor.session import durable
 
 #: a prime above any number of blocks in a shard: steps by it visit every block once
 STRIDE = 2654435761
+#: equal rows that are handled as one
+COPIES = 65_536
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -118,18 +121,36 @@ def word_count() -> Column:
     return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def folded(sized: DataFrame) -> DataFrame:
+    """Rows of ``sized`` (doc_id, source, key, size, place) that are equal in all of these as one, cut to at most
+    ``COPIES``: ``copies`` rows of ``each`` words, ``size`` together. Of the rows without words there is one
+    for each source."""
+    same = sized.filter("size > 0").groupBy("doc_id", "source", "key", "size", "place").agg(F.count("*").alias("n"))
+    parts = same.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))).alias("part"))
+    copies = F.least(F.col("n") - F.col("part") * COPIES, F.lit(COPIES))
+    full = parts.select("doc_id", "source", "key", F.col("size").alias("each"), copies.alias("copies"),
+                        (F.col("size") * copies).alias("size"), (F.col("place") + F.col("part")).alias("place"))
+    none = sized.filter("size = 0").groupBy("source", "key").agg(F.count("*").alias("copies"))
+    zero = F.lit(0).cast("long")
+    return full.unionByName(none.select("source", "key", "copies", zero.alias("each"), zero.alias("size"), zero.alias("place")), allowMissingColumns=True)
+
+
 def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float = 1.0, most: int = 3,
-                block_words: int = 64, shard_words: int = 1 << 22, seed: int = 1) -> DataFrame:
+                block_words: int = 64, shard_words: int = 1 << 18, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source)."""
-    sized = durable(docs.select(
+    every = durable(docs.select(
         "doc_id", "source", source_key().alias("key"), word_count().alias("size"),
-        digest(F.lit(seed), F.col("doc_id")).alias("place")), "sizes")
+        digest(F.lit(seed), F.col("doc_id"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("place")), "sizes")
+    sized = durable(folded(every), "folded")
     targets, shards = shard_quotas(sized, weights, share, most, block_words, shard_words)
-    placed = on_shards(sized, targets)
+    placed = on_shards(sized.filter("size > 0"), targets)
 
     stream = Window.partitionBy("key", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     spans = (placed.withColumn("end", F.sum("size").over(stream)).withColumn("start", F.col("end") - F.col("size"))
              .join(shards, ["key", "shard"]).withColumn("shift", digest(F.lit(seed), F.col("key"), F.col("shard"))))
+    # equal rows lie one after the other
+    spans = spans.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    spans = spans.withColumn("start", F.col("start") + F.col("copy") * F.col("each")).withColumn("end", F.col("start") + F.col("each"))
 
     def block_at(position: Column) -> Column:
         return F.floor(((position + 1) * F.col("blocks") - 1) / F.col("words")).cast("long")
@@ -140,8 +161,10 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, share: float
         return F.when(chosen, F.least(F.col("end"), high) - F.greatest(F.col("start"), low)).otherwise(0).cast("long")
 
     more = F.aggregate(F.sequence(block_at(F.col("start")), block_at(F.col("end") - 1)), F.lit(0).cast("long"), lambda n, j: n + overlap(j))
-    taken = F.when(F.col("size") > 0, F.floor(F.col("quota") / F.col("blocks")).cast("long") * F.col("size") + more).otherwise(0).cast("long")
-    return spans.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    taken = F.floor(F.col("quota") / F.col("blocks")).cast("long") * F.col("each") + more
+    counted = spans.select("doc_id", F.col("each").alias("size"), "source_size", "target", taken.cast("long").alias("taken"))
+    without = every.filter("size = 0").join(targets.select("key", "source_size", "target"), "key")
+    return counted.unionByName(without.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
 
 
 def mix_documents(docs: DataFrame, weights: list[int] | None = None, share: float = 1.0, most: int = 3,

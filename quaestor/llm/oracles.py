@@ -128,7 +128,7 @@ OP10 = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS place
+         ('0x' || substr(md5('1|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 8))::BIGINT AS place
   FROM documents),
 sizes AS (SELECT key, source, sum(size)::BIGINT AS source_size FROM sized GROUP BY key, source),
 ordered AS (
@@ -141,7 +141,7 @@ levels AS (
   FROM weighted),
 targets AS (
   SELECT key, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target,
-         greatest(ceil(source_size / 4194304.0), 1)::BIGINT AS shards
+         greatest(ceil(source_size / 262144.0), 1)::BIGINT AS shards
   FROM levels),
 placed AS (
   SELECT s.*, t.source_size, t.target, s.place % t.shards AS shard FROM sized s JOIN targets t ON s.key = t.key),

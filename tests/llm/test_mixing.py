@@ -68,3 +68,27 @@ def test_awkward_rows_and_reruns(spark):
     assert len(first) == docs.count()
     assert m.mix_sources(data.empty(docs)).count() == 0
     assert m.mix_sources(docs.filter(F.col("text").isNull())).agg(F.sum("taken")).first()[0] == 0
+
+
+def test_rows_without_id_or_words_and_equal_rows_are_spread(spark, monkeypatch):
+    """Half of the rows have no id, a third are equal, and one source has no words at all."""
+    from quaestor.llm import mixing
+
+    monkeypatch.setattr(mixing, "COPIES", 7)
+    rows = [(None, f"w{i} " * (i % 9 + 1), "en", "a") for i in range(600)] + [(5, "one and the same", "en", "a")] * 400
+    rows += [(i, f"x{i} y", "en", "b") for i in range(150)] + [(i, "", "en", "c") for i in range(100)] + [(None, None, "en", "c")] * 100
+    docs = data.documents(spark, rows)
+    got = mixing.mix_sources(docs, block_words=8, shard_words=200).collect()
+    assert len(got) == len(rows) and sorted((r["doc_id"] or -1, r["size"]) for r in got) == sorted((i or -1, len((t or "").split())) for i, t, _, _ in rows)
+    assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    by_size = {}
+    for r in got:
+        by_size.setdefault((r["source_size"], r["target"]), []).append(r["taken"])
+    assert len(by_size) == 3 and all(abs(sum(taken) - target) <= 60 for (_, target), taken in by_size.items())
+    again = mixing.mix_sources(docs.repartition(3), block_words=8, shard_words=200).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    # shards hold a bounded number of rows whatever ids and texts are equal
+    sized = docs.select("doc_id", "source", mixing.source_key().alias("key"), mixing.word_count().alias("size"),
+                        mixing.digest(F.lit(1), F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("place"))
+    crowd = mixing.folded(sized).filter("key = '=a'").withColumn("shard", F.pmod("place", F.lit(20))).groupBy("shard").count().agg(F.max("count")).first()[0]
+    assert crowd < 80
