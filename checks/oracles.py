@@ -316,6 +316,9 @@ SQL["l8_text_search"] = _with(Q) + """,
 w AS (SELECT id, string_split(norm, ' ') AS ws FROM q)""" + """
 SELECT id, CAST(len(list_filter(ws, lambda x: x = 'the' OR x = 'of')) AS INT) AS score FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'of')"""
 
+SQL["l8_index_search"] = SQL["l8_text_search"]
+SQL["l8_index_top"] = f"SELECT * FROM ({SQL['l8_text_search']}) ORDER BY score DESC, id LIMIT 20"
+
 # --- lookups ------------------------------------------------------------------------
 _RULES = """
 rules(categoria, tema, mat) AS (VALUES ('src1', 't1', 'M1'), ('src1', NULL, 'M2'), ('src2', NULL, 'M3'), ('src3', 't3', 'M4'), ('src99', NULL, 'M9')),
@@ -432,10 +435,11 @@ SQL["s7_page_scan"] = "SELECT page_id, url, html FROM pages"
 SQL["s8_append"] = _with(Q) + "SELECT fonte, id, hash_enunciado FROM q"
 SQL["s9_add_columns"] = _with(Q) + """
 SELECT id, materia, CAST(NULL AS VARCHAR) AS cargo, CAST(NULL AS VARCHAR) AS tema, '[]' AS imagens_urls, 'pendente' AS prova FROM q"""
-SQL["u2_column_difference"] = """
-SELECT unnest(['alternativas', 'ano', 'assunto', 'banca', 'cargo', 'categoria', 'comentario', 'content_hash', 'enunciado', 'fonte', 'gabarito',
-  'hash_enunciado', 'id', 'id_qc', 'imagens', 'imagens_urls', 'materia', 'orgao', 'prova', 'tema', 'texto_associado', 'usada']) AS coluna
-EXCEPT SELECT unnest(['fonte', 'materia', 'tema', 'id'])"""
+SQL["u2_column_difference"] = _with(Q) + """
+SELECT coluna, count(*) AS linhas FROM q, (
+  SELECT unnest(['alternativas', 'ano', 'assunto', 'banca', 'cargo', 'categoria', 'comentario', 'content_hash', 'enunciado', 'fonte', 'gabarito',
+    'hash_enunciado', 'id', 'id_qc', 'imagens', 'imagens_urls', 'materia', 'orgao', 'prova', 'tema', 'texto_associado', 'usada']) AS coluna
+  EXCEPT SELECT unnest(['fonte', 'materia', 'tema', 'id'])) GROUP BY coluna"""
 SQL["s10_export_csv"] = _with(Q) + "SELECT id, enunciado, materia FROM q"
 SQL["s10_export_json"] = _with(Q) + "SELECT id, enunciado, CAST(len(letras) AS INT) AS n_opcoes FROM q WHERE fonte = 'pci'"
 SQL["u5_exams_available"] = _with(SPECS) + """
@@ -448,6 +452,7 @@ r AS (SELECT exam, materia, CAST(round_even(CAST(q * peso AS DOUBLE) / CAST(sum(
 SELECT exam, materia, quota FROM r WHERE quota > 0"""
 SQL["h3_quota_draw"] = _with(Q, QUOTAS, RANKED) + """
 SELECT exam, r.materia, rank, usada, id FROM ranked r JOIN quotas s ON s.materia = r.materia AND rank <= quota"""
+SQL["h3_clustered_draw"] = SQL["h3_quota_draw"]
 SQL["h3_seeded_draw"] = _with(Q, QUOTAS, RANKED) + """,
 seeded AS (SELECT *, row_number() OVER (PARTITION BY materia ORDER BY usada, md5(content_hash || '7')) AS rk FROM pool)""" + """
 SELECT exam, r.materia, rk AS rank, usada, id FROM seeded r JOIN quotas s ON s.materia = r.materia AND rk <= quota"""
@@ -574,6 +579,9 @@ SELECT 'pci' AS fonte, 'cat/t' || (id // 10) % 3 AS chave, CAST(max(id // 10) AS
 SQL["st2_quarantine"] = _with(Q) + """
 SELECT 'invalid_source' AS motivo, count(*) AS n FROM q WHERE id_qc IS NOT NULL AND id % 13 <> 0 AND (id // 10) % 7 = 3 HAVING count(*) > 0"""
 SQL["st3_live_statistics"] = SQL["a1_stats_by_subject"]
+SQL["st3_kept_subjects"] = SQL["a1_stats_by_subject"]
+SQL["st3_kept_status"] = SQL["a2_source_status"]
+SQL["st3_kept_tree"] = SQL["a5_source_tree"]
 SQL["st4_collection_rate"] = """
 SELECT date_trunc('minute', ts) AS inicio, event_type AS fonte, count(*) AS n FROM events GROUP BY ALL"""
 SQL["st4_batch_rate"] = SQL["st4_collection_rate"]

@@ -12,11 +12,12 @@ from quaestor.functions import parsing, text
 from quaestor.operators import allocation, classify, draw, extract, ingest, quality
 from quaestor.plans import exams, stats
 from quaestor.session import durable, work_path
+from quaestor.sources import clustered, text_index
 from quaestor.sources import questions as store
 from quaestor.sources import specs as spec_files
 from quaestor.schemas import QUESTIONS
 from quaestor.streaming import ingest as stream_ingest
-from quaestor.streaming import monitor
+from quaestor.streaming import monitor, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -471,6 +472,24 @@ def l8_text_search(spark, d):
     return draw.search_text(P.questions(spark, d), ["the", "of"]).select("id", "score")
 
 
+def _text_index(spark, d) -> str:
+    """Two appends of half of the questions each."""
+    path = work_path(spark, "text-index")
+    for half in (0, 1):
+        text_index.append_index(P.questions(spark, d).filter(F.col("id") % 2 == half), path)
+    return path
+
+
+@query
+def l8_index_search(spark, d):
+    return text_index.search_index(spark, _text_index(spark, d), ["the", "of"])
+
+
+@query
+def l8_index_top(spark, d):
+    return text_index.search_index(spark, _text_index(spark, d), ["of", "The"], top=20)
+
+
 # --- lookups ----------------------------------------------------------------------------------
 
 def _rules(spark):
@@ -711,8 +730,10 @@ def s9_add_columns(spark, d):
 
 @query
 def u2_column_difference(spark, d):
+    """Each column that an older table lacks, and how many of its rows are to get a default."""
     old = P.questions(spark, d).select("id", "fonte", "materia", "tema", F.lit(1).alias("outra"))
-    return spark.createDataFrame([(c,) for c in store.missing_columns(old, QUESTIONS)], "coluna string")
+    missing = F.array(*[F.lit(c) for c in store.missing_columns(old, QUESTIONS)])
+    return old.select(F.explode(missing).alias("coluna")).groupBy("coluna").agg(F.count("*").alias("linhas"))
 
 
 @query
@@ -765,6 +786,14 @@ def h3_quota_draw(spark, d):
     return draw.draw(P.questions(spark, d), _requests(spark, d))
 
 
+@query
+def h3_clustered_draw(spark, d):
+    """The same draw from a bank laid out by subject and digest."""
+    path = work_path(spark, "clustered")
+    clustered.write_clustered(P.questions(spark, d).drop("seq"), path)
+    return clustered.draw_clustered(spark, path, _requests(spark, d))
+
+
 @query
 def h3_seeded_draw(spark, d):
     return draw.draw(P.questions(spark, d), _requests(spark, d), seed="7")
@@ -1020,6 +1049,33 @@ def st3_live_statistics(spark, d):
     return monitor.latest_snapshot(spark, out)
 
 
+def _kept_cells(spark, d) -> DataFrame:
+    """Counts kept up over a stream of three files, in which some rows are wrong and put right later."""
+    path, out = work_path(spark, "rows-in"), work_path(spark, "cells")
+    right = P.questions(spark, d).select("id", "materia", "fonte", "categoria", "tema", "usada", "gabarito", "imagens_urls")
+    wrong = right.filter("id % 9 = 0").withColumns({"materia": F.lit("?"), "usada": 1 - F.col("usada"), "gabarito": F.lit(None).cast("string"), "tema": F.lit("t?")})
+    right.filter("id % 9 <> 0").unionByName(wrong).repartition(3).write.parquet(path)
+    rows = spark.readStream.schema(right.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    reports.maintain(rows, out, work_path(spark, "offsets")).awaitTermination()
+    reports.add_batch(right.filter("id % 9 = 0"), 0, out, "corrections", removed=wrong)
+    return reports.cells(spark, out)
+
+
+@query
+def st3_kept_subjects(spark, d):
+    return reports.by_subject(_kept_cells(spark, d))
+
+
+@query
+def st3_kept_status(spark, d):
+    return reports.source_status(_kept_cells(spark, d))
+
+
+@query
+def st3_kept_tree(spark, d):
+    return reports.source_tree(_kept_cells(spark, d))
+
+
 @query
 def st4_collection_rate(spark, d):
     out = work_path(spark, "rate")

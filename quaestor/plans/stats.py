@@ -127,7 +127,12 @@ def topic_cells(questions: DataFrame, fonte: str = "pci") -> DataFrame:
 def source_tree(questions: DataFrame, fonte: str = "pci") -> DataFrame:
     """``nivel`` 0 source, 1 category, 2 topic. Rows without category count in the total
     only; rows without topic in their category only."""
-    tree = topic_cells(questions, fonte).rollup("categoria", "tema").agg(
+    return tree_of(topic_cells(questions, fonte))
+
+
+def tree_of(cells: DataFrame) -> DataFrame:
+    """The tree of counted topics (``categoria, tema, n, imgs``)."""
+    tree = cells.rollup("categoria", "tema").agg(
         F.sum("n").alias("total"),
         F.sum("imgs").alias("com_imagens"),
         F.grouping("categoria").alias("gc"),
