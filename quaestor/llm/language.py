@@ -101,6 +101,21 @@ class Field:
                     out[word[first]] += np.add.reduceat(self.weights[cells], first, axis=0)
         return out
 
+    def seen(self) -> np.ndarray:
+        """Cells of the weights that training texts have touched."""
+        return (self.weights != 0).any(1)
+
+    def familiar(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words_at: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """By text: n-grams of the longest kind that training texts have, and all of them."""
+        running, out = running_hash(data), np.zeros((len(words_at) - 1, 2))
+        for kind, word, at, to in feature_spans(starts, ends):
+            if kind == 32 + max(GRAMS):
+                cells = (span_hash(running, at, to, kind) & np.uint64(CELLS - 1)).astype(np.int64)
+                text = np.searchsorted(words_at, word, side="right") - 1
+                out[:, 0] += np.bincount(text, seen[cells], len(out))
+                out[:, 1] += np.bincount(text, minlength=len(out))
+        return out
+
     def marginals(self, evidence: np.ndarray, words_at: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None) -> np.ndarray:
         """Forward-backward over all documents of a slice at once. A long one is cut into runs of
         ``RUN`` words; the product of a run's steps tells what comes in from the runs before and
@@ -289,12 +304,13 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.3,
     return field
 
 
-def training_texts(docs: DataFrame, learn: Column, most: int = TRAIN_DOCS) -> tuple[list[str], list[str]]:
-    """At most ``most`` texts per language, short ones first. ``learn``: condition on doc_id."""
+def training_texts(docs: DataFrame, learn: Column, most: int = TRAIN_DOCS, after: int = 0) -> tuple[list[str], list[str]]:
+    """At most ``most`` texts per language, short ones first; those after the first ``after``. ``learn``: condition on doc_id."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     long = F.octet_length("text") > TRAIN_BYTES
     ranked = usable.select("doc_id", "lang", long.alias("long")).withColumn("_rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_rank") <= most)
+        Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_rank") <= after + most)
+    ranked = ranked.filter(F.col("_rank") > after)
     # stored, so that Spark knows how little there is to send
     ranked = durable(ranked.select("doc_id", "lang").distinct(), "training")
     # a long text stands for itself by a run of characters from a place that its id chooses
@@ -333,16 +349,21 @@ def identify_slice(field: Field, data: np.ndarray, offsets: np.ndarray, spans: b
     return means, language_runs(chances, words_at) if spans else []
 
 
-def identify_long(field: Field, data: np.ndarray, spans: bool) -> tuple[np.ndarray, list]:
-    """The same of one long text, in parts that end between words: first what passes from part to part,
-    then each part with that. Memory goes with a part, not with the text."""
+def text_parts(data: np.ndarray) -> list[np.ndarray]:
+    """A long text in parts that end between words."""
     cuts = [0]
     while cuts[-1] < len(data):
         end = cuts[-1] + SLICE
         while end < len(data) and not SPACE[data[end]]:
             end += 1
         cuts.append(min(end, len(data)))
-    parts = [data[a:b] for a, b in zip(cuts, cuts[1:])]
+    return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def identify_long(field: Field, data: np.ndarray, spans: bool) -> tuple[np.ndarray, list]:
+    """The same of one long text, in parts that end between words: first what passes from part to part,
+    then each part with that. Memory goes with a part, not with the text."""
+    parts = text_parts(data)
 
     def evidence(part: np.ndarray) -> np.ndarray:
         starts, ends, _ = word_bounds(part, np.array([0, len(part)]))
@@ -364,6 +385,27 @@ def identify_long(field: Field, data: np.ndarray, spans: bool) -> tuple[np.ndarr
     return (total / words)[None, :], [joined] if spans else []
 
 
+def familiar_shares(field: Field, texts: pa.Array) -> np.ndarray:
+    """Of each text the share of its n-grams that training texts have (1 for a text without any): low
+    where a text is in no learned language, however sure the field is of the nearest one."""
+    out, seen = np.ones(len(texts)), field.seen()
+    for row, part in row_slices(texts, SLICE):
+        _, data, offsets = next(text_slices(pc.utf8_lower(part.fill_null("")), 1 << 62))
+        if len(part) == 1 and len(data) > 2 * SLICE:
+            counts = sum(field.familiar(piece, *word_bounds(piece, np.array([0, len(piece)])), seen) for piece in text_parts(data))
+        else:
+            counts = field.familiar(data, *word_bounds(data, offsets), seen)
+        out[row:row + len(part)] = np.where(counts[:, 1] > 0, counts[:, 0] / np.maximum(counts[:, 1], 1), 1.0)
+    return out
+
+
+def familiar_floor(docs: DataFrame, field: Field, learn: Column, most: int = 50) -> float:
+    """The share below which a text is of no learned language: well under what all but a few of at most
+    ``most`` texts per language have, which were not learned from. Without such texts 0."""
+    texts, _ = training_texts(docs, learn, most, TRAIN_DOCS)
+    return 0.8 * float(np.quantile(familiar_shares(field, pa.array(texts, pa.string())), 0.02)) if texts else 0.0
+
+
 def identify(field: Field, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, np.ndarray, list]:
     """Language number (-1: unknown) and score of each text, and with ``spans`` its runs of
     words of one language as (language number, words)."""
@@ -384,28 +426,32 @@ def identify(field: Field, texts: pa.Array, spans: bool = True) -> tuple[np.ndar
     return best, score, runs
 
 
-def labeller(field, schema: list[str], spans: bool) -> Callable:
+def labeller(field, schema: list[str], spans: bool, familiar: bool) -> Callable:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = field.value
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             best, score, runs = identify(model, batch.column("text"), spans)
             columns = [batch.column(c) for c in schema] + [pa.array(names[best], pa.string()), pa.array(score)]
+            if familiar:
+                columns.append(pa.array(familiar_shares(model, batch.column("text"))))
             if spans:
                 columns.append(pa.array([[{"lang": names[k], "words": int(n)} for k, n in r] for r in runs],
                                         pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(columns, [*schema, "lang_pred", "lang_score"] + ["lang_spans"] * spans)
+            yield pa.RecordBatch.from_arrays(columns, [*schema, "lang_pred", "lang_score"] + ["lang_familiar"] * familiar + ["lang_spans"] * spans)
     return label
 
 
-def identify_languages(docs: DataFrame, field: Field, spans: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and lang_score, and with ``spans`` also lang_spans: the text's
-    words as runs of one language, in order."""
+def identify_languages(docs: DataFrame, field: Field, spans: bool = False, familiar: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and lang_score; with ``familiar`` also lang_familiar (``familiar_shares``),
+    and with ``spans`` lang_spans: the text's words as runs of one language, in order."""
     spark = docs.sparkSession
     ship_package(spark)
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_spans")]
+    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score", "lang_familiar", "lang_spans")]
     names = [f.name for f in keep]
     schema = T.StructType([*keep, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    if familiar:
+        schema = schema.add("lang_familiar", T.DoubleType())
     if spans:
         schema = schema.add("lang_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("words", T.IntegerType())])))
-    return docs.select(*names).mapInArrow(labeller(spark.sparkContext.broadcast(field), names, spans), schema)
+    return docs.select(*names).mapInArrow(labeller(spark.sparkContext.broadcast(field), names, spans, familiar), schema)

@@ -73,3 +73,50 @@ def test_rows_without_or_with_equal_ids(spark, sf_dir):
     assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in kept.collect()) == want
     mixed = cp.mix_to_weights(spark, kept, sf_dir).collect()
     assert Counter((r["doc_id"], r["text"], r["lang"], r["source"]) for r in mixed) == want
+
+
+def test_language_stage_rejects_what_no_labelled_document_speaks(spark, sf_dir):
+    """Expected rows: texts of the labelled languages stay, one of another and those without letters go."""
+    import random
+
+    rng = random.Random(6)
+
+    def prose(words, n):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    en, de = data.PROSE["en"].split(), data.PROSE["de"].split()
+    other = "perheen vanha talo seisoi joen varrella ikkunat avautuivat metsään iltaisin kuului lintujen laulua kesäyönä kylän läpi kulki hiekkatie".split()
+    known = [(i, prose(en if i % 2 else de, 40), "en" if i % 2 else "de", "a") for i in range(520)]
+    unlabelled = [(1000 + i, prose(en, 30) if i % 2 else prose(de, 30), None, "a") for i in range(20)]
+    gone = [(2000, prose(other, 60), None, "a"), (2001, prose(other, 8), None, "a"), (2002, "12 34 !!", "en", "a"), (2003, None, "en", "a"), (2004, "", None, "a")]
+    docs = data.documents(spark, known + unlabelled + gone)
+    kept = {r["doc_id"] for r in cp.keep_known_languages(spark, docs, sf_dir).collect()}
+    assert kept == {r[0] for r in known + unlabelled}
+
+
+def test_packing_stage_gives_every_piece_a_place(spark, sf_dir):
+    """Against encoding whole texts and laying the pieces out one by one."""
+    import zlib
+
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from quaestor.llm.queries import tokenizer_path
+
+    rows = [(i, f"word{i} and more " * n, "en", "a") for i, n in enumerate([1, 3, 0, 900, 2000, 50, 700])] + [(9, None, "en", "a")]
+    packed = cp.pack(spark, data.documents(spark, rows), sf_dir).collect()
+    tokenizer, want = Tokenizer.from_file(tokenizer_path()), set()
+    for i, text, _, _ in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+        for piece, start in enumerate(range(0, len(ids), 4096)):
+            part = np.array(ids[start:start + 4096], "<u4")
+            want.add((i, piece, start, len(part), zlib.crc32(part.tobytes())))
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed} == want and len(packed) == len(want)
+    by_sequence = {}
+    for r in packed:
+        by_sequence.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_sequence.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(places)]).tolist()]
+        assert [at for at, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
+    total = sum(n for _, _, _, n, _ in want)
+    assert len(by_sequence) == -(-total // 4096)
