@@ -42,6 +42,8 @@ STEPS = 40
 RUN = 1024
 SLICE = 1 << 20
 UNKNOWN = "und"
+_BYTE = np.arange(256)
+LETTER = ((_BYTE | 32) >= 97) & ((_BYTE | 32) <= 122) | (_BYTE >= 128)
 AFFIXES = (1, 2, 3, 4)
 GRAMS = (2, 3, 4)
 
@@ -106,10 +108,13 @@ class Field:
         return (self.weights != 0).any(1)
 
     def familiar(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words_at: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """By text: n-grams of the longest kind that training texts have, and all of them."""
+        """By text: n-grams of letters of the longest kind that training texts have, and all of them."""
         running, out = running_hash(data), np.zeros((len(words_at) - 1, 2))
+        others = np.append(0, np.cumsum(~LETTER[data]))
         for kind, word, at, to in feature_spans(starts, ends):
             if kind == 32 + max(GRAMS):
+                letters = others[at] == others[to]
+                word, at, to = word[letters], at[letters], to[letters]
                 cells = (span_hash(running, at, to, kind) & np.uint64(CELLS - 1)).astype(np.int64)
                 text = np.searchsorted(words_at, word, side="right") - 1
                 out[:, 0] += np.bincount(text, seen[cells], len(out))
@@ -386,8 +391,9 @@ def identify_long(field: Field, data: np.ndarray, spans: bool) -> tuple[np.ndarr
 
 
 def familiar_shares(field: Field, texts: pa.Array) -> np.ndarray:
-    """Of each text the share of its n-grams that training texts have (1 for a text without any): low
-    where a text is in no learned language, however sure the field is of the nearest one."""
+    """Of each text the share of its n-grams that training texts have: low where a text is in no learned
+    language, however sure the field is of the nearest one. Few n-grams say little, so this is the
+    upper end of where the share may lie (two deviations, 1 at most; 1 for a text without any)."""
     out, seen = np.ones(len(texts)), field.seen()
     for row, part in row_slices(texts, SLICE):
         _, data, offsets = next(text_slices(pc.utf8_lower(part.fill_null("")), 1 << 62))
@@ -395,7 +401,8 @@ def familiar_shares(field: Field, texts: pa.Array) -> np.ndarray:
             counts = sum(field.familiar(piece, *word_bounds(piece, np.array([0, len(piece)])), seen) for piece in text_parts(data))
         else:
             counts = field.familiar(data, *word_bounds(data, offsets), seen)
-        out[row:row + len(part)] = np.where(counts[:, 1] > 0, counts[:, 0] / np.maximum(counts[:, 1], 1), 1.0)
+        many = np.maximum(counts[:, 1], 1)
+        out[row:row + len(part)] = np.where(counts[:, 1] > 0, np.minimum(counts[:, 0] / many + 1 / np.sqrt(many), 1), 1.0)
     return out
 
 
