@@ -312,6 +312,8 @@ SELECT categoria, count(*) AS total FROM q WHERE contains(lower(categoria), 'rc1
 SQL["l7_browse"] = _with(Q) + """
 SELECT id, materia, categoria, tema FROM q WHERE materia = 'en' AND categoria = 'src1' AND tema IS NOT NULL"""
 SQL["l7_keyset_page"] = _with(Q) + "SELECT id, materia, categoria FROM q WHERE materia = 'en' AND id > 50 ORDER BY id LIMIT 25"
+SQL["l7_paged_keyset"] = SQL["l7_keyset_page"]
+SQL["l7_paged_offset"] = _with(Q) + "SELECT id, materia, categoria FROM q WHERE materia = 'en' ORDER BY id LIMIT 30 OFFSET 200"
 SQL["l8_text_search"] = _with(Q) + """,
 w AS (SELECT id, string_split(norm, ' ') AS ws FROM q)""" + """
 SELECT id, CAST(len(list_filter(ws, lambda x: x = 'the' OR x = 'of')) AS INT) AS score FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'of')"""
@@ -392,6 +394,8 @@ SQL["f4_used_flags"] = _with(Q) + """,
 r AS (SELECT coalesce(max(event_id), -1) AS r FROM events WHERE event_type = 'signup' AND event_id % 500 = 0),
 u AS (SELECT DISTINCT user_id FROM events, r WHERE NOT (event_type = 'signup' AND event_id % 500 = 0) AND event_id > r.r)""" + """
 SELECT id, CASE WHEN id IN (SELECT user_id FROM u) THEN 1 ELSE 0 END AS usada FROM q"""
+SQL["f3_compacted_progress"] = SQL["f3_latest_progress"]
+SQL["f4_compacted_usage"] = SQL["f4_used_flags"]
 SQL["f5_keep_first"] = """
 SELECT DISTINCT ON (user_id) user_id AS id, event_type AS lista, event_id AS pos FROM events ORDER BY user_id, event_type, event_id"""
 SQL["f6_ingest_report"] = _with(Q, _BATCH_ALL, ACCEPTED) + """

@@ -12,7 +12,7 @@ from quaestor.functions import parsing, text
 from quaestor.operators import allocation, classify, draw, extract, ingest, quality
 from quaestor.plans import exams, stats
 from quaestor.session import durable, work_path
-from quaestor.sources import clustered, text_index
+from quaestor.sources import clustered, logs, paged, text_index
 from quaestor.sources import questions as store
 from quaestor.sources import specs as spec_files
 from quaestor.schemas import QUESTIONS
@@ -467,6 +467,22 @@ def l7_keyset_page(spark, d):
     return draw.browse(P.questions(spark, d), materia="en", after_id=50, page_size=25).select("id", "materia", "categoria")
 
 
+def _paged(spark, d) -> str:
+    path = work_path(spark, "paged")
+    paged.write_paged(P.questions(spark, d).drop("seq"), path)
+    return path
+
+
+@query
+def l7_paged_keyset(spark, d):
+    return paged.page(spark, _paged(spark, d), 25, materia="en", after_id=50).select("id", "materia", "categoria")
+
+
+@query
+def l7_paged_offset(spark, d):
+    return paged.page(spark, _paged(spark, d), 30, materia="en", skip=200).select("id", "materia", "categoria")
+
+
 @query
 def l8_text_search(spark, d):
     return draw.search_text(P.questions(spark, d), ["the", "of"]).select("id", "score")
@@ -622,6 +638,27 @@ def f3_latest_progress(spark, d):
     return ingest.latest_progress(P.progress_log(spark, d))
 
 
+def _compacted(spark, d, log: DataFrame, reduce) -> DataFrame:
+    """The log appended in three parts, compacted after the second."""
+    path = work_path(spark, "log")
+    for part in range(3):
+        logs.append_log(log.filter(F.col("seq") % 3 == part), path, reduce)
+        if part == 1:
+            logs.compact_log(spark, path, log.schema, reduce)
+    return logs.read_log(spark, path, log.schema)
+
+
+@query
+def f3_compacted_progress(spark, d):
+    return ingest.latest_progress(_compacted(spark, d, P.progress_log(spark, d), logs.reduce_progress))
+
+
+@query
+def f4_compacted_usage(spark, d):
+    log = _compacted(spark, d, P.usage_log(spark, d), logs.reduce_usage)
+    return ingest.with_used_flag(P.questions(spark, d), log).select("id", "usada")
+
+
 @query
 def f4_used_flags(spark, d):
     return ingest.with_used_flag(P.questions(spark, d), P.usage_log(spark, d)).select("id", "usada")

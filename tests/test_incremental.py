@@ -5,10 +5,10 @@ import random
 from pyspark.sql import functions as F
 
 from checks import projections as P
-from quaestor.operators import draw
+from quaestor.operators import draw, ingest
 from quaestor.plans import stats
 from quaestor.schemas import QUESTIONS
-from quaestor.sources import clustered, text_index
+from quaestor.sources import clustered, logs, paged, text_index
 from quaestor.streaming import reports
 
 COLUMNS = "materia string, fonte string, categoria string, tema string, usada int, gabarito string, imagens_urls array<string>"
@@ -95,3 +95,45 @@ def test_stream_restarts(spark, sf_dir, tmp_path):
         bank.filter(F.col("id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
         reports.maintain(spark.readStream.schema(bank.schema).parquet(source), out, offsets).awaitTermination()
     assert as_set(reports.by_subject(reports.cells(spark, out))) == as_set(stats.by_subject(bank))
+
+
+def test_compacted_logs_read_like_plain_ones(spark, tmp_path, monkeypatch):
+    """Histories with repeats and resets, an append that was never committed, and ones that compact."""
+    monkeypatch.setattr(logs, "LEAST_ROWS", 12)
+    rng, seq, progress, usage, compacted = random.Random(2), 0, [], [], 0
+    for step in range(8):
+        rows = []
+        for _ in range(rng.randint(0, 15)):
+            seq += 1
+            rows.append((rng.choice(["pci", "q"]), rng.choice("abc"), rng.randint(0, 9), seq))
+        progress += rows
+        df = spark.createDataFrame(rows, "fonte string, chave string, pagina int, seq long")
+        compacted += logs.append_log(df, str(tmp_path / "progress"), logs.reduce_progress)
+        df.write.parquet(str(tmp_path / f"progress/rows/uncommitted{step}"))
+        got = logs.read_log(spark, str(tmp_path / "progress"), df.schema)
+        assert as_set(ingest.latest_progress(got)) == as_set(ingest.latest_progress(spark.createDataFrame(progress, df.schema)))
+        assert got.count() <= 6 + 2 * 12 + 15
+        rows = [(rng.choice([1, 2, 3, 4, 4, None if step % 3 == 2 else 5]), 7, seq * 100 + k) for k in range(rng.randint(0, 15))]
+        usage += rows
+        df = spark.createDataFrame(rows, "question_id long, exam_id long, seq long")
+        compacted += logs.append_log(df, str(tmp_path / "usage"), logs.reduce_usage)
+        got = logs.read_log(spark, str(tmp_path / "usage"), df.schema)
+        assert as_set(ingest.used_ids(got)) == as_set(ingest.used_ids(spark.createDataFrame(usage, df.schema)))
+    assert compacted >= 3
+
+
+def test_pages_read_one_or_two_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paged, "PART_ROWS", 50)
+    rows = spark.range(1000).select((F.col("id") * 3).alias("id")).withColumns({
+        f.name: F.lit(None).cast(f.dataType) for f in QUESTIONS.fields if f.name != "id"}).withColumns({
+            "materia": F.when(F.col("id") % 5 == 0, "rare").when(F.col("id") < 900, "early").otherwise("late"), "categoria": F.lit("c")})
+    rows = rows.select(*[f.name for f in QUESTIONS.fields])
+    path = str(tmp_path / "paged")
+    paged.write_paged(rows, path)
+    for filters in ({}, {"materia": "rare"}, {"materia": "late", "categoria": "c"}, {"materia": "none"}):
+        for where in ({}, {"skip": 137}, {"skip": 5000}, {"after_id": -1}, {"after_id": 1500}, {"after_id": 2996, "skip": 1}, {"after_id": 700, "skip": 60}):
+            got = paged.page(spark, path, 20, **filters, **where)
+            want = draw.browse(rows, **filters, **where, page_size=20)
+            assert [r["id"] for r in got.collect()] == [r["id"] for r in want.collect()], (filters, where)
+    cells = spark.read.parquet(f"{path}/counts")
+    assert len(paged.parts_of_page(cells, 20, skip=730)[0]) <= 2 and len(paged.parts_of_page(cells, 20, after_id=1500)[0]) <= 2
