@@ -20,7 +20,8 @@ from quaestor.session import once, ship_package
 # Fixed value: prefix of relative image addresses on site A.
 SITE_A_IMAGES = "https://www.pciconcursos.com.br"
 
-SPACE = r"(?U)^\s+|\s+$"
+# Fixed value: the characters that Unicode calls white space.
+SPACE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 # Fixed value: letters of options that carry none, by place.
 OPTION_LETTERS = "ABCDE"
 
@@ -30,7 +31,7 @@ OPTION_LETTERS = "ABCDE"
 # keeps the steps apart.
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE, "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def _nodes(block: Column, role: str) -> Column:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quaestor.operators import extract
 
 SITE_A = """<html><body>
@@ -142,5 +144,15 @@ def test_each_pattern_is_evaluated_once_per_piece_of_text(spark):
         rows = extract.page_blocks(pages(spark, SITE_A), layout)
         return rows._jdf.queryExecution().optimizedPlan().toString().count(pattern)
 
-    assert uses("a", extract.SPACE) == 2 and uses("a", "url\\(") == 1  # pieces, and what is left of options
-    assert uses("b", "(?U)\\s+,") == 1 and uses("b", extract.SPACE) == 1
+    assert uses("a", "trim(") == 2 and uses("a", "url\\(") == 1  # pieces, and what is left of options
+    assert uses("b", "(?U)\\s+,") == 1 and uses("b", "trim(") == 2
+
+
+def test_strips_what_unicode_calls_space(spark):
+    import re
+    import sys
+
+    spaces = [chr(c) for c in range(sys.maxunicode) if re.match(r"\s", chr(c)) and chr(c) not in "\x1c\x1d\x1e\x1f"]
+    assert sorted(extract.SPACE) == spaces
+    rows = spark.createDataFrame([(c + "a b" + c,) for c in spaces], "t string")
+    assert {r[0] for r in rows.select(extract._strip(F.col("t"))).collect()} == {"a b"}
