@@ -285,6 +285,10 @@ SELECT doc_id AS page_id, low AS enunciado, 'op ' || trim(translate(substr(low,
   'op ' || translate(substr(low, 1 + w, w), 'abcde', '#####') || chr(10) || 'Comentário: visto em 2019' AS b, 'visto em 2019' AS comentario, 2019 AS ano
 FROM lw WHERE length(low) >= 10"""
 SQL["x3_lines"] = _with(LOW) + "SELECT doc_id AS page_id, '7) ' || low AS enunciado FROM lw WHERE length(low) >= 13"
+SQL["x3_discovered"] = _with(LOW) + """
+SELECT doc_id // 8 AS page_id, CAST(row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id) - 1 AS INT) AS pos,
+  trim('Questão ' || doc_id || ': ' || coalesce(low, '')) AS enunciado, 'alfa ' || doc_id AS a, 'beta ' || length(coalesce(low, '')) AS b, 'gama ' || doc_id % 7 AS c
+FROM lw QUALIFY count(*) OVER (PARTITION BY doc_id // 8) >= 3"""
 SQL["x4_hierarchy"] = _with(LISTED) + """
 SELECT page_id, cat AS categoria, sub, nome AS sub_nome, '/simulados/' || cat || '/' || sub AS sub_url, 'x-' || sub AS tema,
   t.txt || ' x' AS tema_nome, '/simulados/' || cat || '/' || sub || '/x-' || sub AS tema_url

@@ -365,6 +365,22 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def unnamed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight documents to a page, as cards or as runs of siblings, among menus and footers; no pattern or
+    layout of the library names these elements."""
+    blocks = _lowered(spark, sf_dir).withColumn("low", F.coalesce("low", F.lit(""))).selectExpr(
+        "doc_id div 8 AS page_id", "doc_id",
+        """CASE WHEN (doc_id div 8) % 2 = 0
+             THEN concat('<li class="cartao"><span>', doc_id, '</span><p class="t">Questão ', doc_id, ': ', low, '</p><p class="o">(A) alfa ', doc_id,
+               '</p><p class="o">(B) beta ', length(low), '</p><p class="o">(C) gama ', doc_id % 7, '</p></li>')
+             ELSE concat('<h3>', doc_id, '</h3><blockquote>Questão ', doc_id, ': ', low, '</blockquote><ol><li>alfa ', doc_id,
+               '<li>beta ', length(low), '<li>gama ', doc_id % 7, '</ol><hr>') END AS html""")
+    return blocks.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "html"))).alias("b")).selectExpr(
+        "page_id",
+        """concat('<body><div><a href="/">a</a><a href="/b">b</a><a href="/c">c</a></div><main><ul>',
+             array_join(transform(b, x -> x.html), '\n'), '</ul></main><footer><p>x</p><p>y</p><p>z</p></footer></body>') AS html""")
+
+
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages whose navigation links become subcategory links, each followed by a topic
     link of the same word."""

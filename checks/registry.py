@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks import projections as P
 from quaestor.functions import parsing, text
-from quaestor.operators import allocation, classify, draw, extract, ingest, quality
+from quaestor.operators import allocation, classify, discover, draw, extract, ingest, quality
 from quaestor.plans import exams, stats
 from quaestor.session import durable, work_path
 from quaestor.sources import clustered, logs, paged, text_index
@@ -392,6 +392,12 @@ def x3_lines(spark, d):
     return rows.select("page_id", "enunciado")
 
 
+@query
+def x3_discovered(spark, d):
+    rows = discover.discovered_questions(P.unnamed_pages(spark, d))
+    return rows.select("page_id", "pos", "enunciado", *[F.col("alternativas")[k].alias(k.lower()) for k in "ABC"])
+
+
 @query
 def x4_hierarchy(spark, d):
     return extract.hierarchy(P.listing_pages(spark, d)).select(
