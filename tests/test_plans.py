@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import projections as P
 from checks.registry import QUERIES
-from quaestor.operators import draw, ingest
+from quaestor.operators import conflicts, draw, ingest
 from quaestor.plans import stats
 
 STREAMS = {n for n in QUERIES if re.match(r"st[1235]_|st4_coll", n)}
@@ -85,7 +85,7 @@ def test_hot_pending_key_is_split_at_run_time(spark, monkeypatch):
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     }
     split = []
-    durable = ingest.durable
+    durable = conflicts.durable
 
     def observed(df, label="step"):
         if label == "round":
@@ -93,7 +93,7 @@ def test_hot_pending_key_is_split_at_run_time(spark, monkeypatch):
             split.append(plan_of(df).split("== Initial Plan ==")[0].count("skew=true"))
         return durable(df, label)
 
-    monkeypatch.setattr(ingest, "durable", observed)
+    monkeypatch.setattr(conflicts, "durable", observed)
     before = {k: spark.conf.get(k, None) for k in settings}
     try:
         for k, v in settings.items():
