@@ -8,8 +8,8 @@ pairs are all frequent. No phrase can be frequent without that, so nothing is lo
 A task counts in a HAT-trie. Words are 64-bit ids; a window of words is a path. The top of the
 trie branches by word id; below, a container is a hash table from the rest of the path to its
 count. A container that grows beyond ``BURST`` paths bursts: it becomes a trie node with a
-smaller container for each next word. Windows go in sorted and counted by the half million. When the trie holds ``PATHS`` paths, the subtrees under
-half of the first words, the largest first, are written out as sorted runs and dropped from it.
+smaller container for each next word. Windows go in sorted and counted by the half million. When the trie holds ``PATHS`` paths, the largest subtrees, half
+of all paths, are written out as sorted runs and dropped from it.
 Runs are rows of phrase ids and counts; Spark merges those of one phrase, dealt by the phrase,
 so that a word or passage that occurs everywhere has a few rows per task and no partition of its
 own. A phrase is a path's beginning too, so a run carries the sums of every node of its subtree.
@@ -236,9 +236,6 @@ class Filter:
     def __init__(self, bits: np.ndarray):
         self.bits, self.size = bits, len(bits) * 64
 
-    def __contains__(self, key: int) -> bool:
-        return bool(self.has(np.array([key], np.uint64))[0])
-
     def has(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), bool)
         for k in range(PROBES):
