@@ -91,8 +91,9 @@ def in_places(rows: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("_part", F.shiftright("_at", 33))
     parts = dealt.groupBy("key", "_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
     before = F.sum("_rows").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = parts.withColumn("_before", F.coalesce(before, F.lit(0)))
-    placed = dealt.join(parts.drop("_rows"), ["key", "_part"])
+    # stored, so that Spark knows its size: as long as it is small, texts need not move to meet it
+    parts = durable(parts.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows"), "parts")
+    placed = dealt.join(parts, ["key", "_part"])
     return placed.withColumn("place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_before", "_first")
 
 
@@ -105,24 +106,28 @@ def chat_windows(turns: DataFrame, budget: int = 512, history: int = 96, target:
         F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         (tokens if tokens is not None else count_tokens(F.coalesce("text", F.lit("")))).cast("long").alias("tokens"))
     rows = in_places(rows).withColumn("segment", F.floor(F.col("place") / SEGMENT))
-    system = rows.filter((F.col("place") == 0) & (F.col("role") == "system")).select(
-        "key", F.struct("role", "text", "tokens").alias("system"))
-
     segments = rows.groupBy("conv_id", "key", "segment").agg(
         F.sort_array(F.collect_list(F.struct("place", "role", "text", "tokens"))).alias("turns"))
-    segments = segments.join(system, "key", "left")
+    # only a full segment has one after it, so short conversations take no part in the joins
+    full = F.size("turns") == SEGMENT
+    opening = F.get("turns", F.lit(0))
+    opening = F.when(opening["role"] == "system", F.struct(opening["role"].alias("role"), opening["text"].alias("text"), opening["tokens"].alias("tokens")))
+    first = segments.filter("segment = 0").withColumn("system", opening)
+    system = first.filter(full & F.col("system").isNotNull()).select("key", "system")
+    segments = first.unionByName(segments.filter("segment > 0").join(system, "key", "left")).withColumn("full", full)
     own = F.when((F.col("segment") == 0) & F.col("system").isNotNull(), F.slice("turns", 2, F.greatest(F.size("turns") - 1, F.lit(0)))).otherwise(F.col("turns"))
     sums = F.aggregate(own, F.struct(F.array().cast("array<struct<role:string,text:string,tokens:bigint,before:bigint>>").alias("out"), F.lit(0).cast("long").alias("sum")), lambda s, t: F.struct(
         F.concat(s["out"], F.array(F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), s["sum"].alias("before")))).alias("out"),
         (s["sum"] + t["tokens"]).alias("sum")))
     segments = once(segments, _sums=sums)
-    segments = segments.select("conv_id", "key", "segment", "system", F.col("_sums.out").alias("turns"), F.col("_sums.sum").alias("total"))
+    segments = segments.select("conv_id", "key", "segment", "system", "full", F.col("_sums.out").alias("turns"), F.col("_sums.sum").alias("total"))
 
     # what later windows may repeat of a segment, ``before`` counted back from its end
-    tails = segments.select("key", (F.col("segment") + 1).alias("segment"), F.transform(
+    tails = segments.filter("full").select("key", (F.col("segment") + 1).alias("segment"), F.transform(
         F.filter("turns", lambda t: F.col("total") - t["before"] <= history),
         lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens"), (t["before"] - F.col("total")).alias("before"))).alias("tail"))
-    segments = segments.join(tails.filter(F.size("tail") > 0), ["key", "segment"], "left")
+    later = segments.filter("segment > 0").join(tails.filter(F.size("tail") > 0), ["key", "segment"], "left")
+    segments = segments.filter("segment = 0").unionByName(later, allowMissingColumns=True)
 
     room = F.greatest(F.lit(budget) - F.coalesce(F.col("system.tokens"), F.lit(0)) - history, F.lit(1))
     # a conversation of a system turn alone has no other turn; its window holds that one
