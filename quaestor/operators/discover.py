@@ -3,7 +3,8 @@
 A list of records repeats: below one element of the page, children of one kind follow each other,
 alone or each with others after it (heading, text, list, heading, text, list, ...). A page is aligned
 with itself: of all parents and kinds that could begin their records, those are taken whose records are
-mostly alike inside and hold most text. A record's texts are then fields by their place, the tag path below the
+mostly alike inside and hold most text. Records have more than one text each: children of a single one are a
+menu, paragraphs or the options of a lone question. A record's texts are then fields by their place, the tag path below the
 list. A path that most records have several times is that of the options; of the others the one with
 the longest texts is the statement.
 
@@ -33,7 +34,7 @@ ENDS_AT = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 # How an option's own letter is written, and letters of options that carry none, by place.
 LETTERED = r"^\(?([A-E])\s*[).:–-]\s*"
 OPTION_LETTERS = "ABCDE"
-ELEMENTS = "pos int, parent int, last int, path array<string>, shape long, chars int, own string"
+ELEMENTS = "pos int, parent int, last int, path array<string>, shape long, chars int, texts int, own string"
 
 
 class ElementReader(HTMLParser):
@@ -66,6 +67,7 @@ class ElementReader(HTMLParser):
     def rows(self) -> Iterator[tuple]:
         n = len(self.kind)
         last, chars, inside = list(range(n)), [len(t) for t in self.own], [[] for _ in range(n)]
+        texts = [int(t != "") for t in self.own]
         shape, paths = [0] * n, [[]] * n
         for at in range(n - 1, -1, -1):
             # what is inside, repeats in a row once: a list of four is like one of five
@@ -73,16 +75,16 @@ class ElementReader(HTMLParser):
             shape[at] = zlib.crc32(f"{self.kind[at]}{kinds}".encode())
             up = self.parent[at]
             if up >= 0:
-                last[up], chars[up] = max(last[up], last[at]), chars[up] + chars[at]
+                last[up], chars[up], texts[up] = max(last[up], last[at]), chars[up] + chars[at], texts[up] + texts[at]
                 inside[up].append(shape[at])
         for at in range(1, n):
             paths[at] = [*paths[self.parent[at]], self.kind[at]]
-            yield at, self.parent[at], last[at], paths[at], shape[at], chars[at], self.own[at]
+            yield at, self.parent[at], last[at], paths[at], shape[at], chars[at], texts[at], self.own[at]
 
 
 def lister(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["pos", "parent", "last", "path", "shape", "chars", "own"]
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.string()]
+    names = ["pos", "parent", "last", "path", "shape", "chars", "texts", "own"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.int64(), pa.int32(), pa.int32(), pa.string()]
     for batch in batches:
         page = batch.schema.field("page_id").type
         for number, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
@@ -104,18 +106,18 @@ def elements(pages: DataFrame) -> DataFrame:
 def records(listed: DataFrame) -> DataFrame:
     """page_id, record, first, last, depth: the records of each page's list, as ranges of elements, and how
     deep the list lies. ``listed``: stored elements."""
-    children = listed.select("page_id", "parent", "pos", "last", "shape", "chars", F.size("path").alias("depth"), F.element_at("path", -1).alias("kind"))
+    children = listed.select("page_id", "parent", "pos", "last", "shape", "chars", "texts", F.size("path").alias("depth"), F.element_at("path", -1).alias("kind"))
     begins = children.groupBy("page_id", "parent", "kind").agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_RECORDS)
     list_of = ["page_id", "parent", "begin"]
     runs = children.join(begins.select("page_id", "parent", F.col("kind").alias("begin")), ["page_id", "parent"])
     number = F.sum((F.col("kind") == F.col("begin")).cast("int")).over(Window.partitionBy(*list_of).orderBy("pos"))
     runs = runs.withColumn("record", number).filter("record > 0")
     found = runs.groupBy(*list_of, "record").agg(
-        F.min("pos").alias("first"), F.max("last").alias("last"), F.sum("chars").alias("chars"), F.min("depth").alias("depth"),
+        F.min("pos").alias("first"), F.max("last").alias("last"), F.sum("chars").alias("chars"), F.sum("texts").alias("texts"), F.min("depth").alias("depth"),
         F.xxhash64(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "shape"))), lambda c: c["shape"]))).alias("shape"))
-    alike = found.groupBy(*list_of, "shape").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("first").alias("at"))
-    lists = alike.groupBy(*list_of).agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("at").alias("at"))
-    lists = lists.filter((F.col("most") >= LEAST_RECORDS) & (F.col("most") >= MOST * F.col("n")))
+    alike = found.groupBy(*list_of, "shape").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.min("first").alias("at"), F.count_if(F.col("texts") > 1).alias("full"))
+    lists = alike.groupBy(*list_of).agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.min("at").alias("at"), F.sum("full").alias("full"))
+    lists = lists.filter((F.col("most") >= LEAST_RECORDS) & (F.col("most") >= MOST * F.col("n")) & (F.col("full") >= MOST * F.col("n")))
     best = lists.groupBy("page_id").agg(F.max(F.struct(
         "chars", (F.col("most") / F.col("n")).alias("alike"), (-F.col("at")).alias("early"), "parent", "begin")).alias("best"))
     chosen = found.join(best.select("page_id", "best.parent", "best.begin"), list_of)

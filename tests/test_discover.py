@@ -51,3 +51,10 @@ def test_records_that_differ_a_little(spark):
     rows = discovered_questions(spark.createDataFrame([(1, html)], "page_id long, html string")).orderBy("pos").collect()
     assert [r["enunciado"] for r in rows] == [statement(k) for k in range(8)]
     assert all(list(r["alternativas"].values()) == options(k) for k, r in enumerate(rows))
+
+
+def test_options_and_menus_are_no_records(spark):
+    """Pages of one or two questions repeat nothing but their options, menu and footer."""
+    layouts = [layout_cards, layout_flat, layout_table]
+    pages = [(3 * n + k, layout(range(n))) for n in (1, 2) for k, layout in enumerate(layouts)] + [(103, MENU)]
+    assert discovered_questions(spark.createDataFrame(pages, "page_id long, html string")).collect() == []
