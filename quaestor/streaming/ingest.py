@@ -142,7 +142,8 @@ def new_rows(good: DataFrame, count: int, segments: list[index.Segment]) -> Data
     free = mine.join(known.filter("startswith(k, 'd')").select(F.substring("k", 2, 1 << 30).alias("d")), "d", "left_anti")
     free = conflicts.without_codes(free, known.filter("startswith(k, 'c')").select(F.substring("k", 2, 1 << 30).alias("c")))
     if count <= conflicts.TASK_ROWS:
-        accepted = conflicts.accept_few(free)
+        # made by one task and few: sent to the rows, which else join them in that task
+        accepted = F.broadcast(conflicts.accept_few(free))
     else:
         accepted = conflicts.accept(durable(free.groupBy("c", "d").agg(F.min("s").alias("s")), "free"))
     return good.join(accepted.select(F.col("s").alias("seq")), "seq", "left_semi")
