@@ -29,15 +29,22 @@ def bucket_of(buckets: Column) -> Column:
     return F.floor(head * buckets / MOST_BUCKETS).cast("int")
 
 
-def write_clustered(bank: DataFrame, path: str) -> None:
-    """Write ``bank`` (question table) and its table of counts below ``path``."""
-    rows = bank.groupBy("materia").agg(F.count("*").alias("n"))
-    wanted = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("n") / BUCKET_ROWS, F.lit(1.0))))).cast("long")
+def placed_rows(bank: DataFrame) -> DataFrame:
+    """``bank`` with subject and bucket."""
+    # only subjects of several buckets, so one row for BUCKET_ROWS of the bank at most: sent to the bank, whose
+    # whole rows else meet by subject, a few tasks for all of them
+    rows = bank.groupBy("materia").agg(F.count("*").alias("n")).filter(F.col("n") > BUCKET_ROWS)
+    wanted = F.pow(F.lit(2), F.ceil(F.log2(F.col("n") / BUCKET_ROWS))).cast("long")
     parts = rows.select("materia", F.least(wanted, F.lit(MOST_BUCKETS)).alias("buckets"))
-    placed = bank.join(parts, bank["materia"].eqNullSafe(parts["materia"])).select(bank["*"], F.col("buckets"))
+    placed = bank.join(F.broadcast(parts), bank["materia"].eqNullSafe(parts["materia"]), "left")
+    placed = placed.select(bank["*"], F.coalesce("buckets", F.lit(1)).alias("buckets"))
     # subjects go by a number, which is safe in a path; two that share one share folders, no more
-    placed = placed.withColumns({"subject": F.pmod(F.xxhash64("materia"), F.lit(1 << 30)).cast("int"), "bucket": bucket_of(F.col("buckets"))}).drop("buckets")
-    dealt = placed.repartition("subject", "bucket").sortWithinPartitions("subject", "bucket", "content_hash")
+    return placed.withColumns({"subject": F.pmod(F.xxhash64("materia"), F.lit(1 << 30)).cast("int"), "bucket": bucket_of(F.col("buckets"))}).drop("buckets")
+
+
+def write_clustered(bank: DataFrame, path: str) -> None:
+    """Write ``bank`` (question table) and its table of counts below ``path``."""
+    dealt = placed_rows(bank).repartition("subject", "bucket").sortWithinPartitions("subject", "bucket", "content_hash")
     dealt.write.partitionBy("subject", "bucket").parquet(f"{path}/questions")
     stored = bank.sparkSession.read.schema(T.StructType([*QUESTIONS.fields, *_PLACE.fields])).parquet(f"{path}/questions")
     counts = draw.one_per_content(stored, "materia", "usada", "subject", "bucket").groupBy("materia", "usada", "subject", "bucket").agg(F.count("*").alias("n"))

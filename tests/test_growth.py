@@ -2,8 +2,11 @@
 
 import pytest
 
+from checks import projections as P
 from checks import registry
+from quaestor.sources import clustered
 from quaestor.streaming import ingest
+from tests.test_plans import plan_of
 
 
 @pytest.fixture
@@ -18,6 +21,14 @@ def plain(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_questions_do_not_meet_by_subject_for_a_layout(spark, sf_dir, plain, monkeypatch):
+    monkeypatch.setattr(clustered, "BUCKET_ROWS", 20)
+    bank = P.questions(spark, sf_dir)
+    placed = clustered.placed_rows(bank)
+    assert "SortMergeJoin" not in plan_of(placed)
+    assert placed.count() == bank.count() and placed.select("subject", "bucket").distinct().count() > 8
+
+
 def test_an_arrival_of_many_files_is_one_batch(spark, sf_dir, plain, monkeypatch):
     paths, work_path = [], registry.work_path
     monkeypatch.setattr(registry, "work_path", lambda spark, label: paths.append(work_path(spark, label)) or paths[-1])
