@@ -93,7 +93,8 @@ def suggest_category(
     )
     source = F.left(F.col(statement), F.lit(snippet_chars)) if snippet_chars else F.col(statement)
     listed = (keywords if taxonomy is None else taxonomy).groupBy("materia").agg(F.min_by("categoria", "cat_pos").alias("_first"))
-    joined = rows.join(packed, "materia", "left").join(listed, "materia", "left").withColumn("_low", F.lower(source))
+    # one row per subject, from tables written by hand: sent to the rows, which else meet by subject, a few tasks for all texts
+    joined = rows.join(F.broadcast(packed), "materia", "left").join(F.broadcast(listed), "materia", "left").withColumn("_low", F.lower(source))
     scores = F.transform(
         F.col("_cats"),
         lambda c: F.struct(

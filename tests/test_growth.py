@@ -1,9 +1,11 @@
 """What one task reads must not grow with the tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks import projections as P
 from checks import registry
+from quaestor.operators import classify
 from quaestor.sources import clustered
 from quaestor.streaming import ingest
 from tests.test_plans import plan_of
@@ -21,6 +23,13 @@ def plain(spark):
         spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_texts_do_not_meet_by_subject_for_categories(spark, plain):
+    rows = spark.range(10).select("id", F.when(F.col("id") >= 0, "en").alias("materia"), F.lit("the text").alias("enunciado"))
+    keywords = spark.createDataFrame([("en", "c1", 1, ["the"])], "materia string, categoria string, cat_pos int, kws array<string>")
+    plan = plan_of(classify.suggest_category(rows, keywords))
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_questions_do_not_meet_by_subject_for_a_layout(spark, sf_dir, plain, monkeypatch):
     monkeypatch.setattr(clustered, "BUCKET_ROWS", 20)
     bank = P.questions(spark, sf_dir)
