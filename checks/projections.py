@@ -14,9 +14,10 @@ LETTERS = "ABCDE"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """The test tables have one row group each: one task per core for what follows."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
+    """The test tables have one row group each: one task per core for what follows, and four for each part
+    that a table is read in, so that the rows of a task, which it sorts to store them, don't grow with the table."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, 4 * df.rdd.getNumPartitions())
+    return df.repartition(tasks, *keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

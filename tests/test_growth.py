@@ -45,3 +45,14 @@ def test_an_arrival_of_many_files_is_one_batch(spark, sf_dir, plain, monkeypatch
     assert ingest.commits(spark, out).count() == 4
     arrived = next(path for path in paths if "/pages-in-" in path)
     assert len(spark.read.parquet(arrived).inputFiles()) > 8
+
+
+def test_tables_are_dealt_to_more_tasks_as_they_grow(spark, sf_dir):
+    most = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        docs = P.table(spark, sf_dir, "documents")
+        dealt = P.spread(docs, "doc_id").rdd.getNumPartitions()
+        assert dealt == 4 * docs.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
