@@ -31,8 +31,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     a language that none of the labelled documents has: too few of their n-grams are known."""
     learn = F.col("doc_id").isNotNull()
     model = language_model(docs, learn)
-    judged = identify_languages(docs, model, familiar=True)
-    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LANGUAGE_SHARE) & (F.col("lang_familiar") >= familiar_floor(docs, model, learn))
+    judged = durable(identify_languages(docs, model, familiar=True), "judged")  # the threshold is of all of them
+    sure = (F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LANGUAGE_SHARE) & (F.col("lang_familiar") >= familiar_floor(judged, learn))
     return judged.filter(sure).select(*docs.columns)
 
 

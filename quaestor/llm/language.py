@@ -40,6 +40,9 @@ TRAIN_BYTES = 20_000
 CELLS = 1 << 17
 STEPS = 40
 RUN = 1024
+#: the threshold of known n-grams: the share of texts that may lie below, and the steps it is counted in
+FEW = 0.02
+SHARE_STEPS = 10_000
 SLICE = 1 << 20
 UNKNOWN = "und"
 _BYTE = np.arange(256)
@@ -309,13 +312,19 @@ def fit(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.3,
     return field
 
 
+def ranked_texts(docs: DataFrame, learn: Column) -> tuple[Column, DataFrame]:
+    """Whether a text is long, and doc_id, lang and ``_rank`` of the texts to learn from, short ones first."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    long = F.octet_length("text") > TRAIN_BYTES
+    return long, usable.select("doc_id", "lang", long.alias("long")).withColumn("_rank", F.row_number().over(
+        Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")))
+
+
 def training_texts(docs: DataFrame, learn: Column, most: int = TRAIN_DOCS, after: int = 0) -> tuple[list[str], list[str]]:
     """At most ``most`` texts per language, short ones first; those after the first ``after``. ``learn``: condition on doc_id."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    long = F.octet_length("text") > TRAIN_BYTES
-    ranked = usable.select("doc_id", "lang", long.alias("long")).withColumn("_rank", F.row_number().over(
-        Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id"))).filter(F.col("_rank") <= after + most)
-    ranked = ranked.filter(F.col("_rank") > after)
+    long, ranked = ranked_texts(docs, learn)
+    ranked = ranked.filter((F.col("_rank") > after) & (F.col("_rank") <= after + most))
     # stored, so that Spark knows how little there is to send
     ranked = durable(ranked.select("doc_id", "lang").distinct(), "training")
     # a long text stands for itself by a run of characters from a place that its id chooses
@@ -406,11 +415,22 @@ def familiar_shares(field: Field, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def familiar_floor(docs: DataFrame, field: Field, learn: Column, most: int = 50) -> float:
-    """The share below which a text is of no learned language: well under what all but a few of at most
-    ``most`` texts per language have, which were not learned from. Without such texts 0."""
-    texts, _ = training_texts(docs, learn, most, TRAIN_DOCS)
-    return 0.8 * float(np.quantile(familiar_shares(field, pa.array(texts, pa.string())), 0.02)) if texts else 0.0
+def familiar_floor(judged: DataFrame, learn: Column) -> float:
+    """The share below which a text is of no learned language: well under what all but a few of the texts
+    with a language have, which were not learned from. ``judged``: doc_id, lang, text and lang_familiar of all
+    documents. Counted over all of them, in steps of 1 / ``SHARE_STEPS``; without such texts 0."""
+    _, ranked = ranked_texts(judged, learn)
+    learned = ranked.filter(F.col("_rank") <= TRAIN_DOCS).select("doc_id", "lang").distinct()
+    usable = judged.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
+    rest = usable.select("doc_id", "lang", "lang_familiar").join(F.broadcast(learned), ["doc_id", "lang"], "left_anti")
+    step = F.floor(F.col("lang_familiar") * SHARE_STEPS).cast("int").alias("step")
+    counts = sorted((r["step"], r["n"]) for r in rest.groupBy(step).agg(F.count("*").alias("n")).collect())
+    below, most = 0, FEW * sum(n for _, n in counts)
+    for share, n in counts:
+        below += n
+        if below > most:
+            return 0.8 * share / SHARE_STEPS
+    return 0.0
 
 
 def identify(field: Field, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, np.ndarray, list]:

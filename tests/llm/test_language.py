@@ -123,3 +123,17 @@ def test_language_of_long_documents_only_is_learned(spark):
     assert labels.count("de") == 6 and labels.count("en") == 30 and max(map(len, texts)) <= lg.TRAIN_BYTES
     got = lg.identify_languages(docs, lg.language_model(docs, F.col("doc_id").isNotNull())).collect()
     assert all(r["lang_pred"] == r["lang"] for r in got)
+
+
+def test_threshold_of_known_grams_counts_every_text(spark):
+    """All texts but the learned ones count: here a tenth of the later ones lie far below the others."""
+    from pyspark.sql import functions as F
+
+    from quaestor.llm import language
+
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") >= 0, "en").alias("lang"), F.lit("a").alias("text"))
+    _, ranked = language.ranked_texts(rows, F.lit(True))
+    share = F.when(F.col("_rank") <= language.TRAIN_DOCS, 0.1).when((F.col("_rank") > 1000) & (F.col("_rank") <= 1300), 0.3).otherwise(0.9)
+    judged = ranked.select("doc_id", "lang", F.lit("a").alias("text"), share.alias("lang_familiar"))
+    assert abs(language.familiar_floor(judged, F.lit(True)) - 0.8 * 0.3) < 1e-3
+    assert language.familiar_floor(judged.filter("lang_familiar < 0.2"), F.lit(True)) == 0.0
