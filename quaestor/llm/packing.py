@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quaestor.llm.words import row_slices
+from quaestor.llm.words import LOWER, SPACE, text_slices
 from quaestor.session import ship_package
 
 GROUP_SEQUENCES = 2048
@@ -42,8 +42,14 @@ NODES = 20_000
 TESTS = 200_000
 #: sequences whose fillings are kept at hand; those of earlier ones are found anew
 OPEN_LEVELS = 16
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 PIECES = "doc_id long, piece int, start long, length long, ids binary"
+LETTER = np.isin(np.arange(256), [c + d for c in b"Aa" for d in range(26)])
+#: the two bytes of a letter from U+00C0 on that lower-casing leaves a letter alone, below ``BEYOND_LATIN_BYTE``
+LATIN = np.zeros(1 << 16, bool)
+LATIN[[int.from_bytes(chr(c).encode(), "big") for c in range(0xC0, 0x240) if chr(c).isalpha() and c != 0x130]] = True
+#: ASCII characters that are neither letters nor white space
+OTHER = ~LETTER & ~SPACE & (np.arange(256) < 128)
 
 _loaded: dict[int, "WordTokenizer"] = {}
 
@@ -51,14 +57,15 @@ _loaded: dict[int, "WordTokenizer"] = {}
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit numbers, for a tokenizer that composes
     and lower-cases, drops white space, parts letters from other characters and never joins what
-    it has parted. So each distinct word is encoded once and kept, and a word of Latin letters
-    is the same in either case and with or without a full stop or comma behind it. The tables
-    are emptied when they hold ``CACHE_WORDS``."""
+    it has parted. So texts are cut at white space and behind letters that another ASCII character
+    follows, on the UTF-8 bytes of many texts at a time; each distinct part is encoded once and kept,
+    and the ids of the texts are gathered from those of their parts. The table is emptied when it
+    holds ``CACHE_WORDS``."""
 
-    #: taken for white space by str.split but not by the tokenizer's own pattern
-    UNSURE = frozenset("\x1c\x1d\x1e\x1f")
     #: a capital with a two-character small form; from BEYOND_LATIN on nothing is assumed
     UNLIKE, BEYOND_LATIN = "\u0130", "\u0250"
+    #: UTF-8 bytes from here on begin characters from U+0240 on, combining ones among them
+    BEYOND_LATIN_BYTE = 0xC9
 
     def __init__(self, description: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,6 +73,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_str(description)
         parts = json.loads(description)
+        self.added = [token["content"].encode().lower() for token in parts["added_tokens"]]
         parts["normalizer"] = None
         parts["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, parts["pre_tokenizer"]["pretokenizers"][-1]]}
         self.of_letters = Tokenizer.from_str(json.dumps(parts))
@@ -73,8 +81,6 @@ class WordTokenizer:
         self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.ends = dict(zip(".,", self.encode(self.tokenizer, [".", ","])))
 
     @staticmethod
     def encode(tokenizer, texts: list[str]) -> list[bytes]:
@@ -90,30 +96,65 @@ class WordTokenizer:
                 yield packed[start:end]
                 start = end
 
-    def learn(self, words: set[str]) -> None:
-        by_stem, others = [], []
+    def learn(self, words: list[str]) -> None:
+        letters, others = [], []
         for word in words:
-            end = self.ends.get(word[-1])
-            stem = word[:-1] if end else word
-            if stem.isalpha() and max(stem) < self.BEYOND_LATIN and self.UNLIKE not in stem:
-                stem = stem.lower()
-                by_stem.append((word, word if stem == word else stem, end or b""))
-            else:
-                others.append(word)
-        new = list({stem for _, stem, _ in by_stem} - self.stems.keys())
-        self.stems.update(zip(new, self.encode_stems(new), strict=True))
-        self.known.update((word, self.stems[stem] + end) for word, stem, end in by_stem)
+            latin = word.isalpha() and (word.isascii() or max(word) < self.BEYOND_LATIN and self.UNLIKE not in word)
+            (letters if latin else others).append(word)
+        self.known.update(zip(letters, self.encode_stems([word.lower() for word in letters]), strict=True))
         self.known.update(zip(others, self.encode(self.tokenizer, others)))
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.split() if self.UNSURE.isdisjoint(t) else [t] for t in texts]
-        for table in (self.known, self.stems):
-            if len(table) > CACHE_WORDS:
-                table.clear()
-        self.learn(set().union(*split) - self.known.keys())
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """All parts of consecutive texts, in order, and offsets of each text's among them. In texts of
+        Latin letters A-Z are lower-cased; those with a token that was added to the vocabulary, in either
+        case, are cut at white space only and left as they are."""
+        sizes = np.diff(offsets)
+        full = np.flatnonzero(sizes)
+        highest = np.zeros(len(sizes), np.uint8)
+        highest[full] = np.maximum.reduceat(data, offsets[:-1][full]) if len(full) else 0
+        lowered = LOWER[data]
+        free, flat = np.ones(len(sizes), bool), lowered.tobytes()
+        for token in self.added:
+            at = flat.find(token)
+            while at >= 0:
+                free[np.searchsorted(offsets, at, side="right") - 1] = False
+                at = flat.find(token, at + 1)
+        plain = free & (highest < self.BEYOND_LATIN_BYTE)
+        data = lowered if plain.all() else np.where(np.repeat(plain, sizes), lowered, data)
+        inside = ~SPACE[data]
+        letter = LETTER[data[:-1]]
+        letter[1:] |= LATIN[(data[:-2].astype(np.uint16) << 8) | data[1:-1]]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1] | (letter & OTHER[data[1:]])
+        if not free.all():
+            begins[1:] &= ~inside[:-1] | np.repeat(free, sizes)[1:]
+        heads = offsets[:-1][full]
+        begins[heads] = inside[heads]
+        joined = data[inside]
+        starts = np.append(np.flatnonzero(begins[inside]), len(joined)).astype(np.int32)
+        parts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(joined))
+        return parts, np.searchsorted(np.flatnonzero(begins), offsets)
+
+    def slice_ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of consecutive texts and offsets of each text's among them."""
+        parts, by_text = self.parts(data, offsets)
+        coded = parts.dictionary_encode()
+        words, places = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
         known = self.known
-        for words in split:
-            yield b"".join([known[w] for w in words])
+        self.learn([w for w in words if w not in known])
+        packed = [known[w] for w in words]
+        ids, sizes = np.frombuffer(b"".join(packed), "<u4"), np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first, sizes = (np.cumsum(sizes) - sizes)[places], sizes[places]
+        ends = np.append(0, np.cumsum(sizes))
+        return ids[np.arange(ends[-1]) + np.repeat(first - ends[:-1], sizes)], ends[by_text]
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        for _, data, offsets in text_slices(pa.array(texts, pa.large_string())):
+            ids, ends = self.slice_ids(data, offsets)
+            packed = ids.tobytes()
+            yield from (packed[4 * low:4 * high] for low, high in itertools.pairwise(ends.tolist()))
 
 
 def piece_maker(description, room: int, end_id: int) -> Callable:
@@ -125,11 +166,12 @@ def piece_maker(description, room: int, end_id: int) -> Callable:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids = batch.column("doc_id")
-            for first, part in row_slices(batch.column("text")):
-                texts = [t or "" for t in part.to_pylist()]
+            for first, data, offsets in text_slices(batch.column("text")):
+                all_ids, ends = tokenizer.slice_ids(data, offsets)
+                all_ids = all_ids.tobytes()
                 rows, piece, start, parts = [], [], [], []
-                for row, packed in enumerate(tokenizer.ids(texts), first):
-                    packed += end
+                for row, (low, high) in enumerate(itertools.pairwise(ends.tolist()), first):
+                    packed = all_ids[4 * low:4 * high] + end
                     for k, at in enumerate(range(0, len(packed), 4 * room)):
                         rows.append(row)
                         piece.append(k)

@@ -56,6 +56,17 @@ def test_word_table_equals_tokenizer():
     assert list(words.ids(texts)) == words.encode(words.tokenizer, texts)
 
 
+def test_parts_are_encoded_once():
+    """Case and what stands behind a word make no new entries; added tokens and small forms of two characters stay whole."""
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        words = p.WordTokenizer(file.read())
+    texts = ["Word word, WORD### word.", "", "\u00e9t\u00e9.", "a<|ENDOFTEXT|>b", "c<|endoftext|>d.", "\u0130!\u0301", "H\u0331.", "x\u00d7."]
+    want = words.encode(words.tokenizer, texts)
+    assert list(words.ids(texts[:3])) == want[:3]
+    assert set(words.known) == {"word", ",", "###", ".", "\u00e9t\u00e9"}
+    assert list(words.ids(texts)) == want and [next(words.ids([t])) for t in texts] == want
+
+
 @pytest.mark.parametrize("room", [16, 4096])
 def test_whole_table(spark, room):
     docs = data.with_clashes(data.awkward_documents(spark))
