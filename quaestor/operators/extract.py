@@ -206,13 +206,14 @@ def questions_site_b(pages: DataFrame) -> DataFrame:
 
 def register_sql(spark: SparkSession) -> None:
     """``SELECT t.* FROM pages, LATERAL extract_questions(html) t`` for SQL users. The same rules
-    as ``questions_site_a`` for one page at a time, in Arrow batches."""
+    as ``questions_site_a`` for one page at a time. A worker holds a hundred pages at once; an Arrow batch
+    for a table function is bounded by rows alone, so it would hold a whole task's pages."""
     from pyspark.sql.functions import udtf
 
     ship_package(spark)
 
     @udtf(returnType="pos int, id_qc string, enunciado string, alternativas map<string,string>, origem string, "
-          "texto_associado string, imagens array<string>", useArrow=True)
+          "texto_associado string, imagens array<string>", useArrow=False)
     class ExtractQuestions:
         def eval(self, page: str):
             pos = 0

@@ -156,3 +156,14 @@ def test_strips_what_unicode_calls_space(spark):
     assert sorted(extract.SPACE) == spaces
     rows = spark.createDataFrame([(c + "a b" + c,) for c in spaces], "t string")
     assert {r[0] for r in rows.select(extract._strip(F.col("t"))).collect()} == {"a b"}
+
+
+def test_sql_function_takes_few_pages_at_once(spark):
+    """Workers are sent batches of bounded size, not all pages of a task as one Arrow batch."""
+    extract.register_sql(spark)
+    pages(spark, *[SITE_A] * 300).coalesce(1).createOrReplaceTempView("site_a_many")
+    rows = spark.sql("SELECT page_id, t.* FROM site_a_many, LATERAL extract_questions(html) t")
+    assert "ArrowEvalPythonUDTF" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.count() == 600
+    first = rows.orderBy("page_id", "pos").first()
+    assert first["alternativas"] == {"A": "um", "B": "dois"} and first["imagens"] == ["/t.png"] and first["origem"] == "Órgão • Banca • 2023"
