@@ -287,11 +287,11 @@ LAYOUTS = {
 
 def _option_pairs(block: Column, layout: Layout) -> Column:
     """``array<struct<l,t>>``: letters and texts as found, tags stripped, short ones out."""
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(block, F.lit(layout.option), F.lit(1)).alias("l"),
-        F.regexp_extract_all(block, F.lit(layout.option), F.lit(2)).alias("t"),
-    )
-    cleaned = F.transform(pairs, lambda p: F.struct(F.upper(p["l"]).alias("l"), text.strip_tags(p["t"]).alias("t")))
+    # the block is searched once; a match is its letter and text again, up to where the text ends
+    whole = layout.option[:layout.option.rindex("(?=")] + r"\z"
+    found = F.regexp_extract_all(block, F.lit(layout.option), F.lit(0))
+    cleaned = F.transform(found, lambda m: F.struct(
+        F.upper(F.regexp_extract(m, whole, 1)).alias("l"), text.strip_tags(F.regexp_extract(m, whole, 2)).alias("t")))
     return F.filter(cleaned, lambda p: F.length(p["t"]) > layout.min_option)
 
 

@@ -167,3 +167,9 @@ def test_sql_function_takes_few_pages_at_once(spark):
     assert rows.count() == 600
     first = rows.orderBy("page_id", "pos").first()
     assert first["alternativas"] == {"A": "um", "B": "dois"} and first["imagens"] == ["/t.png"] and first["origem"] == "Órgão • Banca • 2023"
+
+
+def test_options_are_searched_once(spark):
+    rows = extract.questions_by_pattern(pages(spark, "x\n1. Qual a capital do estado?\nA) um dois\nB) três\nC)\nD) a C) b\nGabarito: B\n"), extract.LAYOUTS["numbered"])
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+    assert rows.first()["alternativas"]["A"] == "um dois"
