@@ -78,6 +78,11 @@ def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def arriving_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and statements of the questions as they arrive."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text AS enunciado")
+
+
 _STORED: dict[tuple[str, str, str], str] = {}
 
 

@@ -87,6 +87,25 @@ def test_index_search_prunes_terms(spark, sf_dir, tmp_path):
     assert "enunciado" not in plan
 
 
+def test_index_is_built_of_lists(spark, tmp_path, monkeypatch):
+    """Terms are listed where the statements are: no posting is shuffled on its own, and a bucket is cut by blocks."""
+    for name, value in (("BLOCK_IDS", 16), ("STRIPE_IDS", 64), ("PART_ROWS", 50), ("FILE_ROWS", 100)):
+        monkeypatch.setattr(text_index, name, value)
+    rows = [(i, None if i % 50 == 0 else "" if i % 50 == 1 else "lei  de" + " LEI" * (abs(i) % 3) + f" t{i}") for i in range(-200, 800)]
+    bank, path = spark.createDataFrame(rows, "id long, enunciado string").repartition(7), str(tmp_path / "index")
+    plan = text_index.lists_of(bank)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan
+    text_index.append_index(bank, path)
+    stored = spark.read.parquet(f"{path}/lists")
+    assert stored.filter("n <> size(ids) OR n <> size(tfs) OR most <> array_max(tfs) OR floor(array_min(ids) / 16) <> block OR floor(array_max(ids) / 16) <> block").isEmpty()
+    per_term = {r["term"]: r for r in stored.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.max("most").alias("most")).collect()}
+    assert per_term["lei"]["n"] == per_term["de"]["n"] == 960 and per_term["lei"]["most"] == 3 and per_term["lei"]["rows"] < 960 // 5
+    assert per_term[""]["n"] == 20 and per_term["t-7"]["n"] == 1
+    assert len(stored.filter("term = 'lei'").select(F.input_file_name()).distinct().collect()) > 4
+    for terms in (["lei", "de"], ["t-7", "LEI"], [""]):
+        assert as_set(text_index.search_index(spark, path, terms)) == as_set(draw.search_text(bank, terms).select("id", "score"))
+
+
 def test_stream_restarts(spark, sf_dir, tmp_path):
     """Files that arrive later, under the same checkpoint."""
     source, out, offsets = (str(tmp_path / n) for n in ("in", "out", "offsets"))
