@@ -38,38 +38,44 @@ OPTIONS = (
 )
 
 
+# columns of a question as it arrives, from a document and its labels
+ARRIVING = {
+    "id": "doc_id",
+    "id_qc": """CASE WHEN doc_id % 7 = 0 THEN NULL
+                WHEN doc_id % 10 = 9 THEN concat('Q', doc_id - 1)
+                ELSE concat('Q', doc_id) END""",
+    "enunciado": "text",
+    "alternativas": OPTIONS,
+    "gabarito": "CASE quality WHEN 1 THEN 'C' WHEN 0 THEN 'E' END",
+    "comentario": "CASE WHEN doc_id % 3 = 0 THEN concat('c', doc_id) END",
+    "materia": "lang",
+    "assunto": "CASE WHEN doc_id % 6 = 0 THEN '' ELSE source END",
+    "ano": "CAST(2015 + doc_id % 12 AS INT)",
+    "prova": "CAST(NULL AS STRING)",
+    "fonte": """CASE CAST(substr(source, 4) AS INT) % 3 WHEN 0 THEN 'qconcursos'
+                WHEN 1 THEN 'pci' ELSE 'quadrix_pdf' END""",
+    "usada": "CAST(coalesce(toxic, 0) AS INT)",
+    "texto_associado": "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN lang END",
+    "imagens": "CASE WHEN doc_id % 5 = 0 THEN array(concat('i', doc_id)) END",
+    "categoria": "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE source END",
+    "tema": "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat('t', doc_id % 5) END",
+    "imagens_urls": """CASE doc_id % 3 WHEN 0 THEN CAST(array() AS ARRAY<STRING>)
+                WHEN 1 THEN array(concat('u', doc_id))
+                ELSE array(concat('u', doc_id), concat('u', doc_id)) END""",
+    "banca": "concat('banca', doc_id % 4)",
+    "orgao": "concat('orgao', doc_id % 3)",
+    "cargo": "concat('cargo', doc_id % 2)",
+    "seq": "doc_id",
+}
+# those that pages show
+SHOWN = ("id", "id_qc", "enunciado", "alternativas", "materia", "assunto", "ano", "texto_associado", "banca", "orgao")
+
+
 def raw_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions as they arrive, hashes computed on the fly."""
     docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id")
-    rows = docs.join(labels, docs.doc_id == labels.l_id, "left").selectExpr(
-        "doc_id AS id",
-        """CASE WHEN doc_id % 7 = 0 THEN NULL
-                WHEN doc_id % 10 = 9 THEN concat('Q', doc_id - 1)
-                ELSE concat('Q', doc_id) END AS id_qc""",
-        "text AS enunciado",
-        f"{OPTIONS} AS alternativas",
-        "CASE quality WHEN 1 THEN 'C' WHEN 0 THEN 'E' END AS gabarito",
-        "CASE WHEN doc_id % 3 = 0 THEN concat('c', doc_id) END AS comentario",
-        "lang AS materia",
-        "CASE WHEN doc_id % 6 = 0 THEN '' ELSE source END AS assunto",
-        "CAST(2015 + doc_id % 12 AS INT) AS ano",
-        "CAST(NULL AS STRING) AS prova",
-        """CASE CAST(substr(source, 4) AS INT) % 3 WHEN 0 THEN 'qconcursos'
-                WHEN 1 THEN 'pci' ELSE 'quadrix_pdf' END AS fonte""",
-        "CAST(coalesce(toxic, 0) AS INT) AS usada",
-        "CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN lang END AS texto_associado",
-        "CASE WHEN doc_id % 5 = 0 THEN array(concat('i', doc_id)) END AS imagens",
-        "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE source END AS categoria",
-        "CASE WHEN doc_id % 13 = 0 THEN NULL ELSE concat('t', doc_id % 5) END AS tema",
-        """CASE doc_id % 3 WHEN 0 THEN CAST(array() AS ARRAY<STRING>)
-                WHEN 1 THEN array(concat('u', doc_id))
-                ELSE array(concat('u', doc_id), concat('u', doc_id)) END AS imagens_urls""",
-        "concat('banca', doc_id % 4) AS banca",
-        "concat('orgao', doc_id % 3) AS orgao",
-        "concat('cargo', doc_id % 2) AS cargo",
-        "doc_id AS seq",
-    )
+    rows = docs.join(labels, docs.doc_id == labels.l_id, "left").selectExpr(*[f"{e} AS {name}" for name, e in ARRIVING.items()])
     return rows.withColumns(
         {
             "hash_enunciado": text.statement_hash("enunciado"),
@@ -282,11 +288,13 @@ def _escaped(c: str):
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with HTML-escaped statement and pieces, ten to a page."""
-    rows = questions(spark, sf_dir)
+    """Questions with HTML-escaped statement and pieces, ten to a page. A page's documents meet in a task before they
+    become HTML, which repeats the text; a page shows nothing that comes from labels."""
+    docs = spread(table(spark, sf_dir, "documents").withColumn("page_id", F.expr("doc_id div 10")), "page_id")
+    rows = docs.selectExpr("page_id", *[f"{ARRIVING[name]} AS {name}" for name in SHOWN])
     letters = F.array_sort(F.map_keys("alternativas"))
     return rows.withColumns(
-        {"esc": _escaped("enunciado"), "letras": letters, "page_id": F.expr("id div 10")}
+        {"esc": _escaped("enunciado"), "letras": letters}
     ).withColumn(
         "pares",
         F.transform(

@@ -56,3 +56,12 @@ def test_tables_are_dealt_to_more_tasks_as_they_grow(spark, sf_dir):
         assert dealt == 4 * docs.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+
+
+def test_documents_meet_by_page_before_they_are_html(spark, sf_dir, plain):
+    """One shuffle, of the documents, to as many tasks as the table asks for; nothing is stored before."""
+    plan = plan_of(P.site_a_pages(spark, sf_dir))
+    assert plan.count("Exchange") == 1 and "hashpartitioning(page_id" in plan and "Join" not in plan
+    assert plan.index("Exchange") > plan.rindex("collect_list")
+    blocks = P.site_a_pages(spark, sf_dir).select(F.explode(F.expr("regexp_extract_all(html, 'class=\"card sim-questao\"', 0)")))
+    assert blocks.count() == P.table(spark, sf_dir, "documents").count()
