@@ -71,7 +71,7 @@ def append_index(questions: DataFrame, path: str) -> None:
     """Index ``questions`` (id, enunciado) beside what ``path`` holds."""
     # a bucket is cut by blocks, so that no task's rows grow with the questions or with a frequent term
     cuts = max(1, -(-questions.count() // FILE_ROWS))
-    dealt = lists_of(questions).repartition(BUCKETS * cuts, "bucket", F.pmod("block", F.lit(cuts)))
+    dealt = lists_of(questions).repartitionById(BUCKETS * cuts, (F.col("bucket") * cuts + F.pmod("block", F.lit(cuts))).cast("int"))
     dealt.sortWithinPartitions("bucket", "term", "block").write.mode("append").partitionBy("bucket").parquet(f"{path}/lists")
 
 
