@@ -31,6 +31,8 @@ from quaestor.session import ship_package
 
 TRAIN_ROWS = 20_000
 BINS = 64
+#: bytes of text measured at once; some twenty numbers of 8 bytes are held for each
+SLICE = 1 << 18
 
 _BYTE = np.arange(256)
 UPPER = (_BYTE >= 65) & (_BYTE <= 90)
@@ -131,7 +133,7 @@ def slice_statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def column_statistics(texts: pa.Array) -> np.ndarray:
-    parts = [slice_statistics(data, offsets) for _, data, offsets in text_slices(texts)]
+    parts = [slice_statistics(data, offsets) for _, data, offsets in text_slices(texts, SLICE)]
     return np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
 
 

@@ -1,10 +1,13 @@
 from collections import Counter
 
 import data
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from quaestor.llm.mixing import mix_sources
 from quaestor.llm.near_duplicates import near_duplicates
+from quaestor.session import BATCH_BYTES, ship_package
 
 
 def test_stages_in_order_and_whole(spark, sf_dir):
@@ -120,3 +123,19 @@ def test_packing_stage_gives_every_piece_a_place(spark, sf_dir):
         assert [at for at, _ in sorted(places)] == ends[:-1] and ends[-1] <= 4096
     total = sum(n for _, _, _, n, _ in want)
     assert len(by_sequence) == -(-total // 4096)
+
+
+def test_workers_get_batches_of_bounded_bytes(spark):
+    """A task holds its batches outside the heap; a session that says how large they are is left alone."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    session, key = spark.newSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    ship_package(session)
+    rows = session.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 4000).alias("text"))
+    found = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < 1.1 * BATCH_BYTES
+    session.conf.set(key, "1000000")
+    ship_package(session)
+    assert session.conf.get(key) == "1000000"
