@@ -153,16 +153,20 @@ def cut_cells(samples: dict[int, list[str]], share: float, cell: int = CELL) ->
 def tree_pairs(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, point) of all pairs of count vectors within ``radius``, in parts. A k-d tree is walked
     with all queries at once: at each node those go on that its box is near enough to."""
+    # a row for each place: sums over places then run along queries; twice the letters of a word must fit
+    most = max((int(counts.sum(1, dtype=np.int64).max()) for counts in (points, queries) if len(counts)), default=0)
+    kind = np.int16 if 2 * most <= np.iinfo(np.int16).max else np.int64
+    points, places = points.astype(kind), np.ascontiguousarray(queries.T, kind)
     stack = [(np.arange(len(points)), np.arange(len(queries)))]
     while stack:
         mine, asked = stack.pop()
         if not len(mine) or not len(asked):
             continue
         inside = points[mine]
-        low, high = inside.min(0), inside.max(0)
-        q = queries[asked]
-        away = np.maximum(low - q, 0).sum(1) + np.maximum(q - high, 0).sum(1)
-        asked = asked[away <= radius]
+        low, high = inside.min(0)[:, None], inside.max(0)[:, None]
+        q = places.take(asked, 1)
+        beyond = np.maximum(low - q, q - high)
+        asked = asked[np.maximum(beyond, 0, out=beyond).sum(0, dtype=kind) <= radius]
         if not len(asked):
             continue
         plane = best_plane(inside) if len(mine) > leaf else None
@@ -170,12 +174,16 @@ def tree_pairs(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int =
             goes = inside[:, plane[0]] <= plane[1]
             stack += [(mine[goes], asked), (mine[~goes], asked)]
             continue
-        step = max(1, CHUNK // max(1, len(mine) * points.shape[1]))
+        step = max(1, CHUNK // len(mine))
         for a in range(0, len(asked), step):
             part = asked[a:a + step]
-            far = np.abs(queries[part][:, None, :] - inside[None]).sum(2)
+            far = np.zeros((len(mine), len(part)), kind)
+            apart = np.empty_like(far)
+            for mine_there, asked_there in zip(inside.T, places.take(part, 1)):
+                np.subtract(asked_there, mine_there[:, None], out=apart)
+                far += np.abs(apart, out=apart)
             i, j = np.nonzero(far <= radius)
-            yield part[i], mine[j]
+            yield part[j], mine[i]
 
 
 def one_edit(longer: np.ndarray, shorter: np.ndarray) -> np.ndarray:
@@ -324,5 +332,7 @@ def word_counts(texts: DataFrame, pattern: str, changed=None) -> DataFrame:
     becomes of a run (column ``run``) before it is counted, by default nothing. One explode and
     one aggregate that folds within each task first."""
     runs = texts.select(*[c for c in texts.columns if c != "text"], F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), F.lit(1))).alias("run"))
-    runs = runs.withColumn("run", F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    # translate looks every character up; a run of ASCII alone is lower-cased as bytes
+    ascii = F.octet_length("run") == F.char_length("run")
+    runs = runs.withColumn("run", F.when(ascii, F.lower("run")).otherwise(F.translate("run", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
     return runs.select((changed if changed is not None else F.col("run")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))

@@ -1,11 +1,12 @@
 import random
+import re
 from collections import Counter
 
 import data
 import numpy as np
 import pytest
 
-from quaestor.llm import spelling as s
+from quaestor.llm import queries, spelling as s
 
 
 def edits(a, b):
@@ -71,6 +72,23 @@ def test_boxes_leave_nothing_out():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_of_very_long_words():
+    """Their distances are beyond 16 bits."""
+    points, queries = np.zeros((3, 40), np.int16), np.zeros((2, 40), np.int16)
+    points[0, 0], points[1, 0], points[2, 1] = 30_000, 29_999, 30_000
+    queries[0, 0], queries[1, 1] = 30_000, 30_000
+    got = {pair for q, p in s.tree_pairs(points, queries, 1) for pair in zip(q.tolist(), p.tolist())}
+    assert got == {(0, 0), (0, 1), (1, 2)}
+
+
+def test_runs_too_short_for_a_word_are_not_listed(spark, sf_dir, monkeypatch):
+    """Half of all runs have fewer than five letters and can't become words."""
+    patterns = []
+    monkeypatch.setattr(queries, "word_counts", lambda docs, pattern, cut: patterns.append(pattern) or s.word_counts(docs, pattern, cut))
+    queries.op12_spelling_variants(spark, sf_dir)
+    assert [re.findall(p, "the house x été élève abcdef1abcd") for p in patterns] == [["house", "élève", "abcdef"]]
+
+
 def test_counts_of_runs(spark):
     df = spark.createDataFrame([("Été ÉTÉ été-x1y",), (None,), ("",), ("aa aA AA b×c",)], "text string")
     got = {r["word"]: r["n"] for r in s.word_counts(df, r"[A-Za-zÀ-ÿ]+").collect()}
