@@ -45,6 +45,8 @@ WAITING = 1 << 19
 SLICE = 1 << 20
 FILTER_BITS = 1 << 26
 PROBES = 3
+#: words of 64 bits of a filter that come to the driver as one row
+BLOCK = 1 << 10
 UNKNOWN = "und"
 
 _BYTE = np.arange(256)
@@ -254,8 +256,8 @@ def pair_keys(ids: np.ndarray) -> np.ndarray:
 
 
 def filter_of(keys: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """Of the column ``key``. Its size is 16 bits a key, ``bits`` at most; only the set bits, as 64-bit
-    words, come to the driver."""
+    """Of the column ``key``. Its size is 16 bits a key, ``bits`` at most. It comes to the driver as a row of
+    bytes for each ``BLOCK`` of its 64-bit words, so that the driver holds little more than the bits."""
     rows = keys.count()
     size = 1 << 10
     while size < min(16 * rows, bits):
@@ -263,12 +265,21 @@ def filter_of(keys: DataFrame, bits: int = FILTER_BITS) -> Filter:
     at = F.explode(F.array(*[F.shiftrightunsigned("key", 19 * k).bitwiseAND(F.lit(size - 1)) for k in range(PROBES)]))
     cells = keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("cell")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("mask"))
-    found = cells.toPandas()
+    blocks = cells.select(F.expr(f"cell DIV {BLOCK}").alias("block"), F.expr(f"cell % {BLOCK}").alias("at"), "mask")
     out = np.zeros(size // 64, np.uint64)
-    out[found["cell"].to_numpy(np.int64)] = found["mask"].to_numpy(np.int64).view(np.uint64)
+    for block, words in blocks.groupBy("block").applyInArrow(block_bytes, "block long, words binary").collect():
+        part = out[block * BLOCK:(block + 1) * BLOCK]
+        part[:] = np.frombuffer(words, np.uint64)[:len(part)]
     return Filter(out)
 
 
+def block_bytes(cells: pa.Table) -> pa.Table:
+    """One block's 64-bit words in their places, as bytes."""
+    words = np.zeros(BLOCK, np.uint64)
+    words[cells["at"].to_numpy()] = cells["mask"].to_numpy().view(np.uint64)
+    return pa.table({"block": cells["block"].slice(0, 1), "words": pa.array([words.tobytes()], pa.binary())})
+
+
 def word_counter(seed: int) -> Callable:
     """Rows of lang, id, word, f: a trie of depth one, which is a table of words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -104,6 +104,24 @@ def test_long_text_in_parts(monkeypatch):
     assert len(parts) > 20 and windows(parts) == windows([(0, whole, np.array([0, len(whole)]), None)])
 
 
+@pytest.mark.parametrize("n,size", [(0, 1 << 10), (5, 1 << 10), (1500, 1 << 15), (40_000, 1 << 20), (120_000, 1 << 20)])
+def test_filter_comes_to_the_driver_in_blocks(spark, monkeypatch, n, size):
+    """A row for each block of 64-bit words, not one for each word: those of a large filter fill the driver."""
+    rows = []
+    frame = type(spark.range(0))
+    for name in ("collect", "toPandas"):
+        monkeypatch.setattr(frame, name, lambda self, f=getattr(frame, name): rows.append(len(out := f(self))) or out)
+    keys = p.mix(np.arange(n, dtype=np.uint64))
+    want = np.zeros(size // 64, np.uint64)
+    for k in range(p.PROBES):
+        at = p.probe(keys, k) & np.uint64(size - 1)
+        np.bitwise_or.at(want, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    df = spark.createDataFrame(keys.view(np.int64), "key long") if n else spark.createDataFrame([], "key long")
+    found = p.filter_of(df, 1 << 20)
+    assert found.size == size and (found.bits == want).all() and found.has(keys).all()
+    assert sum(rows) <= 16
+
+
 def test_words_that_share_an_id_are_told_apart(spark, monkeypatch):
     """Where two words have one id under a seed, everything is counted under the next."""
     calls = []
