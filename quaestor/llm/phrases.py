@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,8 @@ BURST = 4_096
 PATHS = 400_000
 #: windows that are sorted and counted together before they go into the trie
 WAITING = 1 << 19
+#: paths that are Python objects on their way into the trie or out of it at once
+RUN = 1 << 16
 SLICE = 1 << 20
 FILTER_BITS = 1 << 26
 PROBES = 3
@@ -148,9 +151,13 @@ class HatTrie:
             return
         ids = ids[np.lexsort(ids.T[::-1])]
         new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]).any(1)))
-        counts = np.diff(np.append(new, len(ids))).tolist()
+        counts = np.diff(np.append(new, len(ids)))
         ids = ids[new]
-        packed = np.ascontiguousarray(ids.astype(">u8"))
+        for at in range(0, len(ids), RUN):
+            self.add_sorted(ids[at:at + RUN], counts[at:at + RUN].tolist())
+
+    def add_sorted(self, ids: np.ndarray, counts: list[int]) -> None:
+        packed = ids.astype(">u8")
         rests = packed[:, 1:].copy().view(f"V{8 * (self.width - 1)}").ravel().tolist()
         begins = np.flatnonzero(np.append(True, ids[1:, 0] != ids[:-1, 0]))
         firsts = packed[begins, :1].copy().view("V8").ravel().tolist()
@@ -195,6 +202,13 @@ class HatTrie:
         held = np.cumsum([self.paths[w] for w in order])
         return order[:int(np.searchsorted(held, share * self.size)) + 1]
 
+    def runs(self, firsts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Take subtrees out in order, those of about ``RUN`` paths at a time."""
+        firsts = sorted(firsts)
+        held = np.cumsum([self.paths[w] for w in firsts]) // RUN
+        for low, high in pairwise([0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), len(firsts)]):
+            yield self.cut(firsts[low:high])
+
     def cut(self, firsts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Take subtrees out: their paths in order, and counts."""
         keys: list[bytes] = []
@@ -345,10 +359,12 @@ def phrase_counter(passed, seed: int, least: int, most: int) -> Callable:
                     trie.add(np.concatenate(held))
                     held, waiting = [], 0
                     while trie.size > PATHS:
-                        yield from run_of(*trie.cut(trie.largest(0.5)), least)
+                        for run in trie.runs(trie.largest(0.5)):
+                            yield from run_of(*run, least)
         if held:
             trie.add(np.concatenate(held))
-        yield from run_of(*trie.cut(list(trie.roots)), least)
+        for run in trie.runs(list(trie.roots)):
+            yield from run_of(*run, least)
     return count
 
 

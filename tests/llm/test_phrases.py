@@ -82,6 +82,23 @@ def test_trie_of_any_order_and_limits():
     assert got == want and trie.size == 0 and not trie.roots
 
 
+def test_runs_leave_the_trie_in_parts():
+    """A run of very many paths is no one batch, and no list of so many Python objects."""
+    class Passed:
+        value = p.Filter(np.full(1 << 10, ~np.uint64(0))), None
+
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 3000, 250_000))
+    got, paths = Counter(), []
+    for out in p.phrase_counter(Passed, 0, 2, 2)(iter([pa.RecordBatch.from_pydict({"lang": ["en"], "text": [text]})])):
+        assert out.num_rows < 2 * 65_536
+        pairs = out.column("path").flatten().to_numpy().view(np.uint64).reshape(-1, 2)
+        paths += map(tuple, pairs.tolist())
+        got.update(dict(zip(map(tuple, pairs.tolist()), out.column("f").to_pylist())))
+    ids = p.slice_words(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), np.array([p.language_seed("en", 0)], np.uint64))[-1]
+    assert got == Counter(zip(ids[:-1].tolist(), ids[1:].tolist())) and paths == sorted(set(paths)) and len(paths) > 200_000
+
+
 def test_long_text_in_parts(monkeypatch):
     """A text cut into parts has the same windows as the whole."""
     monkeypatch.setattr(p, "SLICE", 200)
